@@ -51,6 +51,11 @@ def spans_of(pieces: Column, shape) -> Column:
     Lengths are summed in blocks of 64 pairs, so a text with n matches costs about
     n * 64 additions and not n * n.
     """
+    # bound once: a lambda would otherwise run the regex again for every match
+    return let(pieces, lambda bound: _spans_of(bound, shape))
+
+
+def _spans_of(pieces, shape):
     def lengths(p, i):
         return F.when(i.bitwiseAND(1) == 1, F.length(F.substring_index(p, FIELD, 1))).otherwise(F.length(p))
 
@@ -189,10 +194,16 @@ def mark_spans(text, spans, opens=("", "{w:", "[S:"), closes=("", "}", "]")) ->
     ``spans`` is array<struct<start,end,rank>> with rank 1, 2, ...; neighbouring
     stretches of equal rank are one mark.
     """
-    text = _c(text)
-    bounds = F.array_sort(F.array_distinct(F.flatten(F.array(
+    return let(spans, lambda bound: let(_bounds(_c(text), bound), lambda cuts: _marked(_c(text), bound, cuts, opens, closes)))
+
+
+def _bounds(text, spans):
+    return F.array_sort(F.array_distinct(F.flatten(F.array(
         F.array(F.lit(0), F.length(text)), F.transform(spans, lambda s: s["start"]),
         F.transform(spans, lambda s: s["end"])))))
+
+
+def _marked(text, spans, bounds, opens, closes):
     pairs = F.filter(F.transform(bounds, lambda b, i: F.struct(
         b.alias("s"), F.get(bounds, i + 1).alias("e"))), lambda p: p["e"].isNotNull())
     ranked = F.transform(pairs, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.coalesce(

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.functions.spans import cut, sentences
+from spanloom.functions.spans import cut, let, sentences
 from spanloom.functions.text import (STEMS, digits, extract_json, find_label, fold_compare, is_bare, label_norm,
                                      level, stems_in, valid_numbers)
 from spanloom.operators.grounding import KINDS, locate
@@ -334,9 +334,12 @@ def split_answers(raw):
         return F.concat(acc, F.array(F.struct(no.alias("no"), p.alias("body"))))
 
     numbered = F.aggregate(parts, empty, place)
-    kept = F.array_sort(F.array_distinct(F.transform(numbered, lambda r: r["no"])))
-    return F.transform(kept, lambda n: F.struct(n.alias("no"), F.array_join(F.transform(
-        F.filter(numbered, lambda r: r["no"] == n), lambda r: r["body"]), "\n").alias("body")))
+    def parts_of(rows):
+        kept = F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["no"])))
+        return F.transform(kept, lambda n: F.struct(n.alias("no"), F.array_join(F.transform(
+            F.filter(rows, lambda r: r["no"] == n), lambda r: r["body"]), "\n").alias("body")))
+
+    return let(numbered, parts_of)
 
 
 def side_by_side(answers: DataFrame, sentences_: DataFrame, qmap: dict) -> DataFrame:

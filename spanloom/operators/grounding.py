@@ -66,14 +66,18 @@ def fuzzy_candidates(df: DataFrame, text="text", quote="quote") -> DataFrame:
     df = df.withColumn("_tw", find_spans(text, PROSE_WORD)).withColumn("_qw", F.transform(
         find_spans(quote, PROSE_WORD), lambda w: F.lower(w["surface"])))
     df = df.withColumn("_tl", F.transform("_tw", lambda w: F.lower(w["surface"])))
-    # places of the quote's long words, found in one pass over the text's words
+    # the quote's long words and their places, found in one pass over the text's words;
+    # everything a lambda reads is bound first
     long_words = F.filter(F.array_distinct("_qw"), lambda w: F.length(w) > SEED_LETTERS)
-    places = F.filter(F.transform("_tl", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                      lambda p: F.array_contains(long_words, p["w"]))
-    df = df.withColumn("_places", places)
-    counted = F.transform(long_words, lambda w: let(F.filter("_places", lambda p: p["w"] == w), lambda at: F.struct(
-        F.size(at).alias("n"), w.alias("w"), F.slice(F.transform(at, lambda p: p["i"]), 1, PLACES).alias("at"))))
-    seeds = F.slice(F.array_sort(F.filter(counted, lambda s: s["n"] > 0)), 1, SEEDS)
+    listed = F.transform("_tl", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    places = let(long_words, lambda lw: F.filter(listed, lambda p: F.array_contains(lw, p["w"])))
+
+    def counted(held):
+        return F.transform(F.array_distinct(F.transform(held, lambda p: p["w"])), lambda w: let(
+            F.filter(held, lambda p: p["w"] == w), lambda at: F.struct(
+                F.size(at).alias("n"), w.alias("w"), F.slice(F.transform(at, lambda p: p["i"]), 1, PLACES).alias("at"))))
+
+    seeds = F.slice(F.array_sort(let(places, counted)), 1, SEEDS)
     spots = F.flatten(F.transform(seeds, lambda s: s["at"]))
     n = F.size("_qw")
     windows = F.transform(spots, lambda i, k: let(F.greatest(F.lit(0), i - n - MARGIN), lambda lo: F.struct(
@@ -122,6 +126,19 @@ def widen(text, start, end) -> Column:
     return let(s, finish)
 
 
+def passage_view(text, spans) -> Column:
+    """struct<view,passages,covered_pct>: every merged passage with the percent of the text
+    at which it begins. ``spans`` is array<struct<start,end>> in order."""
+    text = _c(text)
+    size = F.greatest(F.length(text), F.lit(1))
+    lines = F.transform(spans, lambda s: F.concat(
+        F.lit("["), F.bround(100.0 * s["start"] / size).cast("int").cast("string"), F.lit("%] "),
+        F.btrim(cut(text, s["start"], s["end"]), F.lit(WHITESPACE))))
+    covered = F.aggregate(spans, F.lit(0), lambda a, s: a + (s["end"] - s["start"]).cast("int"))
+    return F.struct(F.array_join(lines, "\n").alias("view"), F.size(spans).alias("passages"),
+                    F.bround(100.0 * covered / size).cast("int").alias("covered_pct"))
+
+
 def locate(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:
     """``keys``, start, end, match (exact, folded, fuzzy) for every (text, quote) row found.
 

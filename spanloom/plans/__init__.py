@@ -1,0 +1 @@
+"""Registered queries: the operators run on the given tables."""

@@ -4,16 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.operators.sampling import latest_answers
-from spanloom.sources.export import current, overwrite
+from spanloom.sources.export import overwrite
 
 ANSWER_DDL = "text_id BIGINT, batch STRING, seq BIGINT, raw STRING, error STRING"
 
 
-def upsert(existing: DataFrame | None, news: DataFrame) -> DataFrame:
-    """The answer table after ``news``: per text the last readable answer. Rows that came
-    before (same text and batch) change nothing, so a replayed batch is harmless."""
-    both = news if existing is None else existing.unionByName(news.select(*existing.columns))
-    return latest_answers(both, "text_id", F.col("raw").isNotNull(), ["seq", "batch"])
+def latest(answers: DataFrame) -> DataFrame:
+    """Per text the last readable answer, or the last one where none is readable."""
+    return latest_answers(answers, "text_id", F.col("raw").isNotNull(), ["seq", "batch"])
 
 
 def open_batches(answers: DataFrame, done: DataFrame) -> DataFrame:
@@ -22,20 +20,32 @@ def open_batches(answers: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, directory: str, table: str, checkpoint: str, max_files: int = 100):
-    """Read answer files as they arrive and keep ``table`` (a versioned parquet table) up to
-    date. Returns the query after it has taken what is there."""
+    """Append answer files to the log ``table`` as they arrive; returns after what is there.
+
+    Each micro-batch is first reduced to one row per text and then writes a folder of its
+    own epoch. A replayed batch overwrites the same folder, so the log holds every answer
+    once, and no batch rewrites what earlier ones wrote.
+    """
     stream = spark.readStream.schema(ANSWER_DDL).option("maxFilesPerTrigger", max_files).json(directory)
 
     def take(batch: DataFrame, epoch: int) -> None:
-        path = current(batch.sparkSession, table)
-        existing = batch.sparkSession.read.parquet(path) if path else None
-        overwrite(upsert(existing, batch), table, "v%06d" % epoch)
+        latest(batch).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def answers_now(spark: SparkSession, table: str) -> DataFrame:
+    """The answer table: the log reduced to one row per text."""
+    return latest(spark.read.parquet(table).drop("epoch"))
+
+
+def compact(spark: SparkSession, table: str, root: str, version: str) -> str:
+    """A copy of the log with one row per text, written beside it and switched in at the end."""
+    return overwrite(answers_now(spark, table), root, version)
+
+
 def ingest_batch(answers: DataFrame) -> DataFrame:
     """The same table from all answers at once."""
-    return upsert(None, answers)
+    return latest(answers)
