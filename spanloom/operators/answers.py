@@ -186,7 +186,11 @@ def ingest_beings(answers: DataFrame, texts: DataFrame, stems=STEMS):
     offsets = first_ids(care_texts)
     rows = rows.join(offsets, "text_id").withColumn("id", F.col("_before") + F.col("place") + 1)
     beings = rows.select("id", "text_id", "model", "called", "names", "words", *[F.size("n." + q).alias("n_" + q) for q in QUESTIONS])
-    listed = F.flatten(F.array(*[F.transform("n." + q, lambda i, q=q: F.struct(F.lit(q).alias("question"), i.alias("no"))) for q in QUESTIONS]))
+
+    def numbers(q):
+        return F.transform("n." + q, lambda i: F.struct(F.lit(q).alias("question"), i.alias("no")))
+
+    listed = F.flatten(F.array(*[numbers(q) for q in QUESTIONS]))
     sents = rows.select(F.col("id").alias("being_id"), "text_id", "ss", F.explode(listed).alias("s")).select(
         "being_id", "text_id", "s.question", "s.no", F.get("ss", F.col("s.no") - 1)["start"].alias("start"),
         F.get("ss", F.col("s.no") - 1)["end"].alias("end"))

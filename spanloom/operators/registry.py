@@ -330,6 +330,8 @@ MASK_REGEX = {k: fill(v) for k, v in MASKS.items()}
 TITLE_REGEX = {k: fill(v) for k, v in TITLES.items()}
 
 
+OWN_REGEX = {p.id: p.regex for p in REGISTRY}
+
 # What a text must hold for a pattern to match at all: any one of these strings. A plain
 # substring test is far cheaper than a regex that fails at every position.
 NAMING = ("call", "name", "naming", "known", "refer", "dubbed", "termed")
@@ -360,7 +362,7 @@ def needs(pattern: Pattern):
     """(strings, lower) of which one must stand in the text; () where nothing is known."""
     for table, lower in ((NEEDS, False), (NEEDS_LOWER, True)):
         wanted = table.get(pattern.id)
-        if wanted:
+        if wanted and OWN_REGEX.get(pattern.id) == pattern.regex:
             return ((wanted,) if isinstance(wanted, str) else wanted), lower
     return (), False
 

@@ -274,10 +274,15 @@ ERA = ("CASE WHEN date IS NULL OR date < '2020' THEN NULL WHEN date < '2025' THE
 def sentences_of(spark, d):
     """Listed sentences: question q of being b lists n_q numbers from id modulo 7."""
     b = beings(spark, d)
-    listed = F.flatten(F.array(*[F.when(F.col("n_" + q) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_" + q), F.lit(1))), lambda i, q=q, j=j: F.struct(
-        F.lit(q).alias("question"), (i + F.col("id") % 7 + j).cast("int").alias("no")))).otherwise(F.array().cast("array<struct<question:string,no:int>>"))
-        for j, q in enumerate(("role", "relation", "cost", "origin", "fate"))]))
-    return b.select(F.col("id").alias("being_id"), "text_id", F.inline(listed))
+
+    def numbers(q, j):
+        n = F.col("n_" + q)
+        listed = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(
+            F.lit(q).alias("question"), (i + F.col("id") % 7 + j).cast("int").alias("no")))
+        return F.filter(listed, lambda _: n > 0)
+
+    both = F.flatten(F.array(*[numbers(q, j) for j, q in enumerate(("role", "relation", "cost", "origin", "fate"))]))
+    return b.select(F.col("id").alias("being_id"), "text_id", F.inline(both))
 
 
 SENTS = ("sents AS (" + " UNION ALL ".join(

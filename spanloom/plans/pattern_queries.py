@@ -335,7 +335,7 @@ def h4(spark, d):
     return ok.subtract(table(spark, d, "labels").select(F.col("doc_id").alias("text_id")))
 
 
-@query("e10_label_scores", f"{WITH_COV}, {WITH_LABELS.split(', ', 1)[1].split(', facts AS')[0].split('labels2 AS', 1)[0] if False else ''}labels3 AS (SELECT text_id, norm FROM mentions WHERE yields = 'name') SELECT l.text_id, l.norm, coalesce(n.score, 0.0) AS pattern_score, b.best AS best_anywhere FROM labels3 l LEFT JOIN names n USING (text_id, norm) LEFT JOIN (SELECT norm, max(score) AS best FROM names JOIN cov USING (text_id) WHERE flag = '' GROUP BY 1) b ON b.norm = l.norm")
+@query("e10_label_scores", f"{WITH_COV}, labels3 AS (SELECT text_id, norm FROM mentions WHERE yields = 'name') SELECT l.text_id, l.norm, coalesce(n.score, 0.0) AS pattern_score, b.best AS best_anywhere FROM labels3 l LEFT JOIN names n USING (text_id, norm) LEFT JOIN (SELECT norm, max(score) AS best FROM names JOIN cov USING (text_id) WHERE flag = '' GROUP BY 1) b ON b.norm = l.norm")
 def e10(spark, d):
     m, n, s = strings(spark, d)
     return T.with_pattern_score(m.filter("yields = 'name'").select("text_id", "norm"), n, s)
