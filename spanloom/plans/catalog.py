@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.spans import find_spans
 from spanloom.functions.text import norm
 from spanloom.operators.sampling import top_k
-from spanloom.plans import being_queries, pattern_queries, text_queries  # noqa: F401
+from spanloom.plans import being_queries, pattern_queries, span_queries, text_queries  # noqa: F401
 from spanloom.plans.data import ORACLES, QUERIES, TEXTS, query, span_rows, texts
 
 _RX = r"\b[Tt]he[ \t]+(?P<name>[a-z]+s)\b"
