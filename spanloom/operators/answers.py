@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.functions.spans import cut, let, sentences
 from spanloom.functions.text import (STEMS, digits, extract_json, find_label, fold_compare, is_bare, label_norm,
                                      level, stems_in, valid_numbers)
-from spanloom.operators.grounding import KINDS, locate
+from spanloom.operators.grounding import KINDS, locate_all
 from spanloom.operators.sampling import first_wins
 from spanloom.operators.tables import count_if
 
@@ -113,17 +113,18 @@ def parse_quotes(answers: DataFrame) -> DataFrame:
 
 def ingest_quotes(parsed: DataFrame, texts: DataFrame):
     """(kept, dropped): quotes placed in their text; the rest kept with a reason."""
-    good = parsed.filter(~F.col("malformed"))
-    with_text = good.join(texts.select("text_id", "text"), "text_id").withColumnRenamed("given", "quote")
-    at = locate(with_text, ["text_id", "quote_no"])
-    joined = parsed.join(at, ["text_id", "quote_no"], "left")
-    why = F.when(F.col("malformed"), "malformed").when(F.col("match").isNull(), "not in the text")
-    judged = joined.withColumn("why", why)
-    placed = judged.filter(F.col("why").isNull()).join(texts.select("text_id", "text"), "text_id")
-    kept = placed.select("text_id", "kind", "start", "end", cut("text", F.col("start"), F.col("end")).alias("quote"), "match",
-                         F.when(F.col("match") == "fuzzy", F.col("given")).alias("given"))
-    dropped = judged.filter(F.col("why").isNotNull()).select("text_id", "kind", "given", "why")
-    return kept, dropped
+    # a text meets its quotes once, as one row
+    per = parsed.groupBy("text_id").agg(F.collect_list(F.struct("quote_no", "kind", "given", "malformed")).alias("all"))
+    rows = per.join(texts.select("text_id", "text"), "text_id")
+    good = F.transform(F.filter("all", lambda q: ~q["malformed"]), lambda q: F.struct(q["quote_no"].alias("quote_no"), q["given"].alias("quote")))
+    at = locate_all(rows.withColumn("quotes", good), ["text_id"])
+    judged = parsed.join(at, ["text_id", "quote_no"], "left").withColumn("why", F.when(F.col("malformed"), "malformed").when(
+        F.col("match").isNull(), "not in the text"))
+    placed = judged.filter(F.col("why").isNull()).groupBy("text_id").agg(F.collect_list(F.struct("kind", "start", "end", "match", "given")).alias("q"))
+    own = placed.join(texts.select("text_id", "text"), "text_id").select("text_id", F.inline(F.transform("q", lambda q: F.struct(
+        q["kind"].alias("kind"), q["start"].alias("start"), q["end"].alias("end"), cut("text", q["start"], q["end"]).alias("quote"),
+        q["match"].alias("match"), F.when(q["match"] == "fuzzy", q["given"]).alias("given")))))
+    return own, judged.filter(F.col("why").isNotNull()).select("text_id", "kind", "given", "why")
 
 
 def quote_records(kept: DataFrame, dropped: DataFrame) -> DataFrame:

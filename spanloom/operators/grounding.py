@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.spans import WHITESPACE, _c, cut, find_spans, let
-from spanloom.functions.text import PROSE_WORD, fold
+from spanloom.functions.text import PROSE_WORD, SPACES, fold
 
 # Fixed values of the loose match.
 MIN_FOLDED, MIN_WORDS, SEED_LETTERS, SEEDS, PLACES, MARGIN = 8, 4, 4, 3, 5, 5
@@ -22,38 +22,50 @@ def exact_span(text, quote) -> Column:
     return F.when((q != "") & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(q)).alias("end")))
 
 
-def unfold(text, position) -> Column:
-    """Offset in the text of the character that gave folded character ``position``.
+# Stretches whose folded length differs: white space and emphasis marks together, an ellipsis.
+UNEVEN = SPACES[:-1] + "*_`]{2,}|[*_`]|…"
 
-    The folded length of a prefix only grows, so the offset is found by halving: about 30
-    short steps and no index array as long as the text.
-    """
-    text = _c(text)
 
-    def halve(bounds, _):
-        mid = F.floor((bounds["lo"] + bounds["hi"]) / 2).cast("int")
-        enough = F.length(fold(F.substring(text, F.lit(1), mid))) > position
-        return F.struct(F.when(enough, bounds["lo"]).otherwise(mid + 1).alias("lo"),
-                        F.when(enough, mid).otherwise(bounds["hi"]).alias("hi"))
+def fold_changes(text) -> Column:
+    """array<struct<start,size,folded,at>>: stretches of the text that fold to another length,
+    and the offset of the character that stands for them."""
+    def change(s):
+        blank = F.regexp_instr(s["surface"], F.lit(SPACES))
+        folded = F.when(s["surface"] == "…", 3).when(blank > 0, 1).otherwise(0)
+        return F.struct(s["start"].alias("start"), (s["end"] - s["start"]).alias("size"), folded.alias("folded"),
+                        (s["start"] + F.greatest(blank - 1, F.lit(0))).alias("at"))
 
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(text) + 2)).cast("int"))
-    start = F.struct(F.lit(0).alias("lo"), F.length(text).alias("hi"))
-    return F.aggregate(steps, start, halve, lambda b: b["lo"]) - 1
+    return F.transform(find_spans(text, UNEVEN), change)
 
 
-def folded_span(text, quote) -> Column:
-    """struct<start,end> where text and quote agree after folding (8 characters or more)."""
-    text = _c(text)
-    return let(F.btrim(fold(quote), F.lit(" ")), lambda q: let(F.instr(fold(text), q), lambda at: F.when(
+def unfold(changes, position) -> Column:
+    """Offset in the text of the character that gave folded character ``position``."""
+    def step(acc, c):
+        begins = c["start"] - acc["shift"]
+        after = position >= begins + c["folded"]
+        inside = (position >= begins) & ~after
+        return F.struct(F.when(after, acc["shift"] + c["size"] - c["folded"]).otherwise(acc["shift"]).cast("int").alias("shift"),
+                        F.coalesce(acc["at"], F.when(inside, c["at"]).cast("int")).alias("at"))
+
+    start = F.struct(F.lit(0).alias("shift"), F.lit(None).cast("int").alias("at"))
+    return F.aggregate(changes, start, step, lambda acc: F.coalesce(acc["at"], (position + acc["shift"]).cast("int")))
+
+
+def folded_span(folded, changes, quote) -> Column:
+    """struct<start,end> where text and quote agree after folding (8 characters or more).
+    ``folded`` and ``changes`` are the text's fold and its ``fold_changes``."""
+    return let(F.btrim(fold(quote), F.lit(" ")), lambda q: let(F.instr(_c(folded), q), lambda at: F.when(
         (F.length(q) >= MIN_FOLDED) & (at > 0), F.struct(
-            unfold(text, at - 1).alias("start"), (unfold(text, at + F.length(q) - 2) + 1).alias("end")))))
+            unfold(changes, at - 1).alias("start"), (unfold(changes, at + F.length(q) - 2) + 1).alias("end")))))
 
 
 def align(quotes: pd.Series, windows: pd.Series) -> pd.DataFrame:
     """Matching words of a quote in a window: how many, first and last place."""
     out = []
     for quote, window in zip(quotes, windows):
-        blocks = [b for b in SequenceMatcher(None, list(quote), list(window), autojunk=False).get_matching_blocks() if b.size]
+        blocks = []
+        if window is not None:
+            blocks = [b for b in SequenceMatcher(None, list(quote), list(window), autojunk=False).get_matching_blocks() if b.size]
         if blocks:
             out.append((sum(b.size for b in blocks), blocks[0].b, blocks[-1].b + blocks[-1].size - 1))
         else:
@@ -61,51 +73,32 @@ def align(quotes: pd.Series, windows: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["got", "first", "last"])
 
 
-def fuzzy_candidates(df: DataFrame, text="text", quote="quote") -> DataFrame:
-    """Rows of (text, quote) with the windows of words around the rarest long words."""
-    df = df.withColumn("_tw", find_spans(text, PROSE_WORD)).withColumn("_qw", F.transform(
-        find_spans(quote, PROSE_WORD), lambda w: F.lower(w["surface"])))
-    df = df.withColumn("_tl", F.transform("_tw", lambda w: F.lower(w["surface"])))
-    # the quote's long words and their places, found in one pass over the text's words;
-    # everything a lambda reads is bound first
-    long_words = F.filter(F.array_distinct("_qw"), lambda w: F.length(w) > SEED_LETTERS)
-    listed = F.transform("_tl", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    places = let(long_words, lambda lw: F.filter(listed, lambda p: F.array_contains(lw, p["w"])))
-
-    def counted(held):
-        return F.transform(F.array_distinct(F.transform(held, lambda p: p["w"])), lambda w: let(
-            F.filter(held, lambda p: p["w"] == w), lambda at: F.struct(
-                F.size(at).alias("n"), w.alias("w"), F.slice(F.transform(at, lambda p: p["i"]), 1, PLACES).alias("at"))))
-
-    seeds = F.slice(F.array_sort(let(places, counted)), 1, SEEDS)
-    spots = F.flatten(F.transform(seeds, lambda s: s["at"]))
-    n = F.size("_qw")
-    windows = F.transform(spots, lambda i, k: let(F.greatest(F.lit(0), i - n - MARGIN), lambda lo: F.struct(
-        k.alias("k"), lo.alias("lo"),
-        F.slice("_tl", lo + 1, F.least(F.size("_tl"), i + n + MARGIN) - lo).alias("window"))))
-    return df.filter(n >= MIN_WORDS).withColumn("_cand", F.explode(windows))
+def candidate_windows(text, quote) -> Column:
+    """struct<words,quote,at>: the text's words with offsets, the quote's words, and the windows
+    of words around its rarest long words (array<struct<k,lo,window>>)."""
+    def windows(tw, tl, qw):
+        # everything a lambda reads is bound first
+        long_words = F.filter(F.array_distinct(qw), lambda w: F.length(w) > SEED_LETTERS)
+        listed = F.transform(tl, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        places = let(long_words, lambda lw: F.filter(listed, lambda p: F.array_contains(lw, p["w"])))
 
+        def counted(held):
+            return F.transform(F.array_distinct(F.transform(held, lambda p: p["w"])), lambda w: let(
+                F.filter(held, lambda p: p["w"] == w), lambda at: F.struct(
+                    F.size(at).alias("n"), w.alias("w"), F.slice(F.transform(at, lambda p: p["i"]), 1, PLACES).alias("at"))))
 
-def fuzzy_spans(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:
-    """keys, start, end, share of quotes found by aligning words; others are left out.
+        seeds = F.slice(F.array_sort(let(places, counted)), 1, SEEDS)
+        spots = F.flatten(F.transform(seeds, lambda s: s["at"]))
+        n = F.size(qw)
+        return F.transform(spots, lambda i, k: let(F.greatest(F.lit(0), i - n - MARGIN), lambda lo: F.struct(
+            k.alias("k"), lo.alias("lo"), F.slice(tl, lo + 1, F.least(F.size(tl), i + n + MARGIN) - lo).alias("window"))))
 
-    Windows are made and chosen by Spark; only the alignment of two short word lists runs
-    in Python, over Arrow batches.
-    """
-    score = F.pandas_udf(align, "got int, first int, last int")
-    cands = fuzzy_candidates(df, text, quote).select(
-        *keys, F.col(text).alias("_text"), "_tw", F.size("_qw").alias("_n"), F.col("_cand.k").alias("_k"),
-        F.col("_cand.lo").alias("_lo"), score("_qw", "_cand.window").alias("_a"))
-    share = F.col("_a.got") / F.col("_n")
-    span_words = F.col("_a.last") - F.col("_a.first") + 1
-    good = cands.filter((share >= min_share) & (span_words <= STRETCH * F.col("_n") + SLACK))
-    placed = good.select(
-        *keys, "_text", share.alias("share"), "_k",
-        F.get("_tw", F.col("_lo") + F.col("_a.first"))["start"].alias("s"),
-        F.get("_tw", F.col("_lo") + F.col("_a.last"))["end"].alias("e"))
-    best = placed.groupBy(*keys).agg(F.max_by(F.struct("_text", "s", "e", "share"), F.struct("share", -F.col("_k"))).alias("b"))
-    wide = widen(F.col("b._text"), F.col("b.s"), F.col("b.e"))
-    return best.select(*keys, wide["start"].alias("start"), wide["end"].alias("end"), F.round("b.share", 2).alias("share"))
+    def lowered(spans):
+        return F.transform(spans, lambda w: F.lower(w["surface"]))
+
+    return let(F.struct(find_spans(text, PROSE_WORD).alias("t"), lowered(find_spans(quote, PROSE_WORD)).alias("q")), lambda b: let(
+        lowered(b["t"]), lambda tl: F.struct(b["t"].alias("words"), b["q"].alias("quote"), F.when(
+            F.size(b["q"]) >= MIN_WORDS, windows(b["t"], tl, b["q"])).alias("at"))))
 
 
 def widen(text, start, end) -> Column:
@@ -139,16 +132,57 @@ def passage_view(text, spans) -> Column:
                     F.bround(100.0 * covered / size).cast("int").alias("covered_pct"))
 
 
-def locate(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:
-    """``keys``, start, end, match (exact, folded, fuzzy) for every (text, quote) row found.
+def locate_all(df: DataFrame, keys, text="text", quotes="quotes", min_share: float = MIN_SHARE) -> DataFrame:
+    """keys, quote_no, start, end, match (exact, folded, fuzzy) of the quotes that are found.
 
-    Each step only sees what the step before left over.
+    ``quotes`` is array<struct<quote_no,quote>>: the quotes of a text travel with it, so the
+    text is read, joined and folded once however many there are, and in one pass: what the
+    first two steps settle carries no text into the third. Windows are made and chosen by
+    Spark; only the alignment of two short word lists runs in Python, over Arrow batches.
     """
-    direct = df.withColumn("_x", exact_span(text, quote))
-    found = direct.withColumn("_f", F.when(F.col("_x").isNull(), folded_span(text, quote)))
-    at = F.coalesce("_x", "_f")
-    how = F.when(F.col("_x").isNotNull(), "exact").when(F.col("_f").isNotNull(), "folded")
-    near = found.filter(at.isNotNull()).select(*keys, at["start"].alias("start"), at["end"].alias("end"), how.alias("match"))
-    rest = found.filter(at.isNull() & (F.length(F.btrim(fold(quote), F.lit(" "))) >= MIN_FOLDED))
-    loose = fuzzy_spans(rest, keys, text, quote, min_share)
-    return near.unionByName(loose.select(*keys, "start", "end", F.lit("fuzzy").alias("match")))
+    keys = list(keys)
+    body = F.col(text)
+    exact = F.transform(quotes, lambda q: F.struct(q["quote_no"].alias("quote_no"), q["quote"].alias("quote"),
+                                                   exact_span(body, q["quote"]).alias("at")))
+
+    def settle(rows):
+        missing = F.exists(rows, lambda q: q["at"].isNull())
+        once = F.struct(F.when(missing, fold(body)).alias("fold"), F.when(missing, fold_changes(body)).alias("changes"),
+                        F.when(missing, F.lower(body)).alias("low"))
+
+        def one(q, bound):
+            loose = F.when(q["at"].isNull(), folded_span(bound["fold"], bound["changes"], q["quote"]))
+            long_word = F.exists(F.regexp_extract_all(F.lower(q["quote"]), F.lit("(?U)" + PROSE_WORD), F.lit(0)),
+                                 lambda w: (F.length(w) > SEED_LETTERS) & F.contains(bound["low"], w))
+            return let(loose, lambda f: F.struct(
+                q["quote_no"].alias("quote_no"), q["quote"].alias("quote"), F.coalesce(q["at"], f).alias("at"),
+                F.when(q["at"].isNotNull(), "exact").when(f.isNotNull(), "folded").alias("match"),
+                # a quote of which no long word stands in the text cannot be aligned
+                F.when(q["at"].isNull() & f.isNull(), (F.length(F.btrim(fold(q["quote"]), F.lit(" "))) >= MIN_FOLDED) & long_word)
+                .otherwise(False).alias("hopeful")))
+
+        return let(once, lambda bound: F.transform(rows, lambda q: one(q, bound)))
+
+    rows = df.select(*keys, body.alias("_text"), F.inline(let(exact, settle)))
+    rows = rows.select(*keys, "quote_no", "at", "match", F.when(F.col("hopeful"), F.col("_text")).alias("_text"), "quote")
+    tried = rows.withColumn("_c", F.when(F.col("_text").isNotNull(), candidate_windows("_text", "quote")))
+    spread_ = tried.select(*keys, "quote_no", "at", "match", "_text", F.col("_c.words").alias("_tw"), F.col("_c.quote").alias("_qw"),
+                           F.explode_outer("_c.at").alias("_w"))
+    score = F.pandas_udf(align, "got int, first int, last int")
+    scored = spread_.withColumn("_a", score("_qw", "_w.window"))
+    n = F.size("_qw")
+    share = F.col("_a.got") / n
+    good = F.col("_w").isNotNull() & (share >= min_share) & (F.col("_a.last") - F.col("_a.first") + 1 <= STRETCH * n + SLACK)
+    wide = widen(F.col("_text"), F.get("_tw", F.col("_w.lo") + F.col("_a.first"))["start"], F.get("_tw", F.col("_w.lo") + F.col("_a.last"))["end"])
+    found = scored.select(*keys, "quote_no", F.coalesce("at", F.when(good, wide)).alias("at"), F.coalesce("match", F.when(good, F.lit("fuzzy"))).alias("match"),
+                          F.when(good, share).alias("share"), F.col("_w.k").alias("k")).filter(F.col("at").isNotNull())
+    best = found.groupBy(*keys, "quote_no").agg(F.max_by(F.struct("at", "match"), F.struct("share", -F.col("k"))).alias("b"),
+                                                F.any_value(F.struct("at", "match")).alias("any"))
+    pick = F.coalesce("b", "any")
+    return best.select(*keys, "quote_no", pick["at"]["start"].alias("start"), pick["at"]["end"].alias("end"), pick["match"].alias("match"))
+
+
+def locate(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:
+    """The same for one quote per row: keys, start, end, match."""
+    one = F.array(F.struct(F.lit(0).alias("quote_no"), F.col(quote).alias("quote")))
+    return locate_all(df.withColumn("quotes", one), keys, text, "quotes", min_share).drop("quote_no")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.spans import find_spans
 from spanloom.functions.text import SPECIES_WORDS
-from spanloom.operators.patterns import run_patterns
+from spanloom.operators.patterns import run_patterns, spread
 from spanloom.operators.registry import Pattern
+from spanloom.session import cut_lineage
 from spanloom.operators.tables import text_cov, text_facts, text_names
 
 QUERIES, ORACLES = {}, {}
@@ -39,7 +40,7 @@ TEXTS = ("texts AS (SELECT doc_id AS text_id, lang || '/' || source AS model, la
 
 
 def texts(spark, d):
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("text_id"), F.concat_ws("/", "lang", "source").alias("model"), "lang",
         F.col("source").alias("place_id"), "text")
 
@@ -153,6 +154,7 @@ WITH_NAMES = f"{WITH_MENTIONS}, {PLACES}, {NAMES}"
 
 def cov(spark, d):
     m = mentions(spark, d)
+    m = cut_lineage(m)
     return text_cov(facts(spark, d), m, text_names(m, precision(spark), places(spark, d), texts(spark, d)))
 
 

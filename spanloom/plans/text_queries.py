@@ -274,7 +274,7 @@ def returned_quotes(spark, d):
     double spaces, and one that is in no text."""
     x = texts(spark, d).filter(F.length("text") >= 200)
     said = F.array(F.substring("text", 21, 60), F.replace(F.translate(F.substring("text", 41, 90), "aeiou", "AEIOU"), F.lit(" "), F.lit("  ")), F.lit("zzqx wvvk zzqx wvvk zzqx"))
-    return x.select("text_id", "text", F.posexplode(said).alias("quote_no", "quote"))
+    return x.select("text_id", "text", F.transform(said, lambda q, i: F.struct(i.alias("quote_no"), q.alias("quote"))).alias("quotes"))
 
 
 @query("c16_c19_locate", f"""WITH {TEXTS}, q AS (SELECT text_id, text, unnest([0, 1, 2]) AS quote_no, unnest([substr(text, 21, 60), replace(translate(substr(text, 41, 90), 'aeiou', 'AEIOU'), ' ', '  '), 'zzqx wvvk zzqx wvvk zzqx']) AS quote FROM texts WHERE length(text) >= 200),
@@ -282,11 +282,8 @@ def returned_quotes(spark, d):
     SELECT text_id, quote_no, CASE WHEN contains(text, tq) THEN 'exact' ELSE 'folded' END AS match, md5(fq) AS h FROM f WHERE contains(text, tq) OR (length(fq) >= 8 AND contains(ft, fq))""")
 def c19(spark, d):
     q = returned_quotes(spark, d)
-    x, f = grounding.exact_span("text", "quote"), grounding.folded_span("text", "quote")
-    at = q.select("text_id", "quote_no", "text", x.alias("x"), F.when(x.isNull(), f).alias("f"))
-    span = F.coalesce("x", "f")
-    return at.filter(span.isNotNull()).select("text_id", F.col("quote_no"), F.when(F.col("x").isNotNull(), "exact").otherwise("folded").alias("match"),
-                                              F.md5(F.btrim(T.fold(S.cut("text", span["start"], span["end"])), F.lit(" "))).alias("h"))
+    at = grounding.locate_all(q, ["text_id"]).join(q.select("text_id", "text"), "text_id")
+    return at.select("text_id", "quote_no", "match", F.md5(F.btrim(T.fold(S.cut("text", F.col("start"), F.col("end"))), F.lit(" "))).alias("h"))
 
 
 @query("c20_fuzzy_alignment")

@@ -98,7 +98,7 @@ def test_fuzzy_share_limit(spark):
 def test_unfold_every_position(spark):
     text = "A “b”  *c*…\n\n_d_ — E f"
     plain = frame(spark, [text]).select(T.fold("t").alias("f")).first().f
-    cols = [G.unfold("t", F.lit(i)).alias("p%d" % i) for i in range(len(plain))]
+    cols = [G.unfold(G.fold_changes("t"), F.lit(i)).alias("p%d" % i) for i in range(len(plain))]
     row = frame(spark, [text]).select(*cols).first()
     for i, ch in enumerate(plain):
         assert T_fold(text[row[i]]).find(ch) >= 0
