@@ -39,7 +39,8 @@ def _strings(values):
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of few files one partition per core; a scan with enough is left alone."""
+    """Give a scan of few files one partition per core; a scan with enough is left alone.
+    For plain scans only: asking a plan with shuffles for its partitions would run them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
@@ -59,7 +60,7 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     masks = sorted({p.mask for p in registry if p.mask})
     needs_titles = any(p.title for p in registry)
 
-    src = spread(texts, key).select(F.col(key).alias("text_id"), guarded(text).alias("text"))
+    src = texts.select(F.col(key).alias("text_id"), guarded(text).alias("text"))
     src = src.select("text_id", "text", straighten_right("text").alias("straight"),
                      *[mask_lines("text", MASK_REGEX[m]).alias("mask_" + m) for m in masks])
     src = src.withColumn("low", F.lower("straight"))

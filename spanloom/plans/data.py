@@ -194,7 +194,7 @@ def page_texts(spark, d):
     html = F.regexp_replace("html", r"(?s)^.*?<article>", "")
     html = F.regexp_replace(html, r"(?s)</article>.*$", "")
     md = F.regexp_replace(F.regexp_replace(html, r"<h1>", "\n# "), r"</h1>|</p>|<p>|<br>", "\n")
-    return table(spark, d, "pages").select(F.col("page_id").alias("text_id"), F.regexp_replace(
+    return spread(table(spark, d, "pages"), "page_id").select(F.col("page_id").alias("text_id"), F.regexp_replace(
         F.regexp_replace(md, r"</?b>", "**"), r"<[^>]*>", "").alias("text"))
 
 

@@ -23,6 +23,8 @@ def build_session(app="spanloom", master=None, conf=None) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.extraJavaOptions": "-Xss16m",
         "spark.executor.extraJavaOptions": "-Xss16m",
+        # no call-site capture per expression: plans here have thousands of them
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update(conf or {})
