@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import era, lab, pct, words
 from spanloom.operators import evaluate as E, sampling as G, tables as T
 from spanloom.operators.patterns import run_patterns
-from spanloom.operators.registry import REGISTRY, registry_history, registry_table
+from spanloom.operators.registry import registry_history
 from spanloom.session import cut_lineage
 from spanloom.plans.data import (DATES, ERA, SAMPLE, WITH_BEINGS, WITH_COV, WITH_FACTS, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, beings, cov,
                                  dates, facts, labels, mentions, names, page_texts, places, precision, query, table, texts)
@@ -41,11 +41,14 @@ def d_sample(spark, d):
                     F.when(name, F.col("occ")).alias("occ"), F.when(name, F.col("occ_cased")).alias("occ_cased"))
 
 
-@query("h2_registry_history", "SELECT 'active' AS status, 56 AS n UNION ALL SELECT 'retired', (SELECT count(*) FROM region)")
+@query("h2_registry_history", "SELECT p_brand AS family, CASE WHEN p_size >= 10 THEN 'active' ELSE 'retired' END AS status, count(*) AS n, count(DISTINCT p_name) AS ids, max(CASE WHEN p_size < 10 THEN 'split' END) AS reason FROM part GROUP BY 1, 2")
 def h2(spark, d):
-    active = registry_table(spark)
-    old = table(spark, d, "region").select(F.col("r_name").alias("id"), F.lit("retired").alias("status"), F.lit("split").alias("retired_reason"))
-    return registry_history(active, old).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Active and retired versions in one table, with parts as pattern rows."""
+    rows = table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_partkey").alias("version"), F.col("p_brand").alias("family"), "p_size")
+    active = rows.filter("p_size >= 10").drop("p_size").withColumn("status", F.lit("active"))
+    old = rows.filter("p_size < 10").drop("p_size").withColumn("status", F.lit("retired")).withColumn("retired_reason", F.lit("split"))
+    both = registry_history(active, old)
+    return both.groupBy("family", "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.max("retired_reason").alias("reason"))
 
 
 # ---- first instrument ----------------------------------------------------------------------

@@ -377,11 +377,13 @@ def i14(spark, d):
     return A.missing_quotes(claims, sents).select("being_id", "question", "part")
 
 
-@query("i14_missing_figures", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 1")
+@query("i14_missing_figures", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 1")
 def i14b(spark, d):
-    n = table(spark, d, "nation")
-    claims = n.select(F.col("n_nationkey").alias("id"), F.lit("cost").alias("question"), F.col("n_name").alias("key"), F.array((F.col("n_nationkey") + 1000).cast("string"), F.lit("100")).alias("numbers"))
-    lines = n.select(F.lit("cost").alias("question"), F.concat_ws(" ", F.lit("of"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, (F.col("n_nationkey") + 1000).cast("string")), F.lit("in 100")).alias("line"))
+    """A claim per customer, each checked against the account of its own question."""
+    c = table(spark, d, "customer").withColumn("question", F.col("c_name"))
+    number = (F.col("c_custkey") + 1000000).cast("string")
+    claims = c.select(F.col("c_custkey").alias("id"), "question", F.col("c_mktsegment").alias("key"), F.array(number, F.lit("100")).alias("numbers"))
+    lines = c.select("question", F.concat_ws(" ", F.lit("of"), F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, number), F.lit("in 100")).alias("line"))
     return A.missing_figures(claims, lines).select("id")
 
 

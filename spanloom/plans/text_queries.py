@@ -1,7 +1,7 @@
 """Queries over scans, predicates, text functions and span functions."""
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from spanloom.functions import filters, spans as S, text as T
 from spanloom.operators import grounding
@@ -9,8 +9,8 @@ from spanloom.operators.beings import fold_plural, lexicon_labels, term_counts
 from spanloom.operators.patterns import doc_freq
 from spanloom.operators.answers import person_candidates, split_answers
 from spanloom.operators.sampling import latest_answers, latest_status
-from spanloom.plans.data import (BEINGS, INTERVALS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WORDS, beings, intervals, labels,
-                                 page_texts, places, query, span_rows, table, texts)
+from spanloom.plans.data import (ACCENTED, FACTS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WORDS, beings, facts, labels, page_texts, places,
+                                 query, sentence_rows, span_rows, table, texts)
 from spanloom.sources import corpus, export
 
 EDGE_SQL = "' ' || chr(9) || chr(13) || chr(10) || '*_\"''`“”‘’:;,.—–-()[]'"
@@ -74,17 +74,11 @@ def a10(spark, d):
 
 
 # ---- B: predicates -------------------------------------------------------------------------
-from spanloom.plans.data import FACTS, facts  # noqa: E402
-
-
 @query("b1_text_flag", f"WITH {TEXTS}, {FACTS} SELECT text_id, tagged, flag, n_species, n_param_echo FROM facts")
 def b1(spark, d):
     return facts(spark, d).select("text_id", "tagged", "flag", "n_species", "n_param_echo")
 
 
-FEW = ("and", "the", "that", "with", "are", "was", "oning")
-
-
 @query("b2_stoplist", f"WITH {TEXTS}, {LABELS} SELECT norm, count(*) AS n FROM labels2 WHERE norm NOT IN ('thes', 'thens', 'eres', 'ines', 'reas') GROUP BY 1")
 def b2(spark, d):
     stop = spark.createDataFrame([("few", w) for w in ("thes", "thens", "eres", "ines", "reas")] + [("none", "ands")], "name string, word string")
@@ -194,9 +188,6 @@ def c6(spark, d):
     return texts(spark, d).select("text_id", F.size(S.sentences("text", keep_markers=True)).cast("long").alias("n")).filter("n > 0")
 
 
-from spanloom.plans.data import sentence_rows  # noqa: E402
-
-
 @query("c7_enclosing_sentence", f"WITH {TEXTS} SELECT text_id, start, surface FROM ({sentence_rows('p', '(?i)' + chr(92) + 'bthing')})")
 def c7(spark, d):
     found = texts(spark, d).select("text_id", "text", F.explode(S.find_spans("text", r"\bthing", flags="i")).alias("m"))
@@ -231,7 +222,6 @@ def c11(spark, d):
 
 @query("c12_mark_spans", f"WITH {TEXTS} SELECT text_id, md5(regexp_replace(t, '[A-Z][a-z]+', '[S:\\0]', 'g')) AS h FROM texts")
 def c12(spark, d):
-    from spanloom.plans.data import ACCENTED
     plain = F.translate("text", ACCENTED, "0" * len(ACCENTED))
     x = texts(spark, d).select("text_id", plain.alias("text"))
     words = F.transform(S.find_spans("text", "[A-Z][a-z]+"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(2).alias("rank")))
