@@ -29,3 +29,16 @@ def language(spark, d):
 def neardup(spark, d):
     from spanloom.llm.neardup import near_duplicates
     return near_duplicates(table(spark, d, "documents"), k=3, percent=85)
+
+
+@query("op2_decontamination")
+def decontamination(spark, d):
+    from spanloom.llm.decontaminate import contained_items
+    return contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op7_packing")
+def packing(spark, d):
+    import public_tokenizers
+    from spanloom.llm.packing import pack_documents
+    return pack_documents(table(spark, d, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
