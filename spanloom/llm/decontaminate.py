@@ -6,10 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import PUNCTUATION, distinct_sets, long_lists, mix, shingle_hashes, small_batches, string_bytes, word_hashes, written
+from spanloom.llm.shared import PUNCTUATION, distinct_sets, long_lists, mix, shingle_hashes, slices, small_batches, word_hashes, written
 
 #: 64-bit words of a filter: 2 MB, 16.8 million bits, whatever the number of items.
 FILTER_WORDS = 1 << 18
+#: Bytes of text that are looked at together.
+SLICE = 2 << 20
 
 
 def _sets(texts, k):
@@ -21,15 +23,6 @@ def _bit(hashes: np.ndarray):
     return (spread >> np.uint64(40)).astype(np.int64) % FILTER_WORDS, np.uint64(1) << (spread & np.uint64(63))
 
 
-def _slices(batch, most=4 << 20):
-    ends = string_bytes(batch.column("text"))[1]
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def item_table(items: DataFrame, k: int, percent: int) -> DataFrame:
     """(item_id, n_items, n_shingles, size_class, hash, signed): the shingles of each distinct item, as rows.
 
@@ -42,7 +35,7 @@ def item_table(items: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("item_id"), long_lists(hashes, offsets)], names=["item_id", "hashes"])
 
@@ -95,7 +88,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     def run(batches):
         first, every = filters.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 low = np.flatnonzero(hashes <= np.uint64(max(cut, 0)))

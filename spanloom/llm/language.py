@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.shared import held_out, mix, small_batches, string_bytes
+from spanloom.llm.shared import held_out, mix, slices, small_batches, string_bytes
 
 #: Slots of the filter (a power of two) and slots per n-gram.
 SLOTS, PROBES = 1 << 20, 3
@@ -20,6 +20,8 @@ FIT_ROWS = 40_000
 SHARE = 0.3
 #: ... and it was seen there so many times.
 SEEN = 3
+#: Bytes of text that are looked at together; the working arrays hold some 50 bytes for each.
+SLICE = 1 << 19
 #: A slot is one 64-bit word, so a filter holds this many languages.
 LANGUAGES = 63
 
@@ -61,15 +63,6 @@ def _places(grams: np.ndarray):
     return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _slices(batch, most=2 << 20):
-    ends = string_bytes(batch.column("text"))[1]
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The filter learned from ``docs`` (doc_id, text, lang): {"langs", "slots", "rates"}.
 
@@ -91,7 +84,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     def count(batches):
         held, number = {}, 0
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE):
                 grams, offsets = _grams(part.column("text"))
                 names = np.asarray(part.column("lang").to_pylist(), dtype=object)
                 owner = np.repeat(np.searchsorted(langs, names.astype(str)), np.diff(offsets)).astype(np.uint64)
@@ -158,7 +151,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         slots, langs, rates = shared.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE):
                 texts = part.column("text")
                 grams, offsets = _grams(texts)
                 n = np.diff(offsets)

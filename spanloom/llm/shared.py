@@ -101,6 +101,16 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, most: int, column: str = "text"):
+    """Slices of a batch of at most ``most`` bytes of text each, or one row."""
+    ends = string_bytes(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def word_hashes(column: pa.Array, table: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text's words begin.
 
