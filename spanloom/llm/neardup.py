@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
-from spanloom.llm.shared import BLANKS, distinct_sets, long_lists, mix, shingle_hashes, small_batches, string_bytes, word_hashes, written
+from spanloom.llm.shared import BLANKS, distinct_sets, long_lists, mix, shingle_hashes, slices, small_batches, word_hashes, written
 
-#: Symbols of a signature, and bits of a symbol.
-SYMBOLS, BITS = 64, 16
+#: Symbols of a signature, of 16 bits each.
+SYMBOLS = 96
 #: Errors that a chunk of the signature may hold; each way to place them is one key.
 CHUNK_ERRORS = 1
 #: Standard deviations between the mean distance of a pair at the threshold and the distance that is still searched.
-MARGIN = 5.5
+MARGIN = 5.0
 #: Rows of one hot side that go to one task of the confirming join.
 SIDE = 2000
+#: Bytes of text that are looked at together.
+SLICE = 2 << 20
 
 
 def search_distance(percent: int, symbols: int = SYMBOLS, margin: float = MARGIN) -> int:
@@ -71,44 +73,20 @@ def _sets(texts: pa.Array, k: int):
     return distinct_sets(*shingle_hashes(*word_hashes(texts, BLANKS), k))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 4 << 20):
-    """Slices of a batch of at most ``most`` bytes of text each, or one row."""
-    ends = string_bytes(batch.column("text"))[1]
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
-def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signature, keys) for each document: the size and digest of its shingle set, its
-    signature, and the 64-bit value of every key. Null for the last two where the set is empty."""
-    positions = chunk_keys(SYMBOLS, search_distance(percent))
+def set_table(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, signature): size and digest of each document's shingle set, and its signature."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
-                n = np.diff(offsets)
-                signs = signatures(hashes, offsets)
-                wide = signs.astype(np.uint64)
-                values = np.empty((len(n), len(positions)), dtype=np.uint64)
-                for i, places in enumerate(positions):
-                    acc = np.full(len(n), i + 1, dtype=np.uint64)
-                    for p in places:
-                        acc = mix(acc) + wide[:, p]
-                    values[:, i] = mix(acc)
-                empty = n == 0
-                keys = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(positions)), pa.array(values.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(_digest(hashes, offsets, 1)), pa.array(_digest(hashes, offsets, 2)),
-                     pa.array([None if e else s.tobytes() for e, s in zip(empty, signs)], pa.binary()), keys],
-                    names=["doc_id", "n_shingles", "h1", "h2", "signature", "keys"])
+                    [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), *(pa.array(_digest(hashes, offsets, i)) for i in (1, 2)),
+                     pa.array([s.tobytes() for s in signatures(hashes, offsets)], pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -117,44 +95,75 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digest(hashes, offsets, 1)), long_lists(hashes, offsets)], names=["doc_id", "h1", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, shingles array<long>")
 
 
-def close_pairs(pairs: DataFrame, signs: DataFrame, distance: int) -> DataFrame:
-    """The pairs whose signatures differ in at most ``distance`` symbols."""
-    one = signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    two = signs.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    small_batches(pairs.sparkSession)
+WORDS = [f"d{i}" for i in range(SYMBOLS // 8)]
+
+
+def key_rows(leaders: DataFrame, percent: int) -> DataFrame:
+    """(key, id): the 64-bit value of every key of every signature."""
+    positions = chunk_keys(SYMBOLS, search_distance(percent))
 
     def run(batches):
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            near = pa.array((left != right).sum(axis=1) <= distance)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
+            wide = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1).astype(np.uint64)
+            ids = batch.column("id")
+            for i, places in enumerate(positions):
+                acc = np.full(batch.num_rows, i + 1, dtype=np.uint64)
+                for p in places:
+                    acc = mix(acc) + wide[:, p]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(acc).view(np.int64)), ids], names=["key", "id"])
+
+    return leaders.select("id", "signature").mapInArrow(run, "key long, id long")
+
+
+def packed(leaders: DataFrame) -> DataFrame:
+    """(id, n, d0, d1, ...): the low byte of each symbol, eight in a long, for comparing signatures in a join's condition."""
+    def run(batches):
+        for batch in batches:
+            low = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1).astype(np.uint8)
+            longs = np.ascontiguousarray(low).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(WORDS)))], names=["id", "n", *WORDS])
+
+    return leaders.select("id", "n", "signature").mapInArrow(run, "id long, n long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def differing(x: str, y: str) -> str:
+    """SQL for the number of differing symbols of two packed signatures: of each byte of the XOR, any bit set counts once."""
+    def one(w):
+        a = f"({x}.{w} ^ {y}.{w})"
+        b = f"({a} | shiftrightunsigned({a} & {_BYTE_HIGH}, 4))"
+        c = f"({b} | shiftrightunsigned({b} & {_BYTE_MID}, 2))"
+        return f"bit_count(({c} | shiftrightunsigned({c} & {_BYTE_LOW}, 1)) & {_BYTE_ONE})"
+    return " + ".join(one(w) for w in WORDS)
+
+
+def _long(byte: int) -> str:
+    value = int.from_bytes(bytes([byte]) * 8, "little", signed=False)
+    return f"{value - (1 << 64) if value >> 63 else value}L"
+
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+_BYTE_HIGH, _BYTE_MID, _BYTE_LOW, _BYTE_ONE = (_long(x) for x in (0xF0, 0x0C, 0x02, 0x01))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets (id, shingles).
 
-    Only documents in a pair have their set built again from the text. An ``a`` with many partners is split: its
-    partners are dealt to sides of about ``SIDE`` rows, and its set goes once to each side.
+    An ``a`` with many partners is split: its partners are dealt to sides of about ``SIDE`` rows, and its set goes
+    once to each side.
     """
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k).groupBy("doc_id").agg(F.min_by("shingles", "h1").alias("shingles")))
-    partners = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
-    firsts = (sets.withColumnRenamed("doc_id", "a").join(partners, "a")
-              .select("a", "sides", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("shingles").alias("one")))
+    partners = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides")))
+    firsts = (sets.withColumnRenamed("id", "a").join(partners, "a")
+              .select("a", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("shingles").alias("one")))
     dealt = pairs.join(partners, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int")).select("a", "b", "side")
-    dealt = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
+    dealt = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
     both = F.size(F.array_intersect("one", "two"))
-    return dealt.join(firsts.drop("sides"), ["a", "side"]).filter(100 * both >= percent * (F.size("one") + F.size("two") - both)).select("a", "b")
+    return dealt.join(firsts, ["a", "side"]).filter(100 * both >= percent * (F.size("one") + F.size("two") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -164,43 +173,59 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     between blanks, whole texts). ``component_id`` is the smallest doc_id that links reach, ``kept`` marks that document.
 
     1. Equal sets become one class, led by its smallest doc_id.
-    2. Each leader's signature gives its keys (``chunk_keys``). Keys that one leader alone holds are dropped.
-    3. In each key's bucket all leaders are paired with the smallest one: no pair within a bucket besides. Pairs within
-       the distance are confirmed on the full sets, and the links give a first labelling.
-    4. Whatever pairs of a bucket lie in different groups after that are compared too. So each pair within the
-       distance is confirmed, refuted, or known to be in one group, without emitting the pairs of a group of copies.
+    2. Each leader's signature gives its keys (``chunk_keys``); two signatures within the distance share a key. Keys that
+       one leader alone holds are dropped, then leaders without a partner within the distance in any of their buckets:
+       a semi join that stops at the first partner.
+    3. For the others the full sets are built, once. ``u`` counts the shingles that no other of them holds: whatever
+       the partner, the intersection is at most n - u. Pairs that this bound refutes are never emitted.
+    4. In each bucket all are compared on the full sets with the leader that has the fewest shingles alone: a star, not
+       pairs. The links give a first labelling.
+    5. Pairs of a bucket within the distance that have different labels and that the bound does not refute are compared
+       too. So each pair within the distance is confirmed, refuted, or known to be in one group.
 
     Null text, a text without words: empty set, linked with nothing, kept. A null doc_id groups with the other texts of
     its class but leads none, unless all its class has none; such a class is linked with no other. Rows that repeat
     a doc_id with one text are copies of each other; where its texts differ, the one with the smallest digest is linked
-    for that id. Ids decide all ties. Extra columns are ignored.
+    for that id. Ids decide all ties. Extra columns are ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     distance = search_distance(percent)
-    table = written(set_table(docs, k, percent))
+    table = written(set_table(docs, k))
     full = table.filter("n_shingles > 0")
-    classes = written(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")))
-    leaders = written(full.join(classes.filter("id is not null").select(F.col("id").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi")
-                      .groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct("signature", "keys"), "h1").alias("x")).select("id", "x.*"))
-    signs = leaders.select("id", "signature")
-    keys = leaders.select("id", F.explode("keys").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("key", "a"))
-    buckets = written(keys.join(shared, "key").select("key", "a", F.col("id").alias("b")))
-    stars = written(close_pairs(buckets.filter("a < b").select("a", "b").distinct(), signs, distance))
-    links = written(confirmed(stars, docs, k, percent))
+    same = ["h1", "h2", "n_shingles"]
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")))
+    leaders = full.join(classes.filter("id is not null").select(F.col("id").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    leaders = written(leaders.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "signature"), "h1").alias("x")).select("id", "x.*"))
+    keys = key_rows(leaders, percent)
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"))
+    rows = written(keys.join(shared, "key").join(packed(leaders), "id"))
+    near = f"x.key = y.key and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing('x', 'y')} <= {distance}"
+    paired = written(rows.alias("x").join(rows.alias("y"), F.expr(near + " and x.id <> y.id"), "left_semi"))
+    ids = paired.select(F.col("id").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), k)
+    sets = written(sets.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("shingles", "h1").alias("shingles")))
+    alone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
+    alone = written(alone.filter("holders = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u")))
+    paired = written(paired.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long"))))
+
+    most = "least(x.n - x.u, y.n - y.u)"
+    bound = f"100 * {most} >= {percent} * (x.n + y.n - {most})"
+    hubs = written(paired.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("hub")).select("key", "hub.*"))
+    stars = hubs.alias("x").join(paired.select("key", "id", "n", "u").alias("y"), F.expr(f"x.key = y.key and x.id <> y.id and {bound}"))
+    stars = written(stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    links = written(confirmed(stars, sets, percent))
     labels = components(links)
-    named = buckets.join(labels.withColumnRenamed("id", "b"), "b", "left").select("key", "b", F.coalesce("label", "b").alias("label"))
-    named = written(named)
+    named = written(paired.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     rest = written(named.join(mixed, "key", "left_semi"))
-    one, two = (rest.select("key", F.col("b").alias(i), F.col("label").alias(f"l{i}")) for i in ("x", "y"))
-    across = one.join(two, "key").filter("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = written(confirmed(close_pairs(across, signs, distance), docs, k, percent))
+    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.label < y.label and {bound} and {near}"))
+    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(confirmed(written(across.join(tested, ["a", "b"], "left_anti")), sets, percent))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     grouped = (classes.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
-               .filter("members > 1 or component_id <> id").select("h1", "h2", "n_shingles", "component_id"))
-    rows = table.select("doc_id", "n_shingles", "h1", "h2").join(written(grouped), ["h1", "h2", "n_shingles"], "left")
+               .filter("members > 1 or component_id <> id").select(*same, "component_id"))
+    found = table.select("doc_id", *same).join(written(grouped), same, "left")
     own = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
