@@ -42,3 +42,15 @@ def packing(spark, d):
     import public_tokenizers
     from spanloom.llm.packing import pack_documents
     return pack_documents(table(spark, d, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op5_secrets")
+def secrets(spark, d):
+    from spanloom.llm.secrets import digest_columns, scan
+    return digest_columns(scan(table(spark, d, "documents").select("doc_id", "text", "source"), keep_text=False))
+
+
+@query("op9_topk")
+def topk(spark, d):
+    from spanloom.llm.topk import top_k
+    return top_k(table(spark, d, "embeddings"))
