@@ -5,6 +5,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ SYMBOLS = 96
 CHUNK_ERRORS = 1
 #: Standard deviations between the mean distance of a pair at the threshold and the distance that is still searched.
 MARGIN = 5.0
-#: Rows of one hot side that go to one task of the confirming join.
-SIDE = 2000
+#: Shingles of all sets that one task compares, or of each of two blocks that it compares.
+GROUP = 1 << 20
 #: Bytes of text that are looked at together.
 SLICE = 2 << 20
 
@@ -151,19 +152,59 @@ def _long(byte: int) -> str:
 _BYTE_HIGH, _BYTE_MID, _BYTE_LOW, _BYTE_ONE = (_long(x) for x in (0xF0, 0x0C, 0x02, 0x01))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets (id, shingles).
+def spanning_links(sizes: np.ndarray, flat: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (positions) that join the sets into the same components as all links would; ``flat`` holds the sets in a row.
 
-    An ``a`` with many partners is split: its partners are dealt to sides of about ``SIDE`` rows, and its set goes
-    once to each side.
+    Breadth first: each set is compared, on full sets and all at once, with those not reached yet. Sets reached earlier
+    are in its own component or were compared with it from there, so each pair is linked, refuted or known to be joined.
     """
-    partners = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides")))
-    firsts = (sets.withColumnRenamed("id", "a").join(partners, "a")
-              .select("a", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("shingles").alias("one")))
-    dealt = pairs.join(partners, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int")).select("a", "b", "side")
-    dealt = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
-    both = F.size(F.array_intersect("one", "two"))
-    return dealt.join(firsts, ["a", "side"]).filter(100 * both >= percent * (F.size("one") + F.size("two") - both)).select("a", "b")
+    vocabulary, flat = np.unique(flat, return_inverse=True)
+    left = np.arange(len(sizes))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    own = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    held, starts = flat, offsets[:-1]
+    mark, alive, links, queue = np.zeros(len(vocabulary), np.int32), np.ones(len(sizes), bool), [], []
+    while alive.any() or queue:
+        if not queue:
+            first = int(np.flatnonzero(alive)[0])
+            alive[first] = False
+            queue.append(first)
+        at = queue.pop()
+        if alive[left].sum() * 2 < len(left):  # forget what was reached
+            left = np.flatnonzero(alive)
+            held = np.concatenate([own[i] for i in left]) if len(left) else flat[:0]
+            starts = np.concatenate(([0], np.cumsum(sizes[left])[:-1])) if len(left) else left
+        if not len(left):
+            continue
+        mark[own[at]] = 1
+        both = np.add.reduceat(mark[held], starts)
+        mark[own[at]] = 0
+        for i in left[alive[left] & (100 * both >= percent * (sizes[left] + sizes[at] - both))].tolist():
+            alive[i] = False
+            links.append((at, i))
+            queue.append(i)
+    return links
+
+
+def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the members (hub, id) of each group as all their links would, on the full sets (id, shingles).
+
+    A group of more than ``GROUP`` shingles is cut into blocks by a hash of the id, and each pair of blocks is a task of
+    its own; so no task grows with a group, and only links that join something are given out.
+    """
+    sized = members.join(sets.select("id", F.size("shingles").cast("long").alias("n")), "id")
+    blocks = written(sized.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", "id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, sets = rows["id"].to_numpy(), rows["shingles"].tolist()
+        links = spanning_links(np.array([len(s) for s in sets]), np.concatenate(sets), percent) if len(ids) > 1 else []
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+
+    return dealt.join(sets, "id").groupBy("hub", "low", "high").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -176,12 +217,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     2. Each leader's signature gives its keys (``chunk_keys``); two signatures within the distance share a key. Keys that
        one leader alone holds are dropped, then leaders without a partner within the distance in any of their buckets:
        a semi join that stops at the first partner.
-    3. For the others the full sets are built, once. ``u`` counts the shingles that no other of them holds: whatever
-       the partner, the intersection is at most n - u. Pairs that this bound refutes are never emitted.
-    4. In each bucket all are compared on the full sets with the leader that has the fewest shingles alone: a star, not
-       pairs. The links give a first labelling.
-    5. Pairs of a bucket within the distance that have different labels and that the bound does not refute are compared
-       too. So each pair within the distance is confirmed, refuted, or known to be in one group.
+    3. For the others the full sets are built, once. A bucket's group is named by its smallest leader, so the buckets of a
+       family of copies fall into a few groups instead of one for each key.
+    4. In each group, cut into blocks where it is large, each set is compared on full sets with all that are not yet
+       joined with it (``spanning_links``). So each pair within the distance is confirmed, refuted, or known to be in one
+       component, and no pairs of a group are emitted, only links that join something.
 
     Null text, a text without words: empty set, linked with nothing, kept. A null doc_id groups with the other texts of
     its class but leads none, unless all its class has none; such a class is linked with no other. Rows that repeat
@@ -204,26 +244,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = paired.select(F.col("id").alias("doc_id")).distinct()
     sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), k)
     sets = written(sets.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("shingles", "h1").alias("shingles")))
-    alone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
-    alone = written(alone.filter("holders = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u")))
-    paired = written(paired.join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long"))))
-
-    most = "least(x.n - x.u, y.n - y.u)"
-    bound = f"100 * {most} >= {percent} * (x.n + y.n - {most})"
-    hubs = written(paired.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("hub")).select("key", "hub.*"))
-    stars = hubs.alias("x").join(paired.select("key", "id", "n", "u").alias("y"), F.expr(f"x.key = y.key and x.id <> y.id and {bound}"))
-    stars = written(stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    links = written(confirmed(stars, sets, percent))
-    labels = components(links)
-    named = written(paired.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = written(named.join(mixed, "key", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.label < y.label and {bound} and {near}"))
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(confirmed(written(across.join(tested, ["a", "b"], "left_anti")), sets, percent))
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    hubs = paired.groupBy("key").agg(F.min("id").alias("hub"))
+    members = written(paired.select("key", "id").join(written(hubs), "key").select("hub", "id").distinct())
+    labels = components(written(confirmed(members, sets, percent)))
     grouped = (classes.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
                .filter("members > 1 or component_id <> id").select(*same, "component_id"))
     found = table.select("doc_id", *same).join(written(grouped), same, "left")
