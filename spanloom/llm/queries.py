@@ -54,3 +54,30 @@ def secrets(spark, d):
 def topk(spark, d):
     from spanloom.llm.topk import top_k
     return top_k(table(spark, d, "embeddings"))
+
+
+@query("op4_sharding")
+def sharding(spark, d):
+    from spanloom.llm.sharding import sharded
+    return sharded(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op6_quality")
+def quality(spark, d):
+    from spanloom.llm.quality import scored
+    return scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op10_html")
+def html(spark, d):
+    from spanloom.llm.html import extracted
+    return extracted(table(spark, d, "pages").select("page_id", "url", "html"))
+
+
+@query("op1_licenses")
+def licenses(spark, d):
+    """Documents as files: source is the root, hundreds and tens of thousands of doc_id are directories."""
+    from spanloom.llm.licenses import scan
+    n = F.coalesce(F.col("doc_id"), F.lit(-1))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 10000).cast("string"), F.floor(n / 100).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
+    return scan(table(spark, d, "documents").select("doc_id", path.alias("path"), "text"))
