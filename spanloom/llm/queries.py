@@ -81,3 +81,9 @@ def licenses(spark, d):
     n = F.coalesce(F.col("doc_id"), F.lit(-1))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 10000).cast("string"), F.floor(n / 100).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
     return scan(table(spark, d, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, d)
