@@ -15,7 +15,7 @@ from spanloom.llm.shared import small_batches, written
 #: Pieces that one task packs together. Cells are what is packed at once; their number follows the data.
 CELL = 6000
 #: Words that a Python worker remembers with their ids before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: A word of its own in the vocabulary, put between words that are encoded together.
 BETWEEN = "|"
 END = 0
@@ -29,22 +29,47 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def _learn(tokenizer, cache: dict, words: list[str]) -> None:
-    """Put the ids of ``words`` into ``cache``, as the bytes of 32-bit integers."""
+def _encode(tokenizer, words: list[str]):
+    """(word, ids as the bytes of 32-bit integers) of words without ``BETWEEN``: many are encoded as one text."""
     mark = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-    plain = [w for w in words if BETWEEN not in w]
-    for at in range(0, len(plain), 2000):
-        some = plain[at: at + 2000]
-        ids = np.array(tokenizer.encode(f" {BETWEEN} ".join(some), add_special_tokens=False).ids, dtype="<u4")
+    groups = [words[at: at + 2000] for at in range(0, len(words), 2000)]
+    for some, got in zip(groups, tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(got.ids, dtype="<u4")
         ends = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
-        if len(ends) != len(some) - 1:
-            cache.update((w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
-            continue
-        raw, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-        cache.update((w, raw[a:b]) for w, a, b in zip(some, starts, [*(4 * ends).tolist(), len(raw)]))
+        if len(ends) == len(some) - 1:
+            raw = ids.tobytes()
+            yield from ((w, raw[a:b]) for w, a, b in zip(some, [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)]))
+        else:
+            yield from _alone(tokenizer, some)
+
+
+def _alone(tokenizer, words):
+    return ((w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
+
+
+def _learn(tokenizer, cache: dict, words: list[str]) -> None:
+    """Put the ids of ``words`` into ``cache``.
+
+    The tokenizer lower-cases, and parts runs of letters from runs of marks. So a word of letters below U+0100, where case
+    needs no context and nothing is composed, has the ids of its lower-case letters and then of the stops and commas after them.
+    """
+    parted, wanted, odd = [], set(), []
     for w in words:
         if BETWEEN in w:
-            cache[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            odd.append(w)
+            continue
+        core = w.rstrip(".,")
+        if (w.isascii() or max(w) < "\u0100") and core.isalpha():
+            core, tail = core.lower(), w[len(core):]
+            if core != w:
+                parted.append((w, core, tail))
+            wanted.add(core)
+            wanted.add(tail)
+        else:
+            wanted.add(w)
+    cache.update(_encode(tokenizer, [w for w in wanted if w not in cache]))
+    cache.update((w, cache[core] + cache[tail]) for w, core, tail in parted)
+    cache.update(_alone(tokenizer, odd))
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
@@ -143,8 +168,9 @@ class _Search:
         return False
 
     def moved(self, source, own, open_bins):
+        """A whole item to the fullest bin it fits, if that raises the squared fill."""
         for s in own:
-            fits = open_bins & (self.room >= self.size[s])
+            fits = open_bins & (self.room >= self.size[s]) & (self.size[s] > self.room - self.room[source])
             fits[source] = False
             if fits.any():
                 at = np.flatnonzero(fits)
@@ -157,7 +183,7 @@ class _Search:
         other = open_bins[self.bin] & (self.bin != source)
         capacity = self.size + self.room[self.bin]
         for s in own:
-            fits = np.flatnonzero(other & (self.size < self.size[s]) & (capacity >= self.size[s]))
+            fits = np.flatnonzero(other & (self.size < self.size[s]) & (capacity >= self.size[s]) & (self.size[s] - self.size > self.room[self.bin] - self.room[source]))
             if len(fits):
                 t = fits[np.argmin(self.size[fits])]
                 to = self.bin[t]
@@ -173,7 +199,7 @@ class _Search:
         for i in range(min(len(own), 12)):
             for j in range(i + 1, min(len(own), 12)):
                 both = self.size[own[i]] + self.size[own[j]]
-                fits = np.flatnonzero(other & (self.size < both) & (capacity >= both))
+                fits = np.flatnonzero(other & (self.size < both) & (capacity >= both) & (both - self.size > self.room[self.bin] - self.room[source]))
                 if len(fits):
                     t = fits[np.argmin(self.size[fits])]
                     to = self.bin[t]
@@ -188,7 +214,7 @@ class _Search:
         together = self.size[a] + self.size[b]
         room = together + self.room[self.bin[a]]
         for s in own:
-            fits = np.flatnonzero((together < self.size[s]) & (room >= self.size[s]))
+            fits = np.flatnonzero((together < self.size[s]) & (room >= self.size[s]) & (self.size[s] - together > self.room[self.bin[a]] - self.room[source]))
             if len(fits):
                 x = fits[np.argmin(together[fits])]
                 to = self.bin[a[x]]
@@ -213,11 +239,14 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], most: int, patience
         if len(candidates) < 2:
             break
         source = max(candidates, key=lambda i: (search.room[i], i))
-        tried.add(source)
-        if search.empty(source, open_bins):
-            open_bins[source], failed = False, 0
-        else:
-            failed += 1
+        before = (search.room ** 2).sum()
+        emptied = search.empty(source, open_bins)
+        if emptied:
+            open_bins[source] = False
+        # what has changed may let others be emptied that could not be before
+        changed = emptied or (search.room ** 2).sum() != before
+        tried = {source} if changed and not emptied else set() if emptied else tried | {source}
+        failed = 0 if emptied else failed + 1
     kept = [[] for _ in loose]
     for item, at in zip(search.items.tolist(), search.bin.tolist()):
         kept[at].append(item)
