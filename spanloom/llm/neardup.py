@@ -21,6 +21,8 @@ CHUNK_ERRORS = 1
 MARGIN = 5.0
 #: Shingles of all sets that one task compares, or of each of two blocks that it compares.
 GROUP = 1 << 20
+#: Signatures whose keys one task makes.
+KEYED = 5000
 #: Bytes of text that are looked at together.
 SLICE = 2 << 20
 
@@ -235,7 +237,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     same = ["h1", "h2", "n_shingles"]
     classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")))
     leaders = full.join(classes.filter("id is not null").select(F.col("id").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    leaders = written(leaders.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "signature"), "h1").alias("x")).select("id", "x.*"))
+    leaders = (leaders.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "signature"), "h1").alias("x")).select("id", "x.*"))
+    # the keys are many times the rows, so tasks are cut by rows, not by the bytes of the signatures
+    leaders = written(leaders.repartition(max(1, classes.count() // KEYED), "id"))
     keys = key_rows(leaders, percent)
     shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"))
     rows = written(keys.join(shared, "key").join(packed(leaders), "id"))
