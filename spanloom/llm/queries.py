@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.llm import oracles
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -25,13 +27,13 @@ def language(spark, d):
     return identify(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "known")
 
 
-@query("op8_neardup")
+@query("op8_neardup", oracles.OP8)
 def neardup(spark, d):
     from spanloom.llm.neardup import near_duplicates
     return near_duplicates(table(spark, d, "documents"), k=3, percent=85)
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", oracles.OP2)
 def decontamination(spark, d):
     from spanloom.llm.decontaminate import contained_items
     return contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -44,13 +46,13 @@ def packing(spark, d):
     return pack_documents(table(spark, d, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
-@query("op5_secrets")
+@query("op5_secrets", oracles.OP5)
 def secrets(spark, d):
     from spanloom.llm.secrets import digest_columns, scan
     return digest_columns(scan(table(spark, d, "documents").select("doc_id", "text", "source"), keep_text=False))
 
 
-@query("op9_topk")
+@query("op9_topk", oracles.OP9)
 def topk(spark, d):
     from spanloom.llm.topk import top_k
     return top_k(table(spark, d, "embeddings"))
