@@ -6,7 +6,9 @@ module wraps those stretches in groups of their own.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 
 @dataclass(frozen=True)
@@ -26,10 +28,13 @@ def java_flags(flags: str = "") -> str:
 def to_java(pattern: str, flags: str = "", wanted=("name", "name2")) -> JavaPattern:
     """Translate ``pattern``. ``wanted`` holds group names, or the number of one group.
 
-    Every other capturing group becomes non-capturing. A wanted group may stand inside
+    Group loops become possessive where that changes no match (see ``_possessive``):
+    Java recurses once per repetition of any other group loop, and a long text would
+    overflow the stack. Every other capturing group becomes non-capturing. A wanted group may stand inside
     groups that are not repeated. Where several are wanted they exclude one another
     (alternatives), so their texts can be concatenated without loss.
     """
+    pattern = _possessive(pattern)
     out, levels, number = [], [{"from": 0, "wrapped": False}], 0
     i, in_class = 0, False
     while i < len(pattern):
@@ -106,3 +111,74 @@ def _wrap_before(out, levels):
         for deeper in levels[depth + 1:]:
             deeper["open"] += 2
             deeper["from"] += 2
+
+
+_LOOP = re.compile(r"[*+]|\{\d+,\}")
+
+
+def _scan(pattern):
+    """(position, token) of a pattern: escapes, classes, group openers and single characters."""
+    i = 0
+    while i < len(pattern):
+        j = i + 1
+        if pattern[i] == "\\":
+            j = i + 2
+        elif pattern[i] == "[":
+            j = i + 2 + pattern.startswith("[^", i)
+            while pattern[j] != "]":
+                j += 1 + (pattern[j] == "\\")
+            j += 1
+        elif pattern.startswith("(?P<", i):
+            j = pattern.index(">", i) + 1
+        elif pattern.startswith("(?<", i):
+            j = i + 4
+        elif pattern.startswith("(?", i):
+            j = i + 3
+        yield i, pattern[i:j]
+        i = j
+
+
+@lru_cache(maxsize=4096)
+def _meets(atom: str, others: tuple) -> bool:
+    """Whether a character of the basic plane fits ``atom`` and one of ``others``, in either case."""
+    one = re.compile(atom, re.S | re.I)
+    several = [re.compile(o, re.S | re.I) for o in others]
+    return any(one.fullmatch(c) and any(o.fullmatch(c) for o in several) for c in map(chr, range(0xD800)))
+
+
+def _possessive(pattern: str) -> str:
+    """Mark group loops that never need to give anything back.
+
+    That is so where the pattern, or one of its top alternatives, ends after the loop, and
+    where the next thing after it is one character that the loop's body cannot hold.
+    """
+    tokens = list(_scan(pattern))
+    stack, marks = [], []
+    for n, (i, token) in enumerate(tokens):
+        if token.startswith("("):
+            stack.append(n)
+        elif token == ")":
+            opened = stack.pop()
+            loop = _LOOP.match(pattern, i + 1)
+            if not loop or pattern[loop.end():loop.end() + 1] in ("?", "+"):
+                continue
+            rest = [t for t in tokens if t[0] >= loop.end()]
+            depth = len(stack)
+            while rest and rest[0][1] == ")" and depth and not re.match(r"[*+?{]", pattern[rest[0][0] + 1:]):
+                rest, depth = rest[1:], depth - 1
+            at_end = not depth and (not rest or rest[0][1] == "|")
+            if not at_end:
+                follows = rest[0][1] if rest else ""
+                after = pattern[rest[0][0] + len(follows):][:1] if rest else ""
+                body = tuple(t for _, t in tokens[opened + 1:n] if _one_character(t))
+                plain = all(_one_character(t) or t in "()|?*+" or t.startswith("(?:") for _, t in tokens[opened + 1:n])
+                if not follows or not _one_character(follows) or after in ("?", "*", "{") or not plain or _meets(follows, body):
+                    continue
+            marks.append(loop.end())
+    for at in reversed(marks):
+        pattern = pattern[:at] + "+" + pattern[at:]
+    return pattern
+
+
+def _one_character(token: str) -> bool:
+    return token[0] == "[" or (token[0] == "\\" and token[1] not in "bBAZGzk0123456789") or (len(token) == 1 and token not in "()|?*+{}^$")

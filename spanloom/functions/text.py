@@ -21,8 +21,8 @@ pigs chickens humans people
 """.split()
 PARAM_ECHO = r"\b\d(?:\.\d)?\s*(?:/\s*3|out\s+of\s+3)\b"
 CORPUS_WORD = r"[a-z][a-z'’-]*"
-LABEL_WORD = r"[^\W_]+(?:'[^\W_]+)*"
-PROSE_WORD = r"[^\W_]+(?:['’][^\W_]+)*"
+LABEL_WORD = r"[^\W_]+(?:'[^\W_]+)*+"
+PROSE_WORD = r"[^\W_]+(?:['’][^\W_]+)*+"
 STEMS = ("keeper tender steward gardener caretaker custodian warden guardian shepherd curator "
          "maintainer cultivator").split()
 STATUSES = ("ok", "broken", "refusal", "off-topic")

@@ -38,13 +38,6 @@ def _strings(values):
     return F.split(F.lit("\n".join(values)), "\n") if values else F.lit(None).cast("array<string>")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of few files one partition per core; a scan with enough is left alone.
-    For plain scans only: asking a plan with shuffles for its partitions would run them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame | None = None,
                  key: str = "text_id", text: str = "text") -> DataFrame:
     """Mentions of every pattern.
@@ -75,7 +68,8 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
             cut = frame_named(source, ready, flags)
         wanted, lower = needs(ps[0])
         if wanted:
-            cut = F.when(any_of((F.col("low") if lower else source).contains(w) for w in wanted), cut)
+            held = F.translate("low", "ſ", "s") if lower else source  # a pattern without case takes the long s as s
+            cut = F.when(any_of(held.contains(w) for w in wanted), cut)
         pieces.append(F.struct(
             F.lit(n).alias("scan"), cut.alias("cut"), F.lit(yields).alias("yields"),
             _strings(stoplists.get(stop) if stop else ()).alias("stop"),

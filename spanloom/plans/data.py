@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.spans import find_spans
 from spanloom.functions.text import SPECIES_WORDS
-from spanloom.operators.patterns import run_patterns, spread
+from spanloom.operators.patterns import run_patterns
 from spanloom.operators.registry import Pattern
-from spanloom.session import cut_lineage
 from spanloom.operators.tables import text_cov, text_facts, text_names
 
 QUERIES, ORACLES = {}, {}
@@ -40,7 +39,7 @@ TEXTS = ("texts AS (SELECT doc_id AS text_id, lang || '/' || source AS model, la
 
 
 def texts(spark, d):
-    return spread(table(spark, d, "documents"), "doc_id").select(
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("text_id"), F.concat_ws("/", "lang", "source").alias("model"), "lang",
         F.col("source").alias("place_id"), "text")
 
@@ -154,7 +153,7 @@ WITH_NAMES = f"{WITH_MENTIONS}, {PLACES}, {NAMES}"
 
 def cov(spark, d):
     m = mentions(spark, d)
-    m = cut_lineage(m)
+    m = m.persist()  # read by several aggregates
     return text_cov(facts(spark, d), m, text_names(m, precision(spark), places(spark, d), texts(spark, d)))
 
 
@@ -194,7 +193,7 @@ def page_texts(spark, d):
     html = F.regexp_replace("html", r"(?s)^.*?<article>", "")
     html = F.regexp_replace(html, r"(?s)</article>.*$", "")
     md = F.regexp_replace(F.regexp_replace(html, r"<h1>", "\n# "), r"</h1>|</p>|<p>|<br>", "\n")
-    return spread(table(spark, d, "pages"), "page_id").select(F.col("page_id").alias("text_id"), F.regexp_replace(
+    return table(spark, d, "pages").select(F.col("page_id").alias("text_id"), F.regexp_replace(
         F.regexp_replace(md, r"</?b>", "**"), r"<[^>]*>", "").alias("text"))
 
 

@@ -7,7 +7,6 @@ from spanloom.functions.text import era, lab, pct, words
 from spanloom.operators import evaluate as E, sampling as G, tables as T
 from spanloom.operators.patterns import run_patterns
 from spanloom.operators.registry import registry_history
-from spanloom.session import cut_lineage
 from spanloom.plans.data import (DATES, ERA, SAMPLE, WITH_BEINGS, WITH_COV, WITH_FACTS, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, beings, cov,
                                  dates, facts, labels, mentions, names, page_texts, places, precision, query, table, texts)
 
@@ -77,7 +76,7 @@ NAMES_SQL = f"""{WITH_COV}, nm AS (SELECT n.*, c.model, (n.in_title > 0 AND n.bo
 
 
 def strings(spark, d):
-    m = cut_lineage(mentions(spark, d))
+    m = mentions(spark, d).persist()
     n = T.text_names(m, precision(spark), places(spark, d), texts(spark, d))
     return m, n, T.names_table(n, T.text_cov(facts(spark, d), m, n))
 
@@ -141,7 +140,7 @@ def f16(spark, d):
 
 @query("e23_statement_list", f"{WITH_COV} SELECT m.text_id, m.start, c.model, c.best, CASE WHEN length(m.surface) < 120 THEN m.surface ELSE left(m.surface, 117) || '…' END AS sentence FROM mentions m JOIN cov c USING (text_id) WHERE m.pattern_id = 'anti_name' AND c.flag = ''")
 def e23(spark, d):
-    m = cut_lineage(mentions(spark, d))
+    m = mentions(spark, d).persist()
     c = T.text_cov(facts(spark, d), m, T.text_names(m, precision(spark)))
     return T.statement_list(m, c, "anti_name", 120).withColumn("start", F.col("start").cast("long"))
 
@@ -180,7 +179,7 @@ def active(spark):
     count(*) FILTER (NOT alive AND own) AS n_gone, count(*) FILTER (NOT alive AND own AND verdict IN ('x', 'g')) AS n_gone_not,
     CASE WHEN n_read >= 20 THEN round((n_being + n_place + n_thing + n_statement) / n_read, 3) END AS precision FROM al GROUP BY 1""")
 def f3(spark, d):
-    m = cut_lineage(mentions(spark, d))
+    m = mentions(spark, d).persist()
     return E.pattern_eval(verdicts(spark, d, m), m.filter("yields = 'name'"), heirs(spark), active(spark))
 
 

@@ -1,17 +1,11 @@
 """The session the library is meant to run in."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app="spanloom", master=None, conf=None) -> SparkSession:
-    """A session with adaptive execution on, UTC time and a deep task stack.
-
-    The stack size matters: java.util.regex recurses once per repetition of a
-    group, so a long hyphen chain in one text needs more than the default 1 MB.
-    """
+    """A session with adaptive execution on and UTC time; the library runs in a stock session as well."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -21,8 +15,6 @@ def build_session(app="spanloom", master=None, conf=None) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.extraJavaOptions": "-Xss16m",
-        "spark.executor.extraJavaOptions": "-Xss16m",
         # no call-site capture per expression: plans here have thousands of them
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
@@ -37,12 +29,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that a lost executor
     does not send the job back to the text scan.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (a test on one machine) gets a temporary one.
+    The folder is the one set on the context or named in ``spark.checkpoint.dir``. There
+    is no default: executors cannot share a folder of one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named:
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)

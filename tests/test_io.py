@@ -81,6 +81,11 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
     assert {r[0]: r[3] for r in want} == {1: "one", 2: "two", 3: None}
 
 
-def test_cut_lineage(spark):
+def test_cut_lineage(spark, tmp_path):
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(ValueError):
+            cut_lineage(spark.range(5))
+        spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
     df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).first()[0] == 20

@@ -1,11 +1,15 @@
-"""The registry against Python's own regex engine, pattern by pattern."""
+"""The registry: golden hits of every pattern, and its regexes as Java and as Python run them."""
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from golden_hits import COUNT, HITS
 from spanloom.functions.regex import to_java
+from spanloom.functions.spans import find_spans
+from spanloom.functions.text import words
 from spanloom.operators.patterns import doc_freq, run_patterns
-from spanloom.operators.registry import MASK_REGEX, NEEDS, NEEDS_LOWER, REGISTRY, STOPLISTS, TITLE_REGEX, needs, tuned
+from spanloom.operators.registry import NEEDS, NEEDS_LOWER, REGISTRY, STOPLISTS, needs, tuned
 
 # Invented texts, so that every pattern catches something.
 TEXTS = {
@@ -34,97 +38,86 @@ TEXTS = {
 }
 
 
-def tidy(surface):
-    edge = " \t\r\n*_\"'`“”‘’:;,.—–-()[]"
-    s = " ".join(surface.replace("’", "'").replace("‘", "'").split()) if surface.split() else ""
-    s = re.sub(r"^(?:the|a|an)\s+", "", s.strip(edge), flags=re.I).strip(edge)
-    return s[:-2] if s.endswith("'s") else s
+@pytest.fixture(scope="module")
+def frame(spark):
+    return spark.createDataFrame(list(TEXTS.items()), "text_id long, text string")
 
 
-def times(text, phrase, letters):
-    return len(re.findall("(?<![%s])%s(?![%s])" % (letters, re.escape(phrase), letters), text))
+def hits(df):
+    return {tuple(r) for r in df.select("text_id", "pattern_id", "start", "end", "surface", "norm").collect()}
 
 
-def brute(texts, freq):
-    """All hits by a loop over texts and patterns."""
-    out = set()
-    for tid, text in texts.items():
-        plain = text.replace("’", "'")
-        titles = set()
-        for rx in TITLE_REGEX.values():
-            for m in re.finditer(rx, text, re.M):
-                name = "name" if m["name"] is not None else "name2"
-                if tidy(m[name]):
-                    titles.add((m.start(name), tidy(m[name])))
-        for p in REGISTRY:
-            flags = (re.M if "m" in p.flags else 0) | (re.I if "i" in p.flags else 0)
-            source = re.sub(MASK_REGEX[p.mask], lambda m: " " * len(m[0]), text, flags=re.M) if p.mask else text
-            seen = set()
-            for m in re.finditer(p.regex, source, flags):
-                if p.yields == "statement":
-                    s = max((text.rfind(c, 0, m.start()) for c in ".!?\n")) + 1
-                    stop = re.compile(r"[.!?\n]").search(text, m.end())
-                    e = len(text) if not stop else stop.start() + (stop[0] != "\n")
-                    s += len(text[s:e]) - len(text[s:e].lstrip(" \t"))
-                    if s not in seen and text[s:e].strip():
-                        out.add((tid, p.id, s, e, text[s:e].strip(), ""))
-                    seen.add(s)
-                    continue
-                name = "name" if m["name"] is not None else "name2"
-                c = tidy(m[name])
-                n = c.lower()
-                if not n:
-                    continue
-                if p.yields == "name":
-                    if n in STOPLISTS.get(p.stop, ()) or (p.reject and re.search(p.reject, c)) or not re.search("[a-z]", n):
-                        continue
-                    if p.max_words and len(n.split()) > p.max_words:
-                        continue
-                    total = times(plain.lower(), n, "a-z")
-                    if p.title:
-                        mine = [x for x in titles if x[1].lower() == n]
-                        cased = times(plain, c, "A-Za-z") - sum(x[1] == c for x in mine)
-                        cell = "cased" if cased >= 1 else "lower" if total - len(mine) >= 1 else "only"
-                        if cell != p.body:
-                            continue
-                    if p.max_df and " " not in n and freq.get(n, 0) > p.max_df:
-                        continue
-                    if p.min_occ and total < p.min_occ:
-                        continue
-                out.add((tid, p.id, m.start(name), m.end(name), m[name], n))
-    return out
+def test_every_pattern_gives_its_hits(spark, frame):
+    rare = spark.createDataFrame([("none", 1, 0.5)], "word string, n_texts long, df double")
+    got = hits(run_patterns(frame.filter("text_id < 7"), df=rare))
+    assert {(t, p, s, e, surface, n) for p, t, s, e, surface, n in HITS} <= got and len(got) == COUNT
+    assert {p for _, p, *_ in got} == {p.id for p in REGISTRY}
+    stops = {p.id: set(STOPLISTS.get(p.stop, ())) for p in REGISTRY}
+    assert not any(n in stops[p] for _, p, *_, n in got)
 
 
-@pytest.fixture(scope="module")
-def frame(spark):
-    return spark.createDataFrame(list(TEXTS.items()), "text_id long, text string")
+def spaced():
+    """The texts, and the same with every blank doubled or a tab."""
+    for blank in (" ", "  ", "\t"):
+        for text in TEXTS.values():
+            yield text[:4000].replace(" ", blank)
 
 
-def hits(df):
-    return {tuple(r) for r in df.select("text_id", "pattern_id", "start", "end", "surface", "norm").collect()}
+def test_engines_agree(spark):
+    """Each regex as Java runs it gives the matches of Python's engine."""
+    texts = list(dict.fromkeys(spaced()))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    names = [p for p in {p.regex: p for p in REGISTRY}.values()]
+    got = df.select("i", *[find_spans("text", tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags).alias(p.id) for p in names]).collect()
+    for row in got:
+        for p in names:
+            flags = (re.M if "m" in p.flags else 0) | (re.I if "i" in p.flags else 0)
+            group = lambda m: 0 if "(?P<name" not in p.regex else "name" if m["name"] is not None else "name2"  # noqa: E731, B023
+            want = [m.span(group(m)) for m in re.finditer(p.regex, texts[row.i], flags)]
+            assert [(s.start, s.end) for s in row[p.id]] == want, (p.id, texts[row.i])
+
+
+def test_blanks_of_any_kind_are_found(spark):
+    texts = [(1, "It is\tnot a creature but a process."), (2, "It has no  word for itself."), (3, "They are\tthe  makers."), (4, "Those\twho never left the stair watch.")]
+    got = hits(run_patterns(spark.createDataFrame(texts, "text_id long, text string")))
+    assert {(1, "being_is_process"), (2, "anti_name"), (3, "pronoun_is_the"), (4, "those_who_lower")} <= {(t, p) for t, p, *_ in got}
 
 
-def test_every_pattern_matches_python(spark, frame):
+def test_long_chains_do_not_overflow(spark):
+    """In a session without a stack of its own size, a group loop may repeat without end."""
+    n = 1_000_000
+    chains = ["the " + "ab-" * n + "folk went.", "The " + "Ab-" * n + "Folk of " + "Bo " * n, "**" + "ab-" * n + "ab** x'" + "a'" * n, "There are " + "ab-" * n + "ab, " + "the " + "ab-" * n + "makers."]
+    df = spark.createDataFrame(list(enumerate(chains)), "text_id long, text string")
     rare = spark.createDataFrame([("none", 1, 0.5)], "word string, n_texts long, df double")
-    got, want = hits(run_patterns(frame, df=rare)), brute(TEXTS, {})
-    assert got == want
-    caught = {p for _, p, *_ in got}
-    assert caught == {p.id for p in REGISTRY}, {p.id for p in REGISTRY} - caught
+    quick = [p for p in REGISTRY if "-" in p.regex or "«" in p.regex]
+    assert "-Xss" not in spark.sparkContext.getConf().get("spark.driver.extraJavaOptions", "")
+    found = df.select(*[F.size(find_spans("text", tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags)).alias(p.id) for p in quick]).collect()
+    assert sum(r["the_hyphen_agent"] for r in found) == 2 and sum(r["the_cap"] for r in found) == 1
+    assert df.select(F.size(words("text")).alias("n")).agg(F.sum("n")).first()[0] > n
+    assert df.select(F.size(find_spans("text", "[A-Z][A-Za-z]*(?: [A-Za-z]+)*")).alias("n")).agg(F.sum("n")).first()[0] >= 2
+    assert run_patterns(df.filter("text_id = 0"), [p for p in REGISTRY if p.id == "the_hyphen_agent"], df=rare).count() == 1
 
 
-def test_rarity_and_real_texts(spark, small):
+def test_loops_become_possessive_only_where_nothing_changes():
+    for pattern, want in [("a(?:-b)*", "a(?:-b)*+"), ("a(?:-b)+c", "a(?:-b)++c"), ("a(?:-b)*b", "a(?:-b)*b"), ("a(?:-b)*-c", "a(?:-b)*-c"), ("(?:a)*?b", "(?:a)*?b"), ("(?P<name>x(?:-y)+)[.]", "((?:x)(?:-y)++)[.]"), ("(?:-[a-z]+)*A", "(?:-[a-z]+)*A")]:
+        assert to_java(pattern, wanted=()).text.endswith(want.replace("((?:x)", "(?:x") if "name" in pattern else want), pattern
+
+
+def test_rarity_on_real_texts(spark, small):
     docs = spark.read.parquet(small + "/documents.parquet").select("doc_id", "text")
-    texts = {r.doc_id: r.text for r in docs.collect()}
     freq = {r.word: r.df for r in doc_freq(docs).collect()}
+    limits = {p.id: p.max_df for p in REGISTRY}
     got = hits(run_patterns(docs, key="doc_id").withColumnRenamed("doc_id", "text_id"))
-    assert got == brute(texts, freq)
+    assert got and all(" " in n or freq.get(n, 0) <= limits[p] for _, p, _, _, _, n in got if limits[p])
 
 
 def test_rare_word_is_dropped(spark, frame):
     common = spark.createDataFrame([("grazers", 9, 0.2), ("lumigroves", 9, 0.001)], "word string, n_texts long, df double")
-    got = hits(run_patterns(frame, df=common))
-    assert got == brute(TEXTS, {"grazers": 0.2, "lumigroves": 0.001})
-    assert not any(p == "the_agent_recurring" and n == "grazers" for _, p, *_, n in got)
+    rare = spark.createDataFrame([("none", 1, 0.5)], "word string, n_texts long, df double")
+    got, every = hits(run_patterns(frame, df=common)), hits(run_patterns(frame, df=rare))
+    limits = {p.id: p.max_df or 1 for p in REGISTRY}
+    assert got == {h for h in every if {"grazers": 0.2, "lumigroves": 0.001}.get(h[5], 0) <= limits[h[1]]}
+    assert any(h[1] == "the_agent_recurring" and h[5] == "grazers" for h in every - got)
 
 
 def test_surface_is_the_texts_own_stretch(frame, spark):
@@ -136,7 +129,7 @@ def test_needs_are_necessary():
     for p in REGISTRY:
         wanted, lower = needs(p)
         flags = (re.M if "m" in p.flags else 0) | (re.I if "i" in p.flags else 0)
-        for text in TEXTS.values():
+        for text in spaced():
             for m in re.finditer(p.regex, text, flags):
                 found = text.lower() if lower else text
                 assert not wanted or any(w in found for w in wanted), p.id
@@ -146,7 +139,7 @@ def test_needs_are_necessary():
 def test_tuned_patterns_are_equal():
     for p in REGISTRY:
         flags = (re.M if "m" in p.flags else 0) | (re.I if "i" in p.flags else 0)
-        for text in TEXTS.values():
+        for text in spaced():
             a = [m.span() for m in re.finditer(p.regex, text, flags)]
             assert a == [m.span() for m in re.finditer(tuned(p.regex), text, flags)], p.id
 
