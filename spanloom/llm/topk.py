@@ -12,7 +12,7 @@ from spanloom.llm.shared import small_batches, written
 #: Distinct vectors of one data block and of one query block; blocks are what one tree holds.
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Points below which a node is not divided further.
-LEAF = 24
+LEAF = 192
 
 
 class CoverTree:
@@ -55,38 +55,56 @@ def bound(q: CoverTree, a: int, d: CoverTree, b: int) -> float:
     return float(x @ y + q.radius[a] * np.sqrt(y @ y) + d.radius[b] * np.sqrt(x @ x) + q.radius[a] * d.radius[b])
 
 
-def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int, worst: np.ndarray):
+def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int, worst: np.ndarray) -> list[list[tuple[int, int]]]:
     """Each query's k best (score, id) among the data; only those that can enter the best, ties to the smaller id.
 
     ``worst`` holds scores below which a query needs nothing. Both trees are walked together, the most promising pair
     first: a pair of nodes is dropped if its bound is below the worst kth score of the query node's points.
+
+    The data's entries, one for each id, are numbered in order of id, so ``score * entries - number`` orders by score
+    and then by id in one number. Where that could pass 2 ** 53, Python's integers take the place of doubles.
     """
+    owner = np.repeat(np.arange(len(data)), [len(x) for x in ids])
+    flat = np.concatenate(ids)
+    order = np.argsort(flat, kind="stable")
+    number = np.empty(len(flat), dtype=np.int64)
+    number[order] = np.arange(len(flat))
+    at = np.split(number, np.cumsum([len(x) for x in ids])[:-1])
+    widest = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
+    exact = np.float64 if (widest + 1) * len(flat) < 2 ** 53 else object
+    qs, ds = queries.astype(exact), data.astype(exact)
     qt, dt = CoverTree(queries), CoverTree(data)
     kth = worst.astype(np.float64).copy()
-    best = [[] for _ in range(len(queries))]
-    pending = [(0, 0)]
+    best = np.full((len(queries), k), -np.inf)
+    best = best.astype(object) if exact is object else best
+    n, pending = len(flat), [(0, 0)]
     while pending:
         a, b = pending.pop()
         own = qt.members[a]
-        if bound(qt, a, dt, b) + 1e-6 < kth[own].min():
+        if bound(qt, a, dt, b) * (1 + 1e-9) + 1e-6 < kth[own].min():
             continue
         ca, cb = qt.children[a], dt.children[b]
-        if not ca and not cb:
-            scores = queries[own] @ data[dt.members[b]].T
-            for row, q in enumerate(own):
-                good = np.flatnonzero(scores[row] >= kth[q])
-                if len(good):
-                    found = [(-int(scores[row, g]), int(i)) for g in good for i in ids[dt.members[b][g]]]
-                    best[q] = sorted(best[q] + found)[:k]
-                    if len(best[q]) == k:
-                        kth[q] = max(kth[q], -best[q][-1][0])
+        if ca or cb:
+            pairs = [(c, b) for c in ca] if ca and (not cb or qt.radius[a] >= dt.radius[b]) else [(a, c) for c in cb]
+            pending += sorted(pairs, key=lambda p: bound(qt, p[0], dt, p[1]))
+            continue
+        scores = qs[own] @ ds[dt.members[b]].T
+        rows = np.flatnonzero(scores.max(axis=1) >= kth[own])
+        if not len(rows):
             continue
-        if ca and (not cb or qt.radius[a] >= dt.radius[b]):
-            pairs = [(c, b) for c in ca]
-        else:
-            pairs = [(a, c) for c in cb]
-        pending += sorted(pairs, key=lambda p: bound(qt, p[0], dt, p[1]))
-    return best
+        entries = [at[m] for m in dt.members[b]]
+        keys = np.repeat(scores[rows], [len(x) for x in entries], axis=1) * n - np.concatenate(entries).astype(exact)
+        both = np.concatenate([best[own[rows]], keys], axis=1)
+        both = -np.sort(-both, axis=1)[:, :k] if exact is object else -np.partition(-both, k - 1, axis=1)[:, :k]
+        best[own[rows]] = both
+        least = both.min(axis=1)
+        kth[own[rows]] = np.maximum(kth[own[rows]], [-np.inf if x == -np.inf else float(-(-int(x) // n)) for x in least])
+    out = []
+    for row in best:
+        whole = sorted((int(x) for x in row if x != -np.inf), reverse=True)
+        scores = [-(-x // n) for x in whole]
+        out.append([(-s, int(flat[order[s * n - x]])) for s, x in zip(scores, whole)])
+    return out
 
 
 def quantised(vectors: DataFrame, column: str, scale: int) -> DataFrame:
