@@ -15,7 +15,7 @@ from spanloom.llm.shared import small_batches, written
 #: Pieces that one task packs together. Cells are what is packed at once; their number follows the data.
 CELL = 6000
 #: Words that a Python worker remembers with their ids before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 #: A word of its own in the vocabulary, put between words that are encoded together.
 BETWEEN = "|"
 END = 0
@@ -23,68 +23,83 @@ END = 0
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, the ids that end a run of letters or marks, and the words remembered so far."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, ends, {}
 
 
-def _encode(tokenizer, words: list[str]):
-    """(word, ids as the bytes of 32-bit integers) of words without ``BETWEEN``: many are encoded as one text."""
+def _encode(tokenizer, ends, words: list[str], letters: bool):
+    """(word, ids as the bytes of 32-bit integers) of words without ``BETWEEN``: many are encoded as one text.
+
+    A word of letters ends where a run ends; between others stands a word of its own.
+    """
     mark = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
     groups = [words[at: at + 2000] for at in range(0, len(words), 2000)]
-    for some, got in zip(groups, tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False)):
+    joined = [(" " if letters else f" {BETWEEN} ").join(g) for g in groups]
+    for some, got in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
         ids = np.array(got.ids, dtype="<u4")
-        ends = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
-        if len(ends) == len(some) - 1:
-            raw = ids.tobytes()
-            yield from ((w, raw[a:b]) for w, a, b in zip(some, [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)]))
-        else:
+        cuts = np.flatnonzero(ends[ids]) + 1 if letters else np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
+        if len(cuts) != len(some) - (not letters):
             yield from _alone(tokenizer, some)
+            continue
+        raw, stops = ids.tobytes(), (4 * cuts).tolist()
+        starts = [0, *(stops[:-1] if letters else (x + 4 for x in stops))]
+        yield from ((w, raw[x:y]) for w, x, y in zip(some, starts, stops if letters else [*stops, len(raw)]))
 
 
 def _alone(tokenizer, words):
     return ((w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
 
 
-def _learn(tokenizer, cache: dict, words: list[str]) -> None:
+def _learn(tokenizer, ends, cache: dict, words: list[str]) -> None:
     """Put the ids of ``words`` into ``cache``.
 
     The tokenizer lower-cases, and parts runs of letters from runs of marks. So a word of letters below U+0100, where case
     needs no context and nothing is composed, has the ids of its lower-case letters and then of the stops and commas after them.
     """
-    parted, wanted, odd = [], set(), []
+    parted, cores, others, odd = [], set(), set(), []
     for w in words:
-        if BETWEEN in w:
-            odd.append(w)
-            continue
         core = w.rstrip(".,")
-        if (w.isascii() or max(w) < "\u0100") and core.isalpha():
-            core, tail = core.lower(), w[len(core):]
-            if core != w:
-                parted.append((w, core, tail))
-            wanted.add(core)
-            wanted.add(tail)
+        if core.isalpha() and (w.isascii() or max(w) < "\u0100"):
+            lower = core.lower()
+            if lower != w:
+                tail = w[len(core):]
+                parted.append((w, lower, tail))
+                others.add(tail)
+            cores.add(lower)
+        elif BETWEEN in w:
+            odd.append(w)
         else:
-            wanted.add(w)
-    cache.update(_encode(tokenizer, [w for w in wanted if w not in cache]))
+            others.add(w)
+    cache.update(_encode(tokenizer, ends, [w for w in cores if w not in cache], True))
+    cache.update(_encode(tokenizer, ends, [w for w in others if w not in cache], False))
     cache.update((w, cache[core] + cache[tail]) for w, core, tail in parted)
     cache.update(_alone(tokenizer, odd))
 
 
+def _words(text: str) -> list[str]:
+    """What stands between blanks. The four separators that only Python takes as blanks are left to the tokenizer."""
+    return text.replace("\n", " ").split(" ") if any(x in text for x in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each whole text as bytes of 32-bit integers, without an end mark.
 
     The tokenizer's pattern never crosses a blank and its normaliser never joins over one, so a text's ids are its
     words' ids in a row; words are encoded once and remembered.
     """
-    tokenizer, cache = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+    tokenizer, ends, cache = _tokenizer(path)
+    split = [_words(t) for t in texts]
     if len(cache) > REMEMBERED:
         cache.clear()
     new = list(set().union(*split).difference(cache))
     if new:
-        _learn(tokenizer, cache, new)
+        _learn(tokenizer, ends, cache, new)
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
