@@ -1,13 +1,15 @@
 """Requests to a model and what comes back. The model is a function given by the caller."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spanloom.functions.spans import cut, let, sentences
 from spanloom.functions.text import (STEMS, digits, extract_json, find_label, fold_compare, is_bare, label_norm,
                                      level, stems_in, valid_numbers)
 from spanloom.operators.grounding import KINDS, locate_all
-from spanloom.operators.sampling import first_wins
+from spanloom.operators.sampling import before, first_wins
 from spanloom.operators.tables import count_if
 
 QUESTIONS = ("role", "relation", "cost", "origin", "fate")
@@ -63,23 +65,39 @@ def requests_template(df: DataFrame, template: str, fields) -> DataFrame:
     return df.withColumn("content", content)
 
 
-def infer(requests: DataFrame, fn, key="custom_id", tries: int = 3, parallel: int | None = None) -> DataFrame:
+def infer(requests: DataFrame, fn, key="custom_id", tries: int = 3, parallel: int | None = None, pause: float = 0.5) -> DataFrame:
     """Run ``fn(list of contents) -> list of raw answers`` over Arrow batches.
 
-    A batch that keeps failing becomes rows with an error; no answer is lost with it.
+    A batch that fails, or that comes back with another number of answers, is asked row by
+    row, each up to ``tries`` times with a growing pause between; a row that keeps failing
+    has an error and the others keep their answers.
     """
     kind = requests.schema[key].dataType.simpleString()
 
+    def ask(contents):
+        raw = list(fn(contents))
+        if len(raw) != len(contents):
+            raise ValueError("%d answers to %d requests" % (len(raw), len(contents)))
+        return raw
+
+    def ask_one(content):
+        for n in range(tries):
+            try:
+                return ask([content])[0], None
+            except Exception as e:                                          # the row says what went wrong
+                error = repr(e)[:200]
+                if n + 1 < tries:
+                    time.sleep(pause * 2 ** n)
+        return None, error
+
     def run(batches):
         for batch in batches:
-            contents, error = list(batch["content"]), None
-            for _ in range(tries):
-                try:
-                    raw, error = list(fn(contents)), None
-                    break
-                except Exception as e:                                      # the row says what went wrong
-                    raw, error = [None] * len(contents), repr(e)[:200]
-            yield batch[[key]].assign(raw=raw, error=error)
+            contents = list(batch["content"])
+            try:
+                rows = [(raw, None) for raw in ask(contents)]
+            except Exception:                                               # which row it was shows below
+                rows = [ask_one(c) for c in contents]
+            yield batch[[key]].assign(raw=[r for r, _ in rows], error=[e for _, e in rows])
 
     source = requests.select(key, "content")
     if parallel:
@@ -98,17 +116,26 @@ def union_passes(passes: dict) -> DataFrame:
 
 
 def parse_quotes(answers: DataFrame) -> DataFrame:
-    """text_id, quote_no, kind, given, malformed: one row per returned quote. An answer is an
-    object with ``quotes`` or a bare list, of strings or of {kind, quote}."""
-    body = extract_json("raw", "any")
-    listed = F.coalesce(F.get_json_object(body, "$.quotes"), F.when(body.startswith("["), body))
-    items = F.from_json(listed, "array<string>")
-    rows = answers.select("text_id", F.posexplode(items).alias("quote_no", "item"))
-    is_object = F.col("item").startswith("{")
-    kind = F.when(is_object, F.get_json_object("item", "$.kind")).otherwise("")
-    quote = F.when(is_object, F.get_json_object("item", "$.quote")).otherwise(F.col("item"))
+    """text_id, quote_no, kind, given, malformed, unreadable: one row per returned quote. An
+    answer is an object with ``quotes`` or a bare list, of strings or of {kind, quote}; any
+    other item is malformed. An answer that is neither gives one unreadable row without a
+    number, with the raw text as ``given``. An empty list gives no row."""
+    body = F.try_parse_json(extract_json("raw", "any"))
+    is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    inner = F.try_variant_get(body, "$.quotes", "variant")
+    listed = F.when(is_list(inner), inner).when(is_list(body), body)
+    items = F.transform(listed.cast("array<variant>"), lambda v: F.struct(F.schema_of_variant(v).alias("is"), v.alias("v")))
+    read = answers.select("text_id", "raw", items.alias("items"))
+    rows = read.select("text_id", F.posexplode("items").alias("quote_no", "item"))
+    is_object, is_text = F.col("item.is").startswith("OBJECT"), F.col("item.is") == "STRING"
+    part = lambda name: F.when(F.schema_of_variant(F.try_variant_get("item.v", "$." + name, "variant")) == "STRING", F.try_variant_get("item.v", "$." + name, "string"))
+    kind = F.when(is_object, part("kind")).when(is_text, F.lit(""))
+    quote = F.when(is_object, part("quote")).when(is_text, F.col("item.v").cast("string"))
     bad = F.coalesce(~kind.isin(*KINDS, ""), F.lit(True)) | quote.isNull()
-    return rows.select("text_id", "quote_no", F.coalesce(kind, F.lit("")).alias("kind"), quote.alias("given"), bad.alias("malformed"))
+    shown = F.coalesce(quote, F.to_json("item.v"))
+    good = rows.select("text_id", "quote_no", F.coalesce(kind, F.lit("")).alias("kind"), shown.alias("given"), bad.alias("malformed"), F.lit(False).alias("unreadable"))
+    lost = read.filter("items is null").select("text_id", F.lit(None).cast("int").alias("quote_no"), F.lit("").alias("kind"), F.col("raw").alias("given"), F.lit(True).alias("malformed"), F.lit(True).alias("unreadable"))
+    return good.unionByName(lost)
 
 
 def ingest_quotes(parsed: DataFrame, texts: DataFrame):
@@ -118,8 +145,8 @@ def ingest_quotes(parsed: DataFrame, texts: DataFrame):
     rows = per.join(texts.select("text_id", "text"), "text_id")
     good = F.transform(F.filter("all", lambda q: ~q["malformed"]), lambda q: F.struct(q["quote_no"].alias("quote_no"), q["given"].alias("quote")))
     at = locate_all(rows.withColumn("quotes", good), ["text_id"])
-    judged = parsed.join(at, ["text_id", "quote_no"], "left").withColumn("why", F.when(F.col("malformed"), "malformed").when(
-        F.col("match").isNull(), "not in the text"))
+    judged = parsed.join(at, ["text_id", "quote_no"], "left").withColumn("why", F.when(F.col("unreadable"), "unreadable").when(
+        F.col("malformed"), "malformed").when(F.col("match").isNull(), "not in the text"))
     placed = judged.filter(F.col("why").isNull()).groupBy("text_id").agg(F.collect_list(F.struct("kind", "start", "end", "match", "given")).alias("q"))
     own = placed.join(texts.select("text_id", "text"), "text_id").select("text_id", F.inline(F.transform("q", lambda q: F.struct(
         q["kind"].alias("kind"), q["start"].alias("start"), q["end"].alias("end"), cut("text", q["start"], q["end"]).alias("quote"),
@@ -139,10 +166,12 @@ def ingest_labels(answers: DataFrame, lines: DataFrame, keys=("text_id",)):
     """(kept, dropped): labels grounded in the line they were given for.
 
     ``answers``: keys, raw (an object line number -> labels); ``lines``: keys, no, line,
-    start, text_id. Kept rows are the line's own characters with offsets in the text.
+    start, text_id. Kept rows are the line's own characters with offsets in the text. An
+    unreadable answer is a dropped row without a line number, with the raw text as label.
     """
     keys = list(keys)
-    parsed = answers.select(*keys, F.from_json(extract_json("raw"), "map<string,string>").alias("m"))
+    parsed = answers.select(*keys, "raw", F.from_json(extract_json("raw"), "map<string,string>").alias("m"))
+    unread = parsed.filter("m is null").select(*keys, F.lit(None).cast("string").alias("no"), F.col("raw").alias("label"))
     per_line = parsed.select(*keys, F.explode("m").alias("k", "v")).withColumn("no", digits("k"))
     lists = per_line.withColumn("labels", F.from_json("v", "array<string>"))
     bad_key = F.col("no").isNull() | ~F.col("v").startswith("[") | F.col("labels").isNull()
@@ -155,7 +184,7 @@ def ingest_labels(answers: DataFrame, lines: DataFrame, keys=("text_id",)):
         "text_id", begin.cast("int").alias("start"), (begin + F.length("label")).cast("int").alias("end"),
         F.substring("line", F.col("_p") + 1, F.length("label")).alias("label"))
     lost = at.filter(F.col("_p").isNull()).select(*keys, F.col("no").cast("string").alias("no"), "label")
-    return kept, wrong.unionByName(lost)
+    return kept, wrong.unionByName(lost).unionByName(unread)
 
 
 def role_labels(passes: dict) -> DataFrame:
@@ -200,11 +229,10 @@ def ingest_beings(answers: DataFrame, texts: DataFrame, stems=STEMS):
 
 def first_ids(care_texts: DataFrame, width: int = 10000) -> DataFrame:
     """text_id -> number of beings in texts with a smaller id."""
-    from pyspark.sql import Window as W
     n = F.coalesce("n_beings", F.lit(0)).cast("long")
     ranged = care_texts.select("text_id", n.alias("_n"), F.floor(F.col("text_id") / width).alias("_r"))
     sums = ranged.groupBy("_r").agg(F.sum("_n").alias("_s"))
-    ahead = sums.select("_r", (F.sum("_s").over(W.orderBy("_r")) - F.col("_s")).alias("_ahead"))
+    ahead = before(sums, "_r", "_s", "_ahead").select("_r", "_ahead")
     inside = F.sum("_n").over(W.partitionBy("_r").orderBy("text_id")) - F.col("_n")
     return ranged.join(ahead, "_r").select("text_id", (F.col("_ahead") + inside).alias("_before"))
 
@@ -312,8 +340,8 @@ def assert_figures(claims: DataFrame, accounts: DataFrame) -> None:
 
 def resolve_refs(notes: DataFrame, samples: DataFrame) -> DataFrame:
     """References "A 123" in notes, kept if the id belongs to the sample named (samples: part, id)."""
-    refs = notes.select("note_id", F.explode(F.regexp_extract_all("note", F.lit(r"\b([AB] \d{1,5})\b"), F.lit(1))).alias("ref"))
-    keyed = refs.select("note_id", "ref", F.substring("ref", 1, 1).alias("part"), F.substring("ref", 3, 9).cast("long").alias("id"))
+    refs = notes.select("note_id", F.explode(F.regexp_extract_all("note", F.lit(r"\b([AB] \d+)\b"), F.lit(1))).alias("ref"))
+    keyed = refs.select("note_id", "ref", F.substring("ref", 1, 1).alias("part"), F.expr("try_cast(substring(ref, 3) as bigint)").alias("id"))
     return keyed.join(samples.select("part", "id"), ["part", "id"], "left_semi")
 
 

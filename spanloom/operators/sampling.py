@@ -82,12 +82,34 @@ def stratified_sample(df: DataFrame, cell: str, n: int, seed, id_col: str) -> Da
     return top_k(df.withColumn("_draw", draw_key(seed, id_col)), cell, n, "_draw", "_r").drop("_draw", "_r")
 
 
-def chunk(df: DataFrame, size: int, order, shares: int = SHARES, key=None) -> DataFrame:
+def before(sums: DataFrame, key: str, value: str, name: str, width: int = 1000) -> DataFrame:
+    """``sums`` (one row per integer ``key``) with the sum of ``value`` over smaller keys.
+
+    Keys are summed in ranges of ``width``, and those in ranges of ``width`` again, so that
+    the one window over all rows sees a millionth of the keys at most.
+    """
+    high = F.floor(F.col(key) / width)
+    blocks = sums.withColumn("_b", high).groupBy("_b").agg(F.sum(value).alias("_s")).withColumn("_t", F.floor(F.col("_b") / width))
+    tops = blocks.groupBy("_t").agg(F.sum("_s").alias("_ts"))
+    tops = tops.select("_t", (F.sum("_ts").over(W.orderBy("_t")) - F.col("_ts")).alias("_tb"))
+    inner = F.sum("_s").over(W.partitionBy("_t").orderBy("_b")) - F.col("_s")
+    blocks = blocks.withColumn("_i", inner).join(tops, "_t").select("_b", (F.col("_tb") + F.col("_i")).alias("_bb"))
+    own = F.sum(value).over(W.partitionBy("_b").orderBy(key)) - F.col(value)
+    return sums.withColumn("_b", high).withColumn("_o", own).join(blocks, "_b").withColumn(name, F.col("_bb") + F.col("_o")).drop("_b", "_o", "_bb")
+
+
+#: Rows of a share or range that one window numbers.
+WINDOW_ROWS = 100_000
+
+
+def chunk(df: DataFrame, size: int, order, shares: int | None = None, key=None) -> DataFrame:
     """Number rows and cut them into chunks of ``size``: chunk id, place in the chunk from 1.
 
-    Numbers run inside hash shares of the key; no window spans the whole table. Raise
-    ``shares`` with the data.
+    Numbers run inside hash shares of the key; no window spans the whole table. Where
+    ``shares`` is not given, the rows are counted and a share has ``WINDOW_ROWS`` of them.
     """
+    if shares is None:
+        shares = max(SHARES, -(-df.count() // WINDOW_ROWS))
     order = order if isinstance(order, (list, tuple)) else [order]
     keyed = df.withColumn("share", F.pmod(F.xxhash64(*(key or order)), F.lit(shares)))
     place = F.row_number().over(W.partitionBy("share").orderBy(*order)) - 1
@@ -101,19 +123,21 @@ def numbered(df: DataFrame, group, order, name="no") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
 
 
-def anonymise(df: DataFrame, id_col: str, per: int, seed, low: int = 1000, shares: int = SHARES):
+def anonymise(df: DataFrame, id_col: str, per: int, seed, low: int = 1000):
     """(items, map): items without the id, grouped ``per`` to a prompt in drawn order; the map
     from item number to id is kept apart. Numbers are dense from ``low`` in drawn order.
 
-    The draw is cut into ranges of the md5, numbered inside the range, and shifted by the
-    size of the ranges before it.
+    The draw is cut into ranges of the md5, as many as the rows ask for, numbered inside the
+    range, and shifted by the size of the ranges before it.
     """
+    digits, n = 3, df.count()
+    while digits < 12 and n > WINDOW_ROWS * 16 ** digits:
+        digits += 1
     drawn = df.withColumn("_draw", draw_key(seed, id_col))
-    drawn = drawn.withColumn("_range", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"))
-    sizes = drawn.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    drawn = drawn.withColumn("_range", F.conv(F.substring("_draw", 1, digits), 16, 10).cast("long"))
+    sizes = before(drawn.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), "_range", "_n", "_before").select("_range", "_before")
     inside = F.row_number().over(W.partitionBy("_range").orderBy("_draw", id_col))
-    ranked = drawn.join(before, "_range").withColumn("_rank", F.col("_before") + inside - 1)
+    ranked = drawn.join(sizes, "_range").withColumn("_rank", F.col("_before") + inside - 1)
     items = ranked.withColumn("item", F.col("_rank") + low).withColumn("prompt", F.floor(F.col("_rank") / per))
     clean = items.drop("_draw", "_range", "_before", "_rank")
     return clean.drop(id_col), clean.select("item", id_col, "prompt")

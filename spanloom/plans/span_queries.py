@@ -9,7 +9,7 @@ from spanloom.operators.tables import names_in_quotes
 from spanloom.plans.data import (BEINGS, INTERVALS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WITH_MENTIONS, beings, intervals, labels, mentions, page_texts,
                                  query, sentences_of, span_rows, table, texts)
 from spanloom.plans.text_queries import HEADS_SQL, SENT_SQL, SPACE_SQL
-from spanloom.streaming.ingest import ingest_batch
+from spanloom.streaming.ingest import latest, taken
 
 # ---- intervals ---------------------------------------------------------------------------
 WITH_IV = f"WITH {INTERVALS}"
@@ -89,17 +89,19 @@ def f53(spark, d):
     return I.coverage(labels(spark, d), texts(spark, d).select("text_id", F.length("text").alias("length")), ["text_id"])
 
 
-ANCHORS = ("an AS (SELECT text_id, i * 100 AS start, i * 100 + 20 AS e, i % 2 = 0 AS core FROM (SELECT text_id, text, unnest(range(0, least(40, length(text) // 200))) AS i FROM texts)), "
-           "qt AS (SELECT text_id, i * 150 AS start, i * 150 + 80 + (text_id % 3) * 40 AS e FROM (SELECT text_id, unnest(range(0, 8)) AS i FROM texts WHERE text_id % 5 <> 0))")
+ANCHORS = ("an AS (SELECT text_id, i * 100 AS start, i * 100 + 20 AS e, i % 2 = 0 AS core FROM (SELECT text_id, text, unnest(range(0, length(text) // 100)) AS i FROM texts)), "
+           "qt AS (SELECT text_id, i * 150 AS start, i * 150 + 80 + (text_id % 3) * 40 AS e FROM (SELECT text_id, unnest(range(0, length(text) // 150 + 1)) AS i FROM texts WHERE text_id % 5 <> 0))")
 
 
 def anchors(spark, d):
-    x = texts(spark, d).withColumn("n", F.least(F.lit(40), F.floor(F.length("text") / 200)).cast("int")).filter("n > 0")
+    """A mark of 20 characters at every hundredth character of the whole text."""
+    x = texts(spark, d).withColumn("n", F.floor(F.length("text") / 100).cast("int")).filter("n > 0")
     return x.select("text_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("text_id", (F.col("i") * 100).alias("start"), (F.col("i") * 100 + 20).alias("end"), (F.col("i") % 2 == 0).alias("core"))
 
 
 def quotes(spark, d):
-    x = texts(spark, d).filter("text_id % 5 <> 0").select("text_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    """A stretch of 80 to 160 characters at every 150th character of the whole text, but for a fifth of the texts."""
+    x = texts(spark, d).filter("text_id % 5 <> 0").select("text_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 150).cast("int"))).alias("i"))
     return x.select("text_id", (F.col("i") * 150).alias("start"), (F.col("i") * 150 + 80 + (F.col("text_id") % 3) * 40).cast("int").alias("end"))
 
 
@@ -231,17 +233,21 @@ def i2(spark, d):
     return A.requests_lines(lines, "Labels.", "conv_id").select("conv_id", F.md5("content").alias("h"))
 
 
-@query("i3_requests_chunks", "SELECT conv_id % 7 AS share, conv_id // 7 AS chunk, md5('Lines.' || chr(10) || chr(10) || string_agg((turn + 1) || '. ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY 1, 2")
+# Texts stand in one share here, so that the SQL can number them as well; shares of their own are tested in g10.
+@query("i3_requests_chunks", """WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations)
+    SELECT p // 9 AS chunk, md5('Lines.' || chr(10) || chr(10) || string_agg((p % 9 + 1) || '. ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), chr(10) ORDER BY p)) AS h FROM n GROUP BY 1""")
 def i3(spark, d):
-    lines = table(spark, d, "conversations").select((F.col("conv_id") % 7).alias("share"), F.floor(F.col("conv_id") / 7).alias("chunk"), (F.col("turn") + 1).alias("no"), F.col("text").alias("line"))
-    return A.requests_chunks(lines, "Lines.").select("share", "chunk", F.md5("content").alias("h"))
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
+    return A.requests_chunks(G.chunk(lines, 9, ["conv_id", "turn"], shares=1), "Lines.").select("chunk", F.md5("content").alias("h"))
 
 
-@query("i4_requests_groups", """WITH g AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1)
-    SELECT 0 AS share, conv_id // 8 AS chunk, md5('Groups.' || chr(10) || chr(10) || string_agg((conv_id % 8 + 1) || '.' || chr(10) || body, chr(10) || chr(10) ORDER BY conv_id)) AS h FROM g GROUP BY 1, 2""")
+@query("i4_requests_groups", """WITH g AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, row_number() OVER (ORDER BY conv_id) - 1 AS p FROM conversations GROUP BY 1)
+    SELECT p // 8 AS chunk, md5('Groups.' || chr(10) || chr(10) || string_agg((p % 8 + 1) || '.' || chr(10) || body, chr(10) || chr(10) ORDER BY p)) AS h FROM g GROUP BY 1""")
 def i4(spark, d):
-    lines = table(spark, d, "conversations").select(F.lit(0).alias("share"), F.floor(F.col("conv_id") / 8).alias("chunk"), (F.col("conv_id") % 8 + 1).alias("no"), F.col("turn").alias("pos"), F.col("text").alias("line"))
-    return A.requests_groups(lines, "Groups.").select("share", "chunk", F.md5("content").alias("h"))
+    c = table(spark, d, "conversations")
+    groups = G.chunk(c.select("conv_id").distinct(), 8, ["conv_id"], shares=1)
+    lines = groups.join(c.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("line")), "conv_id")
+    return A.requests_groups(lines, "Groups.").select("chunk", F.md5("content").alias("h"))
 
 
 @query("i5_requests_template", "SELECT c_custkey, 'You are ' || c_name || ' of ' || c_mktsegment || '.' AS content FROM customer")
@@ -250,37 +256,63 @@ def i5(spark, d):
 
 
 def measure(contents):
-    """Stands for a model: answers with the number of characters, fails on nothing."""
-    return ['{"n": %d}' % len(c) for c in contents]
+    """Stands for a model: answers with the number of characters; cannot read a request whose length is divisible by 97,
+    and answers one short where a batch holds one of a length divisible by 89."""
+    if any(len(c) % 97 == 0 for c in contents):
+        raise RuntimeError("cannot read")
+    return ['{"n": %d}' % len(c) for c in contents][len(contents) > 1 and any(len(c) % 89 == 0 for c in contents):]
+
+
+_ASKED = "length(text) + length('P' || chr(10) || chr(10) || 'THE TEXT' || chr(10) || chr(10))"
 
 
-@query("i6_infer", "SELECT 't' || doc_id AS custom_id, length(text) + length('P' || chr(10) || chr(10) || 'THE TEXT' || chr(10) || chr(10)) AS n FROM documents")
+@query("i6_infer", f"SELECT 't' || doc_id AS custom_id, CASE WHEN ({_ASKED}) % 97 <> 0 THEN {_ASKED} END AS n, ({_ASKED}) % 97 = 0 AS failed FROM documents")
 def i6(spark, d):
-    got = A.infer(A.requests_text(texts(spark, d), "P"), measure)
-    return got.select("custom_id", F.get_json_object("raw", "$.n").cast("long").alias("n"))
+    got = A.infer(A.requests_text(texts(spark, d), "P"), measure, pause=0)
+    return got.select("custom_id", F.get_json_object("raw", "$.n").cast("long").alias("n"), F.col("error").isNotNull().alias("failed"))
 
 
 # ---- answers ----------------------------------------------------------------------------------------
+STEP, LONG = 400, 60
+
+
 def quote_answers(spark, d):
-    """An answer per text: a stretch as written, one in no text, one malformed."""
-    x = texts(spark, d).filter(F.length("text") >= 200)
-    items = F.array(F.struct(F.lit("is").alias("kind"), F.substring("text", 21, 60).alias("quote")), F.struct(F.lit("who").alias("kind"), F.lit("zzqx wvvk zzqx wvvk").alias("quote")),
-                    F.struct(F.lit("bad").alias("kind"), F.lit("x").alias("quote")))
-    return x.select("text_id", F.concat(F.lit("Here:\n"), F.to_json(F.struct(items.alias("quotes"))), F.lit("\n")).alias("raw"))
+    """An answer per text: a stretch at every 400th character of the whole text as written, one quote in no text, one of
+    a wrong kind, a number, a list; for a seventh of the texts something unreadable, for another an empty list."""
+    x = texts(spark, d)
+    at = F.sequence(F.lit(0), F.floor(F.length("text") / STEP).cast("int"))
+    own = F.filter(F.transform(at, lambda i: F.btrim(F.substring(F.col("text"), i * STEP + 1, F.lit(LONG)), F.lit(" \t\r\n"))), lambda q: F.length(q) >= 4)
+    good = F.transform(own, lambda q: F.to_json(F.struct(F.lit("is").alias("kind"), q.alias("quote"))))
+    extra = F.array(*map(F.lit, ('{"kind": "who", "quote": "zzqx wvvk zzqx wvvk"}', '{"kind": "bad", "quote": "x"}', "5", '["a"]', '{"kind": "is", "quote": 7}', '"{zzqx wvvk} zzqx"')))
+    listed = F.concat(F.lit("Here:\n{\"quotes\": ["), F.array_join(F.concat(good, extra), ", "), F.lit("]}\n"))
+    raw = F.when(F.col("text_id") % 7 == 3, "I cannot say {").when(F.col("text_id") % 7 == 5, '{"quotes": []}').otherwise(listed)
+    return x.select("text_id", raw.alias("raw"))
 
 
-QA = f"{TEXTS}, q AS (SELECT text_id, text, trim(substr(text, 21, 60), {SPACE_SQL}) AS q FROM texts WHERE length(text) >= 200)"
+QA = f"""{TEXTS}, qa AS (SELECT text_id, text, unnest(range(0, length(text) // {STEP} + 1)) AS i FROM texts WHERE text_id % 7 NOT IN (3, 5)),
+    q AS (SELECT text_id, text, trim(substr(text, (i * {STEP} + 1)::BIGINT, {LONG}), {SPACE_SQL}) AS q FROM qa)"""
 
 
-@query("i7_ingest_quotes_kept", f"WITH {QA} SELECT text_id, 'is' AS kind, instr(text, q) - 1 AS start, q AS quote, 'exact' AS match FROM q")
+@query("i7_ingest_quotes_kept", f"WITH {QA} SELECT text_id, 'is' AS kind, instr(text, q) - 1 AS start, instr(text, q) - 1 + length(q) AS \"end\", q AS quote, 'exact' AS match FROM q WHERE length(q) >= 4")
 def i7(spark, d):
     k, _ = A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d))
-    return k.select("text_id", "kind", F.col("start").cast("long").alias("start"), "quote", "match")
+    return k.select("text_id", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "quote", "match")
+
+
+_BAD = [("who", "zzqx wvvk zzqx wvvk", "not in the text"), ("bad", "x", "malformed"), ("", "5", "malformed"), ("", '["a"]', "malformed"), ("is", '{"kind":"is","quote":7}', "malformed"), ("", "{zzqx wvvk} zzqx", "not in the text")]
 
 
-@query("i7_ingest_quotes_dropped", f"WITH {QA} SELECT text_id, 'who' AS kind, 'not in the text' AS why FROM q UNION ALL SELECT text_id, 'bad', 'malformed' FROM q")
+@query("i7_ingest_quotes_dropped", "SELECT doc_id AS text_id, kind, given, why FROM documents, (VALUES " + ", ".join(f"('{k}', '{g}', '{w}')" for k, g, w in _BAD) + ") v(kind, given, why) WHERE doc_id % 7 NOT IN (3, 5) "
+       "UNION ALL SELECT doc_id, '', 'I cannot say {', 'unreadable' FROM documents WHERE doc_id % 7 = 3")
 def i7b(spark, d):
-    return A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d))[1].select("text_id", "kind", "why")
+    return A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d))[1].select("text_id", "kind", "given", "why")
+
+
+@query("i7_quote_records", f"""WITH {QA}, k AS (SELECT text_id, count(*) AS n, string_agg(instr(text, q) - 1, ',' ORDER BY instr(text, q)) AS starts FROM q WHERE length(q) >= 4 GROUP BY 1)
+    SELECT doc_id AS text_id, n AS quotes, starts, CASE doc_id % 7 WHEN 3 THEN 1 ELSE 6 END AS dropped FROM documents LEFT JOIN k ON k.text_id = doc_id WHERE doc_id % 7 <> 5""")
+def i7c(spark, d):
+    r = A.quote_records(*A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d)))
+    return r.select("text_id", F.size("quotes").cast("long").alias("quotes"), F.array_join(F.transform("quotes", lambda q: q["start"].cast("string")), ",").alias("starts"), F.size("dropped").alias("dropped"))
 
 
 def turn_lines(spark, d):
@@ -297,6 +329,23 @@ def i8(spark, d):
     return kept_.select("text_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label")
 
 
+def label_answers(spark, d):
+    """Per conversation an object of line numbers to labels; of a fifth of them something unreadable."""
+    lab = F.regexp_extract("line", "[A-Za-zÀ-ÿ]{5,}", 0)
+    m = turn_lines(spark, d).withColumn("lab", lab).groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("no").cast("string"), F.array("lab", F.lit("zz none zz"))))).alias("m"))
+    return m.select("text_id", F.when(F.col("text_id") % 5 == 2, "no labels").otherwise(F.to_json("m")).alias("raw"))
+
+
+@query("i8_labels_accounted", """SELECT conv_id AS text_id, count(*) FILTER (conv_id % 5 <> 2) AS kept, count(*) FILTER (conv_id % 5 <> 2) + max((conv_id % 5 = 2)::INT) AS dropped
+    FROM conversations GROUP BY 1""")
+def i8b(spark, d):
+    """Kept, dropped and unreadable labels are all there are: one of each two stands in its line."""
+    kept_, dropped = A.ingest_labels(label_answers(spark, d).withColumn("raw", F.regexp_replace("raw", '\\[""', '["e"')), turn_lines(spark, d).withColumn("line", F.concat(F.lit("e "), "line")))
+    n = lambda df, name: df.groupBy("text_id").agg(F.count(F.lit(1)).alias(name))
+    ids = table(spark, d, "conversations").select(F.col("conv_id").alias("text_id")).distinct()
+    return ids.join(n(kept_, "kept"), "text_id", "left").join(n(dropped, "dropped"), "text_id", "left").na.fill(0)
+
+
 @query("g2_h1_role_labels", f"WITH {TEXTS}, {LABELS} SELECT text_id, start, e AS \"end\", norm, CASE WHEN bool_or(source = 'quote') THEN 'quote' ELSE 'line' END AS source FROM (SELECT * FROM labels2 UNION ALL SELECT text_id, start, e, label, norm, 'line' FROM labels2 WHERE source = 'quote') GROUP BY 1, 2, 3, 4")
 def h1(spark, d):
     l = labels(spark, d).select("text_id", "start", "end", "label", "source")
@@ -413,8 +462,21 @@ def lines2(spark, d):
     return A.uncovered_lines(t, heads.select("text_id", "start", "end"), hits, sents, q).select("text_id", "start", "end", "line", "why")
 
 
-@query("j1_answers_table", "SELECT conv_id AS text_id, turn AS seq, text AS raw FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'assistant') DESC, turn DESC) AS rn FROM conversations) WHERE rn = 1 AND role = 'assistant'")
+@query("j1_answers_table", """WITH a AS (SELECT conv_id AS text_id, turn AS seq, 'b' || (turn // 2) AS batch, CASE WHEN role = 'assistant' THEN text END AS raw FROM conversations WHERE turn // 2 <> 1)
+    SELECT text_id, seq, batch, raw FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY (raw IS NOT NULL) DESC, seq DESC, batch DESC) AS rn FROM a) WHERE rn = 1""")
 def j1(spark, d):
-    """What the stream keeps, from all answers at once."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("text_id"), F.lit("b").alias("batch"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", F.col("text")).alias("raw"), F.lit(None).cast("string").alias("error"))
-    return ingest_batch(c).filter(F.col("raw").isNotNull()).select("text_id", "seq", "raw")
+    """The log of the stream's own step, in two micro-batches that overlap in texts and batches; batch b1 was done before."""
+    from functools import reduce
+    done = spark.createDataFrame([("b1",)], "batch string")
+    logs = [taken(turn_answers(spark, d).filter(F.col("seq") % 2 == part), done)[0] for part in (0, 1)]
+    return latest(reduce(lambda x, y: x.unionByName(y), logs)).select("text_id", "seq", "batch", "raw")
+
+
+@query("j1_batch_counts", """SELECT 'b' || (turn // 2) AS batch, count(*) AS answers, count(*) FILTER (role <> 'assistant') AS unreadable FROM conversations WHERE turn // 2 <> 1 GROUP BY 1""")
+def j1b(spark, d):
+    return taken(turn_answers(spark, d), spark.createDataFrame([("b1",)], "batch string"))[1]
+
+
+def turn_answers(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("text_id"), F.concat(F.lit("b"), F.floor(F.col("turn") / 2).cast("string")).alias("batch"), F.col("turn").alias("seq"),
+                                                   F.when(F.col("role") == "assistant", F.col("text")).alias("raw"), F.lit(None).cast("string").alias("error"))

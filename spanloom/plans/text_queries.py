@@ -34,10 +34,15 @@ def a1(spark, d):
     return kept.select("place_id", F.length("text").alias("place_chars"))
 
 
-@query("a3_json_records", "SELECT event_id, coalesce(json_extract_string(props, '$.k')::INT, 0) AS k, coalesce(json_extract_string(props, '$.pool'), 'covered') AS pool FROM events")
+@query("a3_json_records", """SELECT event_id, CASE WHEN event_id % 9 <> 0 AND event_id % 11 <> 0 THEN coalesce(json_extract_string(props, '$.k')::INT, 0) END AS k,
+    CASE WHEN event_id % 9 <> 0 AND event_id % 11 <> 0 THEN coalesce(json_extract_string(props, '$.pool'), 'covered') END AS pool,
+    CASE WHEN event_id % 9 = 0 THEN left(props, length(props) - 1) WHEN event_id % 11 = 0 THEN '{"k": "x"}' END AS corrupt FROM events WHERE event_id % 9 = 0 OR event_id % 11 = 0 OR event_id % 13 <> 0""")
 def a3(spark, d):
-    rec = table(spark, d, "events").select("event_id", F.from_json("props", "k int, pool string").alias("r"))
-    return rec.select("event_id", F.coalesce("r.k", F.lit(0)).alias("k"), F.coalesce("r.pool", F.lit("covered")).alias("pool"))
+    """Every ninth line is broken, every eleventh has a value of another type, every thirteenth is blank."""
+    n = F.col("event_id")
+    line = F.when(n % 9 == 0, F.expr("left(props, length(props) - 1)")).when(n % 11 == 0, '{"k": "x"}').when(n % 13 == 0, " ").otherwise(F.col("props"))
+    rec = corpus.parse_records(table(spark, d, "events").select("event_id", line.alias("line")), "line", "k int, pool string", {"k": 0, "pool": "covered"})
+    return rec.select("event_id", "k", "pool", F.col("_corrupt_record").alias("corrupt"))
 
 
 @query("a4_latest_answers", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'assistant') DESC, turn DESC) AS rn FROM conversations) WHERE rn = 1")

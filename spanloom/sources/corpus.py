@@ -47,24 +47,37 @@ def places_with_text(places: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines are skipped, missing keys take defaults."""
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    df = df.na.drop("all")
+    """JSON lines with a fixed schema; blank lines are skipped, see ``parse_records``."""
+    return parse_records(spark.read.text(path), "value", schema, defaults)
+
+
+def parse_records(lines: DataFrame, line: str, schema: str, defaults: dict | None = None) -> DataFrame:
+    """Lines of JSON as columns in place of ``line``. Blank lines go; missing keys take defaults.
+
+    A line that is no object of this schema, or holds a value of another type, keeps its
+    text in ``_corrupt_record``, which is NULL for all others, and takes no defaults.
+    """
+    others = [c for c in lines.columns if c != line]
+    full = schema + ", _corrupt_record STRING"
+    read = F.from_json(line, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    got = lines.filter(F.btrim(F.col(line)) != "").select(*others, F.col(line).alias("_line"), read.alias("_r"))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull() | ~F.btrim(F.col("_line")).startswith("{")
+    out = got.select(*others, "_r.*", F.when(broken, F.col("_line")).alias("_bad")).drop("_corrupt_record").withColumnRenamed("_bad", "_corrupt_record")
     for name, value in (defaults or {}).items():
-        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(df.schema[name].dataType)))
-    return df
+        out = out.withColumn(name, F.when(F.col("_corrupt_record").isNull(), F.coalesce(F.col(name), F.lit(value).cast(out.schema[name].dataType))))
+    return out
 
 
 def content_digest(texts: DataFrame, key="text_id", text="text") -> DataFrame:
     """One row: number of texts and a digest that changes with any id or text.
 
     Row hashes are added word by word modulo 2^32, so the digest needs no order and no
-    task sees more than its share.
+    task sees more than its share. The sums are decimals, which hold any number of rows.
     """
     row = F.sha2(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.col(text), F.lit("\u0000")), 256)
-    words = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
+    words = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     sums = texts.select(row.alias("_h")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(w).alias("w%d" % i) for i, w in enumerate(words)])
-    hexed = [F.lower(F.lpad(F.hex(F.pmod(F.col("w%d" % i), F.lit(2 ** 32))), 8, "0")) for i in range(8)]
+    hexed = [F.lower(F.lpad(F.hex((F.col("w%d" % i) % F.lit(2 ** 32)).cast("long")), 8, "0")) for i in range(8)]
     return sums.select("n", F.concat(*hexed).alias("digest"))
 
 

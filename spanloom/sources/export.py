@@ -1,6 +1,8 @@
 """Writing the tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.sources.corpus import _exists
@@ -14,8 +16,13 @@ DICTIONARY = {
     "texts": {"text_id": "text", "model": "writer", "length": "characters", "kind": "kind of answer", "flag": "why not counted"},
     "text_names": {"text_id": "text", "norm": "string", "display": "as written", "score": "best precision", "patterns": "patterns",
                    "n_mentions": "hits", "first_pos": "first hit", "occurrences": "times in the text"},
-    "names": {"norm": "string", "display": "as written", "n_texts": "texts", "expected": "sum of scores", "best": "best score"},
-    "patterns": {"id": "pattern", "version": "version", "round": "round", "yields": "what a hit is", "family": "form", "regex": "pattern"},
+    "names": {"norm": "string", "display": "as written", "n_texts": "texts", "expected": "sum of scores", "best": "best score",
+              "n_models": "writers", "top_model": "writer with most texts", "n_mentions": "hits", "df": "share of all texts with the word", "patterns": "patterns"},
+    "patterns": {"id": "pattern", "version": "version", "round": "round", "yields": "what a hit is", "family": "form", "regex": "pattern", "what": "what it catches",
+                 "flags": "m: line by line, i: case ignored", "stop": "stoplist", "reject": "captures that are refused", "mask": "lines left out", "max_words": "most words",
+                 "min_occ": "least occurrences in the text", "max_df": "greatest share of texts with the word", "title": "kind of title line", "body": "what the body must do with it",
+                 "position": "title where it reads titles", "labels_from": "earlier versions whose verdicts count", "added": "date", "note": "note", "remark": "remark",
+                 "origin_text": "text it was drawn from", "origin_excerpt": "words it was drawn from", "status": "active or retired", "retired_reason": "why retired"},
     "models": {"model": "writer", "texts": "counted texts", "flagged": "left out"},
     "text_cov": {"text_id": "text", "n_hits": "hits", "n_names": "strings"},
 }
@@ -35,15 +42,20 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def export_tables(tables: dict, directory: str, compressed=("labels", "strings")) -> DataFrame:
-    """Tables as CSV with a header, some gzipped; returns the data dictionary it also writes."""
+def export_tables(tables: dict, directory: str, compressed=("labels", "strings"), comments: dict | None = None) -> DataFrame:
+    """Tables as CSV with a header, some gzipped; returns the data dictionary it also writes.
+
+    Every column has a comment, from ``DICTIONARY`` or from ``comments`` {(table, column): text}."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         writer = _flat(df).write.mode("overwrite").option("header", True)
         if name in compressed:
             writer = writer.option("compression", "gzip")
         writer.csv(f"{directory}/{name}")
-    rows = [(t, c, DICTIONARY.get(t, {}).get(c, "")) for t, df in tables.items() for c in df.columns]
+    rows = [(t, c, DICTIONARY.get(t, {}).get(c) or (comments or {}).get((t, c))) for t, df in tables.items() for c in df.columns]
+    missing = [f"{t}.{c}" for t, c, comment in rows if not comment]
+    if missing:
+        raise ValueError("columns without a comment: " + ", ".join(missing))
     dictionary = spark.createDataFrame(rows, "table string, column string, comment string")
     dictionary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{directory}/dictionary")
     return dictionary
@@ -69,10 +81,15 @@ def bucket(key, scheme: str):
     return F.floor(c / int(scheme[3:])).cast("string")
 
 
-def write_buckets(df: DataFrame, directory: str, key: str, scheme: str) -> None:
-    """JSON in one folder per bucket; a bucket's rows meet in few files."""
+def write_buckets(df: DataFrame, directory: str, key: str, scheme: str, rows: int = 100_000) -> None:
+    """JSON in one folder per bucket. A bucket is cut by a hash of its rows into files of
+    about ``rows`` rows, by its measured size; a small one is a single file."""
     keyed = df.withColumn("b", bucket(key, scheme))
-    keyed.repartition("b", F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").partitionBy("b").json(directory)
+    sizes = keyed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_files"))
+    whole = F.xxhash64(*[F.to_json(F.struct("*"))])
+    dealt = keyed.withColumn("_h", whole).join(sizes, F.col("b").eqNullSafe(sizes["b"])).drop(sizes["b"])
+    dealt = dealt.withColumn("_file", F.pmod("_h", F.col("_files")))
+    dealt.repartition("b", "_file").drop("_h", "_file", "_files").write.mode("overwrite").partitionBy("b").json(directory)
 
 
 def _pointer(spark, root):
@@ -88,10 +105,20 @@ def current(spark: SparkSession, root: str) -> str | None:
 
 def overwrite(df: DataFrame, root: str, version: str) -> str:
     """Write a new version beside the old one and switch the pointer at the end, so a reader
-    never sees half a table and a failed job changes nothing."""
+    never sees half a table and a failed job changes nothing. A version that exists is
+    refused, for readers may be on it; the pointer is written beside and renamed over."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(_pointer(spark, root))
+    df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside = hadoop.Path(f"{root}/.CURRENT-{uuid.uuid4().hex}")
+    files = beside.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(beside), files.makeQualified(hadoop.Path(_pointer(spark, root))), options)
     return f"{root}/{version}"
 
 

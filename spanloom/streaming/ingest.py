@@ -1,6 +1,8 @@
 """Incremental ingest of answer files with Structured Streaming."""
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.operators.sampling import latest_answers
@@ -15,21 +17,43 @@ def latest(answers: DataFrame) -> DataFrame:
 
 
 def open_batches(answers: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows of batches that were not read to the end before."""
-    return answers.join(done.select("batch").distinct(), "batch", "left_anti")
+    """Rows of batches that were not read to the end before; rows without a batch stay."""
+    return answers.join(done.select("batch").distinct(), "batch", "left_anti").select(*answers.columns)
+
+
+def batch_counts(answers: DataFrame) -> DataFrame:
+    """Per batch: answers and unreadable ones."""
+    return answers.groupBy("batch").agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col("raw").isNull()).alias("unreadable"))
+
+
+def taken(answers: DataFrame, done: DataFrame | None = None):
+    """(log rows, counts) of one micro-batch: what both the stream and a table at rest run."""
+    news = open_batches(answers, done) if done is not None else answers
+    return latest(news), batch_counts(news)
 
 
-def ingest_stream(spark: SparkSession, directory: str, table: str, checkpoint: str, max_files: int = 100):
+def ingest_stream(spark: SparkSession, directory: str, table: str, checkpoint: str, max_files: int = 100, done: DataFrame | None = None, parse=None):
     """Append answer files to the log ``table`` as they arrive; returns after what is there.
 
-    Each micro-batch is first reduced to one row per text and then writes a folder of its
-    own epoch. A replayed batch overwrites the same folder, so the log holds every answer
-    once, and no batch rewrites what earlier ones wrote.
+    ``done`` names batches that were read to the end before; their rows are skipped. Each
+    micro-batch is first reduced to one row per text and then writes a folder of its own run
+    and epoch. The run stands for the checkpoint, so a second stream or a new checkpoint
+    never meets folders that are there already, while a replayed batch overwrites its own:
+    the log holds every answer once. Counts per batch go to ``<table>_counts`` the same way.
+    ``parse``, {name: function of the log rows}, writes parsed tables ``<table>_<name>``
+    beside them, such as quotes or labels with what was dropped and why.
     """
     stream = spark.readStream.schema(ANSWER_DDL).option("maxFilesPerTrigger", max_files).json(directory)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def take(batch: DataFrame, epoch: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        rows, counts = taken(batch, done)
+        at = f"run={run}/epoch={epoch}"
+        rows.write.mode("overwrite").parquet(f"{table}/{at}")
+        counts.write.mode("overwrite").parquet(f"{table}_counts/{at}")
+        kept = spark.read.schema(rows.schema).parquet(f"{table}/{at}")
+        for name, fn in (parse or {}).items():
+            fn(kept).write.mode("overwrite").parquet(f"{table}_{name}/{at}")
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -38,14 +62,14 @@ def ingest_stream(spark: SparkSession, directory: str, table: str, checkpoint: s
 
 def answers_now(spark: SparkSession, table: str) -> DataFrame:
     """The answer table: the log reduced to one row per text."""
-    return latest(spark.read.parquet(table).drop("epoch"))
+    return latest(spark.read.parquet(table).drop("run", "epoch"))
+
+
+def counts_now(spark: SparkSession, table: str) -> DataFrame:
+    """Answers and unreadable ones per batch over the whole log."""
+    return spark.read.parquet(f"{table}_counts").groupBy("batch").agg(F.sum("answers").alias("answers"), F.sum("unreadable").alias("unreadable"))
 
 
 def compact(spark: SparkSession, table: str, root: str, version: str) -> str:
     """A copy of the log with one row per text, written beside it and switched in at the end."""
     return overwrite(answers_now(spark, table), root, version)
-
-
-def ingest_batch(answers: DataFrame) -> DataFrame:
-    """The same table from all answers at once."""
-    return latest(answers)

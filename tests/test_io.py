@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators.answers import parse_quotes
 from spanloom.sources import corpus as C, export as X
 from spanloom.streaming import ingest as J
 from spanloom.session import cut_lineage
@@ -39,6 +40,11 @@ def test_records(spark, tmp_path):
         f.write('{"check": 1, "text": 5}\n\n{"check": 2, "text": 6, "pool": "all"}\n')
     rows = C.read_records(spark, p, "check int, text long, pool string", {"pool": "covered"}).orderBy("check").collect()
     assert [(r.check, r.pool) for r in rows] == [(1, "covered"), (2, "all")]
+    with open(p, "a") as f:
+        f.write('{"check": 3,\n{}\n \n[1]\n{"check": "x"}\n')
+    rows = C.read_records(spark, p, "check int, text long, pool string", {"pool": "covered"}).collect()
+    assert sorted(((r.check, r.pool, r._corrupt_record) for r in rows), key=str) == sorted(
+        [(1, "covered", None), (2, "all", None), (None, None, '{"check": 3,'), (None, "covered", None), (None, None, "[1]"), (None, None, '{"check": "x"}')], key=str)
 
 
 def test_versions_and_skipping(spark, tmp_path):
@@ -46,6 +52,9 @@ def test_versions_and_skipping(spark, tmp_path):
     assert X.current(spark, root) is None
     assert X.write_if_changed(spark.range(3), root, "abc") and not X.write_if_changed(spark.range(9), root, "abc")
     assert spark.read.parquet(X.current(spark, root)).count() == 3
+    with pytest.raises(Exception, match="abc"):
+        X.overwrite(spark.range(5), root, "abc")
+    assert spark.read.parquet(X.current(spark, root)).count() == 3 and not [f for f in os.listdir(root) if f.startswith(".CURRENT-")]
     assert X.write_if_changed(spark.range(9), root, "def") and spark.read.parquet(X.current(spark, root)).count() == 9
 
 
@@ -61,6 +70,10 @@ def test_exports(spark, tmp_path):
     assert {l["text_id"]: [s["start"] for s in l["spans"]] for l in lines} == {1: [0, 5], 250: [1]}
     X.write_buckets(t, d + "/b", "text_id", "div100")
     assert sorted(f for f in os.listdir(d + "/b") if f.startswith("b=")) == ["b=0", "b=2"]
+    X.write_buckets(t.crossJoin(spark.range(50)), d + "/b2", "text_id", "div100", rows=20)
+    assert len([f for f in os.listdir(d + "/b2/b=0") if f.endswith(".json")]) > 1 and spark.read.json(d + "/b2").count() == 150
+    with pytest.raises(ValueError, match="labels.odd"):
+        X.export_tables({"labels": t.withColumn("odd", F.lit(1))}, d + "/csv2")
 
 
 def test_stream_gives_the_batch_table(spark, tmp_path):
@@ -74,11 +87,20 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
         J.ingest_stream(spark, src, table, ck, max_files=1)
     every = spark.createDataFrame([r for b in batches for r in b], J.ANSWER_DDL)
     key = lambda df: sorted(map(tuple, df.select(*names).collect()))
-    want = key(J.ingest_batch(every))
+    want = key(J.latest(every))
     assert key(J.answers_now(spark, table)) == want
     J.ingest_stream(spark, src, table, ck)                                  # nothing new: nothing changes
     assert key(J.answers_now(spark, table)) == want
     assert {r[0]: r[3] for r in want} == {1: "one", 2: "two", 3: None}
+    assert sorted(map(tuple, J.counts_now(spark, table).collect())) == [("b1", 2, 1), ("b2", 2, 1), ("b3", 1, 1)]
+    # a second stream, with a checkpoint of its own, adds to the log and skips what was done
+    with open(f"{src}/9.json", "w") as f:
+        f.write(json.dumps(dict(zip(names, (4, "b4", 9, '{"quotes": ["four"]}', None)))) + "\n")
+    done = spark.createDataFrame([("b1",), ("b2",), ("b3",)], "batch string")
+    J.ingest_stream(spark, src, table, ck + "2", done=done, parse={"quotes": parse_quotes})
+    assert key(J.answers_now(spark, table)) == sorted(want + [(4, "b4", 9, '{"quotes": ["four"]}', None)])
+    assert [r.given for r in spark.read.parquet(table + "_quotes").collect()] == ["four"]
+    assert sorted(map(tuple, J.counts_now(spark, table).collect()))[-1] == ("b4", 1, 0)
 
 
 def test_cut_lineage(spark, tmp_path):
