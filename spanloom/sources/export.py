@@ -85,9 +85,9 @@ def write_buckets(df: DataFrame, directory: str, key: str, scheme: str, rows: in
     """JSON in one folder per bucket. A bucket is cut by a hash of its rows into files of
     about ``rows`` rows, by its measured size; a small one is a single file."""
     keyed = df.withColumn("b", bucket(key, scheme))
-    sizes = keyed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_files"))
+    sizes = keyed.groupBy(F.col("b").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_files"))
     whole = F.xxhash64(*[F.to_json(F.struct("*"))])
-    dealt = keyed.withColumn("_h", whole).join(sizes, F.col("b").eqNullSafe(sizes["b"])).drop(sizes["b"])
+    dealt = keyed.withColumn("_h", whole).join(sizes, F.col("b").eqNullSafe(F.col("_b"))).drop("_b")
     dealt = dealt.withColumn("_file", F.pmod("_h", F.col("_files")))
     dealt.repartition("b", "_file").drop("_h", "_file", "_files").write.mode("overwrite").partitionBy("b").json(directory)
 
