@@ -89,7 +89,7 @@ def write_buckets(df: DataFrame, directory: str, key: str, scheme: str, rows: in
     whole = F.xxhash64(*[F.to_json(F.struct("*"))])
     dealt = keyed.withColumn("_h", whole).join(sizes, F.col("b").eqNullSafe(F.col("_b"))).drop("_b")
     dealt = dealt.withColumn("_file", F.pmod("_h", F.col("_files")))
-    dealt.repartition("b", "_file").drop("_h", "_file", "_files").write.mode("overwrite").partitionBy("b").json(directory)
+    dealt.repartition("b", "_file").drop("_h", "_file", "_files").write.option("maxRecordsPerFile", rows).mode("overwrite").partitionBy("b").json(directory)
 
 
 def _pointer(spark, root):
