@@ -326,10 +326,17 @@ def assert_quotes(claims: DataFrame, evidence: DataFrame) -> None:
 
 
 def missing_figures(claims: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Claims (question, key, numbers) with no account line that holds the key and every number."""
-    cond = ((F.col("c.question") == F.col("a.question")) & F.contains(F.lower("a.line"), F.lower("c.key"))
+    """Claims (question, key, numbers) with no account line that holds the key and every number.
+
+    A claim meets only the lines of its question that hold its first number: lines are
+    looked up by their runs of digits, so the claims and lines of a question are not paired.
+    """
+    claimed = claims.withColumn("_lead", F.coalesce(F.regexp_extract(F.get("numbers", F.lit(0)).cast("string"), r"\d+", 0), F.lit("")))
+    runs = F.array_distinct(F.concat(F.regexp_extract_all("line", F.lit(r"\d+"), F.lit(0)), F.array(F.lit(""))))
+    lines = accounts.withColumn("_lead", F.explode(runs))
+    cond = ((F.col("c.question") == F.col("a.question")) & (F.col("c._lead") == F.col("a._lead")) & F.contains(F.lower("a.line"), F.lower("c.key"))
             & F.forall("c.numbers", lambda n: F.rlike(F.col("a.line"), F.concat(F.lit(r"(?<!\d)\Q"), n.cast("string"), F.lit(r"\E(?!\d)")))))
-    return claims.alias("c").join(accounts.alias("a"), cond, "left_anti")
+    return claimed.alias("c").join(lines.alias("a"), cond, "left_anti").drop("_lead")
 
 
 def assert_figures(claims: DataFrame, accounts: DataFrame) -> None:

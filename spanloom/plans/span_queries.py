@@ -418,18 +418,21 @@ def f54(spark, d):
     return A.answer_accounting(o)
 
 
-@query("i14_missing_quotes", f"WITH {TEXTS} SELECT text_id AS being_id, 'role' AS question, part FROM (SELECT text_id, 'zzqx wvvk' AS part FROM texts WHERE text_id % 10 = 0)")
+@query("i14_missing_quotes", f"WITH {TEXTS} SELECT text_id AS being_id, 'role' AS question, 'zzqx wvvk' AS part FROM (SELECT text_id, unnest(string_split(text, chr(10))) FROM texts WHERE text_id % 10 = 0)")
 def i14(spark, d):
-    x = texts(spark, d).filter(F.length("text") >= 1)
-    claims = x.select(F.col("text_id").alias("being_id"), F.lit("role").alias("question"), F.concat(F.translate(F.split_part("text", F.lit("\n"), F.lit(1)), "/", ""), F.when(F.col("text_id") % 10 == 0, " / zzqx wvvk").otherwise("")).alias("quote"))
-    sents = x.select(F.col("text_id").alias("being_id"), F.lit("role").alias("question"), F.lit(1).alias("no"), F.translate("text", "/", "").alias("sentence"))
+    """Every line of every text is a claim; in a tenth of the texts each claim also has words that stand nowhere."""
+    x = texts(spark, d)
+    plain = F.translate("text", "/", "")
+    claims = x.select(F.col("text_id").alias("being_id"), F.lit("role").alias("question"), F.explode(F.split(plain, "\n")).alias("line"))
+    claims = claims.select("being_id", "question", F.concat("line", F.when(F.col("being_id") % 10 == 0, " / zzqx wvvk").otherwise("")).alias("quote"))
+    sents = x.select(F.col("text_id").alias("being_id"), F.lit("role").alias("question"), F.lit(1).alias("no"), plain.alias("sentence"))
     return A.missing_quotes(claims, sents).select("being_id", "question", "part")
 
 
 @query("i14_missing_figures", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 1")
 def i14b(spark, d):
-    """A claim per customer, each checked against the account of its own question."""
-    c = table(spark, d, "customer").withColumn("question", F.col("c_name"))
+    """A claim per customer, checked against the accounts of its nation's question, five in all for a nation."""
+    c = table(spark, d, "customer").withColumn("question", (F.col("c_nationkey") % 5).cast("string"))
     number = (F.col("c_custkey") + 1000000).cast("string")
     claims = c.select(F.col("c_custkey").alias("id"), "question", F.col("c_mktsegment").alias("key"), F.array(number, F.lit("100")).alias("numbers"))
     lines = c.select("question", F.concat_ws(" ", F.lit("of"), F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, number), F.lit("in 100")).alias("line"))
@@ -443,12 +446,15 @@ def i15(spark, d):
     return A.resolve_refs(notes, samples).select("note_id", "part", "id")
 
 
-@query("e22_side_by_side", "SELECT c.conv_id AS being_id, c.turn AS no, coalesce(string_agg(s.text, chr(10) ORDER BY s.turn), '') AS said FROM conversations c LEFT JOIN conversations s ON s.conv_id = c.conv_id AND ((c.turn = 1 AND s.role = 'user') OR (c.turn = 2 AND s.role = 'assistant')) WHERE c.turn IN (1, 2) GROUP BY 1, 2")
+@query("e22_side_by_side", "SELECT c.conv_id AS being_id, c.turn AS no, coalesce(string_agg(s.text, chr(10) ORDER BY s.turn), '') AS said FROM conversations c LEFT JOIN conversations s ON s.conv_id = c.conv_id AND s.role = CASE WHEN c.turn % 2 = 1 THEN 'user' ELSE 'assistant' END GROUP BY 1, 2")
 def e22(spark, d):
+    """Every turn as an answer part: odd ones beside what the user said, even ones beside the assistant."""
     c = table(spark, d, "conversations")
-    parts = c.filter("turn in (1, 2)").select(F.col("conv_id").alias("being_id"), F.col("turn").alias("no"), F.col("text").alias("body"))
+    parts = c.select(F.col("conv_id").alias("being_id"), F.col("turn").alias("no"), F.col("text").alias("body"))
     said = c.select(F.col("conv_id").alias("being_id"), F.col("role").alias("question"), F.col("turn").alias("no"), F.col("text").alias("sentence"))
-    return A.side_by_side(parts.withColumn("no", F.col("no").cast("int")), said, {1: ["user"], 2: ["assistant"]}).select("being_id", F.col("no").cast("long").alias("no"), "said")
+    turns = range(1 + (c.agg(F.max("turn")).first()[0] or 0))
+    both = A.side_by_side(parts.withColumn("no", F.col("no").cast("int")), said, {n: ["user" if n % 2 else "assistant"] for n in turns})
+    return both.select("being_id", F.col("no").cast("long").alias("no"), "said")
 
 
 @query("i2_uncovered_lines")

@@ -264,21 +264,37 @@ def c18(spark, d):
     return x.select("text_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "surface")
 
 
+EACH = 700
+
+
 def returned_quotes(spark, d):
-    """Per text three stretches as a model might return them: as written, in capitals with
-    double spaces, and one that is in no text."""
-    x = texts(spark, d).filter(F.length("text") >= 200)
-    said = F.array(F.substring("text", 21, 60), F.replace(F.translate(F.substring("text", 41, 90), "aeiou", "AEIOU"), F.lit(" "), F.lit("  ")), F.lit("zzqx wvvk zzqx wvvk zzqx"))
+    """Per text, at every 700th character, stretches as a model might return them: as written, in capitals with double
+    spaces; and one that is in no text."""
+    x = texts(spark, d)
+    at = F.sequence(F.lit(0), F.floor(F.length("text") / EACH).cast("int"))
+    said = F.transform(at, lambda i: F.array(F.substring(F.col("text"), i * EACH + 21, F.lit(60)), F.replace(F.translate(F.substring(F.col("text"), i * EACH + 41, F.lit(90)), "aeiou", "AEIOU"), F.lit(" "), F.lit("  "))))
+    said = F.filter(F.concat(F.flatten(said), F.array(F.lit("zzqx wvvk zzqx wvvk zzqx"))), lambda q: F.length(F.btrim(q)) >= 4)
     return x.select("text_id", "text", F.transform(said, lambda q, i: F.struct(i.alias("quote_no"), q.alias("quote"))).alias("quotes"))
 
 
-@query("c16_c19_locate", f"""WITH {TEXTS}, q AS (SELECT text_id, text, unnest([0, 1, 2]) AS quote_no, unnest([substr(text, 21, 60), replace(translate(substr(text, 41, 90), 'aeiou', 'AEIOU'), ' ', '  '), 'zzqx wvvk zzqx wvvk zzqx']) AS quote FROM texts WHERE length(text) >= 200),
+# Folding keeps a text's length, and so its offsets, where it holds none of these.
+UNEVEN_FOLD = r"[*_`…]|\s\s"
+
+
+@query("c16_c19_locate", f"""WITH {TEXTS}, s AS (SELECT text_id, text, list_filter(flatten(list_transform(range(0, length(text) // {EACH} + 1), lambda i: [substr(text, (i * {EACH} + 21)::BIGINT, 60),
+        replace(translate(substr(text, (i * {EACH} + 41)::BIGINT, 90), 'aeiou', 'AEIOU'), ' ', '  ')])) || ['zzqx wvvk zzqx wvvk zzqx'], lambda q: length(trim(q)) >= 4) AS qs FROM texts),
+    q AS (SELECT text_id, text, unnest(range(0, len(qs))) AS quote_no, unnest(qs) AS quote FROM s),
     f AS (SELECT *, trim(quote, {SPACE_SQL}) AS tq, {fold_sql('text')} AS ft, trim({fold_sql('quote')}, ' ') AS fq FROM q)
-    SELECT text_id, quote_no, CASE WHEN contains(text, tq) THEN 'exact' ELSE 'folded' END AS match, md5(fq) AS h FROM f WHERE contains(text, tq) OR (length(fq) >= 8 AND contains(ft, fq))""")
+    SELECT text_id, quote_no, CASE WHEN contains(text, tq) THEN 'exact' ELSE 'folded' END AS match, md5(fq) AS h,
+    CASE WHEN contains(text, tq) THEN instr(text, tq) - 1 WHEN NOT regexp_matches(text, '[*_`…]|\\s\\s') THEN instr(ft, fq) - 1 END AS start,
+    CASE WHEN contains(text, tq) THEN instr(text, tq) - 1 + length(tq) WHEN NOT regexp_matches(text, '[*_`…]|\\s\\s') THEN instr(ft, fq) - 1 + length(fq) END AS "end"
+    FROM f WHERE contains(text, tq) OR (length(fq) >= 8 AND contains(ft, fq))""")
 def c19(spark, d):
     q = returned_quotes(spark, d)
     at = grounding.locate_all(q, ["text_id"]).join(q.select("text_id", "text"), "text_id")
-    return at.select("text_id", "quote_no", "match", F.md5(F.btrim(T.fold(S.cut("text", F.col("start"), F.col("end"))), F.lit(" "))).alias("h"))
+    even = (F.col("match") == "exact") | ~F.col("text").rlike(UNEVEN_FOLD)
+    return at.select("text_id", "quote_no", "match", F.md5(F.btrim(T.fold(S.cut("text", F.col("start"), F.col("end"))), F.lit(" "))).alias("h"),
+                     F.when(even, F.col("start")).cast("long").alias("start"), F.when(even, F.col("end")).cast("long").alias("end"))
 
 
 @query("c20_fuzzy_alignment")
@@ -304,12 +320,14 @@ def c22(spark, d):
     return per.select("l_orderkey", F.array_join(T.valid_numbers("v", F.lit(30)), ",").alias("nos"))
 
 
-@query("c23_split_answers", f"""WITH p AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY 1)
-    SELECT conv_id, no, trim(body, {SPACE_SQL}) AS body FROM (SELECT conv_id, unnest([0, 1, 3]) AS no, unnest(['Well then.', '1. ' || a, '**3)** ' || b]) AS body FROM p WHERE a IS NOT NULL AND b IS NOT NULL)""")
+@query("c23_split_answers", f"""WITH p AS (SELECT conv_id, turn, least(turn + 1, 5) AS no, trim(least(turn + 1, 5) || '. ' || text, {SPACE_SQL}) AS body FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, 0, 'Well then.' FROM conversations)
+    SELECT conv_id, no, string_agg(body, chr(10) ORDER BY turn) AS body FROM p GROUP BY 1, 2""")
 def c23(spark, d):
-    p = table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    raw = F.concat(F.lit("Well then.\n1. "), "a", F.lit("\n\n**3)** "), "b")
-    return p.filter(raw.isNotNull()).select("conv_id", F.inline(split_answers(raw)))
+    """All turns of a conversation as the numbered parts of one answer."""
+    part = F.concat(F.least(F.col("turn") + 1, F.lit(5)).cast("string"), F.lit(". "), "text")
+    p = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    raw = F.concat(F.lit("Well then.\n"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n"))
+    return p.select("conv_id", F.inline(split_answers(raw))).select("conv_id", F.col("no").cast("long").alias("no"), "body")
 
 
 @query("c24_lab_era_half", """WITH o AS (SELECT o_orderkey, strftime(o_orderdate + INTERVAL 28 YEAR, '%Y-%m-%d') AS date FROM orders)
@@ -354,11 +372,16 @@ def c28(spark, d):
     return texts(spark, d).select("text_id", T.find_label(F.lit("That"), "text").cast("long").alias("place"))
 
 
-@query("c29_passage_view", f"""WITH {TEXTS} SELECT text_id, '[' || round_even(100.0 * 10 / length(text), 0)::INT || '%] ' || trim(substr(text, 11, 20), {SPACE_SQL}) || chr(10) || '[' || round_even(100.0 * 50 / length(text), 0)::INT || '%] ' || trim(substr(text, 51, 20), {SPACE_SQL}) AS view,
-    2 AS passages, round_even(100.0 * 40 / length(text), 0)::INT AS covered_pct FROM texts WHERE length(text) >= 100""")
+@query("c29_passage_view", f"""WITH {TEXTS}, s AS (SELECT text_id, text, unnest(range(0, length(text) // 200 + 1)) AS i FROM texts), c AS (SELECT *, (i * 200)::BIGINT AS s, least(i * 200 + 30, length(text))::BIGINT AS e FROM s),
+    k AS (SELECT * FROM c WHERE e > s)
+    SELECT text_id, string_agg('[' || round_even(100.0 * s / length(text), 0)::INT || '%] ' || trim(substr(text, s + 1, e - s), {SPACE_SQL}), chr(10) ORDER BY s) AS view, count(*) AS passages,
+    round_even(100.0 * sum(e - s) / any_value(length(text)), 0)::INT AS covered_pct FROM k GROUP BY text_id""")
 def c29(spark, d):
-    spans = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(s + 20).alias("end")) for s in (10, 50)])
-    return texts(spark, d).filter(F.length("text") >= 100).select("text_id", grounding.passage_view("text", spans).alias("v")).select("text_id", "v.*")
+    """Thirty characters at every 200th of the whole text."""
+    n = F.length("text")
+    at = F.filter(F.sequence(F.lit(0), F.floor(n / 200).cast("int")), lambda i: i * 200 < n)
+    spans = F.transform(at, lambda i: F.struct((i * 200).alias("start"), F.least(i * 200 + 30, n).alias("end")))
+    return texts(spark, d).filter(n > 0).select("text_id", grounding.passage_view("text", spans).alias("v")).select("text_id", "v.view", F.col("v.passages").cast("long").alias("passages"), "v.covered_pct")
 
 
 @query("c30_c31_levels", f"{WITH_BEINGS} SELECT id, CASE WHEN n_fate > 0 THEN 'is' WHEN n_cost > 0 THEN 'alive' WHEN n_role > 0 THEN 'part' ELSE 'in' END AS level, CASE WHEN n_fate > 0 THEN 3 WHEN n_cost > 0 THEN 2 WHEN n_role > 0 THEN 1 ELSE 0 END AS rank FROM beings")
