@@ -164,22 +164,27 @@ def locate_all(df: DataFrame, keys, text="text", quotes="quotes", min_share: flo
         return let(once, lambda bound: F.transform(rows, lambda q: one(q, bound)))
 
     rows = df.select(*keys, body.alias("_text"), F.inline(let(exact, settle)))
-    rows = rows.select(*keys, "quote_no", "at", "match", F.when(F.col("hopeful"), F.col("_text")).alias("_text"), "quote")
-    tried = rows.withColumn("_c", F.when(F.col("_text").isNotNull(), candidate_windows("_text", "quote")))
-    spread_ = tried.select(*keys, "quote_no", "at", "match", "_text", F.col("_c.words").alias("_tw"), F.col("_c.quote").alias("_qw"),
-                           F.explode_outer("_c.at").alias("_w"))
+    settled = rows.filter(F.col("at").isNotNull()).select(*keys, "quote_no", "at", "match")
+    loose = rows.filter(F.col("at").isNull() & F.col("hopeful")).withColumn("_c", candidate_windows("_text", "quote"))
+    tried = loose.select(*keys, "quote_no", F.col("_c.quote").alias("_qw"), F.explode("_c.at").alias("_w")).select(*keys, "quote_no", "_qw", "_w.window", "_w.lo", "_w.k")
+    # word lists alone go to Python, dealt by quote
+    tried = tried.repartition(*keys, "quote_no")
     score = F.pandas_udf(align, "got int, first int, last int")
-    scored = spread_.withColumn("_a", score("_qw", "_w.window"))
     n = F.size("_qw")
-    share = F.col("_a.got") / n
-    good = F.col("_w").isNotNull() & (share >= min_share) & (F.col("_a.last") - F.col("_a.first") + 1 <= STRETCH * n + SLACK)
-    wide = widen(F.col("_text"), F.get("_tw", F.col("_w.lo") + F.col("_a.first"))["start"], F.get("_tw", F.col("_w.lo") + F.col("_a.last"))["end"])
-    found = scored.select(*keys, "quote_no", F.coalesce("at", F.when(good, wide)).alias("at"), F.coalesce("match", F.when(good, F.lit("fuzzy"))).alias("match"),
-                          F.when(good, share).alias("share"), F.col("_w.k").alias("k")).filter(F.col("at").isNotNull())
-    best = found.groupBy(*keys, "quote_no").agg(F.max_by(F.struct("at", "match"), F.struct("share", -F.col("k"))).alias("b"),
-                                                F.any_value(F.struct("at", "match")).alias("any"))
-    pick = F.coalesce("b", "any")
-    return best.select(*keys, "quote_no", pick["at"]["start"].alias("start"), pick["at"]["end"].alias("end"), pick["match"].alias("match"))
+    scored = tried.withColumn("_a", score("_qw", "window")).withColumn("share", F.col("_a.got") / n)
+    good = (F.col("share") >= min_share) & (F.col("_a.last") - F.col("_a.first") + 1 <= STRETCH * n + SLACK)
+    ends = F.struct((F.col("lo") + F.col("_a.first")).alias("first"), (F.col("lo") + F.col("_a.last")).alias("last"))
+    best = scored.filter(good).groupBy(*keys, "quote_no").agg(F.max_by(ends, F.struct("share", -F.col("k"))).alias("w"))
+    # a text meets the places found in it once
+    per = best.groupBy(*keys).agg(F.collect_list(F.struct("quote_no", "w")).alias("_q")).join(df.select(*keys, body.alias("_text")), keys)
+
+    def placed(found):
+        return F.transform("_q", lambda q: F.struct(q["quote_no"].alias("quote_no"), widen(
+            F.col("_text"), F.get(found, q["w"]["first"])["start"], F.get(found, q["w"]["last"])["end"]).alias("at")))
+
+    fuzzy = per.select(*keys, F.inline(let(find_spans("_text", PROSE_WORD), placed))).withColumn("match", F.lit("fuzzy"))
+    both = settled.unionByName(fuzzy.select(*keys, "quote_no", "at", "match"))
+    return both.select(*keys, "quote_no", F.col("at.start").alias("start"), F.col("at.end").alias("end"), "match")
 
 
 def locate(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:

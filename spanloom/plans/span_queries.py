@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as S, text as T
 from spanloom.operators import answers as A, evaluate as E, grounding as GR, intervals as I, sampling as G
 from spanloom.operators.tables import names_in_quotes
-from spanloom.plans.data import (BEINGS, INTERVALS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WITH_MENTIONS, beings, intervals, labels, mentions, page_texts,
+from spanloom.plans.data import (ACCENTED, BEINGS, INTERVALS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WITH_MENTIONS, beings, intervals, labels, mentions, page_texts,
                                  query, sentences_of, span_rows, table, texts)
-from spanloom.plans.text_queries import HEADS_SQL, SENT_SQL, SPACE_SQL
+from spanloom.plans.text_queries import HEADS_SQL, SENT_SQL, SPACE_SQL, sentences_at_sql
 from spanloom.streaming.ingest import latest, taken
 
 # ---- intervals ---------------------------------------------------------------------------
@@ -457,7 +457,19 @@ def e22(spark, d):
     return both.select("being_id", F.col("no").cast("long").alias("no"), "said")
 
 
-@query("i2_uncovered_lines")
+_HIT = chr(92) + "b[Tt]he[ ]+[a-z]+s" + chr(92) + "b"
+
+
+@query("i2_uncovered_lines", f"""WITH {HEADS_SQL}, {sentences_at_sql('pt')}, lines AS (SELECT text_id, p[k] AS line, coalesce(list_sum(list_transform(p[1:k-1], lambda x: length(x) + 1)), 0)::BIGINT AS start FROM pl),
+    qt AS (SELECT text_id, start, start + length(line) AS e FROM lines WHERE length(line) >= 200 AND text_id % 2 = 0),
+    hd AS (SELECT h.text_id, h.start, h.start + length(line) AS e FROM heads h JOIN lines USING (text_id, start) WHERE title <> ''),
+    ac AS (SELECT text_id, translate(text, '{ACCENTED}', '{'0' * len(ACCENTED)}') AS t FROM pt),
+    ht AS (SELECT text_id, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS start, length(m[i]) AS n
+        FROM (SELECT text_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT text_id, string_split_regex(t, '{_HIT}') AS g, regexp_extract_all(t, '{_HIT}') AS m FROM ac))),
+    fr AS (SELECT * FROM ht h WHERE NOT EXISTS (SELECT 1 FROM qt q WHERE q.text_id = h.text_id AND q.start <= h.start AND h.start + h.n <= q.e)),
+    al AS (SELECT DISTINCT s.text_id, s.start, s.e, 'sentence' AS why FROM fr JOIN sat s ON s.text_id = fr.text_id AND s.start <= fr.start AND fr.start < s.e UNION ALL SELECT DISTINCT *, 'heading' FROM hd),
+    ok AS (SELECT text_id, start, e, min(why) AS why FROM al a WHERE NOT EXISTS (SELECT 1 FROM qt q WHERE q.text_id = a.text_id AND q.start <= a.start AND a.e <= q.e) GROUP BY 1, 2, 3)
+    SELECT text_id, start, e AS "end", substr(text, start + 1, e - start) AS line, why FROM ok JOIN pt USING (text_id) WHERE e - start <= 700 AND trim(substr(text, start + 1, e - start), {SPACE_SQL}) <> ''""")
 def lines2(spark, d):
     """Headings and sentences with a hit that no quote covers, of the pages."""
     t = page_texts(spark, d)
@@ -465,7 +477,7 @@ def lines2(spark, d):
     hits = t.select("text_id", F.inline(S.find_spans("text", r"\b[Tt]he[ ]+[a-z]+s\b")))
     sents = t.select("text_id", F.inline(S.sentences("text", keep_markers=True)))
     q = page_quotes(spark, d).select("text_id", "start", "end").filter("text_id % 2 = 0")
-    return A.uncovered_lines(t, heads.select("text_id", "start", "end"), hits, sents, q).select("text_id", "start", "end", "line", "why")
+    return A.uncovered_lines(t, heads.select("text_id", "start", "end"), hits, sents, q).select("text_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "line", "why")
 
 
 @query("j1_answers_table", """WITH a AS (SELECT conv_id AS text_id, turn AS seq, 'b' || (turn // 2) AS batch, CASE WHEN role = 'assistant' THEN text END AS raw FROM conversations WHERE turn // 2 <> 1)

@@ -77,7 +77,7 @@ def test_quotes_ingest(spark):
     kept, dropped = A.ingest_quotes(A.parse_quotes(answers), texts)
     assert sorted((r.text_id, r.match, r.quote) for r in kept.collect()) == [
         (0, "exact", "They carry lamps"), (0, "folded", "The keepers walk"), (2, "exact", "They carry lamps")]
-    assert sorted((r.text_id, r.why) for r in dropped.collect()) == [(0, "malformed"), (0, "malformed"), (0, "not in the text"), (2, "not in the text")]
+    assert sorted((r.text_id, r.why) for r in dropped.collect()) == [(0, "malformed"), (0, "malformed"), (0, "not in the text"), (1, "unreadable"), (2, "not in the text")]
 
 
 def test_labels_ingest(spark):
