@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from spanloom.functions.spans import _c
+from spanloom.functions.spans import WHITESPACE, _c
 from spanloom.functions.text import era, lab
 
 _NUMBER = r"-?[\d.]+"
@@ -47,6 +47,16 @@ def column_filter(df, conditions: dict):
     return df
 
 
+def band(df, col: str, low, high):
+    """Rows with ``col`` from ``low`` to ``high``, both included; NULL is in no band."""
+    return df.filter(F.col(col).between(low, high))
+
+
+def line_cap(df, col: str, cap: int = 700):
+    """Lines that are not blank and have at most ``cap`` characters."""
+    return df.filter((F.length(col) <= cap) & (F.btrim(F.col(col), F.lit(WHITESPACE)) != ""))
+
+
 def facet(df, writer=None, period=None, word=None, contains=None, noun=None, voice=None, *,
           model="model", date="released", words="words", sentences="sentences", nouns="nouns", voices="voice"):
     """AND of the given facets. ``writer`` is a model or 'lab/*'."""

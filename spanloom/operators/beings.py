@@ -277,18 +277,21 @@ def side_table(beings: DataFrame, kept: DataFrame, side: str, least: int = 3) ->
     return n.filter(F.col("beings") >= least).join(w, "noun", "left").fillna(0, ["n_words"])
 
 
-def scaled_least(total: int) -> int:
-    """25 of 16,400 beings, and never under 4."""
-    return max(4, round(25 * total / 16400))
+def scaled_least(total):
+    """25 of 16,400 beings, halves upwards, and never under 4."""
+    return F.greatest(F.lit(4), F.floor(25 * total / 16400 + 0.5))
 
 
-def trend_table(beings: DataFrame, kept: DataFrame, side: str, least: int = 25, eras=ERAS) -> DataFrame:
+def trend_table(beings: DataFrame, kept: DataFrame, side: str, least: int | None = 25, eras=ERAS) -> DataFrame:
     """Per noun: share of the beings of each period, change in points, ratio last to first.
-    The share is of beings that were read for sides."""
+    Counts and shares are of beings with a period that were read for sides. Where ``least``
+    is None it follows the number of such beings, for tables over a selection."""
     dated = beings.filter(F.col("era").isNotNull())
     read = dated.join(kept.select(F.col("being_id").alias("id")), "id", "left_semi")
     total = read.groupBy().pivot("era", list(eras)).agg(F.count(F.lit(1)))
-    rows = sides(beings, kept, side)
+    rows = sides(dated, kept, side)
+    if least is None:
+        least = scaled_least(read.select(F.count(F.lit(1))).scalar())
     cols = [F.count(F.lit(1)).alias("beings")] + [count_if(F.col("era") == e).alias("_%d" % i) for i, e in enumerate(eras)]
     per = rows.groupBy("noun").agg(*cols).filter(F.col("beings") >= least)
     last = len(eras) - 1
@@ -345,11 +348,12 @@ def cohort_halves(facts: DataFrame, words=("guardian", "keeper"), least: int = 6
 
 
 def lineage(facts: DataFrame, prefix: str, words=("guardian", "keeper")) -> DataFrame:
-    """Writers of one line in order of release."""
+    """Writers of one line in order of release, with the median length of their texts."""
     mine = facts.filter(F.col("model").startswith(prefix) & F.col("released").isNotNull())
+    length = upper_median(mine.select("model", "text_id", "n_sentences").distinct(), "model", "n_sentences", "median_sentences")
     return mine.groupBy("model", "released").agg(
         F.count(F.lit(1)).alias("beings"), share(F.col("n_cost") > 0).alias("cost_pct"), share(F.col("n_fate") > 0).alias("fate_pct"),
-        *[share(F.array_contains("words", w)).alias(w + "_pct") for w in words]).orderBy("released", "model")
+        *[share(F.array_contains("words", w)).alias(w + "_pct") for w in words]).join(length, "model").orderBy("released", "model")
 
 
 def level_tables(levels: DataFrame, by: str, least: int = 1) -> DataFrame:
@@ -362,6 +366,26 @@ def level_tables(levels: DataFrame, by: str, least: int = 1) -> DataFrame:
     return out.filter(F.col("texts") >= least)
 
 
+def level_totals(levels: DataFrame) -> DataFrame:
+    """Texts per level and their share of all."""
+    total = levels.select(F.count(F.lit(1))).scalar()
+    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("texts")).withColumn("pct", F.round(100.0 * F.col("texts") / total, 1))
+
+
+def level_words(levels: DataFrame, least: int = 1) -> DataFrame:
+    """``level_tables`` per lexicon word of a text (``levels``: text_id, level, words)."""
+    return level_tables(levels.withColumn("word", F.explode(F.array_distinct("words"))), "word", least)
+
+
+def level_contrast(levels: DataFrame, by: str, chosen) -> DataFrame:
+    """Per value of ``by``: share of part or more among the chosen texts and among the rest."""
+    more, c = F.col("level") != "in", F.coalesce(chosen, F.lit(False))
+    return levels.filter(F.col(by).isNotNull()).groupBy(by).agg(
+        count_if(c).alias("chosen"), count_if(~c).alias("rest"),
+        F.round(F.try_divide(100.0 * count_if(c & more), count_if(c)), 1).alias("chosen_pct"),
+        F.round(F.try_divide(100.0 * count_if(~c & more), count_if(~c)), 1).alias("rest_pct"))
+
+
 def presence_lift(labels: DataFrame, groups: DataFrame, probes) -> DataFrame:
     """Share of texts holding a probe word in group P over the share in group I.
     ``groups``: text_id, in_p. Each text counts once per probe."""
@@ -421,11 +445,13 @@ def voices_by_writer(voice: DataFrame, beings: DataFrame) -> DataFrame:
 
 
 def portrait(facts: DataFrame, selected, questions=QUESTIONS) -> DataFrame:
-    """The selection against the rest: beings, texts, answer and arrangement shares."""
-    return facts.withColumn("in_sel", F.coalesce(selected, F.lit(False))).groupBy("in_sel").agg(
+    """The selection against the rest: beings, texts, median length, answer and arrangement shares."""
+    rows = facts.withColumn("in_sel", F.coalesce(selected, F.lit(False)))
+    return rows.groupBy("in_sel").agg(
         F.count(F.lit(1)).alias("beings"), F.countDistinct("text_id").alias("texts"),
         *[share(F.col("n_" + q) > 0).alias(q + "_pct") for q in questions],
-        *[share(F.col("arrangement") == k).alias(k + "_pct") for k in ARRANGEMENTS])
+        *[share(F.col("arrangement") == k).alias(k + "_pct") for k in ARRANGEMENTS]).join(
+            upper_median(rows, "in_sel", "n_sentences", "median_sentences"), "in_sel")
 
 
 def portrait_words(facts: DataFrame, selected) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.functions.text import band, holds_word, lab, n_lexicon_words, param_echo, pct, text_flag
+from spanloom.functions.text import band, holds_word, lab, n_lexicon_words, param_echo, pct, stems_in, text_flag
 from spanloom.operators.sampling import top_k
 
 KINDS = ("catalogue", "named", "place itself", "a process", "unnamed, said so", "ordinary biology", "undetermined")
@@ -305,11 +305,17 @@ def statement_list(mentions: DataFrame, cov: DataFrame, pattern: str, cap: int =
     return rows.select("text_id", "start", "model", "best", shown.alias("sentence"))
 
 
-def name_index(labels: DataFrame, strings: DataFrame, stems=None) -> DataFrame:
+def name_index(labels: DataFrame, strings: DataFrame) -> DataFrame:
     """Inverted index string -> texts, kept long, for the strings of a given table."""
     return labels.join(strings.select("norm").distinct(), "norm", "left_semi").select("norm", "text_id").distinct()
 
 
+def word_index(index: DataFrame, stems) -> DataFrame:
+    """Inverted index lexicon word -> texts, from an index of strings (norm, text_id)."""
+    words = index.select("norm").distinct().select("norm", F.explode(stems_in("norm", stems)).alias("word"))
+    return index.join(words, "norm").select("word", "text_id").distinct()
+
+
 def writer_rollup(df: DataFrame, model="model") -> DataFrame:
     """Counts per model, per lab and in all."""
     out = df.withColumn("lab", lab(model)).rollup("lab", model).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))

@@ -172,6 +172,20 @@ def f33b(spark, d):
     return B.kept_phrase_forms(phrases(spark, d))
 
 
+_KINDS = ("ring", "widget", "bolt", "gear")
+
+
+@query("f33_kept_phrase_kinds", "WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS pre, split_part(p_name, ' ', 2) AS noun, p_partkey % 3 AS k FROM part) SELECT p_partkey, noun AS word, CASE WHEN k = 0 THEN pre END AS x, CASE WHEN k = 0 THEN 'high hall' END AS \"of\", "
+       "k = 1 AS possessive, k = 2 AS bare FROM p WHERE noun IN ('ring', 'widget', 'bolt', 'gear')")
+def f33c(spark, d):
+    """A hyphened, a possessive and a bare form by turns."""
+    from spanloom.functions.text import kept_phrase_kinds
+    pre, noun, k = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 3
+    label = F.when(k == 0, F.concat(pre, F.lit("-"), noun, F.lit("s of the high hall"))).when(k == 1, F.concat(F.lit("the city's "), noun)).otherwise(F.concat(noun, F.lit("s")))
+    said = table(spark, d, "part").select("p_partkey", label.alias("label")).select("p_partkey", F.inline(F.array(*[kept_phrase_kinds("label", w) for w in _KINDS])))
+    return said.filter("holds").drop("holds")
+
+
 def side_sql(t, name="beings"):
     return f"SELECT noun, count(DISTINCT id) AS {name}, count(DISTINCT w) AS n_words FROM (SELECT noun, id, unnest(words) AS w FROM {t}) GROUP BY 1"
 
@@ -187,11 +201,19 @@ ERAS_SQL = "['2024 and before', 'first half of 2025', 'second half of 2025', '20
 
 @query("f36_trend_table", f"""{WITH_KEPT}, dn AS (SELECT era, count(*) AS n FROM fr WHERE era IS NOT NULL AND id IN (SELECT id FROM kl) GROUP BY 1), c AS (SELECT noun, count(*) AS beings, """
        + ", ".join(f"round(100.0 * count(*) FILTER (era = {ERAS_SQL}[{i + 1}]) / (SELECT n FROM dn WHERE era = {ERAS_SQL}[{i + 1}]), 2) AS p{i}" for i in range(4))
-       + " FROM kf GROUP BY 1) SELECT *, round(p3 - p0, 2) AS change, round(p3 / p0, 1) AS times FROM c WHERE beings >= 25")
+       + " FROM kf WHERE era IS NOT NULL GROUP BY 1) SELECT *, round(p3 - p0, 2) AS change, round(p3 / p0, 1) AS times FROM c WHERE beings >= 25")
 def f36(spark, d):
     return B.trend_table(being_rows(spark, d), kept(spark, d), "for")
 
 
+@query("f36_trend_selection", f"""{WITH_KEPT}, se AS (SELECT * FROM fr WHERE era IS NOT NULL AND model LIKE 'ASIA/%' AND id IN (SELECT id FROM kl)), dn AS (SELECT era, count(*) AS n FROM se GROUP BY 1), c AS (SELECT noun, count(*) AS beings, """
+       + ", ".join(f"round(100.0 * count(*) FILTER (era = {ERAS_SQL}[{i + 1}]) / (SELECT n FROM dn WHERE era = {ERAS_SQL}[{i + 1}]), 2) AS p{i}" for i in range(4))
+       + " FROM kf WHERE id IN (SELECT id FROM se) GROUP BY 1) SELECT *, round(p3 - p0, 2) AS change, round(p3 / nullif(p0, 0), 1) AS times FROM c WHERE beings >= (SELECT greatest(4, floor(25 * count(*) / 16400 + 0.5)) FROM se)")
+def f36b(spark, d):
+    """The same of one line of writers, with the minimum that its size gives."""
+    return B.trend_table(being_rows(spark, d).filter(F.col("model").startswith("ASIA/")), kept(spark, d), "for", None)
+
+
 @query("f37_both_sides", f"{WITH_KEPT} SELECT a.noun, a.beings AS against, f.beings AS \"for\" FROM ({side_sql('ka')}) a JOIN ({side_sql('kf')}) f USING (noun) WHERE a.beings >= 60 ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 10")
 def f37(spark, d):
     b, k = beings(spark, d), kept(spark, d)
@@ -221,7 +243,7 @@ def f38b(spark, d):
     return B.cohort_halves(being_rows(spark, d), ("promo", "small"))
 
 
-@query("f38_lineage", f"{WITH_FACTS} SELECT model, released, count(*) AS beings, {shares(names=('cost', 'fate'))}, round(100.0 * count(*) FILTER (list_contains(words, 'promo')) / count(*), 1) AS promo_pct FROM fr WHERE model LIKE 'ASIA/%' AND released IS NOT NULL GROUP BY 1, 2")
+@query("f38_lineage", f"{WITH_FACTS} SELECT model, released, count(*) AS beings, {shares(names=('cost', 'fate'))}, round(100.0 * count(*) FILTER (list_contains(words, 'promo')) / count(*), 1) AS promo_pct, (SELECT list_sort(list(n))[count(*) // 2 + 1] FROM (SELECT DISTINCT text_id, n_sentences AS n FROM fr x WHERE x.model = fr.model AND released IS NOT NULL)) AS median_sentences FROM fr WHERE model LIKE 'ASIA/%' AND released IS NOT NULL GROUP BY 1, 2")
 def f38c(spark, d):
     return B.lineage(being_rows(spark, d), "ASIA/", ("promo",))
 
@@ -248,6 +270,24 @@ def f39(spark, d):
     return out
 
 
+@query("f39_level_totals", f"{WITH_FACTS}, {LV} SELECT level, count(*) AS texts, round(100.0 * count(*) / (SELECT count(*) FROM lv), 1) AS pct FROM lv GROUP BY 1")
+def f39b(spark, d):
+    return B.level_totals(leveled(spark, d))
+
+
+@query("f39_level_words", f"{WITH_FACTS}, {LV}, w AS (SELECT *, unnest(words) AS word FROM lv) SELECT word, count(*) AS texts, " + ", ".join(f"round(100.0 * count(*) FILTER (level = '{x}') / count(*), 1) AS {x}_pct" for x in ("in", "part", "alive", "is"))
+       + ", round(100.0 * count(*) FILTER (level <> 'in') / count(*), 1) AS part_or_more_pct FROM w GROUP BY 1")
+def f39c(spark, d):
+    return B.level_words(leveled(spark, d))
+
+
+@query("f39_level_contrast", f"""{WITH_FACTS}, {LV} SELECT lab, count(*) FILTER (list_contains(words, 'promo')) AS chosen, count(*) FILTER (NOT list_contains(words, 'promo')) AS rest,
+    round(100.0 * count(*) FILTER (list_contains(words, 'promo') AND level <> 'in') / nullif(count(*) FILTER (list_contains(words, 'promo')), 0), 1) AS chosen_pct,
+    round(100.0 * count(*) FILTER (NOT list_contains(words, 'promo') AND level <> 'in') / nullif(count(*) FILTER (NOT list_contains(words, 'promo')), 0), 1) AS rest_pct FROM lv WHERE lab IS NOT NULL GROUP BY 1""")
+def f39d(spark, d):
+    return B.level_contrast(leveled(spark, d), "lab", F.array_contains("words", "promo"))
+
+
 @query("f40_presence_lift", f"""{WITH_LABELS}, g AS (SELECT text_id, text_id % 3 = 0 AS p FROM texts), w(probe) AS (VALUES ('thing'), ('ther'), ('hest'), ('oner')), h AS (SELECT DISTINCT w.probe, l.text_id FROM labels2 l, w WHERE regexp_matches(l.norm, '(^|[^a-z])' || w.probe || '(s|es)?([^a-z]|$)'))
     SELECT probe, count(*) FILTER (p) AS n_p, count(*) FILTER (NOT p) AS n_i, round(100.0 * n_p / (SELECT count(*) FROM g WHERE p), 1) AS p_pct, round(100.0 * n_i / (SELECT count(*) FROM g WHERE NOT p), 1) AS i_pct,
     round((n_p / (SELECT count(*) FROM g WHERE p)) / nullif(n_i / (SELECT count(*) FROM g WHERE NOT p), 0), 1) AS lift FROM h JOIN g USING (text_id) GROUP BY 1""")
@@ -294,7 +334,7 @@ def f48(spark, d):
 SEL = "(era = '2026' AND list_contains(words, 'promo'))"
 
 
-@query("f51_portrait", f"{WITH_FACTS} SELECT coalesce({SEL}, false) AS in_sel, count(*) AS beings, count(DISTINCT text_id) AS texts, {shares()}, " + ", ".join(f"round(100.0 * count(*) FILTER (arrangement = '{k}') / count(*), 1) AS {k}_pct" for k in B.ARRANGEMENTS) + " FROM fr GROUP BY 1")
+@query("f51_portrait", f"{WITH_FACTS} SELECT coalesce({SEL}, false) AS in_sel, count(*) AS beings, count(DISTINCT text_id) AS texts, {shares()}, " + ", ".join(f"round(100.0 * count(*) FILTER (arrangement = '{k}') / count(*), 1) AS {k}_pct" for k in B.ARRANGEMENTS) + ", list_sort(list(n_sentences))[count(*) // 2 + 1] AS median_sentences FROM fr GROUP BY 1")
 def f51(spark, d):
     return B.portrait(being_rows(spark, d), (F.col("era") == "2026") & F.array_contains("words", "promo"))
 

@@ -279,6 +279,12 @@ def f59(spark, d):
     return E.adjudicate(first, second, rulings, ["relation", "number"]).select("text", "key", "first", "second", "final", "agree")
 
 
+@query("f59_reading_agreement", """WITH f AS (SELECT doc_id AS text, 'relation' AS key, quality = toxic AS agree FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'number', doc_id % 3 = doc_id % 2 FROM labels WHERE doc_id % 3 = 0)
+    SELECT key, count(*) AS n, count(*) FILTER (agree) AS agree FROM f GROUP BY 1""")
+def f59b(spark, d):
+    return E.reading_agreement(f59(spark, d))
+
+
 # ---- second instrument -------------------------------------------------------------------------
 PER = "per AS (SELECT l.text_id, l.norm, ok.model, count(*) AS n, bit_or(CASE WHEN source = 'quote' THEN 1 ELSE 2 END) AS bits FROM labels2 l JOIN ok USING (text_id) GROUP BY 1, 2, 3)"
 
@@ -350,6 +356,15 @@ def e15(spark, d):
     return T.name_index(l, l.filter("source = 'line'"))
 
 
+_STEMS = ("thing", "reed", "other", "oner")
+
+
+@query("e15_word_index", f"{WITH_LABELS} SELECT DISTINCT word, text_id FROM labels2, (VALUES " + ", ".join(f"('{w}')" for w in _STEMS) + ") v(word) WHERE norm IN (SELECT norm FROM labels2 WHERE source = 'line') AND regexp_matches(norm, '(^|[^a-z])' || word || 's?([^a-z]|$)')")
+def e15b(spark, d):
+    l = labels(spark, d)
+    return T.word_index(T.name_index(l, l.filter("source = 'line'")), _STEMS)
+
+
 @query("f57_writer_rollup", "WITH m AS (SELECT r_name || '/' || n_name AS model FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) SELECT split_part(model, '/', 1) AS lab, model, count(*) AS n FROM m GROUP BY ROLLUP (split_part(model, '/', 1), model)")
 def f57(spark, d):
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

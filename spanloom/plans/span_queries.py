@@ -233,6 +233,16 @@ def i2(spark, d):
     return A.requests_lines(lines, "Labels.", "conv_id").select("conv_id", F.md5("content").alias("h"))
 
 
+@query("i2_requests_labels", """WITH w AS (SELECT conv_id, list_sort(list(DISTINCT role)) AS l FROM conversations GROUP BY 1)
+    SELECT c.conv_id, md5('Among ' || any_value(array_to_string(l, '; ')) || ':' || chr(10) || chr(10) || string_agg('[' || (turn + 1) || '] ' || text, chr(10) ORDER BY turn)) AS h FROM conversations c JOIN w USING (conv_id) GROUP BY 1""")
+def i2b(spark, d):
+    """The instruction holds the labels of the text."""
+    c = table(spark, d, "conversations")
+    found = c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("found"))
+    lines = c.join(found, "conv_id").select("conv_id", (F.col("turn") + 1).alias("no"), F.col("text").alias("line"), A.prompt_with_labels("Among {labels}:", F.col("found")).alias("prompt"))
+    return A.requests_lines(lines, F.col("prompt"), "conv_id", form="[%d] %s").select("conv_id", F.md5("content").alias("h"))
+
+
 # Texts stand in one share here, so that the SQL can number them as well; shares of their own are tested in g10.
 @query("i3_requests_chunks", """WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations)
     SELECT p // 9 AS chunk, md5('Lines.' || chr(10) || chr(10) || string_agg((p % 9 + 1) || '. ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), chr(10) ORDER BY p)) AS h FROM n GROUP BY 1""")
@@ -388,6 +398,17 @@ def i10(spark, d):
     return got.select(F.split_part("name", F.lit("#"), F.lit(2)).cast("long").alias("p_partkey"), F.array_join("nouns", ",").alias("nouns"))
 
 
+@query("i10_ingest_sides", "SELECT p_partkey AS being_id, split_part(p_name, ' ', 2) AS \"for\", lower(p_type) AS against FROM part")
+def i10b(spark, d):
+    """Nouns in capitals, one that stands nowhere, a blank and a number."""
+    g = table(spark, d, "part").select(F.col("p_partkey").alias("being_id"), F.floor(F.col("p_partkey") / 50).alias("chunk"), (F.col("p_partkey") % 50 + 1).cast("int").alias("no"),
+                                       F.concat(F.lit("It keeps the "), "p_name", F.lit(". It fights the "), "p_type", F.lit(".")).alias("hay"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("n"), "p_type")
+    said = F.struct(F.array(F.upper("n"), F.lit("zz none"), F.lit(" ")).alias("for"), F.array(F.col("p_type"), F.lit("7777")).alias("against"))
+    answers = g.groupBy("chunk").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("no").cast("string"), said)))).alias("raw"))
+    got = A.ingest_sides(answers, g.select("chunk", "no", "being_id", "hay"))
+    return got.select("being_id", F.array_join("for", ",").alias("for"), F.array_join("against", ",").alias("against"))
+
+
 @query("i11_ingest_levels", f"{WITH_BEINGS} SELECT id AS text_id, CASE WHEN n_fate > 0 THEN 'is' WHEN n_cost > 0 THEN 'alive' WHEN n_role > 0 THEN 'part' ELSE 'in' END AS level FROM beings")
 def i11(spark, d):
     def arr(c):

@@ -114,7 +114,7 @@ def b10(spark, d):
 
 @query("b11_length_band", f"{WITH_BEINGS} SELECT id, n_sentences FROM beings WHERE n_sentences BETWEEN 30 AND 60")
 def b11(spark, d):
-    return beings(spark, d).filter(F.col("n_sentences").between(30, 60)).select("id", F.col("n_sentences").cast("long").alias("n_sentences"))
+    return filters.band(beings(spark, d), "n_sentences", 30, 60).select("id", F.col("n_sentences").cast("long").alias("n_sentences"))
 
 
 @query("b12_person_candidates", """SELECT conv_id AS being_id, count(*) AS n_sentences, count(*) FILTER (regexp_matches(text, ' le ')) AS n_first, count(*) FILTER (regexp_matches(text, ' the ')) AS n_you
@@ -152,7 +152,7 @@ def b15(spark, d):
 @query("b16_line_cap", f"WITH {TEXTS}, s AS (SELECT text_id, unnest(string_split(text, chr(10))) AS line FROM texts) SELECT text_id, count(*) AS n FROM s WHERE length(line) <= 700 AND trim(line, {SPACE_SQL}) <> '' GROUP BY 1")
 def b16(spark, d):
     lines = texts(spark, d).select("text_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter((F.length("line") <= 700) & (F.btrim(F.col("line"), F.lit(S.WHITESPACE)) != "")).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+    return filters.line_cap(lines, "line").groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- C: text functions ------------------------------------------------------------------------
