@@ -44,10 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents with a null doc_id that copy no other stay; rows that repeat a kept doc_id become one row, the one with the
     least text, lang, source and n_chars."""
     docs = _documents(docs)
-    groups = written(near_duplicates(docs, k=5, percent=80))
+    groups = written(near_duplicates(docs, k=5, percent=80), slim=True)
     gone = groups.filter("not kept and doc_id is not null").select("doc_id", F.lit(2).alias("mark"))
     twice = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(1).alias("mark"))
-    marks = written(gone.unionAll(twice).groupBy("doc_id").agg(F.max("mark").alias("mark")))
+    marks = written(gone.unionAll(twice).groupBy("doc_id").agg(F.max("mark").alias("mark")), slim=True)
     marked = docs.filter("doc_id is not null").join(marks, "doc_id", "left")
     once = marked.filter("mark is null").select(*COLUMNS)
     merged = marked.filter("mark = 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")

@@ -79,7 +79,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     """
     spark = docs.sparkSession
     small_batches(spark)
-    entries = written(item_table(items, k, percent))
+    entries = written(item_table(items, k, percent), slim=True)
     signed = entries.filter("signed")
     classes = signed.groupBy("size_class").agg(F.max(F.expr("shiftrightunsigned(hash, 1)")).alias("cut")).collect()  # at most 63 rows
     cut = max([r["cut"] for r in classes], default=-1) * 2 + 1
@@ -106,7 +106,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), pa.array(digest), long_lists(hashes[held], at)], names=["doc_id", "digest", "hashes"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest long, hashes array<long>")
-    found = written(found if cut >= 0 else found.limit(0)).dropDuplicates(["doc_id", "digest"])
+    found = written(found if cut >= 0 else found.limit(0), slim=True).dropDuplicates(["doc_id", "digest"])
     met = found.select("doc_id", "digest", F.explode("hashes").alias("hash")).join(entries, "hash")
     counted = met.groupBy("doc_id", "digest", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.max("signed").alias("candidate"), F.first("n_shingles").alias("n_shingles"), F.first("n_items").alias("n_items"))
     counted = counted.filter(F.col("candidate") & (100 * F.col("hits") >= percent * F.col("n_shingles")))
@@ -116,5 +116,5 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
 def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that hold an item; documents with a null doc_id share one fate."""
-    held = written(contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_held")).distinct())
+    held = written(contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_held")).distinct(), slim=True)
     return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_held")), "left_anti")

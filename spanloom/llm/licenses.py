@@ -80,21 +80,21 @@ def matched(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     found = files.select("row", "words", F.explode("said").alias("statement"))
     sizes = found.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
-    distinct = written(sizes.withColumn("terms", terms(F.col("statement"))))
+    distinct = written(sizes.withColumn("terms", terms(F.col("statement"))), slim=True)
     total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     seen = distinct.select("n", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
-    idf = written(seen.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).select("term", "idf"))
+    idf = written(seen.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).select("term", "idf"), slim=True)
     most = F.log(1 + F.lit(total)) + 1  # of a term that no statement holds
     entries = templates(spark).join(idf, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", most)).drop("idf", "tf")
     norms = entries.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     entries = entries.join(norms, "template")
     counted = distinct.select("statement", F.explode("terms").alias("term")).groupBy("statement", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = written(counted.join(idf, "term").select("statement", "term", (F.col("tf") * F.col("idf")).alias("w")))
+    weighted = written(counted.join(idf, "term").select("statement", "term", (F.col("tf") * F.col("idf")).alias("w")), slim=True)
     lengths = weighted.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighted.join(entries, "term").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     scored = dots.join(lengths, "statement").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).filter(F.col("cosine") >= COSINE)
     best = scored.groupBy("statement").agg(F.max(F.struct("cosine", (-F.col("template")).alias("order"), "license")).alias("b"))
-    best = written(best.join(distinct.select("statement", F.size("terms").alias("terms")), "statement").select("statement", "b.*", "terms"))
+    best = written(best.join(distinct.select("statement", F.size("terms").alias("terms")), "statement").select("statement", "b.*", "terms"), slim=True)
     hits = found.join(best, "statement")
     top = hits.groupBy("row").agg(F.max(F.struct("cosine", "order", "license")).alias("b"), F.sum("terms").alias("terms"), F.first("words").alias("words"))
     return top.select("row", "b.license", "b.cosine", (F.col("terms") / F.col("words")).alias("share"))
@@ -123,15 +123,15 @@ def scan(files: DataFrame) -> DataFrame:
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     by_name = F.coalesce(F.substring_index("path", "/", -1).rlike(FILE_NAME), F.lit(False))
     is_file = F.col("license").isNotNull() & (by_name | (F.col("share") >= FILE_SHARE))
-    found = written(found.withColumn("folder", folder).withColumn("is_file", is_file))
+    found = written(found.withColumn("folder", folder).withColumn("is_file", is_file), slim=True)
     passed = found.filter("is_file and folder is not null").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "path", "license")).alias("b"))
-    passed = written(passed.select(F.col("folder").alias("above"), F.col("b.license").alias("given"), F.col("b.path").alias("from_path")))
+    passed = written(passed.select(F.col("folder").alias("above"), F.col("b.license").alias("given"), F.col("b.path").alias("from_path")), slim=True)
     folders = found.filter("license is null and folder is not null").select("folder").distinct()
     steps = F.split("folder", "/")
     levels = F.transform(F.sequence(F.size(steps), F.greatest(F.size(steps) - DEPTH, F.lit(1)), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     ways = folders.select("folder", F.posexplode(F.array_distinct(F.concat(levels, F.array(F.lit(""))))).alias("up", "above"))
     nearest = ways.join(passed, "above").groupBy("folder").agg(F.min_by(F.struct("given", "from_path"), "up").alias("x"))
-    nearest = written(nearest.select("folder", "x.*"))
+    nearest = written(nearest.select("folder", "x.*"), slim=True)
     joined = found.join(nearest, "folder", "left")
     own = F.col("license").isNotNull()
     origin = F.when(F.col("is_file"), "file").when(own, "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")

@@ -195,7 +195,7 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     its own; so no task grows with a group, and only links that join something are given out.
     """
     sized = members.join(sets.select("id", F.size("shingles").cast("long").alias("n")), "id")
-    blocks = written(sized.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks")))
+    blocks = written(sized.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks")), slim=True)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.join(blocks, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hub", "id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -235,13 +235,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     table = written(set_table(docs, k))
     full = table.filter("n_shingles > 0")
     same = ["h1", "h2", "n_shingles"]
-    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")))
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), slim=True)
     leaders = full.join(classes.filter("id is not null").select(F.col("id").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
     leaders = (leaders.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "signature"), "h1").alias("x")).select("id", "x.*"))
     # the keys are many times the rows, so tasks are cut by rows, not by the bytes of the signatures
     leaders = written(leaders.repartition(max(1, classes.count() // KEYED), "id"))
     keys = key_rows(leaders, percent)
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"))
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"), slim=True)
     rows = written(keys.join(shared, "key").join(packed(leaders), "id"))
     near = f"x.key = y.key and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing('x', 'y')} <= {distance}"
     paired = written(rows.alias("x").join(rows.alias("y"), F.expr(near + " and x.id <> y.id"), "left_semi"))
@@ -249,10 +249,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), k)
     sets = written(sets.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("shingles", "h1").alias("shingles")))
     hubs = paired.groupBy("key").agg(F.min("id").alias("hub"))
-    members = written(paired.select("key", "id").join(written(hubs), "key").select("hub", "id").distinct())
-    labels = components(written(confirmed(members, sets, percent)))
+    members = written(paired.select("key", "id").join(written(hubs, slim=True), "key").select("hub", "id").distinct(), slim=True)
+    labels = components(written(confirmed(members, sets, percent), slim=True))
     grouped = (classes.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
                .filter("members > 1 or component_id <> id").select(*same, "component_id"))
-    found = table.select("doc_id", *same).join(written(grouped), same, "left")
+    found = table.select("doc_id", *same).join(written(grouped, slim=True), same, "left")
     own = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))

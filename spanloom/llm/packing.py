@@ -298,7 +298,7 @@ def pack(parts: DataFrame, most: int = 2048, cell: int = CELL) -> DataFrame:
     short = parts.filter(F.col("length") < most)
     number = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32")
     first = max(1, -(-short.count() // cell))
-    once = written(_packed(short.withColumn("cell", F.pmod(number, F.lit(first))), most))
+    once = written(_packed(short.withColumn("cell", F.pmod(number, F.lit(first))), most), slim=True)
     loose = once.filter(F.col("room") > most // 16)
     n = loose.count()
     second = max(1, -(-n // cell))

@@ -124,12 +124,12 @@ def sharded(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, cell
     cell = F.shiftright("h", shift) if shift < 63 else F.lit(0).cast("long")
     placed = lambda df: df.withColumn("shard", shard).withColumn("cell", cell)
     parts = placed(keys).groupBy("shard", "cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
-    parts = written(parts.filter("parts > 1"))
+    parts = written(parts.filter("parts > 1"), slim=True)
     divided = lambda df: (placed(df).join(parts, ["shard", "cell"], "left")
                           .withColumn("part", F.coalesce(F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"), F.lit(0))).drop("parts"))
     sizes = divided(keys).groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1)
-    first = written(sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n"))
+    first = written(sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n"), slim=True)
     place = F.row_number().over(W.partitionBy("shard", "cell", "part").orderBy("h", "i"))
     numbered = divided(keyed).withColumn("place", place).join(first, ["shard", "cell", "part"])
     return numbered.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

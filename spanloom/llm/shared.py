@@ -24,11 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, prunes columns on later reads."""
+def written(df: DataFrame, slim: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, prunes columns on later reads.
+
+    A ``slim`` table, small beside what it was made from, is rebalanced first: adaptive execution then writes few files of
+    a fair size, whose number follows the rows, where each task of the last stage would write a tiny one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.hint("rebalance") if slim else df
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

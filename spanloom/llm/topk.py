@@ -139,9 +139,9 @@ def top_k(vectors: DataFrame, column: str = "embedding", every: int = 50, k: int
     dealt = _least(slim.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))), ["point", "part"], k + 1, ["vec_id"])
     ids = _least(dealt.drop("part"), ["point"], k + 1, ["vec_id"]).groupBy("point").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     each = rows.groupBy("point").agg(F.first("v").alias("v"))
-    points = written(each.join(ids, "point"))
+    points = written(each.join(ids, "point"), slim=True)
     asked = slim.filter(F.col("vec_id") % every == 0)
-    queries = written(asked.select("point").distinct().join(each, "point"))
+    queries = written(asked.select("point").distinct().join(each, "point"), slim=True)
     blocks = max(1, -(-points.count() // BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     data = points.select(F.pmod(F.xxhash64("point"), F.lit(blocks)).alias("block"), "point", "v", "ids")
@@ -173,5 +173,5 @@ def top_k(vectors: DataFrame, column: str = "embedding", every: int = 50, k: int
     best = _least(first.unionAll(rest), ["point"], k + 1, [F.desc("score"), "vec_id"])
     gathered = best.groupBy("point").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))).alias("best"))
     mine = F.slice(F.filter("best", lambda s: s["vec_id"] != F.col("query_id")), 1, k)
-    answers = asked.withColumnRenamed("vec_id", "query_id").join(written(gathered), "point")
+    answers = asked.withColumnRenamed("vec_id", "query_id").join(written(gathered, slim=True), "point")
     return answers.select("query_id", F.posexplode(mine).alias("place", "s")).select("query_id", (F.col("place") + 1).alias("rank"), "s.vec_id", (-F.col("s.neg")).alias("score"))
