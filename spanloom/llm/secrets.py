@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import let
 from spanloom.llm.shared import written
 
 #: The base patterns. Character classes and alternatives only, so the regex engine never recurses.
@@ -26,14 +27,21 @@ PARTS = 32
 
 
 def running(values: Column, block: int = 256) -> Column:
-    """Running totals of an array of longs: totals of blocks first, then within the blocks, so long arrays stay cheap."""
+    """Running totals of an array of longs: totals of blocks first, then within the blocks, so long arrays stay cheap.
+
+    Whatever a lambda reads is bound first, else it would be worked out again for every element.
+    """
     zero = F.lit(0).cast("long")
     total = lambda part: F.aggregate(part, zero, lambda acc, x: acc + x)
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(starts, lambda at: total(F.slice(values, at + 1, block)))
-    before = F.aggregate(blocks, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     place = lambda i: F.floor(i / block).cast("int")
-    return F.transform(values, lambda _, i: F.element_at(before, place(i) + 1) + total(F.slice(values, place(i) * block + 1, i % block + 1)))
+
+    def before(bound):
+        starts = F.when(F.size(bound) > 0, F.sequence(F.lit(0), F.size(bound) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(starts, lambda at: total(F.slice(bound, at + 1, block)))
+        return F.aggregate(blocks, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    return let(values, lambda bound: let(before(bound), lambda heads: F.transform(
+        bound, lambda _, i: F.element_at(heads, place(i) + 1) + total(F.slice(bound, place(i) * block + 1, i % block + 1)))))
 
 
 def _spans(text: Column, kind: int, pattern: str, value_from: str | None, least: int) -> Column:
@@ -41,14 +49,15 @@ def _spans(text: Column, kind: int, pattern: str, value_from: str | None, least:
 
     Text between matches (split) and the matches themselves alternate, so running lengths give the offsets.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    before = lambda i: F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0)
-    starts = running(F.transform(found, lambda m, i: (F.length(F.get(between, i)) + before(i)).cast("long")))
-    one = F.transform(F.arrays_zip(found.alias("m"), starts.alias("at")), lambda x: F.struct(
-        x["at"].alias("start"), F.lit(kind).alias("rank"), F.lit(KINDS[kind]).alias("kind"), (x["at"] + F.length(x["m"])).alias("end"),
-        (F.regexp_extract(x["m"], value_from, 2) if value_from else x["m"]).alias("value")))
-    return F.filter(one, lambda s: F.length(s["value"]) >= least)
+    def placed(b):
+        before = lambda i: F.when(i > 0, F.length(F.get(b["found"], i - 1))).otherwise(0)
+        starts = running(F.transform(b["found"], lambda m, i: (F.length(F.get(b["between"], i)) + before(i)).cast("long")))
+        return F.transform(F.arrays_zip(b["found"].alias("m"), starts.alias("at")), lambda x: F.struct(
+            x["at"].alias("start"), F.lit(kind).alias("rank"), F.lit(KINDS[kind]).alias("kind"), (x["at"] + F.length(x["m"])).alias("end"),
+            (F.regexp_extract(x["m"], value_from, 2) if value_from else x["m"]).alias("value")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.filter(let(both, placed), lambda s: F.length(s["value"]) >= least)
 
 
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
@@ -68,10 +77,12 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def entropy(value: Column) -> Column:
     """Bits per character of a string."""
-    letters = F.split(value, "")
-    n = F.size(letters)
-    counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
-    return -F.aggregate(counts, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
+    def bits(letters):
+        n = F.size(letters)
+        counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
+        return -F.aggregate(counts, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
+
+    return let(F.split(value, ""), bits)
 
 
 def looks_live(value: Column) -> Column:
@@ -123,17 +134,24 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, verdict: str = "live") -> Column:
-    """The text with each span of this verdict replaced by its kind in brackets; spans that overlap become one."""
-    chosen = F.filter(spans, lambda s: s["verdict"] == verdict)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each span of this verdict replaced by its kind in brackets; spans that overlap become one.
+
+    The pieces are gathered in an array and joined once. The text is cut at code points; each cut walks from its beginning.
+    """
+    def rebuilt(chosen):
+        none = F.array().cast("array<string>")
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+        def step(acc, s):
+            before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
+            mark = F.when(s["start"] >= acc["at"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]")))).otherwise(none)
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
 
-    def step(acc, s):
-        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.concat(before, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+        done = F.aggregate(chosen, start, step)
+        whole = let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
+        return F.when(F.size(chosen) > 0, whole).otherwise(text)
 
-    done = F.aggregate(chosen, start, step)
-    return F.when(F.size(chosen) > 0, F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    return let(F.filter(spans, lambda s: s["verdict"] == verdict), rebuilt)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
