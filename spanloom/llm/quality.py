@@ -148,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
     made = rows.mapInArrow(run, "doc_id long, y int, stats array<double>, index array<int>, value array<float>").toArrow().combine_chunks().sort_by("doc_id")
     if not made.num_rows:
-        return {"machine": Machine(len(STATS) + WORDS, RANK), "mean": np.zeros(len(STATS)), "spread": np.ones(len(STATS))}
+        nothing = Machine(len(STATS) + WORDS, RANK)
+        nothing.v[:] = 0
+        return {"machine": nothing, "mean": np.zeros(len(STATS)), "spread": np.ones(len(STATS))}
     stats = np.array(made.column("stats").to_pylist())
     index, value = (made.column(c).combine_chunks() for c in ("index", "value"))
     starts = np.concatenate(([0], np.cumsum([len(x) for x in index])))
