@@ -294,7 +294,7 @@ def pack(parts: DataFrame, most: int = 2048, cell: int = CELL) -> DataFrame:
     gapless; offsets within a sequence are gapless from 0. Ties in length go by doc_id and piece, so a rerun gives the
     same packing. Repeated rows are pieces of their own. An empty table gives an empty table.
     """
-    parts = written(parts.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    parts = written(parts.select("doc_id", "piece", "start", "length", "ids_crc32"), slim=True)
     short = parts.filter(F.col("length") < most)
     number = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32")
     first = max(1, -(-short.count() // cell))
