@@ -63,7 +63,8 @@ def tree(page: str) -> Node:
                     return
                 return end(tags, until)
 
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    last = page.rfind(">") + 1  # no tag ends behind it, so nothing is searched there
+    for m in iter(lambda: _TOKEN.search(page, at, last), None):
         if m.start() > at:
             open_[-1].kids.append(unescape(page[at: m.start()]) if "&" in page[at: m.start()] else page[at: m.start()])
         at = m.end()
@@ -107,8 +108,9 @@ def tree(page: str) -> Node:
             at = len(page) if upto < 0 else upto + 1
         elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "math")):
             open_.append(node)
-    if at < len(page):
-        open_[-1].kids.append(unescape(page[at:]))
+    rest = page[at:].split("<!--")[0] if at >= last else page[at:last] + page[last:].split("<!--")[0]
+    if rest:
+        open_[-1].kids.append(unescape(rest))
     return root
 
 
