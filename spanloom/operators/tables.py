@@ -58,12 +58,25 @@ def text_names(mentions: DataFrame, precision: DataFrame, places: DataFrame | No
     return in_place(out, facts, places)
 
 
+#: Strings that meet a place's text together.
+STRINGS_AT_ONCE = 1000
+
+
 def in_place(names: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Adds in_place_text: the string also stands in the place text of its text."""
+    """Adds in_place_text: the string also stands in the place text of its text.
+
+    Each string is looked up once per place, not once per text of it. A place's strings meet
+    its text in blocks, so the text is copied once per block, and a place with very many
+    strings has many blocks.
+    """
     where = names.join(texts.select("text_id", "place_id"), "text_id", "left")
-    with_place = where.join(places.select("place_id", F.lower("text").alias("_place")), "place_id", "left")
-    hit = F.coalesce(F.col("_place").contains(F.col("norm")), F.lit(False)).cast("int")
-    return with_place.withColumn("in_place_text", hit).drop("_place", "place_id")
+    asked = where.filter("place_id is not null").select("place_id", "norm").distinct()
+    parts = asked.groupBy("place_id").agg(F.ceil(F.count(F.lit(1)) / STRINGS_AT_ONCE).cast("int").alias("_parts"))
+    block = F.pmod(F.xxhash64("norm"), F.col("_parts"))
+    blocks = asked.join(parts, "place_id").groupBy("place_id", block.alias("_b")).agg(F.collect_list("norm").alias("_norms"))
+    met = blocks.join(places.select("place_id", F.lower("text").alias("_place")), "place_id")
+    found = met.select("place_id", F.explode(F.filter("_norms", lambda n: F.contains(F.col("_place"), n))).alias("norm"), F.lit(1).alias("in_place_text"))
+    return where.join(found.distinct(), ["place_id", "norm"], "left").select(*names.columns, F.coalesce("in_place_text", F.lit(0)).alias("in_place_text"))
 
 
 def title_only():
@@ -135,11 +148,14 @@ def pattern_model(mentions: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def pattern_stats(mentions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Hits, texts, distinct strings, writers per pattern."""
-    m = mentions.join(facts.select("text_id", "model"), "text_id")
-    return m.groupBy("pattern_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.countDistinct("text_id").alias("n_texts"),
-        F.countDistinct("norm").alias("n_strings"), F.countDistinct("model").alias("n_models"))
+    """Hits, texts, distinct strings, writers per pattern. Hits are counted once per pattern, string
+    and text; each distinct count is then a count of groups."""
+    per = mentions.groupBy("pattern_id", "norm", "text_id").agg(F.count(F.lit(1)).alias("n")).join(facts.select("text_id", "model"), "text_id")
+    texts = per.groupBy("pattern_id", "model", "text_id").agg(F.sum("n").alias("n"))
+    writers = texts.groupBy("pattern_id", "model").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t"))
+    counts = writers.groupBy("pattern_id").agg(F.sum("n").alias("n_hits"), F.sum("t").alias("n_texts"), F.count("model").alias("n_models"))
+    strings = per.filter("norm is not null").select("pattern_id", "norm").distinct().groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_strings"))
+    return counts.join(strings, "pattern_id", "left").select("pattern_id", "n_hits", "n_texts", F.coalesce("n_strings", F.lit(0).cast("long")).alias("n_strings"), "n_models")
 
 
 def pattern_captures(mentions: DataFrame, k: int = 300) -> DataFrame:
@@ -286,15 +302,15 @@ def set_share(labels: DataFrame, cov: DataFrame, a, b=(), by: str = "string", wo
 
 
 def text_sets(texts: DataFrame, in_a: DataFrame, in_b: DataFrame) -> DataFrame:
-    """Which texts hold A, B, both: set operations on ids, one row per set."""
-    a, b = in_a.select("text_id").distinct(), in_b.select("text_id").distinct()
-    sets = {"a": a, "b": b, "both": a.intersect(b), "a_not_b": a.subtract(b),
-            "neither": texts.select("text_id").subtract(a.union(b))}
-    out = None
-    for name, ids in sets.items():
-        row = ids.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("set"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Which texts hold A, B, both: one row per set, from one flag for each text."""
+    def flag(df, bit):
+        return df.select("text_id", F.lit(bit).alias("bit"))
+
+    flags = flag(in_a, 1).unionAll(flag(in_b, 2)).unionAll(flag(texts, 4)).groupBy("text_id").agg(F.bit_or("bit").alias("bits"))
+    sets = {"a": F.col("bits").bitwiseAND(1) > 0, "b": F.col("bits").bitwiseAND(2) > 0, "both": F.col("bits").bitwiseAND(3) == 3,
+            "a_not_b": F.col("bits").bitwiseAND(3) == 1, "neither": F.col("bits") == 4}
+    counts = flags.agg(*[F.count_if(test).alias(name) for name, test in sets.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("set"), F.col(name).alias("n")) for name in sets])).alias("s")).select("s.*")
 
 
 def statement_list(mentions: DataFrame, cov: DataFrame, pattern: str, cap: int = 400) -> DataFrame:
