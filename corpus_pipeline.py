@@ -21,6 +21,8 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 KNOWN = 0.4
 #: Longest sequence of the packed corpus, in tokens.
 SEQUENCE = 2048
+#: Words with their ids that a Python worker keeps, some 100 MB: the executors also hold what earlier stages have grown.
+WORDS = 300_000
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most ``SEQUENCE``; see spanloom.llm.packing."""
     import public_tokenizers
-    return pack_documents(_documents(docs), str(public_tokenizers.path("word_bpe_49k.json")), SEQUENCE)
+    return pack_documents(_documents(docs), str(public_tokenizers.path("word_bpe_49k.json")), SEQUENCE, WORDS)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]

@@ -87,7 +87,7 @@ def _words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ") if any(x in text for x in "\x1c\x1d\x1e\x1f") else text.split()
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
+def token_ids(texts: list[str], path: str, remembered: int | None = None) -> list[bytes]:
     """The ids of each whole text as bytes of 32-bit integers, without an end mark.
 
     The tokenizer's pattern never crosses a blank and its normaliser never joins over one, so a text's ids are its
@@ -95,7 +95,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """
     tokenizer, ends, cache = _tokenizer(path)
     split = [_words(t) for t in texts]
-    if len(cache) > REMEMBERED:
+    if len(cache) > (remembered or REMEMBERED):
         cache.clear()
     new = list(set().union(*split).difference(cache))
     if new:
@@ -103,7 +103,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
-def pieces(docs: DataFrame, path: str, most: int = 2048, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, most: int = 2048, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end mark 0, cut into pieces of ``most``
     where they are more. Null is the empty text, which is the end mark alone."""
     small_batches(docs.sparkSession)
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, path: str, most: int = 2048, with_ids: bool = False)
             owner, number, start, length, crc, kept = [], [], [], [], [], []
             texts = batch.column("text").fill_null("").to_pylist()
             for low in range(0, len(texts), 100):
-                for row, ids in enumerate(token_ids(texts[low: low + 100], path), low):
+                for row, ids in enumerate(token_ids(texts[low: low + 100], path, remembered), low):
                     ids += END.to_bytes(4, "little")
                     for i, at in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[at: at + 4 * most]
@@ -310,6 +310,7 @@ def pack(parts: DataFrame, most: int = 2048, cell: int = CELL) -> DataFrame:
             .unionAll(again.select(*parts.columns, (place + 1).alias("sequence_id"), "offset")).unionAll(whole))
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048) -> DataFrame:
-    """Each piece of every text in its sequence; see ``pieces`` and ``pack``."""
-    return pack(pieces(docs, path, most), most)
+def pack_documents(docs: DataFrame, path: str, most: int = 2048, remembered: int | None = None) -> DataFrame:
+    """Each piece of every text in its sequence; see ``pieces`` and ``pack``. ``remembered`` bounds the words that a
+    worker keeps, some 300 bytes each; fewer words cost time and change no result."""
+    return pack(pieces(docs, path, most, remembered=remembered), most)
