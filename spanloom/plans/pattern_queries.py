@@ -1,13 +1,16 @@
 """Queries over the pattern registry and the tables of the first and second instrument."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from spanloom.functions import spans as S
 from spanloom.functions.text import era, lab, pct, words
 from spanloom.operators import evaluate as E, sampling as G, tables as T
 from spanloom.operators.patterns import run_patterns
-from spanloom.operators.registry import registry_history
-from spanloom.plans.data import (DATES, ERA, SAMPLE, WITH_BEINGS, WITH_COV, WITH_FACTS, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, beings, cov,
+from spanloom.operators.registry import REGISTRY, registry_history, tuned
+from spanloom.plans.data import (ACCENTED, DATES, ERA, SAMPLE, WITH_BEINGS, WITH_COV, WITH_FACTS, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, TEXTS, beings, cov,
                                  dates, facts, labels, mentions, names, page_texts, places, precision, query, table, texts)
 
 
@@ -404,3 +407,57 @@ def e19(spark, d):
     lb AS (SELECT DISTINCT w.word, l.text_id FROM labels2 l, w WHERE l.norm IN (w.word, w.word || 's')) SELECT tx.word, count(*) AS texts, count(lb.text_id) AS in_a_label FROM tx LEFT JOIN lb ON lb.word = tx.word AND lb.text_id = tx.text_id GROUP BY 1""")
 def f46(spark, d):
     return E.word_recall(texts(spark, d), labels(spark, d), ("thing", "reed", "other", "oner"))
+
+
+# ---- the registry on marked texts ------------------------------------------------------------------
+# The given texts hold no marks. Every capitalised word of a whole text gives a line in one of twelve forms, so that patterns
+# have something to find. W stands for the word, w for it in lower case.
+FORMS = (
+    "# The W: the W Ones", "**W**: pale, and w.", "**W W (The W):** they wait.", "- W: sheets of w", "A worm (“W W”) turns, or simply the W W.",
+    "They call it the W W. The W of W rest. **The W — the W**", "It is known to itself as “w w”, and named *w*.", "A word that means roughly *those on w*.",
+    "The w-keepers and w-makers pass — the w — and w.", "Those who never left the w watch. It has no name for itself. **W W**: w", "The \"W W,\" are small. The w ones wait, named w by the w.",
+    "The ws, as they are known, drift. It is not a creature but a process. The hill is alive. 1. W")
+
+
+def marked_texts(spark, d):
+    def line(w, i):
+        out = F.lit(None)
+        for n, form in enumerate(FORMS):
+            out = F.when(i % len(FORMS) == n, F.replace(F.replace(F.lit(form), F.lit("W"), F.lit("\u0001")), F.lit("w"), F.lit("\u0002"))).otherwise(out)
+        return F.replace(F.replace(out, F.lit("\u0001"), w), F.lit("\u0002"), F.lower(w))
+
+    plain = F.translate("text", ACCENTED, "0" * len(ACCENTED))
+    found = F.regexp_extract_all(plain, F.lit("[A-Z][a-z]{3,}"), F.lit(0))
+    return texts(spark, d).select("text_id", F.array_join(F.transform(found, line), "\n").alias("text"))
+
+
+def _form_sql():
+    cases = " ".join("WHEN {} THEN '{}'".format(n, form.replace("'", "''").replace("W", "\u0001").replace("w", "\u0002")) for n, form in enumerate(FORMS))
+    return (f"{TEXTS}, marked AS (SELECT text_id, array_to_string(list_transform(regexp_extract_all(t, '[A-Z][a-z]{{3,}}'), lambda w, i: replace(replace(CASE (i - 1) % {len(FORMS)} {cases} END, "
+            "'\u0001', w), '\u0002', lower(w))), chr(10)) AS text FROM texts)")
+
+
+def _plain_patterns():
+    """The registry's distinct regexes that do not look around, which DuckDB's engine can run as well."""
+    return [p for p in {p.regex: p for p in REGISTRY}.values() if not re.search(r"\(\?<?[=!]", p.regex)]
+
+
+def _found_sql(p):
+    rx = "(?{}m-s){}".format("i" if "i" in p.flags else "", p.regex) if "m" in p.flags else "(?{}-s){}".format("i" if "i" in p.flags else "", p.regex)
+    rx = rx.replace("'", "''")
+    if "(?P<name2>" in p.regex:
+        got = f"list_transform(list_zip(regexp_extract_all(text, '{rx}', 1), regexp_extract_all(text, '{rx}', 2)), lambda z: coalesce(z[1], '') || coalesce(z[2], ''))"
+    else:
+        got = f"regexp_extract_all(text, '{rx}', {int('(?P<name>' in p.regex)})"
+    return f"SELECT text_id, '{p.id}' AS pattern_id, {got} AS found FROM marked"
+
+
+@query("d_registry_marked", f"WITH {_form_sql()} SELECT text_id, pattern_id, len(found) AS n, md5(array_to_string(found, chr(10))) AS h FROM (" + " UNION ALL ".join(_found_sql(p) for p in _plain_patterns()) + ") WHERE len(found) > 0")
+def d_marked(spark, d):
+    """All captures of each such pattern in the marked texts."""
+    def found(p):
+        spans = S.find_spans("text", tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags)
+        return F.struct(F.lit(p.id).alias("pattern_id"), F.transform(spans, lambda s: s["surface"]).alias("found"))
+
+    rows = marked_texts(spark, d).select("text_id", F.inline(F.array(*[found(p) for p in _plain_patterns()])))
+    return rows.filter(F.size("found") > 0).select("text_id", "pattern_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "\n")).alias("h"))
