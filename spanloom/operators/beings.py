@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.functions.text import ERAS, STEMS, era, half_year, lab, pct, words as word_tokens
+from spanloom.functions.text import ERAS, STEMS, era, half_year, pct
 from spanloom.operators.answers import QUESTIONS
 from spanloom.operators.sampling import top_k, upper_median
 from spanloom.operators.tables import count_if

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.functions.regex import java_flags
 from spanloom.functions.spans import (any_of, enclosing_sentence, frame_named, framed, guarded, let,
                                       mask_lines, named_span, spans_of)
-from spanloom.functions.text import clean, corpus_words, norm, occurrences, occurrences_cased, straighten
+from spanloom.functions.text import clean, corpus_words, norm, occurrences, occurrences_cased
 from spanloom.operators.registry import JAVA_READY, MASK_REGEX, REGISTRY, needs, STOPLISTS, TITLE_REGEX
 
 

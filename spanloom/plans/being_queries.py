@@ -3,10 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import era
 from spanloom.operators import beings as B, evaluate as E, sampling as G
-from spanloom.plans.data import (ARR, CARE, DATES, ERA, FACT_ROWS, SENTS, STEMS, TEXTS, WITH_BEINGS, WITH_FACTS, WITH_KEPT, WITH_LABELS, being_rows,
-                                 beings, care_texts, dates, kept, labels, query, sentences_of, table, texts)
+from spanloom.plans.data import (ARR, CARE, STEMS, TEXTS, WITH_BEINGS, WITH_FACTS, WITH_KEPT, WITH_LABELS, being_rows, beings, care_texts, kept,
+                                 labels, query, table, texts)
 
 QS = ("role", "relation", "cost", "origin", "fate")
 

@@ -6,12 +6,12 @@ import re
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
-from spanloom.functions.text import era, lab, pct, words
-from spanloom.operators import evaluate as E, sampling as G, tables as T
+from spanloom.functions.text import words
+from spanloom.operators import evaluate as E, tables as T
 from spanloom.operators.patterns import run_patterns
 from spanloom.operators.registry import REGISTRY, registry_history, tuned
-from spanloom.plans.data import (ACCENTED, DATES, ERA, SAMPLE, WITH_BEINGS, WITH_COV, WITH_FACTS, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, TEXTS, beings, cov,
-                                 dates, facts, labels, mentions, names, page_texts, places, precision, query, table, texts)
+from spanloom.plans.data import (ACCENTED, SAMPLE, WITH_COV, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, TEXTS, cov, facts, labels, mentions,
+                                 names, page_texts, places, precision, query, table, texts)
 
 
 def joined(col):

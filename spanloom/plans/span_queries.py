@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import spans as S, text as T
-from spanloom.operators import answers as A, evaluate as E, grounding as GR, intervals as I, sampling as G
+from spanloom.functions import spans as S
+from spanloom.operators import answers as A, evaluate as E, intervals as I, sampling as G
 from spanloom.operators.tables import names_in_quotes
-from spanloom.plans.data import (ACCENTED, BEINGS, INTERVALS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WITH_MENTIONS, beings, intervals, labels, mentions, page_texts,
-                                 query, sentences_of, span_rows, table, texts)
+from spanloom.plans.data import ACCENTED, INTERVALS, LABELS, TEXTS, WITH_BEINGS, beings, intervals, labels, page_texts, query, table, texts
 from spanloom.plans.text_queries import HEADS_SQL, SENT_SQL, SPACE_SQL, sentences_at_sql
 from spanloom.streaming.ingest import latest, taken
 
