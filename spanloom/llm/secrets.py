@@ -11,17 +11,27 @@ from spanloom.llm.shared import written
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # runs are taken whole, so a run of 32 or more is the same as a run that is 32 or longer
+_HEAD, _FOOT = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: A whole PEM key: up to its END line with no other dashes between, or, where that is missing, its runs of base64. All
+#: loops are possessive. Blanks, line ends as such or written out, and marks of quoting or comments may stand between runs.
+_GAP = r"""(?:[\s"'>#*|,+]|\\[nrt]?)"""
+PRIVATE = (_HEAD + rf"(?:(?:[^-]|-(?!----))*+{_FOOT}|(?:{_GAP}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+           r"(?:(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}(?=[\s\\\x22\x27]|\z))?|)")
+#: What is no part of a key's own characters.
+_WRAPPING = rf"{_HEAD}|{_FOOT}|\\[nrt]|[^A-Za-z0-9+/=]"
 #: The added patterns of well-known credential shapes.
 ADDED = {
     "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "bearer": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "private": PRIVATE,
 }
 KINDS = ["assign", "access", "hex", *ADDED]
 #: A value with so many owners is a widely copied example.
 WIDE_OWNERS = 3
 #: Bits per character below which a value does not look live, and its least length.
 ENTROPY, LEAST = 2.5, 12
+#: Characters from which the body of a private key is a key and no placeholder.
+KEY = 64
 #: A hot value's rows are dealt to so many parts where they meet the corpus-wide counts.
 PARTS = 32
 
@@ -44,6 +54,11 @@ def running(values: Column, block: int = 256) -> Column:
         bound, lambda _, i: F.element_at(heads, place(i) + 1) + total(F.slice(bound, place(i) * block + 1, i % block + 1)))))
 
 
+def key_body(match: Column) -> Column:
+    """The characters of a PEM key, however it is wrapped; of a header without a key, the header."""
+    return let(F.regexp_replace(match, _WRAPPING, ""), lambda body: F.when(F.length(body) > 0, body).otherwise(match))
+
+
 def _spans(text: Column, kind: int, pattern: str, value_from: str | None, least: int) -> Column:
     """Matches with at least ``least`` characters of value: structs (start, rank, kind, end, value), offsets in code points.
 
@@ -54,7 +69,7 @@ def _spans(text: Column, kind: int, pattern: str, value_from: str | None, least:
         starts = running(F.transform(b["found"], lambda m, i: (F.length(F.get(b["between"], i)) + before(i)).cast("long")))
         return F.transform(F.arrays_zip(b["found"].alias("m"), starts.alias("at")), lambda x: F.struct(
             x["at"].alias("start"), F.lit(kind).alias("rank"), F.lit(KINDS[kind]).alias("kind"), (x["at"] + F.length(x["m"])).alias("end"),
-            (F.regexp_extract(x["m"], value_from, 2) if value_from else x["m"]).alias("value")))
+            (key_body(x["m"]) if pattern == PRIVATE else F.regexp_extract(x["m"], value_from, 2) if value_from else x["m"]).alias("value")))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     return F.filter(let(both, placed), lambda s: F.length(s["value"]) >= least)
@@ -85,16 +100,17 @@ def entropy(value: Column) -> Column:
     return let(F.split(value, ""), bits)
 
 
-def looks_live(value: Column) -> Column:
-    """Long and varied enough, and no placeholder."""
-    return (F.length(value) >= LEAST) & (entropy(value) >= ENTROPY) & ~F.lower(value).rlike("example|sample|changeme|placeholder|your_|xxxx|dummy")
+def looks_live(value: Column, kind: Column) -> Column:
+    """Long and varied enough, and no placeholder; a long key may spell a placeholder's word by chance."""
+    placeholder = F.lower(value).rlike("example|sample|changeme|placeholder|your_|xxxx|dummy") & ~((kind == "private") & (F.length(value) >= KEY))
+    return (F.length(value) >= LEAST) & (entropy(value) >= ENTROPY) & ~placeholder
 
 
 def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, wide: int = WIDE_OWNERS, keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with spans: an array of (start, rank, kind, end, value, owners, repositories, verdict) for each row.
 
     Candidates come from every whole text: the base kinds assign, access and hex (leftmost, not overlapping within a
-    kind), and the added kinds of ``ADDED``. A value's hash is counted over the whole corpus by distinct repositories and
+    kind), and the added kinds of ``ADDED``. A private key's span is the whole key and its value the key's own characters. A value's hash is counted over the whole corpus by distinct repositories and
     distinct owners. The owner of a repository is the part of its name before the first slash, or the column ``owner``.
 
     verdict: ``example`` where ``wide`` or more owners hold the value, for such values were copied; ``weak`` where the
@@ -118,7 +134,7 @@ def scan(docs: DataFrame, repository: str = "source", owner: str | None = None,
     held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     known = each.withColumn("_part", F.pmod("_row", F.lit(PARTS)).cast("int")).join(held, ["_hash", "_part"], "left")
     owners, repos = F.coalesce("owners", F.lit(1).cast("long")), F.coalesce("repositories", F.lit(1).cast("long"))
-    verdict = F.when(owners >= wide, "example").when(looks_live(F.col("s.value")), "live").otherwise("weak")
+    verdict = F.when(owners >= wide, "example").when(looks_live(F.col("s.value"), F.col("s.kind")), "live").otherwise("weak")
     judged = known.select("_row", F.struct("s.start", "s.rank", "s.kind", "s.end", "s.value", owners.alias("owners"), repos.alias("repositories"), verdict.alias("verdict")).alias("s"))
     gathered = judged.groupBy("_row").agg(F.array_sort(F.collect_list("s")).cast(RESULT).alias("spans"))
     single = base.filter(F.size("spans") == 0).select(*keep, F.array().cast(RESULT).alias("spans"))
