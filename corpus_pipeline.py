@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import decontaminated
 from spanloom.llm.language import identify
-from spanloom.llm.neardup import near_duplicates
+from spanloom.llm.neardup import named, near_rows
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.secrets import redacted, scan
 from spanloom.llm.shared import written
@@ -41,20 +41,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id: five words, 0.8 or more.
+    """One row of each group of near duplicates stays, the one with the smallest doc_id: five words, 0.8 or more.
 
-    Documents with a null doc_id that copy no other stay; rows that repeat a kept doc_id become one row, the one with the
-    least text, lang, source and n_chars."""
+    It is so whatever the doc_ids are: null ids come last, a doc_id that repeats with texts that differ keeps one row of
+    each group, and a tie goes by a hash of the text. Rows that repeat doc_id and text become one row, the one with the
+    least lang, source and n_chars; texts without words are in no group."""
     docs = _documents(docs)
-    groups = written(near_duplicates(docs, k=5, percent=80), slim=True)
-    gone = groups.filter("not kept and doc_id is not null").select("doc_id", F.lit(2).alias("mark"))
-    twice = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(1).alias("mark"))
-    marks = written(gone.unionAll(twice).groupBy("doc_id").agg(F.max("mark").alias("mark")), slim=True)
-    marked = docs.filter("doc_id is not null").join(marks, "doc_id", "left")
+    rows = near_rows(docs, k=5, percent=80)
+    stays = F.col("top").isNull() | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash")))
+    mark = F.when(~F.first("stays"), 2).when(F.count(F.lit(1)) > 1, 1)
+    marks = rows.withColumn("stays", stays).groupBy("doc_id", "text_hash").agg(mark.alias("mark")).filter("mark is not null")
+    marked = named(docs, written(marks, slim=True), "left")
     once = marked.filter("mark is null").select(*COLUMNS)
-    merged = marked.filter("mark = 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    unnamed = docs.filter("doc_id is null").distinct()
-    return once.unionByName(merged).unionByName(unnamed)
+    merged = marked.filter("mark = 1").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return once.unionByName(merged)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,8 +76,13 @@ def _sets(texts: pa.Array, k: int):
     return distinct_sets(*shingle_hashes(*word_hashes(texts, BLANKS), k))
 
 
+def text_hash():
+    """With the doc_id, null or not, it names a row; rows of both alike are copies in everything that is compared."""
+    return F.xxhash64("text").alias("text_hash")
+
+
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signature): size and digest of each document's shingle set, and its signature."""
+    """(doc_id, text_hash, n_shingles, h1, h2, signature): size and digest of each row's shingle set, and its signature."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -85,24 +90,24 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), *(pa.array(_digest(hashes, offsets, i)) for i in (1, 2)),
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(offsets).astype(np.int64)), *(pa.array(_digest(hashes, offsets, i)) for i in (1, 2)),
                      pa.array([s.tobytes() for s in signatures(hashes, offsets)], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "signature"])
+                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, h1, shingles): each document's set as sorted 64-bit hashes, and its digest."""
+    """(h1, shingles): each row's set as sorted 64-bit hashes, and its digest."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digest(hashes, offsets, 1)), long_lists(hashes, offsets)], names=["doc_id", "h1", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(hashes, offsets, 1)), long_lists(hashes, offsets)], names=["h1", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "h1 long, shingles array<long>")
 
 
 WORDS = [f"d{i}" for i in range(SYMBOLS // 8)]
@@ -209,35 +214,28 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "id").groupBy("hub", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text): groups of near-duplicate texts.
+def near_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, top) for each row of ``docs``: top (none, doc_id, text_hash) names the row that leads
+    the group of near-duplicate texts, the one with the smallest doc_id, then hash; it is null where a text is alone.
 
-    Texts are linked when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles (A-Z lower-cased, words
-    between blanks, whole texts). ``component_id`` is the smallest doc_id that links reach, ``kept`` marks that document.
-
-    1. Equal sets become one class, led by its smallest doc_id.
-    2. Each leader's signature gives its keys (``chunk_keys``); two signatures within the distance share a key. Keys that
-       one leader alone holds are dropped, then leaders without a partner within the distance in any of their buckets:
+    1. Equal sets become one class, whatever their doc_ids; its digest h1 is its id.
+    2. Each class's signature gives its keys (``chunk_keys``); two signatures within the distance share a key. Keys that
+       one class alone holds are dropped, then classes without a partner within the distance in any of their buckets:
        a semi join that stops at the first partner.
-    3. For the others the full sets are built, once. A bucket's group is named by its smallest leader, so the buckets of a
-       family of copies fall into a few groups instead of one for each key.
+    3. For the others the full sets are built, from one row of each class. A bucket's group is named by its smallest id, so
+       the buckets of a family of copies fall into a few groups instead of one for each key.
     4. In each group, cut into blocks where it is large, each set is compared on full sets with all that are not yet
        joined with it (``spanning_links``). So each pair within the distance is confirmed, refuted, or known to be in one
        component, and no pairs of a group are emitted, only links that join something.
-
-    Null text, a text without words: empty set, linked with nothing, kept. A null doc_id groups with the other texts of
-    its class but leads none, unless all its class has none; such a class is linked with no other. Rows that repeat
-    a doc_id with one text are copies of each other; where its texts differ, the one with the smallest digest is linked
-    for that id. Ids decide all ties. Extra columns are ignored. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     distance = search_distance(percent)
     table = written(set_table(docs, k))
-    full = table.filter("n_shingles > 0")
     same = ["h1", "h2", "n_shingles"]
-    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), slim=True)
-    leaders = full.join(classes.filter("id is not null").select(F.col("id").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    leaders = (leaders.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "signature"), "h1").alias("x")).select("id", "x.*"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    full = table.filter("n_shingles > 0").groupBy(*same)
+    classes = written(full.agg(F.min(row).alias("lead"), F.count(F.lit(1)).alias("members"), F.first("signature").alias("signature")).withColumn("id", F.col("h1")))
+    leaders = classes.select("id", F.col("n_shingles").alias("n"), "signature")
     # the keys are many times the rows, so tasks are cut by rows, not by the bytes of the signatures
     leaders = written(leaders.repartition(max(1, classes.count() // KEYED), "id"))
     keys = key_rows(leaders, percent)
@@ -245,14 +243,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = written(keys.join(shared, "key").join(packed(leaders), "id"))
     near = f"x.key = y.key and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing('x', 'y')} <= {distance}"
     paired = written(rows.alias("x").join(rows.alias("y"), F.expr(near + " and x.id <> y.id"), "left_semi"))
-    ids = paired.select(F.col("id").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), k)
-    sets = written(sets.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("shingles", "h1").alias("shingles")))
+    chosen = written(classes.join(paired.select("id").distinct(), "id", "left_semi").select("lead.*"), slim=True)
+    sets = shingle_sets(named(docs, chosen, "left_semi"), k)
+    sets = written(sets.groupBy(F.col("h1").alias("id")).agg(F.first("shingles").alias("shingles")))
     hubs = paired.groupBy("key").agg(F.min("id").alias("hub"))
     members = written(paired.select("key", "id").join(written(hubs, slim=True), "key").select("hub", "id").distinct(), slim=True)
     labels = components(written(confirmed(members, sets, percent), slim=True))
-    grouped = (classes.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
-               .filter("members > 1 or component_id <> id").select(*same, "component_id"))
-    found = table.select("doc_id", *same).join(written(grouped, slim=True), same, "left")
-    own = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    several = classes.drop("signature").join(labels, "id", "left").filter("members > 1 or label is not null").withColumn("label", F.coalesce("label", "id"))
+    several = written(several, slim=True)
+    tops = written(several.groupBy("label").agg(F.min("lead").alias("top")), slim=True)
+    grouped = written(several.join(tops, "label").select(*same, "top"), slim=True)
+    return table.select("doc_id", "text_hash", *same).join(grouped, same, "left").select("doc_id", "text_hash", "n_shingles", "top")
+
+
+def named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) joined with ``rows`` (doc_id, text_hash, ...) by the name of a row; null ids are equal."""
+    rows = rows.drop("none").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    met = docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_hash"]), how)
+    return met.drop("_id", "_hash")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text): groups of near-duplicate texts.
+
+    Texts are linked when 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles (A-Z lower-cased, words
+    between blanks, whole texts), by the steps of ``near_rows``. ``component_id`` is the smallest doc_id that links reach,
+    ``kept`` marks that document.
+
+    Null text, a text without words: empty set, linked with nothing, kept. A null doc_id groups with the other texts but
+    names no group; one of null ids alone has none. Rows that repeat a doc_id with one text are copies of each other;
+    where its texts differ, each is grouped by itself. Ids decide all ties. Extra columns are ignored. An empty table
+    gives an empty table.
+    """
+    own = F.coalesce("top.doc_id", "doc_id")
+    return near_rows(docs, k, percent).select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))

@@ -168,6 +168,17 @@ def test_pipeline(spark, small):
     assert packed.select("doc_id").distinct().count() == quiet.count()
 
 
+def test_each_class_of_texts_keeps_one_row(spark, small):
+    import corpus_pipeline as C
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(f"w{i}" for i in rng.integers(0, 9000, 60)) for _ in range(4))
+    rows = [(7, a, "s"), (7, b, "s"), (7, b + " more", "s"), (7, a, "r"), (9, b.upper(), "s"), (None, a, "s"), (None, c, "s"), (None, c, "t"), (None, c.upper(), "s"),
+            (None, d, "s"), (None, d + " more", "s"), (12, d + " yet", "s"), (None, "", "s"), (13, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text.lower().replace(" more", ""), r.source) for r in C.near_dedup(spark, docs, small).collect())
+    assert got == sorted([(7, a, "r"), (7, b, "s"), (0, c, "s"), (12, d + " yet", "s"), (0, "", "s"), (13, "", "s")])
+
+
 def test_pipeline_of_nothing(spark, small):
     import corpus_pipeline as C
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
