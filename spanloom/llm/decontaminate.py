@@ -18,6 +18,10 @@ def _sets(texts, k):
     return distinct_sets(*shingle_hashes(*word_hashes(texts, PUNCTUATION), k))
 
 
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _bit(hashes: np.ndarray):
     spread = mix(hashes + np.uint64(0x2545F491))
     return (spread >> np.uint64(40)).astype(np.int64) % FILTER_WORDS, np.uint64(1) << (spread & np.uint64(63))
@@ -61,22 +65,8 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return table
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_items, n_shingles, hits, containment): which items of ``items`` (item_id, text) stand in which
-    texts of ``docs`` (doc_id, text), by k-word shingles over the whole text.
-
-    Words are runs of letters and digits, A-Z lower-cased; ASCII punctuation and white space separate them. A text of
-    fewer than k words has one shingle, its whole sequence. One row for each document and distinct item with
-    ``100 * hits >= percent * n_shingles``; item_id is the smallest of the items with equal sets, n_items their number.
-
-    Each size class of items has a cut, its signatures' greatest hash. A document's hashes up to the greatest cut are
-    its MinHash side; those are looked up in a filter of the signatures. Documents without any are done. The others give
-    out the hashes that pass a filter of all item shingles, and joins with the items' own hashes decide exactly, so
-    no pair is lost and none is wrong. Neither side's rows are multiplied: a hot passage adds its own rows only.
-
-    Null or empty texts hold nothing and no item without words is held. Rows repeating a doc_id count as one document
-    whose best row decides; null doc_id is a document like others. Empty tables give an empty table. Extra columns are ignored.
-    """
+def _counted(docs: DataFrame, items: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may hold an item (doc_id, text_hash, digest, hashes), and for each (doc_id, digest) the items that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
     entries = written(item_table(items, k, percent), slim=True)
@@ -103,18 +93,40 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
                 total = np.zeros(len(hashes) + 1, dtype=np.uint64)
                 np.cumsum(hashes, out=total[1:])
                 digest = (total[offsets[1:]] - total[offsets[:-1]])[rows].view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), pa.array(digest), long_lists(hashes[held], at)], names=["doc_id", "digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in ("doc_id", "text_hash")), pa.array(digest), long_lists(hashes[held], at)], names=["doc_id", "text_hash", "digest", "hashes"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest long, hashes array<long>")
-    found = written(found if cut >= 0 else found.limit(0), slim=True).dropDuplicates(["doc_id", "digest"])
-    met = found.select("doc_id", "digest", F.explode("hashes").alias("hash")).join(entries, "hash")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, digest long, hashes array<long>")
+    found = written(found if cut >= 0 else found.limit(0), slim=True)
+    met = found.dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", F.explode("hashes").alias("hash")).join(entries, "hash")
     counted = met.groupBy("doc_id", "digest", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.max("signed").alias("candidate"), F.first("n_shingles").alias("n_shingles"), F.first("n_items").alias("n_items"))
-    counted = counted.filter(F.col("candidate") & (100 * F.col("hits") >= percent * F.col("n_shingles")))
+    return found, counted.filter(F.col("candidate") & (100 * F.col("hits") >= percent * F.col("n_shingles")))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, n_items, n_shingles, hits, containment): which items of ``items`` (item_id, text) stand in which
+    texts of ``docs`` (doc_id, text), by k-word shingles over the whole text.
+
+    Words are runs of letters and digits, A-Z lower-cased; ASCII punctuation and white space separate them. A text of
+    fewer than k words has one shingle, its whole sequence. One row for each document and distinct item with
+    ``100 * hits >= percent * n_shingles``; item_id is the smallest of the items with equal sets, n_items their number.
+
+    Each size class of items has a cut, its signatures' greatest hash. A document's hashes up to the greatest cut are
+    its MinHash side; those are looked up in a filter of the signatures. Documents without any are done. The others give
+    out the hashes that pass a filter of all item shingles, and joins with the items' own hashes decide exactly, so
+    no pair is lost and none is wrong. Neither side's rows are multiplied: a hot passage adds its own rows only.
+
+    Null or empty texts hold nothing and no item without words is held. Rows repeating a doc_id count as one document
+    whose best row decides; null doc_id is a document like others. Empty tables give an empty table. Extra columns are ignored.
+    """
+    counted = _counted(docs, items, k, percent)[1]
     best = counted.groupBy("doc_id", "item_id").agg(F.max("n_items").alias("n_items"), F.max("n_shingles").alias("n_shingles"), F.max("hits").alias("hits"))
     return best.withColumn("containment", F.round(F.col("hits") / F.col("n_shingles"), 6))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that hold an item; documents with a null doc_id share one fate."""
-    held = written(contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_held")).distinct(), slim=True)
-    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    """``docs`` without the rows whose text holds an item. Rows with a null or a repeated doc_id are judged by their own texts."""
+    found, counted = _counted(docs, items, k, percent)
+    leaks = written(counted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), slim=True)
+    held = found.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    held = written(held.select(F.col("doc_id").alias("_held"), F.col("text_hash").alias("_hash")).distinct(), slim=True)
+    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_held")) & (_text_hash() == F.col("_hash")), "left_anti")

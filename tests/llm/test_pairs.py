@@ -127,6 +127,14 @@ def test_leaks_match_brute_force(spark, small):
     assert left == set(docs) - {d for d, _, _ in brute.contained(docs, items, 5, 80)}
 
 
+def test_a_leak_takes_only_its_own_rows(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    clean = [f"clean text number {i} of a table" for i in range(6)]
+    rows = [(None, "x " + item), (None, ("x " + item).upper()), (None, clean[0]), (None, clean[1]), (None, None), (5, item + " y"), (5, clean[2]), (5, clean[2]), (6, clean[3])]
+    left = decontaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, clean[0]), (0, clean[1]), (0, ""), (5, clean[2]), (5, clean[2]), (6, clean[3])])
+
+
 def test_leaks_of_empty_tables(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     items = one.withColumnRenamed("doc_id", "item_id")
