@@ -1,6 +1,8 @@
 """Language identification with n-gram filters whose slots hold one bit for each language."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,7 @@ from spanloom.llm.shared import held_out, mix, slices, small_batches, string_byt
 SLOTS, PROBES = 1 << 20, 3
 #: Bytes of an n-gram.
 GRAM = 4
-#: At most so many labelled rows are learned from, spread over all rows by a hash of the id.
+#: About so many labelled rows are learned from at most, dealt to the languages and spread over each one's rows by a hash.
 FIT_ROWS = 40_000
 #: An n-gram belongs to a language if its rate there is at least this part of its highest rate in any language ...
 SHARE = 0.3
@@ -63,11 +65,21 @@ def _places(grams: np.ndarray):
     return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def shares(sizes: dict, most: int) -> dict:
+    """The part of each language's rows that is learned from: all of a small one, and equal numbers of rows of the others,
+    about ``most`` in all. So a language keeps an equal part of ``most`` or all its rows, however many rows others have."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(sizes, key=sizes.get)):
+        out[lang] = min(1.0, left / (len(sizes) - i) / sizes[lang])
+        left -= out[lang] * sizes[lang]
+    return out
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The filter learned from ``docs`` (doc_id, text, lang): {"langs", "slots", "rates"}.
 
-    Learns from rows with a language outside the held-out fold; beyond ``fit_rows`` of them, from the share of
-    rows that a hash of the id picks. N-grams are counted per language by Spark; those that belong to a language set its
+    Learns from rows with a language outside the held-out fold; beyond ``fit_rows`` of them, from a share of each
+    language's rows (``shares``) that a hash of id and text picks. N-grams are counted per language by Spark; those that belong to a language set its
     bit in their slots; the slots, whose number is fixed, come to the driver. Languages are the learned values in order;
     more than ``LANGUAGES`` raise an error. Null languages and texts teach nothing.
     """
@@ -78,8 +90,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         raise ValueError(f"a filter holds {LANGUAGES} languages, the labels have more")
     langs, total = sorted(sizes), sum(sizes.values())
     if total > fit_rows:
-        part = int(fit_rows / total * (1 << 20))
-        rows = rows.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 20)) < part)
+        parts = F.create_map(*[F.lit(x) for lang, part in shares(sizes, fit_rows).items() for x in (lang, math.ceil(part * (1 << 40)))])
+        # a null id, or one that repeats, is told apart by the text
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.element_at(parts, F.col("lang")))
 
     def count(batches):
         held, number = {}, 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from llm import brute
 from spanloom.llm import licenses, secrets
 from spanloom.llm.html import extracted, render
-from spanloom.llm.language import fit, identify, predict
+from spanloom.llm.language import fit, identify, predict, shares
 from spanloom.llm.quality import Machine, scored
 
 
@@ -19,6 +19,18 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_language_is_learned_from_a_bounded_sample(spark):
+    rng = np.random.default_rng(2)
+    common = [f"{a}{b}{c}{d}e" for a in "abc" for b in "def" for c in "abc" for d in "def"]
+    rare = [f"{a}{b}{c}{d}z" for a in "uvw" for b in "xyz" for c in "uvw" for d in "xyz"]
+    rows = [(i, " ".join(rng.choice(common, 8)), "aa") for i in range(6000)] + [(None if i % 2 else 10_000 + i, " ".join(rng.choice(rare, 8)), "zz") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = identify(docs, fit_rows=200).filter("lang = 'zz'").collect()
+    assert {r.lang_pred for r in got} == {"zz"} and min(r.known for r in got) > 0.4
+    part = shares({"a": 10**9, "b": 10, "c": 5000}, 9000)
+    assert part["b"] == 1 and part["a"] * 10**9 == pytest.approx(4495) and part["c"] * 5000 == pytest.approx(4495)
+
+
 def test_language_reads_only_what_it_may(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = fit(docs)
