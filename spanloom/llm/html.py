@@ -14,9 +14,9 @@ from spanloom.llm.shared import small_batches
 #: Element sets of the HTML standard that decide structure, visibility and spacing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
-HIDDEN = frozenset("script style title noscript iframe noembed noframes template head datalist dialog audio video canvas object svg math".split())
+HIDDEN = frozenset("script style title noscript iframe noembed noframes template head datalist audio video canvas object svg math".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset menu".split())
-BLOCK = SPACED | frozenset("address article aside body center dd details dir div dt figcaption footer form header html legend li main nav option optgroup search section summary tr caption".split())
+BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header html legend li main nav option optgroup search section summary tr caption".split())
 CLOSES_P = (SPACED | BLOCK) - frozenset("option optgroup legend body html tr caption".split())
 #: An opening tag ends the open ones it names, up to the first of the second set.
 IMPLIED_END = {
@@ -27,6 +27,8 @@ TABLE_PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
 SCOPES = frozenset("table td th caption html".split())
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>)""", re.S)
+#: Searched in the page itself: lower() may change a text's length. Letters outside ASCII are no letters of a tag.
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
@@ -51,7 +53,7 @@ def attributes(source: str) -> dict:
 def tree(page: str) -> Node:
     """The page's elements, with end tags and table rows put in where the page leaves them out."""
     root = Node("html")
-    open_, at, lower = [root], 0, None
+    open_, at = [root], 0
 
     def end(tags, until):
         for i in range(len(open_) - 1, 0, -1):
@@ -99,8 +101,8 @@ def tree(page: str) -> Node:
         node = Node(tag, attributes(rest) if rest and not rest.isspace() else None)
         open_[-1].kids.append(node)
         if tag in RAW:
-            lower = lower or page.lower()
-            close = lower.find("</" + tag, at)
+            found = _RAW_END[tag].search(page, at)
+            close = found.start() if found else -1
             inner = page[at:] if close < 0 else page[at:close]
             if tag == "textarea":
                 node.kids.append(unescape(inner))
@@ -116,7 +118,7 @@ def tree(page: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN:
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
         return False
     return not a or not ("hidden" in a or (node.tag == "input") or ("style" in a and _UNSEEN.search(a["style"])))
 

@@ -192,6 +192,14 @@ def test_rendered(page, text):
     assert render(page) == text
 
 
+def test_end_of_raw_text_and_open_dialogs():
+    many = "İ" * 40
+    assert render(f"{many}<script>var a;</SCRIPT><p>seen <b>here</b> too</p>") == f"{many}\n\nseen here too"
+    assert render(f"{many}<textarea>ab & c</textarea>d") == f"{many}ab & cd"
+    assert render("<style>a</ſtyle>b</style>c") == "c" and render("a<title>b") == "a"
+    assert render("a<dialog>no</dialog>b<dialog open>yes</dialog>c<dialog open hidden>no</dialog>") == "ab\nyes\nc"
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "<div>" * 3000 + "deep"), (3, "u", "<b" * 20_000)], pages.schema)
