@@ -64,8 +64,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values that look live and belong to few owners are replaced by their kind in brackets; copied examples stay.
+    A value counts from the least length of its kind on (8 characters for assignments), unless it is a placeholder.
     n_chars is the length of the text as it is then. No document goes."""
-    found = scan(_documents(docs))
+    found = scan(_documents(docs), least=8)
     clean = redacted(F.col("text"), F.col("spans"))
     changed = F.exists("spans", lambda s: s["verdict"] == "live")
     return found.select("doc_id", clean.alias("text"), "lang", "source", F.when(changed, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

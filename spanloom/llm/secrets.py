@@ -30,6 +30,8 @@ KINDS = ["assign", "access", "hex", *ADDED]
 WIDE_OWNERS = 3
 #: Bits per character below which a value does not look live, and its least length.
 ENTROPY, LEAST = 2.5, 12
+#: A short value needs no more bits than this part of the most that its length can hold; from 12 characters on, ``ENTROPY`` is less.
+VARIED = 0.7
 #: Characters from which the body of a private key is a key and no placeholder.
 KEY = 64
 #: A hot value's rows are dealt to so many parts where they meet the corpus-wide counts.
@@ -100,13 +102,14 @@ def entropy(value: Column) -> Column:
     return let(F.split(value, ""), bits)
 
 
-def looks_live(value: Column, kind: Column) -> Column:
+def looks_live(value: Column, kind: Column, least: int = LEAST) -> Column:
     """Long and varied enough, and no placeholder; a long key may spell a placeholder's word by chance."""
     placeholder = F.lower(value).rlike("example|sample|changeme|placeholder|your_|xxxx|dummy") & ~((kind == "private") & (F.length(value) >= KEY))
-    return (F.length(value) >= LEAST) & (entropy(value) >= ENTROPY) & ~placeholder
+    bits = F.least(F.lit(ENTROPY), VARIED * F.log2(F.length(value).cast("double")))
+    return (F.length(value) >= least) & (entropy(value) >= bits) & ~placeholder
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, wide: int = WIDE_OWNERS, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, wide: int = WIDE_OWNERS, keep_text: bool = True, least: int = LEAST) -> DataFrame:
     """``docs`` (doc_id, text, ...) with spans: an array of (start, rank, kind, end, value, owners, repositories, verdict) for each row.
 
     Candidates come from every whole text: the base kinds assign, access and hex (leftmost, not overlapping within a
@@ -114,7 +117,7 @@ def scan(docs: DataFrame, repository: str = "source", owner: str | None = None,
     distinct owners. The owner of a repository is the part of its name before the first slash, or the column ``owner``.
 
     verdict: ``example`` where ``wide`` or more owners hold the value, for such values were copied; ``weak`` where the
-    value does not look like a live credential; ``live`` otherwise.
+    value does not look like a live credential, for which it has at least ``least`` characters; ``live`` otherwise.
 
     Duplicate owners of a value go before the first shuffle, and only values held by two owners or more are joined back,
     dealt to ``PARTS`` parts, so neither a value nor a source that holds a third of all rows meets in one task. Null text is
@@ -134,7 +137,7 @@ def scan(docs: DataFrame, repository: str = "source", owner: str | None = None,
     held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     known = each.withColumn("_part", F.pmod("_row", F.lit(PARTS)).cast("int")).join(held, ["_hash", "_part"], "left")
     owners, repos = F.coalesce("owners", F.lit(1).cast("long")), F.coalesce("repositories", F.lit(1).cast("long"))
-    verdict = F.when(owners >= wide, "example").when(looks_live(F.col("s.value"), F.col("s.kind")), "live").otherwise("weak")
+    verdict = F.when(owners >= wide, "example").when(looks_live(F.col("s.value"), F.col("s.kind"), least), "live").otherwise("weak")
     judged = known.select("_row", F.struct("s.start", "s.rank", "s.kind", "s.end", "s.value", owners.alias("owners"), repos.alias("repositories"), verdict.alias("verdict")).alias("s"))
     gathered = judged.groupBy("_row").agg(F.array_sort(F.collect_list("s")).cast(RESULT).alias("spans"))
     single = base.filter(F.size("spans") == 0).select(*keep, F.array().cast(RESULT).alias("spans"))

@@ -179,6 +179,14 @@ def test_each_class_of_texts_keeps_one_row(spark, small):
     assert got == sorted([(7, a, "r"), (7, b, "s"), (0, c, "s"), (12, d + " yet", "s"), (0, "", "s"), (13, "", "s")])
 
 
+def test_short_passwords_are_redacted(spark, small):
+    import corpus_pipeline as C
+    rows = [(1, "password = Tr0ub4d9x now", "a/x"), (2, "password = aaaaaaaaaa now", "a/x"), (3, "token: example99 now", "b/x"), (4, "secret: k3yk3yk3", "c/x"), (5, "secret=short12", "c/x")]
+    rows += [(10 + i, "password = c0rrecth0rs now", f"o{i}/x") for i in range(3)]
+    got = {r.doc_id: r.text for r in C.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), small).collect()}
+    assert got == {i: t for i, t, _ in rows} | {1: "[assign] now"}
+
+
 def test_pipeline_of_nothing(spark, small):
     import corpus_pipeline as C
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
