@@ -117,6 +117,23 @@ def chunk(df: DataFrame, size: int, order, shares: int | None = None, key=None)
             .withColumn("no", (F.col("_p") % size + 1).cast("int")).drop("_p"))
 
 
+def chunk_in_order(df: DataFrame, size: int, key: str, then: str | None = None, width: int = 1000) -> DataFrame:
+    """Like ``chunk`` with all rows in one share, in the order of the integers ``key`` and ``then`` (null first), but a
+    row's number is a sum: the rows of smaller keys, those of its key's smaller ranges of ``then``, its place in its range.
+    """
+    least = F.lit(-(1 << 63))  # stands for null, which is joined like other keys
+    second = F.coalesce(F.col(then).cast("long"), least) if then else F.lit(0).cast("long")
+    keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), least)).withColumn("_s2", second).withColumn("_r", F.floor(F.col("_s2") / width))
+    ranges = keyed.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    starts = before(ranges.groupBy("_k").agg(F.sum("_n").alias("_n")), "_k", "_n", "_start").select("_k", "_start")
+    ranges = ranges.withColumn("_in", F.sum("_n").over(W.partitionBy("_k").orderBy("_r")) - F.col("_n")).join(starts, "_k")
+    ranges = ranges.select("_k", "_r", (F.col("_start") + F.col("_in")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_k", "_r").orderBy("_s2")) - 1
+    placed = keyed.withColumn("_i", inside).join(ranges, ["_k", "_r"]).withColumn("_p", F.col("_before") + F.col("_i"))
+    return (placed.withColumn("share", F.lit(0).cast("long")).withColumn("chunk", F.floor(F.col("_p") / size).cast("int"))
+            .withColumn("no", (F.col("_p") % size + 1).cast("int")).drop("_k", "_s2", "_r", "_i", "_before", "_p"))
+
+
 def numbered(df: DataFrame, group, order, name="no") -> DataFrame:
     """Number the lines of each request. A request is bounded by what a model can read."""
     group = [group] if isinstance(group, str) else list(group)

@@ -242,19 +242,19 @@ def i2b(spark, d):
     return A.requests_lines(lines, F.col("prompt"), "conv_id", form="[%d] %s").select("conv_id", F.md5("content").alias("h"))
 
 
-# Texts stand in one share here, so that the SQL can number them as well; shares of their own are tested in g10.
+# Texts are numbered in one order here, as sums of ranges, so that the SQL can number them as well; shares are tested in g10.
 @query("i3_requests_chunks", """WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations)
     SELECT p // 9 AS chunk, md5('Lines.' || chr(10) || chr(10) || string_agg((p % 9 + 1) || '. ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), chr(10) ORDER BY p)) AS h FROM n GROUP BY 1""")
 def i3(spark, d):
     lines = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
-    return A.requests_chunks(G.chunk(lines, 9, ["conv_id", "turn"], shares=1), "Lines.").select("chunk", F.md5("content").alias("h"))
+    return A.requests_chunks(G.chunk_in_order(lines, 9, "conv_id", "turn"), "Lines.").select("chunk", F.md5("content").alias("h"))
 
 
 @query("i4_requests_groups", """WITH g AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, row_number() OVER (ORDER BY conv_id) - 1 AS p FROM conversations GROUP BY 1)
     SELECT p // 8 AS chunk, md5('Groups.' || chr(10) || chr(10) || string_agg((p % 8 + 1) || '.' || chr(10) || body, chr(10) || chr(10) ORDER BY p)) AS h FROM g GROUP BY 1""")
 def i4(spark, d):
     c = table(spark, d, "conversations")
-    groups = G.chunk(c.select("conv_id").distinct(), 8, ["conv_id"], shares=1)
+    groups = G.chunk_in_order(c.select("conv_id").distinct(), 8, "conv_id")
     lines = groups.join(c.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("line")), "conv_id")
     return A.requests_groups(lines, "Groups.").select("chunk", F.md5("content").alias("h"))
 

@@ -159,3 +159,16 @@ def test_registry_table(spark):
     assert t.count() == len(REGISTRY) == 56
     assert t.filter("yields = 'statement'").count() == 4
     assert stoplist_table(spark).select("name").distinct().count() == 3
+
+
+def test_chunks_in_order_use_no_single_window(spark):
+    from spanloom.operators import sampling
+    from spanloom.plans.catalog import QUERIES
+    rows = [(None if i % 11 == 0 else i * 37 % 50, i) for i in range(3000)] + [(1_000_000, i) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k long, t long").repartition(7)
+    want = {r: (i // 9, i % 9 + 1) for i, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    got = sampling.chunk_in_order(df, 9, "k", "t").collect()
+    assert len(got) == len(rows) and {(r.k, r.t): (r.chunk, r.no) for r in got} == want
+    for name in ("i3_requests_chunks", "i4_requests_groups"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" not in plan, name
