@@ -42,14 +42,25 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
     ("Proprietary", "Copyright. All rights reserved. Unauthorised copying is prohibited"),
 ]
+#: The GNU licences, whose notices differ in little but name and version.
+GNU = [("GPL-2.0", "General", "program", "2"), ("GPL-3.0", "General", "program", "3"), ("LGPL-2.0", "Library General", "library", "2"), ("LGPL-2.1", "Lesser General", "library", "2.1"),
+       ("LGPL-3.0", "Lesser General", "library", "3"), ("AGPL-3.0", "Affero General", "program", "3")]
+for _id, _name, _noun, _version in GNU:
+    TEMPLATES += [(_id, f"This work is licensed under the GNU {_name} Public License, version {_version}"), (_id, f"GNU {_name} Public License Version {_version}"), (_id, f"SPDX-License-Identifier: {_id}-only"),
+                  (_id, f"This {_noun} is free software; you can redistribute it and/or modify it under the terms of the GNU {_name} Public License as published by the Free Software Foundation; either version {_version} of the License, or (at your option) any later version")]
+#: A notice of a GNU licence that names no version leaves the choice.
+ANY_VERSION = {"GPL": "GPL-1.0-or-later", "LGPL": "LGPL-2.0-or-later", "AGPL": "AGPL-1.0-or-later"}
+#: The sentence that all BSD texts share; the clauses that follow tell them apart.
+BSD_TEXT = next(i for i, (_, text) in enumerate(TEMPLATES) if text.startswith("Redistribution and use"))
 #: A statement is a header candidate if it holds one of these; every template does.
 ANCHORS = r"(?i)licen[sc]|spdx|\bgnu\b|copyright|rights reserved|permission is hereby|redistribution and use|public domain"
 #: Least cosine of a statement to a template, and least part of a file's words in its best statement for a licence file.
 COSINE, FILE_SHARE = 0.6, 0.2
 #: Names of licence files, whatever their extension.
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([._-][^/]*)?$"
-#: Directories above a file that are looked at.
-DEPTH = 32
+#: What stands at the beginning of a line in comments.
+LEAD = r"[ \t/*#;!%>-]*"
+SENTENCES = r"(?<=[.!?])[ \t]+(?=\p{Lu})"
 
 
 def terms(text: Column) -> Column:
@@ -58,10 +69,34 @@ def terms(text: Column) -> Column:
 
 
 def statements(text: Column) -> Column:
-    """Sentences and lines of a text that hold an anchor."""
+    """What holds an anchor in a text, as (statement, whole): sentences within lines, and whole sentences of paragraphs that
+    run over several lines, without line ends and marks of comments."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    parts = F.filter(F.split(text, r"(?<=[.!?])[ \t]+(?=\p{Lu})|[\r\n]+"), lambda s: s.rlike(ANCHORS))
-    return F.when(text.rlike(ANCHORS), parts).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.split(text, SENTENCES + r"|[\r\n]+"), lambda s: s.rlike(ANCHORS))
+    paragraphs = F.filter(F.split(text, rf"(?:\r\n|[\r\n]){LEAD}(?:\r\n|[\r\n])"), lambda s: s.rlike(ANCHORS) & s.rlike(r"\S[ \t]*[\r\n]"))
+    joined = F.transform(paragraphs, lambda s: F.regexp_replace(s, rf"[ \t]*[\r\n]+{LEAD}", " "))
+    whole = F.filter(F.flatten(F.transform(joined, lambda s: F.split(F.regexp_replace(s, "^" + LEAD, ""), SENTENCES))), lambda s: s.rlike(ANCHORS))
+    said = [F.transform(x, lambda s: F.struct(s.alias("statement"), F.lit(flag).alias("whole"))) for x, flag in ((parts, False), (F.array_except(whole, parts), True))]
+    return F.when(text.rlike(ANCHORS), F.concat(*said)).otherwise(F.array().cast("array<struct<statement:string,whole:boolean>>"))
+
+
+def clauses(text: Column) -> Column:
+    """3 or 2 for a text that holds so many of the clauses of the BSD licences, else 0."""
+    flat = F.regexp_replace(text.cast("string"), r"[\s/*#;!%>-]+", " ")
+    count = F.when(flat.rlike("(?i)neither the names? of|endorse or promote"), 3).when(flat.rlike("(?i)binary form must reproduce"), 2).otherwise(0)
+    return F.when(F.coalesce(text.cast("string").rlike(r"(?i)redistribution\s+and\s+use|binary\s+form"), F.lit(False)), count).otherwise(0)
+
+
+def gnu_family(statement: Column) -> Column:
+    """Which of the GNU licences a statement names; empty: none."""
+    names = [("AGPL", r"affero|\bagpl"), ("LGPL", r"(?:lesser|library)\s+general|\blgpl"), ("GPL", r"general\s+public|\bgpl")]
+    return F.coalesce(*[F.when(statement.rlike("(?i)" + pattern), name) for name, pattern in names], F.lit(""))
+
+
+def versions(statement: Column) -> Column:
+    """The versions that a statement names, without a final .0."""
+    found = F.regexp_extract_all(F.lower(statement), F.lit(r"(?:version|\bv|gpl)[\s,v.-]*([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
+    return F.transform(found, lambda v: F.regexp_replace(v, r"\.0$", ""))
 
 
 def templates(spark) -> DataFrame:
@@ -73,12 +108,16 @@ def templates(spark) -> DataFrame:
 def matched(files: DataFrame) -> DataFrame:
     """(row, license, cosine, share): the best template of each file's statements (row, said, words), with at least ``COSINE``.
 
+    A GNU template is met only by statements of its family that name its version; one that names none stands for any
+    version and gives way to all others. So a line out of a longer notice cannot decide on a version. The sentence that
+    BSD texts share is judged by the clauses in the file.
+
     A term's weight is tf * idf with idf = ln((1 + N) / (1 + df)) + 1 over the N candidate statements of all files and the
     templates' own df counted there; dot products run over the terms that stand in a template. Equal statements are one row
     until the end, so a notice in a third of all files is compared once. Ties: the higher cosine, then the first template.
     """
     spark = files.sparkSession
-    found = files.select("row", "words", F.explode("said").alias("statement"))
+    found = files.select("row", "words", "clauses", F.explode("said").alias("s")).select("row", "words", "clauses", "s.*")
     sizes = found.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
     distinct = written(sizes.withColumn("terms", terms(F.col("statement"))), slim=True)
     total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -93,11 +132,19 @@ def matched(files: DataFrame) -> DataFrame:
     lengths = weighted.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighted.join(entries, "term").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     scored = dots.join(lengths, "statement").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).filter(F.col("cosine") >= COSINE)
-    best = scored.groupBy("statement").agg(F.max(F.struct("cosine", (-F.col("template")).alias("order"), "license")).alias("b"))
+    family, named = F.regexp_extract("license", "^([AL]?GPL)-", 1), F.regexp_replace(F.regexp_extract("license", r"([0-9.]+)$", 1), r"\.0$", "")
+    scored = scored.withColumns({"family": family, "versions": versions(F.col("statement"))}).filter((F.col("family") == "") | (F.col("family") == gnu_family(F.col("statement"))))
+    fixed = (F.col("family") == "") | (F.size("versions") > 0)
+    scored = scored.filter((F.col("family") == "") | ~fixed | F.array_contains("versions", named)).withColumn("fixed", fixed)
+    for short, whole in ANY_VERSION.items():
+        scored = scored.withColumn("license", F.when(~F.col("fixed") & (F.col("family") == short), whole).otherwise(F.col("license")))
+    best = scored.groupBy("statement").agg(F.max(F.struct("fixed", "cosine", (-F.col("template")).alias("order"), "license")).alias("b"))
     best = written(best.join(distinct.select("statement", F.size("terms").alias("terms")), "statement").select("statement", "b.*", "terms"), slim=True)
     hits = found.join(best, "statement")
-    top = hits.groupBy("row").agg(F.max(F.struct("cosine", "order", "license")).alias("b"), F.sum("terms").alias("terms"), F.first("words").alias("words"))
-    return top.select("row", "b.license", "b.cosine", (F.col("terms") / F.col("words")).alias("share"))
+    held = lambda whole: F.coalesce(F.sum(F.when(F.col("whole") == whole, F.col("terms"))), F.lit(0))
+    top = hits.groupBy("row").agg(F.max(F.struct("fixed", "cosine", "order", "license")).alias("b"), F.greatest(held(True), held(False)).alias("terms"), F.first("words").alias("words"), F.first("clauses").alias("clauses"))
+    license = F.when((F.col("b.order") == -BSD_TEXT) & (F.col("clauses") == 2), "BSD-2-Clause").otherwise(F.col("b.license"))
+    return top.select("row", license.alias("license"), "b.cosine", (F.col("terms") / F.col("words")).alias("share"))
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -110,16 +157,15 @@ def scan(files: DataFrame) -> DataFrame:
 
     Every directory above a file is a row of one table of distinct directories, joined by path with the directories of
     licence files; the nearest is the longest. Files meet it by their own directory, as plain tables on both sides, so a
-    directory with a third of all files can be split. Null text holds no notice, null path inherits nothing, directories
-    deeper than ``DEPTH`` look at the nearest ``DEPTH``. Rows that repeat stay rows; an empty table gives an empty table.
+    directory with a third of all files can be split. Null text holds no notice, null path inherits nothing. Rows that repeat stay rows; an empty table gives an empty table.
     """
     added = ["license", "origin", "cosine", "from_path"]
     keep = [c for c in files.columns if c not in added]
     back = [c for c in keep if c != "text"]
     said = files.select(*keep).withColumn("said", statements(F.col("text")))
     words = F.when(F.size("said") > 0, F.size(terms(F.col("text").cast("string")))).otherwise(0)
-    rows = written(said.select(*back, "said", words.alias("words"), F.monotonically_increasing_id().alias("row")))  # the texts are read once and left behind
-    found = rows.drop("said", "words").join(matched(rows), "row", "left").select(*back, "row", "license", "cosine", "share")
+    rows = written(said.select(*back, "said", words.alias("words"), clauses(F.col("text")).alias("clauses"), F.monotonically_increasing_id().alias("row")))  # the texts are read once and left behind
+    found = rows.drop("said", "words", "clauses").join(matched(rows), "row", "left").select(*back, "row", "license", "cosine", "share")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     by_name = F.coalesce(F.substring_index("path", "/", -1).rlike(FILE_NAME), F.lit(False))
     is_file = F.col("license").isNotNull() & (by_name | (F.col("share") >= FILE_SHARE))
@@ -128,7 +174,7 @@ def scan(files: DataFrame) -> DataFrame:
     passed = written(passed.select(F.col("folder").alias("above"), F.col("b.license").alias("given"), F.col("b.path").alias("from_path")), slim=True)
     folders = found.filter("license is null and folder is not null").select("folder").distinct()
     steps = F.split("folder", "/")
-    levels = F.transform(F.sequence(F.size(steps), F.greatest(F.size(steps) - DEPTH, F.lit(1)), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    levels = F.transform(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     ways = folders.select("folder", F.posexplode(F.array_distinct(F.concat(levels, F.array(F.lit(""))))).alias("up", "above"))
     nearest = ways.join(passed, "above").groupBy("folder").agg(F.min_by(F.struct("given", "from_path"), "up").alias("x"))
     nearest = written(nearest.select("folder", "x.*"), slim=True)

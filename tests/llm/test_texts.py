@@ -178,6 +178,21 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_notices_tell_versions_apart(spark):
+    header = ("This {noun} is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {name} Public License as published by\n"
+              " * the Free Software Foundation; either version {v} of the License, or\n * (at your option) any later version.")
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# 1. Redistributions of source code must retain this notice.\n# 2. Redistributions in binary form must reproduce it.\n"
+    code = "\n\nint main(void);\n" + "lorem ipsum dolor\n" * 40
+    kinds = [("GPL-2.0", "General", "program", "2"), ("GPL-3.0", "General", "program", "3"), ("LGPL-2.1", "Lesser General", "library", "2.1"), ("LGPL-3.0", "Lesser General", "library", "3"), ("LGPL-2.0", "Library General", "library", "2"), ("AGPL-3.0", "Affero General", "program", "3")]
+    deep = "z/" + "d/" * 50
+    files = [(f"{i}/{end}.c", text + code) for i, name, noun, v in kinds for end, text in (("a", "/*\n * " + header.format(name=name, noun=noun, v=v) + "\n */"), ("b", header.format(name=name, noun=noun, v=v).replace("\n *", "")))]
+    files += [("BSD-2-Clause/a.c", "# " + bsd + code), ("BSD-3-Clause/a.c", "# " + bsd + "# 3. Neither the name of the\n# owner may be used.\n" + code), ("GPL-1.0-or-later/a.c", "it under the terms of the GNU General Public License as published by" + code)]
+    files += [("z/LICENSE", "The MIT License (MIT)"), ("z/d/d/LICENSE", "Licensed under the Apache License, Version 2.0"), (deep + "a.c", "int x;")]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: r.license for p, r in got.items() if p[0] != "z"} == {p: p.split("/")[0] for p, _ in files if p[0] != "z"}
+    assert got[deep + "a.c"].license == "Apache-2.0" and got[deep + "a.c"].from_path == "z/d/d/LICENSE"
+
+
 PAGES = [
     ("<p>one<p>two", "one\n\ntwo"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("x <b>y</b>z &amp; &lt;w&gt;", "x yz & <w>"), ("<div>a</div><div>b</div>", "a\nb"),
     ("<ul><li>a<li>b<ol start=4><li>c<li>d</ol></ul>e", "- a\n- b\n  4. c\n  5. d\n\ne"), ("<style>p{}</style><script>'</p>'</script>v<!-- c -->w", "vw"),
