@@ -85,6 +85,12 @@ def licenses(spark, d):
     return scan(table(spark, d, "documents").select("doc_id", path.alias("path"), "text"))
 
 
+@query("op13_whitening")
+def whitening(spark, d):
+    from spanloom.llm.whitening import whitened
+    return whitened(table(spark, d, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
