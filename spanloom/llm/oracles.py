@@ -69,3 +69,60 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
     k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
     SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
+
+
+def _least(*options):
+    """The least of structs (cost, edits, text), those that are not there left out."""
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _after(state, letters, cost, line="NULL"):
+    """A state's struct after an edit: its cost, its letters, and a line of the repaired text."""
+    text = f"{state}.o" if line == "NULL" else f"CASE WHEN {state}.o IS NULL THEN {line} ELSE {state}.o || chr(10) || {line} END"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}', 'o': {text}}} END"
+
+
+def _open(where):
+    """Where inserts lead from the four states: an open user row (ku), a closed pair (ka)."""
+    one = lambda s, who: _after(s, "I", 3, f"'{who}:'")
+    return f"""SELECT *, {_least("qu", one("q0", "user"), one("qs", "user"), one("qa", "user"))} AS ku, {_least("qa", one("qu", "assistant"), one("pu", "assistant"))} AS ka
+        FROM (SELECT *, {_least(one("q0", "user"), one("qs", "user"))} AS pu FROM {where})"""
+
+
+def _kept(state, cond):
+    stays = _after(state, "K", "(CASE fault WHEN 'truncated' THEN 3 ELSE 0 END)", "role || ':' || text")
+    return f"CASE WHEN {cond} AND fault NOT IN ('blank', 'duplicate') THEN {stays} END"
+
+
+def _reroled(state, who):
+    other = _after(state, "R", "(CASE fault WHEN 'truncated' THEN 6 ELSE 3 END)", f"'{who}:' || text")
+    return f"CASE WHEN left(role, 1) <> '{who[0]}' AND fault NOT IN ('blank', 'duplicate') THEN {other} END"
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+        list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_STRUCT = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR)"
+
+OP11 = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS act FROM conversations),
+    d AS (SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE act WHEN 3 THEN 2 ELSE 1 END)) FROM k WHERE act <> 0),
+    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM d),
+    n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS before,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM f),
+    v AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': NULL::VARCHAR}} AS q0, NULL::{_STRUCT} AS qs, NULL::{_STRUCT} AS qu, NULL::{_STRUCT} AS qa
+            FROM (SELECT DISTINCT conv_id FROM n)
+        UNION ALL
+        SELECT conv_id, i, {_after("q0", "D", 4)}, {_least(_after("qs", "D", 4), _kept("q0", "left(role, 1) = 's'"))},
+            {_least(_after("ku", "D", 4), *[_kept(q, "left(role, 1) = 'u'") for q in ("q0", "qs", "ka")], *[_reroled(q, "user") for q in ("q0", "qs", "ka")])},
+            {_least(_after("ka", "D", 4), _kept("ku", "left(role, 1) = 'a'"), _reroled("ku", "assistant"))}
+            FROM ({_open("(SELECT v.conv_id, n.i, n.role, n.text, n.fault, q0, qs, qu, qa FROM v JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.i = v.i + 1)")})),
+    e AS (SELECT conv_id, {_least("q0", "ka")} AS best FROM ({_open("(SELECT * FROM v QUALIFY i = max(i) OVER (PARTITION BY conv_id))")})),
+    c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY 1)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.o, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id"""

@@ -85,6 +85,12 @@ def licenses(spark, d):
     return scan(table(spark, d, "documents").select("doc_id", path.alias("path"), "text"))
 
 
+@query("op11_repair", oracles.OP11)
+def repair(spark, d):
+    from spanloom.llm.repair import audited
+    return audited(table(spark, d, "conversations"))
+
+
 @query("op13_whitening")
 def whitening(spark, d):
     from spanloom.llm.whitening import whitened
