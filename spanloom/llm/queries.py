@@ -91,6 +91,12 @@ def repair(spark, d):
     return audited(table(spark, d, "conversations"))
 
 
+@query("op12_pii")
+def pii(spark, d):
+    from spanloom.llm.pii import digest_columns, scan
+    return digest_columns(scan(table(spark, d, "documents").select("doc_id", "text"), keep_text=False))
+
+
 @query("op13_whitening")
 def whitening(spark, d):
     from spanloom.llm.whitening import whitened
