@@ -4,61 +4,20 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.functions.spans import WHITESPACE, _c, cut, find_spans, let
-from spanloom.functions.text import PROSE_WORD, SPACES, fold
+from spanloom.functions.spans import WHITESPACE, _c, cut
+from spanloom.operators import anchors
+from spanloom.session import bounded_batches
 
 # Fixed values of the loose match.
 MIN_FOLDED, MIN_WORDS, SEED_LETTERS, SEEDS, PLACES, MARGIN = 8, 4, 4, 3, 5, 5
 MIN_SHARE, STRETCH, SLACK = 0.8, 1.3, 3
+HOPELESS = 8
 KINDS = ("is", "not", "part", "name", "answer", "place", "who", "does", "visitor")
 
 
-def exact_span(text, quote) -> Column:
-    """struct<start,end> of the trimmed quote as written, or NULL."""
-    q = F.btrim(_c(quote), F.lit(WHITESPACE))
-    at = F.instr(_c(text), q)
-    return F.when((q != "") & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(q)).alias("end")))
-
-
-# Stretches whose folded length differs: white space and emphasis marks together, an ellipsis.
-UNEVEN = SPACES[:-1] + "*_`]{2,}|[*_`]|…"
-
-
-def fold_changes(text) -> Column:
-    """array<struct<start,size,folded,at>>: stretches of the text that fold to another length,
-    and the offset of the character that stands for them."""
-    def change(s):
-        blank = F.regexp_instr(s["surface"], F.lit(SPACES))
-        folded = F.when(s["surface"] == "…", 3).when(blank > 0, 1).otherwise(0)
-        return F.struct(s["start"].alias("start"), (s["end"] - s["start"]).alias("size"), folded.alias("folded"),
-                        (s["start"] + F.greatest(blank - 1, F.lit(0))).alias("at"))
-
-    return F.transform(find_spans(text, UNEVEN), change)
-
-
-def unfold(changes, position) -> Column:
-    """Offset in the text of the character that gave folded character ``position``."""
-    def step(acc, c):
-        begins = c["start"] - acc["shift"]
-        after = position >= begins + c["folded"]
-        inside = (position >= begins) & ~after
-        return F.struct(F.when(after, acc["shift"] + c["size"] - c["folded"]).otherwise(acc["shift"]).cast("int").alias("shift"),
-                        F.coalesce(acc["at"], F.when(inside, c["at"]).cast("int")).alias("at"))
-
-    start = F.struct(F.lit(0).alias("shift"), F.lit(None).cast("int").alias("at"))
-    return F.aggregate(changes, start, step, lambda acc: F.coalesce(acc["at"], (position + acc["shift"]).cast("int")))
-
-
-def folded_span(folded, changes, quote) -> Column:
-    """struct<start,end> where text and quote agree after folding (8 characters or more).
-    ``folded`` and ``changes`` are the text's fold and its ``fold_changes``."""
-    return let(F.btrim(fold(quote), F.lit(" ")), lambda q: let(F.instr(_c(folded), q), lambda at: F.when(
-        (F.length(q) >= MIN_FOLDED) & (at > 0), F.struct(
-            unfold(changes, at - 1).alias("start"), (unfold(changes, at + F.length(q) - 2) + 1).alias("end")))))
-
-
 def align(quotes: pd.Series, windows: pd.Series) -> pd.DataFrame:
     """Matching words of a quote in a window: how many, first and last place."""
     out = []
@@ -73,52 +32,6 @@ def align(quotes: pd.Series, windows: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["got", "first", "last"])
 
 
-def candidate_windows(text, quote) -> Column:
-    """struct<words,quote,at>: the text's words with offsets, the quote's words, and the windows
-    of words around its rarest long words (array<struct<k,lo,window>>)."""
-    def windows(tw, tl, qw):
-        # everything a lambda reads is bound first
-        long_words = F.filter(F.array_distinct(qw), lambda w: F.length(w) > SEED_LETTERS)
-        listed = F.transform(tl, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        places = let(long_words, lambda lw: F.filter(listed, lambda p: F.array_contains(lw, p["w"])))
-
-        def counted(held):
-            return F.transform(F.array_distinct(F.transform(held, lambda p: p["w"])), lambda w: let(
-                F.filter(held, lambda p: p["w"] == w), lambda at: F.struct(
-                    F.size(at).alias("n"), w.alias("w"), F.slice(F.transform(at, lambda p: p["i"]), 1, PLACES).alias("at"))))
-
-        seeds = F.slice(F.array_sort(let(places, counted)), 1, SEEDS)
-        spots = F.flatten(F.transform(seeds, lambda s: s["at"]))
-        n = F.size(qw)
-        return F.transform(spots, lambda i, k: let(F.greatest(F.lit(0), i - n - MARGIN), lambda lo: F.struct(
-            k.alias("k"), lo.alias("lo"), F.slice(tl, lo + 1, F.least(F.size(tl), i + n + MARGIN) - lo).alias("window"))))
-
-    def lowered(spans):
-        return F.transform(spans, lambda w: F.lower(w["surface"]))
-
-    return let(F.struct(find_spans(text, PROSE_WORD).alias("t"), lowered(find_spans(quote, PROSE_WORD)).alias("q")), lambda b: let(
-        lowered(b["t"]), lambda tl: F.struct(b["t"].alias("words"), b["q"].alias("quote"), F.when(
-            F.size(b["q"]) >= MIN_WORDS, windows(b["t"], tl, b["q"])).alias("at"))))
-
-
-def widen(text, start, end) -> Column:
-    """Whole sentences around a loose match, with closing marks."""
-    text = _c(text)
-    tail = F.substring_index(F.translate(F.substring(text, F.lit(1), start), "!?\n", "..."), ".", -1)
-    s0 = start - F.length(tail)
-    lead = cut(text, s0, end)
-    s = s0 + F.length(lead) - F.length(F.ltrim(lead, F.lit(" \t")))
-
-    def finish(s):
-        rest = F.substring(text, F.greatest(s, end - 1) + 1, F.length(text))
-        head = F.length(F.substring_index(F.translate(rest, "!?\n", "..."), ".", 1))
-        stop = F.least(F.greatest(s, end - 1) + head + 1, F.length(text))
-        closers = F.length(F.regexp_extract(F.substring(text, stop + 1, F.length(text)), "^[*\"”’)]*", 0))
-        return F.struct(s.alias("start"), (stop + closers).alias("end"))
-
-    return let(s, finish)
-
-
 def passage_view(text, spans) -> Column:
     """struct<view,passages,covered_pct>: every merged passage with the percent of the text
     at which it begins. ``spans`` is array<struct<start,end>> in order."""
@@ -132,59 +45,105 @@ def passage_view(text, spans) -> Column:
                     F.bround(100.0 * covered / size).cast("int").alias("covered_pct"))
 
 
+#: What the search inside a text gives for one quote: a settled place, or the windows in which it may stand.
+_WINDOW = pa.struct([("k", pa.int32()), ("words", pa.list_(pa.string())), ("common", pa.int32()), ("opens", pa.list_(pa.int32())), ("closes", pa.list_(pa.int32()))])
+FOUND = ("quote_no int, start int, end int, match string, words array<string>, "
+         "windows array<struct<k:int,words:array<string>,common:int,opens:array<int>,closes:array<int>>>")
+
+
+def _search(text: str, quotes, min_share: float):
+    """(quote_no, start, end, match, words, windows) of the quotes of a text that stand in it, or may.
+
+    The text is walked once for the quotes as written, and once more, folded, for the others. A window goes on only if it
+    holds enough of the quote's words to reach ``min_share``."""
+    quotes = [(q["quote_no"], q["quote"]) for q in quotes or () if q["quote"] is not None]
+    as_is = {q: anchors.trimmed(q) for _, q in quotes}
+    exact = anchors.places(text, as_is.values())
+    open_ = {q: anchors.folded(q).strip(" ") for q, t in as_is.items() if t not in exact}
+    open_ = {q: f for q, f in open_.items() if len(f) >= MIN_FOLDED}
+    fold = anchors.Fold(text) if open_ else None
+    loose = anchors.places(fold.text, open_.values()) if open_ else {}
+    body, low, hopeless = None, None, 0
+    for no, q in quotes:
+        if as_is[q] in exact:
+            at = exact[as_is[q]]
+            yield no, at, at + len(as_is[q]), "exact", None, None
+        elif open_.get(q) in loose:
+            at = loose[open_[q]]
+            yield no, fold.back(at), fold.back(at + len(open_[q]) - 1) + 1, "folded", None, None
+        elif q in open_:
+            words, windows = anchors.quote_words(q), []
+            if body is None and hopeless < HOPELESS:
+                # a quote of which no long word stands in the text cannot be aligned; a few are asked before words are listed
+                low = text.lower() if low is None else low
+                if not any(len(w) > SEED_LETTERS and w in low for w in words):
+                    hopeless += 1
+                    continue
+            body = body or anchors.Words(text)
+            for k, low, high in body.windows(words, SEED_LETTERS, SEEDS, PLACES, MARGIN) if len(words) >= MIN_WORDS else ():
+                held = body.low[low:high]
+                common = anchors.common(words, held)
+                if common >= min_share * len(words):
+                    windows.append((k, held, common, [body.opening(a) for a, _ in body.spans[low:high]], [body.closing(b) for _, b in body.spans[low:high]]))
+            if windows:
+                yield no, None, None, None, words, windows
+
+
+def search_quotes(df: DataFrame, keys, text="text", quotes="quotes", min_share: float = MIN_SHARE) -> DataFrame:
+    """keys and ``FOUND``: each quote that stands in its text as written or folded with its place, each that may be aligned
+    with the windows that hold enough of its words. Texts leave no task."""
+    bounded_batches(df.sparkSession)
+    kept = df.select(*keys)
+    names = [*kept.columns, "quote_no", "start", "end", "match", "words", "windows"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(_WINDOW)]
+
+    def flush(batch, owner, rows):
+        columns = list(zip(*rows))
+        parts = [pa.array([None if w is None else [dict(zip(_WINDOW.names, x)) for x in w] for w in c] if i == 5 else c, kinds[i]) for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(owner, pa.int32())) for k in range(len(keys))] + parts, names)
+
+    def run(batches):
+        for batch in batches:
+            owner, rows, size = [], [], 0
+            for i in range(batch.num_rows):
+                text_, held = batch.column(len(keys))[i].as_py(), batch.column(len(keys) + 1)[i].as_py()
+                for row in _search(text_, held, min_share) if text_ is not None else ():
+                    owner.append(i)
+                    rows.append(row)
+                    size += 1 + sum(len(w[1]) for w in row[5] or ())
+                    if size > 200_000:
+                        yield flush(batch, owner, rows)
+                        owner, rows, size = [], [], 0
+            if rows:
+                yield flush(batch, owner, rows)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    asked = F.transform(_c(quotes), lambda q: F.struct(q["quote_no"].cast("int").alias("quote_no"), q["quote"].alias("quote")))
+    return df.select(*keys, F.col(text).alias("_text"), asked.alias("_quotes")).mapInArrow(run, f"{fields}, {FOUND}")
+
+
 def locate_all(df: DataFrame, keys, text="text", quotes="quotes", min_share: float = MIN_SHARE) -> DataFrame:
     """keys, quote_no, start, end, match (exact, folded, fuzzy) of the quotes that are found.
 
-    ``quotes`` is array<struct<quote_no,quote>>: the quotes of a text travel with it, so the
-    text is read, joined and folded once however many there are, and in one pass: what the
-    first two steps settle carries no text into the third. Windows are made and chosen by
-    Spark; only the alignment of two short word lists runs in Python, over Arrow batches.
+    ``quotes`` is array<struct<quote_no,quote>>: the quotes of a text travel with it. The text is read once, and searched
+    for all its quotes together (``anchors``). What goes on is a place, or short lists of words with the offsets of the
+    sentences around them, so no later step needs the text; these are dealt by quote, so a text with very many quotes does
+    not keep one task busy. Only the alignment of two short word lists runs in Python again.
     """
     keys = list(keys)
-    body = F.col(text)
-    exact = F.transform(quotes, lambda q: F.struct(q["quote_no"].alias("quote_no"), q["quote"].alias("quote"),
-                                                   exact_span(body, q["quote"]).alias("at")))
-
-    def settle(rows):
-        missing = F.exists(rows, lambda q: q["at"].isNull())
-        once = F.struct(F.when(missing, fold(body)).alias("fold"), F.when(missing, fold_changes(body)).alias("changes"),
-                        F.when(missing, F.lower(body)).alias("low"))
-
-        def one(q, bound):
-            loose = F.when(q["at"].isNull(), folded_span(bound["fold"], bound["changes"], q["quote"]))
-            long_word = F.exists(F.regexp_extract_all(F.lower(q["quote"]), F.lit("(?U)" + PROSE_WORD), F.lit(0)),
-                                 lambda w: (F.length(w) > SEED_LETTERS) & F.contains(bound["low"], w))
-            return let(loose, lambda f: F.struct(
-                q["quote_no"].alias("quote_no"), q["quote"].alias("quote"), F.coalesce(q["at"], f).alias("at"),
-                F.when(q["at"].isNotNull(), "exact").when(f.isNotNull(), "folded").alias("match"),
-                # a quote of which no long word stands in the text cannot be aligned
-                F.when(q["at"].isNull() & f.isNull(), (F.length(F.btrim(fold(q["quote"]), F.lit(" "))) >= MIN_FOLDED) & long_word)
-                .otherwise(False).alias("hopeful")))
-
-        return let(once, lambda bound: F.transform(rows, lambda q: one(q, bound)))
-
-    rows = df.select(*keys, body.alias("_text"), F.inline(let(exact, settle)))
-    settled = rows.filter(F.col("at").isNotNull()).select(*keys, "quote_no", "at", "match")
-    loose = rows.filter(F.col("at").isNull() & F.col("hopeful")).withColumn("_c", candidate_windows("_text", "quote"))
-    tried = loose.select(*keys, "quote_no", F.col("_c.quote").alias("_qw"), F.explode("_c.at").alias("_w")).select(*keys, "quote_no", "_qw", "_w.window", "_w.lo", "_w.k")
-    # word lists alone go to Python, dealt by quote
-    tried = tried.repartition(*keys, "quote_no")
+    rows = search_quotes(df, keys, text, quotes, min_share)
+    tried = rows.select(*keys, "quote_no", "start", "end", "match", "words", F.explode_outer("windows").alias("w")).repartition(*keys, "quote_no")
     score = F.pandas_udf(align, "got int, first int, last int")
-    n = F.size("_qw")
-    scored = tried.withColumn("_a", score("_qw", "window")).withColumn("share", F.col("_a.got") / n)
-    good = (F.col("share") >= min_share) & (F.col("_a.last") - F.col("_a.first") + 1 <= STRETCH * n + SLACK)
-    ends = F.struct((F.col("lo") + F.col("_a.first")).alias("first"), (F.col("lo") + F.col("_a.last")).alias("last"))
-    best = scored.filter(good).groupBy(*keys, "quote_no").agg(F.max_by(ends, F.struct("share", -F.col("k"))).alias("w"))
-    # a text meets the places found in it once
-    per = best.groupBy(*keys).agg(F.collect_list(F.struct("quote_no", "w")).alias("_q")).join(df.select(*keys, body.alias("_text")), keys)
-
-    def placed(found):
-        return F.transform("_q", lambda q: F.struct(q["quote_no"].alias("quote_no"), widen(
-            F.col("_text"), F.get(found, q["w"]["first"])["start"], F.get(found, q["w"]["last"])["end"]).alias("at")))
-
-    fuzzy = per.select(*keys, F.inline(let(find_spans("_text", PROSE_WORD), placed))).withColumn("match", F.lit("fuzzy"))
-    both = settled.unionByName(fuzzy.select(*keys, "quote_no", "at", "match"))
-    return both.select(*keys, "quote_no", F.col("at.start").alias("start"), F.col("at.end").alias("end"), "match")
+    n = F.size("words")
+    scored = tried.withColumn("a", score("words", "w.words")).withColumn("share", F.col("a.got") / n)
+    good = (F.col("share") >= min_share) & (F.col("a.last") - F.col("a.first") + 1 <= STRETCH * n + SLACK)
+    wide = F.struct(F.get("w.opens", F.col("a.first")).alias("start"), F.get("w.closes", F.col("a.last")).alias("end"))
+    place = F.coalesce(F.first("at"), F.max_by("wide", "rank"))
+    best = scored.select(
+        *keys, "quote_no", F.when(F.col("match").isNotNull(), F.struct("start", "end")).alias("at"), "match",
+        F.when(good, wide).alias("wide"), F.when(good, F.struct("share", (-F.col("w.k")).alias("k"))).alias("rank"))
+    found = best.groupBy(*keys, "quote_no").agg(place.alias("at"), F.coalesce(F.first("match"), F.lit("fuzzy")).alias("match")).filter(F.col("at").isNotNull())
+    return found.select(*keys, "quote_no", F.col("at.start").alias("start"), F.col("at.end").alias("end"), "match")
 
 
 def locate(df: DataFrame, keys, text="text", quote="quote", min_share: float = MIN_SHARE) -> DataFrame:

@@ -39,3 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+#: Rows of whole texts in one Arrow batch.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts pass to Python in Arrow batches; a batch of the stock number of rows could hold gigabytes. A smaller
+    bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

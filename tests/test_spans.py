@@ -1,11 +1,13 @@
 """Span functions: offsets in code points, sentences, headings, marks."""
+import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S, text as T
-from spanloom.operators import grounding as G
+from spanloom.operators import anchors as A, grounding as G
 
 TEXTS = ["😀é the cats. The dogs’ “bones”—and\r\nthe rats", "", "x" * 49, "x" * 50, "no match here",
          "the as the bs the cs " * 200, "a﷐b the cats ﷑"]
@@ -96,13 +98,59 @@ def test_fuzzy_share_limit(spark):
 
 
 def test_unfold_every_position(spark):
-    text = "A “b”  *c*…\n\n_d_ — E f"
+    text = "A “b”  *c*…\n\n_d_ — İE f"
     plain = frame(spark, [text]).select(T.fold("t").alias("f")).first().f
-    cols = [G.unfold(G.fold_changes("t"), F.lit(i)).alias("p%d" % i) for i in range(len(plain))]
-    row = frame(spark, [text]).select(*cols).first()
-    for i, ch in enumerate(plain):
-        assert T_fold(text[row[i]]).find(ch) >= 0
-    assert list(row) == sorted(row)
+    fold = A.Fold(text)
+    assert fold.text == plain
+    back = [fold.back(i) for i in range(len(plain))]
+    for at, ch in zip(back, plain):
+        assert T_fold(text[at]).find(ch) >= 0
+    assert back == sorted(back)
+
+
+def test_fold_and_places_match_plain_search(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab*_ …’İ\u00a0\n\t.Q") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    folds = [r.f for r in frame(spark, texts).select("t", T.fold("t").alias("f")).collect()]
+    by_text = dict(zip([r.t for r in frame(spark, texts).collect()], folds))
+    for text in texts:
+        assert A.folded(text) == by_text[text]
+        wanted = {text[i: i + rng.randint(1, 12)] for i in range(0, len(text), 5)} | {"", "aba", "Q" * 9, text, text + "x"}
+        assert A.places(text, wanted) == {w: text.find(w) for w in wanted if w and w in text}
+
+
+def test_thousand_quotes_of_one_long_text(spark):
+    """The cost follows text plus quotes: many quotes, of which some stand nowhere, and anchors that stand everywhere."""
+    rng = random.Random(6)
+    words = ["w%d" % i for i in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(200_000)) + "."
+    at = [rng.randrange(len(text) - 200) for _ in range(1000)]
+    quotes = [text[i: i + 90].strip() for i in at[:500]] + [text[i: i + 90].strip().upper().replace(" ", "  ") for i in at[500:]]
+    df = spark.createDataFrame([(1, text, [(i, q) for i, q in enumerate(quotes)])], "k int, text string, quotes array<struct<quote_no:int,quote:string>>")
+    got = {r.quote_no: r for r in G.locate_all(df, ["k"]).collect()}
+    assert len(got) == 1000 and all(text[r.start:r.end].lower().split() == quotes[i].lower().split() for i, r in got.items())
+    assert {r.match for i, r in got.items() if i < 500} == {"exact"} and {r.match for i, r in got.items() if i >= 500} == {"folded"}
+
+    def seconds(n):
+        start = time.time()
+        A.places(text, quotes[:n])
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(500) < 5 * max(seconds(5), 0.05)
+    start = time.time()
+    run = "ab" * 500_000
+    assert A.places(run, ["ab" * 40 + "c" + str(i) for i in range(200)]) == {}
+    assert time.time() - start < 60
+
+
+def test_windows_that_cannot_reach_the_share_are_cut(spark):
+    words = ["stone%d" % i for i in range(60)]
+    text = " ".join(words) + "."
+    near, far = words[5:15], [words[5], words[40]] + ["other%d" % i for i in range(8)]
+    df = spark.createDataFrame([(0, text, [(0, " ".join(near[:4] + ["zz"] + near[5:])), (1, " ".join(far))])], "k int, text string, quotes array<struct<quote_no:int,quote:string>>")
+    rows = G.search_quotes(df, ["k"]).collect()
+    assert [r.quote_no for r in rows] == [0] and len(rows[0].windows) == 3 and {w.common for w in rows[0].windows} == {9}
 
 
 def T_fold(ch):
