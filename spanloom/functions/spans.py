@@ -31,8 +31,13 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def replaced(text, marks: str, plain: str) -> Column:
+    """``translate`` for a few characters that most texts lack: each is looked for, where translate copies every character."""
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), zip(marks, plain), _c(text))
+
+
 def guarded(text) -> Column:
-    return F.translate(_c(text), MARK + FIELD, "��")
+    return replaced(text, MARK + FIELD, "\ufffd\ufffd")
 
 
 def _c(x) -> Column:

@@ -7,13 +7,15 @@ leave the stage, so no later shuffle carries text.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.regex import java_flags
 from spanloom.functions.spans import (any_of, enclosing_sentence, frame_named, framed, guarded, let,
-                                      mask_lines, named_span, spans_of)
+                                      mask_lines, named_span, replaced, spans_of)
 from spanloom.functions.text import clean, corpus_words, norm, occurrences, occurrences_cased
-from spanloom.operators.registry import JAVA_READY, MASK_REGEX, REGISTRY, needs, STOPLISTS, TITLE_REGEX
+from spanloom.operators.registry import JAVA_READY, LIKE_ASCII, MASK_REGEX, REGISTRY, needed_words, needs, STOPLISTS, TITLE_REGEX
 
 
 def doc_freq(texts: DataFrame, text="text", least: int = 3) -> DataFrame:
@@ -55,21 +57,39 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
 
     src = texts.select(F.col(key).alias("text_id"), guarded(text).alias("text"))
     src = src.select("text_id", "text", straighten_right("text").alias("straight"),
-                     *[mask_lines("text", MASK_REGEX[m]).alias("mask_" + m) for m in masks])
+                     *[F.when(holds_mark("text", MARKS["mask"]), mask_lines("text", MASK_REGEX[m])).otherwise(F.col("text")).alias("mask_" + m) for m in masks])
     src = src.withColumn("low", F.lower("straight"))
+    # one walk over the words of a text answers for all patterns that need some; a small array stays
+    asked = sorted({w for p in registry for group in needed_words(p) for w in group})
+    src = src.withColumn("held", F.array_intersect(ascii_words(F.lower(replaced("straight", *LIKE_ASCII))), _strings(asked)) if asked else F.lit(None))
+
+    # so does one test for each mark that some patterns need
+    marks = sorted({(mask if not lower else None, lower, w) for (_, _, mask, *_), ps in scans for wanted, lower in [needs(ps[0])] if not needed_words(ps[0]) for w in wanted}, key=str)
+    src = src.withColumn("marks", F.array(*[F.col("low" if lower else "mask_" + mask if mask else "text").contains(w) for mask, lower, w in marks]))
+
+    # title lines are patterns as well as what a title pattern's counts leave out: framed once
+    if needs_titles:
+        src = src.withColumns({"title_" + kind: title_frame("text", kind) for kind in TITLE_REGEX})
+    titles = {rx: "title_" + kind for kind, rx in TITLE_REGEX.items()} if needs_titles else {}
 
     pieces = []
     for n, ((regex, flags, mask, yields, stop, reject, max_words), ps) in enumerate(scans):
         source = F.col("mask_" + mask if mask else "text")
         ready = JAVA_READY.get(regex, regex)
-        if yields == "statement":
+        if regex in titles and flags == "m" and not mask:
+            cut = F.col(titles[regex])
+        elif yields == "statement":
             cut = framed(source, java_flags(flags) + ready)
         else:
             cut = frame_named(source, ready, flags)
         wanted, lower = needs(ps[0])
-        if wanted:
-            held = F.translate("low", "ſ", "s") if lower else source  # a pattern without case takes the long s as s
-            cut = F.when(any_of(held.contains(w) for w in wanted), cut)
+        groups = needed_words(ps[0])
+        if regex in titles and flags == "m" and not mask:
+            pass
+        elif groups:
+            cut = F.when(reduce(Column.__and__, [F.arrays_overlap("held", _strings(g)) for g in groups]), cut)
+        elif wanted:
+            cut = F.when(any_of(F.get("marks", F.lit(marks.index((mask if not lower else None, lower, w)))) for w in wanted), cut)
         pieces.append(F.struct(
             F.lit(n).alias("scan"), cut.alias("cut"), F.lit(yields).alias("yields"),
             _strings(stoplists.get(stop) if stop else ()).alias("stop"),
@@ -101,7 +121,7 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
 
     with_match = F.filter(F.array(*pieces), lambda p: F.size(p["cut"]) > 1)
     src = src.select("text_id", "straight", "low", F.flatten(F.transform(with_match, raw_hits)).alias("hits"),
-                     *([title_lines("text").alias("titles")] if needs_titles else []))
+                     *([title_spans(["title_" + kind for kind in TITLE_REGEX]).alias("titles")] if needs_titles else []))
     named = [n for n, (k, _) in enumerate(scans) if k[3] == "name"]
     names = F.filter("hits", lambda h: h["scan"].isin(named))
     src = src.withColumn("norms", F.array_distinct(F.transform(names, lambda h: h["norm"])))
@@ -140,18 +160,40 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     return out.drop("max_df").withColumnRenamed("text_id", key)
 
 
+def ascii_words(text):
+    return F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
+
+
+#: What a line must hold to be masked or to be a title line of each kind.
+MARKS = {"mask": ("#", "**"), "heading": ("#",), "bold_line": ("**",), "list_head": (".", ")", "-", "*", "•")}
+
+
+def holds_mark(text, marks):
+    return any_of(F.col(text).contains(m) for m in marks)
+
+
 def straighten_right(col):
-    return F.translate(F.col(col), "’", "'")
+    return replaced(col, "’", "'")
 
 
-def title_lines(text):
+def title_frame(text, kind: str):
+    """A text framed by one kind of title line; whole where no line can be one."""
+    return F.when(holds_mark(text, MARKS[kind]), frame_named(F.col(text), TITLE_REGEX[kind], "m")).otherwise(F.array(F.lit("")))
+
+
+def title_spans(frames):
     """Title captures of a text as array<struct<norm,clean,start>>, one per place."""
-    found = [spans_of(frame_named(F.col(text), rx, "m"), named_span) for rx in TITLE_REGEX.values()]
+    found = [spans_of(F.col(f) if isinstance(f, str) else f, named_span) for f in frames]
     shaped = F.transform(F.flatten(F.array(*found)), lambda t: F.struct(
         norm(t["surface"]).alias("norm"), clean(t["surface"]).alias("clean"), t["start"].alias("start")))
     return F.array_distinct(F.filter(shaped, lambda t: t["norm"] != ""))
 
 
+def title_lines(text):
+    """``title_spans`` of a text that is not framed yet."""
+    return title_spans([title_frame(text, kind) for kind in TITLE_REGEX])
+
+
 def drop_common(mentions: DataFrame, df: DataFrame, floor: float) -> DataFrame:
     """Drop one-word captures whose word is too frequent in the corpus.
 

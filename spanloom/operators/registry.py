@@ -350,8 +350,34 @@ NEEDS = {
     "the_hyphen_agent_singular": "-",
 }
 # The same for patterns that ignore case; compared with the lower-cased text.
-NEEDS_LOWER = {"anti_name": ("nam", "word"), "name_talk": ("name", "naming"),
-               "being_is_process": "not", "place_is_inhabitant": ("is", "itself")}
+NEEDS_LOWER = {"anti_name": ("nam", "word"), "name_talk": ("name", "naming"), "being_is_process": "not", "place_is_inhabitant": ("is", "itself")}
+
+# Words, runs of a-z in the lower-cased text, of which a match holds one from each group: they stand whole in the pattern,
+# with a boundary or a blank on either side. All words of a text are met with all of these at once.
+CALLING = "call called calls calling name named names naming known refer refers referred referring dubbed termed".split()
+WORDS = {
+    "frame_call_marked": (CALLING,), "frame_call_quoted": (CALLING,), "frame_call_plain": (("call", "calls", "called"), ("the",)),
+    "frame_means": ("mean means meaning meant translate translates translated translation".split(),),
+    "place_is_inhabitant": (BLOCKS["LAND"].split("|"), ("is", "are")),
+    "being_is_process": (
+        "creature creatures animal animals being beings species organism organisms people person thing things body bodies inhabitant inhabitants".split(),
+        ("is", "are"), ("not",), ("but", "so", "at"),
+        "process processes condition tendency habit pattern patterns state weather function relationship argument disposition appetite temperament verb "
+        "rhythm property phenomenon event events arrangement economy metabolism conversation decision preference".split()),
+    "anti_name": ("name names named nameless unnamed unnamable unnameable namable nameable naming word".split(),),
+    "name_talk": ("name names named naming nameless unnamed namer namers".split(),),
+    "live_the": ("live lives dwell dwells move moves drift drifts roam roams crawl crawls swim swims nest nests lurk lurks wait waits come comes work works".split(), ("the",)),
+    "pronoun_is_the": (("are", "is"), ("they", "these", "those", "she", "he", "it", "this"), ("the",)),
+    "the_mod_being": ("beings ones folk people creatures things animals birds fish kind".split(), ("the",)),
+    "those_who_lower": (("those", "one", "ones"), ("who", "that", "which")),
+    "the_ones_recurring": (("ones", "things"), ("the",)),
+    "they_are_bare": (("they", "these", "those"), ("are",)),
+    "there_are_the": (("there",), ("the",)),
+    "or_alias": (("or",),),
+    "call_them_bare": (("call",), ("them", "it", "her", "him")),
+}
+#: Characters that Java and Python take for an ASCII letter where a pattern ignores case.
+LIKE_ASCII = ("ſKıİ", "skii")
 
 
 def needs(pattern: Pattern):
@@ -363,6 +389,11 @@ def needs(pattern: Pattern):
     return (), False
 
 
+def needed_words(pattern: Pattern):
+    """Groups of words of which a text must hold one each; () where nothing is known."""
+    return WORDS.get(pattern.id, ()) if OWN_REGEX.get(pattern.id) == pattern.regex else ()
+
+
 def tuned(regex: str) -> str:
     """The same pattern in a form Java runs faster.
 

@@ -9,7 +9,7 @@ from spanloom.functions.regex import to_java
 from spanloom.functions.spans import find_spans
 from spanloom.functions.text import words
 from spanloom.operators.patterns import doc_freq, run_patterns
-from spanloom.operators.registry import NEEDS, NEEDS_LOWER, REGISTRY, STOPLISTS, needs, tuned
+from spanloom.operators.registry import LIKE_ASCII, NEEDS, NEEDS_LOWER, REGISTRY, STOPLISTS, WORDS, needed_words, needs, tuned
 
 # Invented texts, so that every pattern catches something.
 TEXTS = {
@@ -133,7 +133,9 @@ def test_needs_are_necessary():
             for m in re.finditer(p.regex, text, flags):
                 found = text.lower() if lower else text
                 assert not wanted or any(w in found for w in wanted), p.id
-    assert set(NEEDS) | set(NEEDS_LOWER) <= {p.id for p in REGISTRY}
+                words = set(re.findall("[a-z]+", text.translate(str.maketrans(*LIKE_ASCII)).lower()))
+                assert all(words & set(group) for group in needed_words(p)), p.id
+    assert set(NEEDS) | set(NEEDS_LOWER) | set(WORDS) <= {p.id for p in REGISTRY}
 
 
 def test_tuned_patterns_are_equal():
