@@ -199,7 +199,7 @@ def ingest_beings(answers: DataFrame, texts: DataFrame, stems=STEMS):
 
     ``n_beings`` is NULL for an unreadable answer and 0 for an empty one. Ids number the
     beings by text and place in the answer: a count per text, summed before each text by
-    ranges of the text id, so no task sorts the whole table.
+    ranges of text ids, wherever these lie, so no task sorts the whole table.
     """
     shape = "array<struct<called:string,names:array<string>," + ",".join(f"{q}:array<string>" for q in QUESTIONS) + ">>"
     raw_list = F.get_json_object(extract_json("raw"), "$.inhabitants")
@@ -227,14 +227,10 @@ def ingest_beings(answers: DataFrame, texts: DataFrame, stems=STEMS):
     return beings, sents, care_texts
 
 
-def first_ids(care_texts: DataFrame, width: int = 10000) -> DataFrame:
+def first_ids(care_texts: DataFrame) -> DataFrame:
     """text_id -> number of beings in texts with a smaller id."""
-    n = F.coalesce("n_beings", F.lit(0)).cast("long")
-    ranged = care_texts.select("text_id", n.alias("_n"), F.floor(F.col("text_id") / width).alias("_r"))
-    sums = ranged.groupBy("_r").agg(F.sum("_n").alias("_s"))
-    ahead = before(sums, "_r", "_s", "_ahead").select("_r", "_ahead")
-    inside = F.sum("_n").over(W.partitionBy("_r").orderBy("text_id")) - F.col("_n")
-    return ranged.join(ahead, "_r").select("text_id", (F.col("_ahead") + inside).alias("_before"))
+    counts = care_texts.select("text_id", F.coalesce("n_beings", F.lit(0)).cast("long").alias("_n"))
+    return before(counts, "text_id", "_n", "_before").select("text_id", "_before")
 
 
 def accept_nouns(returned, hay, stems=STEMS, refuse_bare=True):

@@ -6,7 +6,9 @@ hash shares of a group and then over the heads of the shares.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from spanloom.functions.spans import let
 
 SHARES = 32
 
@@ -82,20 +84,47 @@ def stratified_sample(df: DataFrame, cell: str, n: int, seed, id_col: str) -> Da
     return top_k(df.withColumn("_draw", draw_key(seed, id_col)), cell, n, "_draw", "_r").drop("_draw", "_r")
 
 
-def before(sums: DataFrame, key: str, value: str, name: str, width: int = 1000) -> DataFrame:
-    """``sums`` (one row per integer ``key``) with the sum of ``value`` over smaller keys.
+#: Ranges into which a table's order is cut where rows are numbered, and how many sampled keys stand for one bound.
+RANGES, PER_BOUND = 1024, 2
+
+
+def place_in(bounds, value) -> Column:
+    """How many of the sorted ``bounds`` (``RANGES`` at most) are no greater than ``value``, by halving."""
+    def halve(arr, low, step):
+        if not step:
+            return low
+        fits = (low + step <= F.size(arr)) & (F.get(arr, low + step - 1) <= value)
+        return let(F.when(fits, low + step).otherwise(low), lambda at: halve(arr, at, step // 2))
+
+    return let(bounds, lambda arr: halve(arr, F.lit(0), RANGES // 2))
+
+
+def in_ranges(df: DataFrame, order, distinct: DataFrame | None = None, name="_b") -> DataFrame:
+    """``df`` with the number of the range of ``order`` (columns) that a row lies in: up to ``RANGES`` of about equal size,
+    whatever the values are. ``distinct`` has the order's columns once each, where the caller has that already.
+
+    The bounds are the values with the least hashes, a sample that depends on neither the partitions nor on when it is
+    drawn, so every use of the same rows cuts them alike. They are a scalar of at most ``RANGES`` values.
+    """
+    key = F.struct(*order)
+    values = (df.select(*order).distinct() if distinct is None else distinct).select(key.alias("_o"))
+    least = values.orderBy(F.hash("_o"), "_o").limit(RANGES * PER_BOUND)
+    bounds = least.agg(F.array_sort(F.collect_list("_o")).alias("a")).select(F.slice(F.filter("a", lambda _, i: i % PER_BOUND == 1), 1, RANGES - 1))
+    return df.withColumn("_bounds", bounds.scalar()).withColumn(name, place_in(F.col("_bounds"), key)).drop("_bounds")
+
+
+def before(sums: DataFrame, key, value: str, name: str) -> DataFrame:
+    """``sums`` (one row per ``key``, a column or several) with the sum of ``value`` over smaller keys, null first.
 
-    Keys are summed in ranges of ``width``, and those in ranges of ``width`` again, so that
-    the one window over all rows sees a millionth of the keys at most.
+    Rows are cut into ``in_ranges``: the sums of the ranges before, which a window over ``RANGES`` rows gives, and the running
+    sum inside the range. Keys may lie anywhere, such as hashes of 64 bits.
     """
-    high = F.floor(F.col(key) / width)
-    blocks = sums.withColumn("_b", high).groupBy("_b").agg(F.sum(value).alias("_s")).withColumn("_t", F.floor(F.col("_b") / width))
-    tops = blocks.groupBy("_t").agg(F.sum("_s").alias("_ts"))
-    tops = tops.select("_t", (F.sum("_ts").over(W.orderBy("_t")) - F.col("_ts")).alias("_tb"))
-    inner = F.sum("_s").over(W.partitionBy("_t").orderBy("_b")) - F.col("_s")
-    blocks = blocks.withColumn("_i", inner).join(tops, "_t").select("_b", (F.col("_tb") + F.col("_i")).alias("_bb"))
-    own = F.sum(value).over(W.partitionBy("_b").orderBy(key)) - F.col(value)
-    return sums.withColumn("_b", high).withColumn("_o", own).join(blocks, "_b").withColumn(name, F.col("_bb") + F.col("_o")).drop("_b", "_o", "_bb")
+    key = [key] if isinstance(key, str) else list(key)
+    placed = in_ranges(sums, key, sums)
+    tops = placed.groupBy("_b").agg(F.sum(value).alias("_s"))
+    tops = tops.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_bb"))
+    own = F.sum(value).over(W.partitionBy("_b").orderBy(*key)) - F.col(value)
+    return placed.withColumn("_o", own).join(tops, "_b").withColumn(name, F.col("_bb") + F.col("_o")).drop("_b", "_o", "_bb")
 
 
 #: Rows of a share or range that one window numbers.
@@ -117,21 +146,18 @@ def chunk(df: DataFrame, size: int, order, shares: int | None = None, key=None)
             .withColumn("no", (F.col("_p") % size + 1).cast("int")).drop("_p"))
 
 
-def chunk_in_order(df: DataFrame, size: int, key: str, then: str | None = None, width: int = 1000) -> DataFrame:
-    """Like ``chunk`` with all rows in one share, in the order of the integers ``key`` and ``then`` (null first), but a
-    row's number is a sum: the rows of smaller keys, those of its key's smaller ranges of ``then``, its place in its range.
+def chunk_in_order(df: DataFrame, size: int, key: str, then: str | None = None) -> DataFrame:
+    """Like ``chunk`` with all rows in one share, in the order of ``key`` and ``then`` (null first), but a row's number is a
+    sum: the rows of smaller ranges of that order, whatever its values are, and its place in its range.
     """
-    least = F.lit(-(1 << 63))  # stands for null, which is joined like other keys
-    second = F.coalesce(F.col(then).cast("long"), least) if then else F.lit(0).cast("long")
-    keyed = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), least)).withColumn("_s2", second).withColumn("_r", F.floor(F.col("_s2") / width))
-    ranges = keyed.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_n"))
-    starts = before(ranges.groupBy("_k").agg(F.sum("_n").alias("_n")), "_k", "_n", "_start").select("_k", "_start")
-    ranges = ranges.withColumn("_in", F.sum("_n").over(W.partitionBy("_k").orderBy("_r")) - F.col("_n")).join(starts, "_k")
-    ranges = ranges.select("_k", "_r", (F.col("_start") + F.col("_in")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_k", "_r").orderBy("_s2")) - 1
-    placed = keyed.withColumn("_i", inside).join(ranges, ["_k", "_r"]).withColumn("_p", F.col("_before") + F.col("_i"))
+    order = [key, then] if then else [key]
+    placed = in_ranges(df, order)
+    starts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_b").orderBy(*order)) - 1
+    placed = placed.withColumn("_i", inside).join(starts, "_b").withColumn("_p", F.col("_start") + F.col("_i"))
     return (placed.withColumn("share", F.lit(0).cast("long")).withColumn("chunk", F.floor(F.col("_p") / size).cast("int"))
-            .withColumn("no", (F.col("_p") % size + 1).cast("int")).drop("_k", "_s2", "_r", "_i", "_before", "_p"))
+            .withColumn("no", (F.col("_p") % size + 1).cast("int")).drop("_b", "_i", "_start", "_p"))
 
 
 def numbered(df: DataFrame, group, order, name="no") -> DataFrame:
@@ -188,13 +214,12 @@ def equal_groups(df: DataFrame, order, n: int = 8, measures=()) -> DataFrame:
     """Shares of boolean ``measures`` over n equal groups by ``order``; the remainder is left out.
 
     Rows with equal keys are counted first, and the counts are laid along the line of
-    ranks, so the table is not sorted as a whole. ``order`` should be an integer; the
+    ranks range by range, so neither the table nor its keys are sorted as a whole. The
     measures break ties, so equal rows are interchangeable.
     """
     keys = [order, *measures]
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    line = W.orderBy(*keys)                                                 # one row per distinct key
-    laid = counted.withColumn("_to", F.sum("_n").over(line)).withColumn("_from", F.col("_to") - F.col("_n"))
+    laid = before(counted, keys, "_n", "_from").withColumn("_to", F.col("_from") + F.col("_n"))
     size = F.floor(counted.select(F.sum("_n")).scalar() / n)
     cut = laid.withColumn("_size", size).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     part = F.least("_to", (F.col("grp") + 1) * F.col("_size")) - F.greatest("_from", F.col("grp") * F.col("_size"))

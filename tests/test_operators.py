@@ -172,3 +172,40 @@ def test_chunks_in_order_use_no_single_window(spark):
     for name in ("i3_requests_chunks", "i4_requests_groups"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "xxhash64" not in plan, name
+
+
+def scattered(spark, n=20_000):
+    """Keys over all 64 bits, one null, and small values."""
+    return spark.range(n).select(F.when(F.col("id") > 0, F.xxhash64("id")).alias("k"), (F.col("id") % 7).alias("v"))
+
+
+def test_sums_before_keys_of_64_bits(spark):
+    df = scattered(spark).repartition(9)
+    rows = G.before(df, "k", "v", "ahead").collect()
+    total, want = 0, {}
+    for k, v in sorted(((r.k, r.v) for r in df.collect()), key=lambda x: (x[0] is not None, x[0])):
+        want[k] = total
+        total += v
+    assert {r.k: r.ahead for r in rows} == want
+    # no range holds much more than its share, and there is no other window over the rows
+    sizes = [r["count"] for r in G.in_ranges(df, ["k"]).groupBy("_b").count().collect()]
+    assert len(sizes) > G.RANGES * 0.9 and max(sizes) < 20 * 20_000 / G.RANGES
+
+
+def test_chunks_in_order_of_scattered_keys(spark):
+    df = scattered(spark, 3000).withColumn("t", F.col("v") * 10**15)
+    df = df.unionByName(df.filter("v = 3"))
+    rows = G.chunk_in_order(df, 7, "k", "t").collect()
+    key = lambda r: (r.k is not None, r.k, r.t)
+    ordered = sorted(rows, key=lambda r: (r.chunk, r.no))
+    assert [key(r) for r in ordered] == sorted(map(key, rows))
+    assert [(r.chunk, r.no) for r in ordered] == [(i // 7, i % 7 + 1) for i in range(len(rows))]
+    assert G.chunk_in_order(df.limit(0), 7, "k").count() == 0
+
+
+def test_equal_groups_of_many_distinct_keys(spark):
+    df = scattered(spark, 5003).withColumn("m", F.col("v") == 2)
+    rows = sorted((r.k if r.k is not None else -(1 << 70), r.m) for r in df.collect())
+    got = {r.grp: (r.n, round(r.m_pct, 1)) for r in G.equal_groups(df, "k", 8, ("m",)).collect()}
+    size = 5003 // 8
+    assert got == {g: (size, round(100 * sum(m for _, m in rows[g * size:(g + 1) * size]) / size, 1)) for g in range(8)}
