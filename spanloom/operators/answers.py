@@ -2,7 +2,12 @@
 from __future__ import annotations
 
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spanloom.functions.spans import cut, let, sentences
@@ -11,6 +16,7 @@ from spanloom.functions.text import (STEMS, digits, extract_json, find_label, fo
 from spanloom.operators.grounding import KINDS, locate_all
 from spanloom.operators.sampling import before, first_wins
 from spanloom.operators.tables import count_if
+from spanloom.session import bounded_batches
 
 QUESTIONS = ("role", "relation", "cost", "origin", "fate")
 
@@ -105,6 +111,91 @@ def infer(requests: DataFrame, fn, key="custom_id", tries: int = 3, parallel: in
     return source.mapInPandas(run, f"{key} {kind}, raw string, error string")
 
 
+#: Requests of one share of the log, which a task reads again when it is retried.
+SHARE_ROWS = 10_000
+
+
+def infer_logged(requests: DataFrame, fn, log: str, key="custom_id", per: int = 20, at_once: int = 4, shares: int | None = None, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """``infer`` with answers that survive a lost task, executor or job: a request that was answered is not asked again.
+
+    Requests are dealt by a hash of their id to shares. A task asks ``per`` requests at a time, up to ``at_once`` of
+    these lots together, and writes each lot's answers to the folder ``log`` before it goes on; a lot is a file that is moved
+    into place whole. It first reads what its share has there, so a retry, or a later run with the same log, returns
+    logged answers and asks the rest. What can be asked twice is the lots under way when a task dies. Requests that failed
+    are not logged as answered. ``log`` is a folder that executors share, as a URI. A repeated id is asked once.
+    Speculative copies of a task would ask side by side: leave speculation off.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+    bounded_batches(requests.sparkSession)
+    if shares is None:
+        shares = max(1, -(-requests.count() // SHARE_ROWS))
+
+    def ask(contents):
+        try:
+            raw = list(fn(contents))
+            if len(raw) == len(contents):
+                return [(r, None) for r in raw]
+        except Exception:                                                   # which row it was shows below
+            pass
+        return [ask_one(c) for c in contents]
+
+    def ask_one(content):
+        for n in range(tries):
+            try:
+                raw = list(fn([content]))
+                if len(raw) != 1:
+                    raise ValueError("%d answers to 1 request" % len(raw))
+                return raw[0], None
+            except Exception as e:                                          # the row says what went wrong
+                error = repr(e)[:200]
+                if n + 1 < tries:
+                    time.sleep(pause * 2 ** n)
+        return None, error
+
+    def read(fs, folder):
+        held = {}
+        for info in fs.get_file_info(pa_fs.FileSelector(folder, allow_not_found=True)):
+            if info.is_file and info.base_name.endswith(".parquet"):
+                with fs.open_input_file(info.path) as f:
+                    lot = pq.read_table(f).to_pydict()
+                held.update(zip(lot["key"], lot["raw"]))
+        return held
+
+    def write(fs, folder, rows):
+        good = [(k, raw) for k, raw, error in rows if error is None]
+        if good:
+            fs.create_dir(folder, recursive=True)
+            name = uuid.uuid4().hex
+            with fs.open_output_stream(f"{folder}/.{name}") as f:
+                pq.write_table(pa.table({"key": [k for k, _ in good], "raw": pa.array([r for _, r in good], pa.string())}), f)
+            fs.move(f"{folder}/.{name}", f"{folder}/{name}.parquet")
+
+    def run(batches):
+        fs, root = pa_fs.FileSystem.from_uri(log)
+        share, held = None, {}
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                for s, rows in batch.groupby("share", sort=False):
+                    if s != share:
+                        share, held = s, read(fs, f"{root}/share={s}")
+                    todo = rows[~rows[key].isin(held)].drop_duplicates(key)
+                    lots = [todo.iloc[i:i + per] for i in range(0, len(todo), per)]
+                    failed = {}
+
+                    def one(lot, folder=f"{root}/share={s}"):
+                        answered = [(k, *a) for k, a in zip(lot[key], ask(list(lot["content"])))]
+                        write(fs, folder, answered)
+                        return answered
+
+                    for answered in pool.map(one, lots):
+                        held.update((k, raw) for k, raw, error in answered if error is None)
+                        failed.update((k, error) for k, _, error in answered if error is not None)
+                    yield rows[[key]].assign(raw=[held.get(k) for k in rows[key]], error=[failed.get(k) for k in rows[key]])
+
+    dealt = requests.select(key, "content", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"))
+    return dealt.repartition(shares, "share").sortWithinPartitions("share").mapInPandas(run, f"{key} {kind}, raw string, error string")
+
+
 # ---- answers --------------------------------------------------------------------------
 def union_passes(passes: dict) -> DataFrame:
     """Answer tables of several passes as one, tagged with their source and order."""

@@ -8,7 +8,8 @@ from spanloom.operators import answers as A, evaluate as E, intervals as I, samp
 from spanloom.operators.tables import names_in_quotes
 from spanloom.plans.data import ACCENTED, INTERVALS, LABELS, TEXTS, WITH_BEINGS, beings, intervals, labels, page_texts, query, table, texts
 from spanloom.plans.text_queries import HEADS_SQL, SENT_SQL, SPACE_SQL, sentences_at_sql
-from spanloom.streaming.ingest import latest, taken
+from spanloom.session import scratch
+from spanloom.streaming.ingest import answers_now, counts_now, follow, latest, taken
 
 # ---- intervals ---------------------------------------------------------------------------
 WITH_IV = f"WITH {INTERVALS}"
@@ -281,6 +282,20 @@ def i6(spark, d):
     return got.select("custom_id", F.get_json_object("raw", "$.n").cast("long").alias("n"), F.col("error").isNotNull().alias("failed"))
 
 
+def forgotten(contents):
+    """Stands for a model that must not be asked again."""
+    return ['{"n": -1}' for _ in contents]
+
+
+@query("i6_infer_logged", f"SELECT 't' || doc_id AS custom_id, CASE WHEN ({_ASKED}) % 97 <> 0 THEN {_ASKED} ELSE -1 END AS n, false AS failed FROM documents")
+def i6_logged(spark, d):
+    """Every request, asked twice with one log: the second model is asked only what the first could not answer."""
+    requests, log = A.requests_text(texts(spark, d), "P"), scratch(spark, "answers")
+    A.infer_logged(requests, measure, log, pause=0).write.format("noop").mode("overwrite").save()
+    got = A.infer_logged(requests, forgotten, log, pause=0)
+    return got.select("custom_id", F.get_json_object("raw", "$.n").cast("long").alias("n"), F.col("error").isNotNull().alias("failed"))
+
+
 # ---- answers ----------------------------------------------------------------------------------------
 STEP, LONG = 400, 60
 
@@ -516,5 +531,42 @@ def j1b(spark, d):
 
 
 def turn_answers(spark, d):
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("text_id"), F.concat(F.lit("b"), F.floor(F.col("turn") / 2).cast("string")).alias("batch"), F.col("turn").alias("seq"),
+    return as_answers(table(spark, d, "conversations"))
+
+
+def as_answers(turns):
+    return turns.select(F.col("conv_id").alias("text_id"), F.concat(F.lit("b"), F.floor(F.col("turn") / 2).cast("string")).alias("batch"), F.col("turn").alias("seq"),
                                                    F.when(F.col("role") == "assistant", F.col("text")).alias("raw"), F.lit(None).cast("string").alias("error"))
+
+
+def streamed_answers(spark, d):
+    """The turns as a stream, in the shape of answer files. The pattern fits a folder of files as well as one file."""
+    stream = spark.readStream.schema(table(spark, d, "conversations").schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{d}/conversation[s].parquet")
+    return as_answers(stream)
+
+
+@query("j1_stream_answers", """WITH a AS (SELECT conv_id AS text_id, turn AS seq, 'b' || (turn // 2) AS batch, CASE WHEN role = 'assistant' THEN text END AS raw FROM conversations WHERE turn // 2 <> 1)
+    SELECT text_id, seq, batch, raw FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY (raw IS NOT NULL) DESC, seq DESC, batch DESC) AS rn FROM a) WHERE rn = 1""")
+def j1_stream(spark, d):
+    """A stream over all turns writes the log, which is read; a second call with the same checkpoint adds nothing."""
+    at, done = scratch(spark, "stream"), spark.createDataFrame([("b1",)], "batch string")
+    for _ in range(2):
+        follow(streamed_answers(spark, d), at + "/log", at + "/checkpoint", done)
+    return answers_now(spark, at + "/log").select("text_id", "seq", "batch", "raw")
+
+
+_EARLY = "(SELECT conv_id AS text_id, turn, 'b' || (turn // 2) AS batch, CASE WHEN role = 'assistant' THEN text END AS raw FROM conversations)"
+
+
+@query("j1_stream_skips_answered", f"""WITH a AS {_EARLY}, done AS (SELECT DISTINCT text_id FROM a WHERE turn < 3 AND raw IS NOT NULL),
+    log AS (SELECT * FROM a WHERE turn < 3 UNION ALL SELECT a.* FROM a ANTI JOIN done USING (text_id)),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY (raw IS NOT NULL) DESC, turn DESC, batch DESC) AS rn FROM log) WHERE rn = 1)
+    SELECT text_id, turn AS seq, batch, raw, (SELECT count(*) FROM a WHERE turn < 3)::BIGINT + (SELECT count(*) FROM a ANTI JOIN done USING (text_id)) AS answers FROM one""")
+def j1_skips(spark, d):
+    """A first stream reads the turns before the third; a second, with a checkpoint of its own, reads all and skips every
+    text that the first has answered. ``answers`` counts the rows that both took."""
+    at = scratch(spark, "stream")
+    follow(streamed_answers(spark, d).filter("seq < 3"), at + "/log", at + "/first", skip_answered=True)
+    follow(streamed_answers(spark, d), at + "/log", at + "/second", skip_answered=True)
+    taken_rows = counts_now(spark, at + "/log").agg(F.sum("answers").alias("answers"))
+    return answers_now(spark, at + "/log").select("text_id", "seq", "batch", "raw").crossJoin(taken_rows)

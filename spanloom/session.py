@@ -1,6 +1,9 @@
 """The session the library is meant to run in."""
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +55,14 @@ def bounded_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the one named in ``spark.checkpoint.dir``, which all executors share. Only a local session that
+    names none, a test, gets one of its own machine."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

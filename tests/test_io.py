@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import answers as A
 from spanloom.operators.answers import parse_quotes
 from spanloom.sources import corpus as C, export as X
 from spanloom.streaming import ingest as J
@@ -103,6 +104,75 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
     assert sorted(map(tuple, J.counts_now(spark, table).collect()))[-1] == ("b4", 1, 0)
 
 
+def put(src, name, *rows):
+    names = [f.split()[0] for f in J.ANSWER_DDL.split(", ")]
+    with open(f"{src}/{name}.json", "w") as f:
+        f.writelines(json.dumps(dict(zip(names, r))) + "\n" for r in rows)
+
+
+def test_answered_texts_are_skipped_and_a_replay_changes_nothing(spark, tmp_path):
+    src, table, ck = (str(tmp_path / x) for x in ("in", "log", "ck"))
+    os.makedirs(src)
+    put(src, 1, (1, "b1", 1, "one", None), (2, "b1", 1, None, "bad"))
+    J.ingest_stream(spark, src, table, ck, skip_answered=True)
+    put(src, 2, (1, "b2", 9, "again", None), (2, "b2", 2, "two", None), (3, "b2", 2, None, "bad"))
+    J.ingest_stream(spark, src, table, ck, skip_answered=True)
+    now = lambda: {r.text_id: r.raw for r in J.answers_now(spark, table).collect()}
+    assert now() == {1: "one", 2: "two", 3: None}
+    # the last epoch is run again, as after a crash before its commit: its own rows are no reason to skip them
+    for f in os.listdir(ck + "/commits"):
+        if f.strip(".").startswith("1"):
+            os.remove(f"{ck}/commits/{f}")
+    before = sorted(map(tuple, J.counts_now(spark, table).collect()))
+    J.ingest_stream(spark, src, table, ck, skip_answered=True)
+    assert now() == {1: "one", 2: "two", 3: None} and sorted(map(tuple, J.counts_now(spark, table).collect())) == before
+    # another checkpoint reads all files again and finds only the text without an answer open
+    put(src, 3, (3, "b3", 3, "three", None), (2, "b3", 5, "late", None))
+    J.ingest_stream(spark, src, table, ck + "2", skip_answered=True)
+    assert now() == {1: "one", 2: "two", 3: "three"}
+
+
+def test_logged_answers_survive_a_failed_task(spark, tmp_path):
+    """A task fails in mid-run; the job is run again. Every request was asked once."""
+    calls, log, mark = str(tmp_path / "calls"), f"file://{tmp_path}/log", str(tmp_path / "failed")
+    os.makedirs(calls)
+
+    def model(contents):
+        import os as o
+        import uuid as u
+        if "r57" in contents and not o.path.exists(mark):
+            open(mark, "w").close()
+            o._exit(1)                                                      # the worker dies, and with it the task
+        with open(f"{calls}/{u.uuid4().hex}", "w") as f:
+            f.write("\n".join(contents))
+        return [c.upper() for c in contents]
+
+    requests = spark.createDataFrame([(f"t{i}", f"r{i}") for i in range(200)], "custom_id string, content string").repartition(3)
+    try:
+        A.infer_logged(requests, model, log, per=5, at_once=1, shares=4).collect()
+    except Exception:                                                       # a local master does not retry tasks
+        pass
+    assert os.path.exists(mark)
+    got = {r.custom_id: (r.raw, r.error) for r in A.infer_logged(requests, model, log, per=5, at_once=1, shares=4).collect()}
+    assert got == {f"t{i}": (f"R{i}", None) for i in range(200)}
+    asked = [line for f in os.listdir(calls) for line in open(f"{calls}/{f}").read().split("\n")]
+    assert sorted(asked) == sorted(f"r{i}" for i in range(200))
+
+
+def test_logged_answers_of_odd_requests(spark, tmp_path):
+    def model(contents):
+        if any(c == "bad" for c in contents):
+            raise ValueError("no")
+        return [c + "!" for c in contents]
+
+    rows = [("a", "x"), ("a", "x"), (None, "n"), ("b", "bad"), ("c", "")]
+    requests = spark.createDataFrame(rows, "custom_id string, content string")
+    for _ in range(2):
+        got = sorted(((r.custom_id or "", r.raw, (r.error or "")[:10]) for r in A.infer_logged(requests, model, f"file://{tmp_path}/log", pause=0).collect()), key=str)
+        assert got == [("", "n!", ""), ("a", "x!", ""), ("a", "x!", ""), ("b", None, "ValueError"), ("c", "!", "")]
+    assert A.infer_logged(requests.limit(0), model, f"file://{tmp_path}/log2").count() == 0
+
+
 def test_cut_lineage(spark, tmp_path):
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
