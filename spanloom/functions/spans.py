@@ -193,36 +193,68 @@ def kwic(text, start, end, width: int = 70, newline: str = " / ") -> Column:
     return F.concat(shown[0], F.lit("«"), shown[1], F.lit("»"), shown[2])
 
 
+def running(values, block: int = 64) -> Column:
+    """Sums up to each element of an array of numbers, itself included: of whole blocks first, then inside the block, so
+    the cost is about ``block`` additions for an element."""
+    zero = F.lit(0)
+    total = lambda part: F.aggregate(part, zero, lambda acc, x: (acc + x).cast("int"))
+    place = lambda i: F.floor(i / block).cast("int")
+
+    def heads(bound):
+        starts = F.when(F.size(bound) > 0, F.sequence(zero, F.size(bound) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(starts, lambda at: total(F.slice(bound, at + 1, block)))
+        return F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    return let(values, lambda bound: let(heads(bound), lambda before: F.transform(
+        bound, lambda _, i: F.get(before, place(i)) + total(F.slice(bound, place(i) * block + 1, i % block + 1)))))
+
+
+#: Characters of a block of text from which marked pieces are cut; to cut from the whole text would walk it for every piece.
+CUT = 1024
+
+
 def mark_spans(text, spans, opens=("", "{w:", "[S:"), closes=("", "}", "]")) -> Column:
     """Text with marks around stretches; where spans overlap the higher rank shows.
 
     ``spans`` is array<struct<start,end,rank>> with rank 1, 2, ...; neighbouring
-    stretches of equal rank are one mark.
+    stretches of equal rank are one mark. The bounds are swept once in order, with a running count of the open spans of
+    each rank, so the cost is about that of the text and the spans.
     """
-    return let(spans, lambda bound: let(_bounds(_c(text), bound), lambda cuts: _marked(_c(text), bound, cuts, opens, closes)))
+    text = _c(text)
+    size = F.length(text)
+    ranks = range(1, len(opens))
+
+    def event(at, rank, step):
+        return F.struct(F.greatest(F.least(at.cast("int"), size), F.lit(0)).alias("at"), rank.cast("int").alias("rank"), F.lit(step).alias("step"))
 
+    def swept(bound):
+        cuts = F.transform(F.sequence(F.lit(0), size, F.lit(CUT)), lambda at: event(at, F.lit(0), 0))
+        return F.array_sort(F.concat(F.transform(bound, lambda s: event(s["start"], s["rank"], 1)), F.transform(bound, lambda s: event(s["end"], s["rank"], -1)),
+                                     cuts, F.array(event(size, F.lit(0), 0))))
 
-def _bounds(text, spans):
-    return F.array_sort(F.array_distinct(F.flatten(F.array(
-        F.array(F.lit(0), F.length(text)), F.transform(spans, lambda s: s["start"]),
-        F.transform(spans, lambda s: s["end"])))))
+    def pieces(events):
+        open_ = F.struct(*[running(F.transform(events, lambda e: F.when(e["rank"] == r, e["step"]).otherwise(0))).alias("r%d" % r) for r in ranks])
 
+        def piece(held, e, i):
+            rank = F.coalesce(*[F.when(F.get(held["r%d" % r], i) > 0, r) for r in reversed(ranks)], F.lit(0))
+            return F.struct(e["at"].alias("s"), F.coalesce(F.get(events, i + 1)["at"], size).alias("e"), rank.alias("r"))
 
-def _marked(text, spans, bounds, opens, closes):
-    pairs = F.filter(F.transform(bounds, lambda b, i: F.struct(
-        b.alias("s"), F.get(bounds, i + 1).alias("e"))), lambda p: p["e"].isNotNull())
-    ranked = F.transform(pairs, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.coalesce(
-        F.array_max(F.transform(F.filter(spans, lambda s: (s["start"] <= p["s"]) & (s["end"] >= p["e"])),
-                                lambda s: s["rank"])), F.lit(0)).alias("r")))
+        return let(open_, lambda held: F.filter(F.transform(events, lambda e, i: piece(held, e, i)), lambda p: p["s"] < p["e"]))
 
-    def piece(p, i, runs):
-        before = F.coalesce(F.get(runs, i - 1)["r"], F.lit(0))
-        after = F.coalesce(F.get(runs, i + 1)["r"], F.lit(0))
+    def shown(runs, blocks):
         open_, close = F.array(*map(F.lit, opens)), F.array(*map(F.lit, closes))
-        return F.concat(F.when(before != p["r"], F.get(open_, p["r"])).otherwise(""), cut(text, p["s"], p["e"]),
-                        F.when(after != p["r"], F.get(close, p["r"])).otherwise(""))
 
-    return let(ranked, lambda runs: F.array_join(F.transform(runs, lambda p, i: piece(p, i, runs)), ""))
+        def one(p, i):
+            before = F.coalesce(F.get(runs, i - 1)["r"], F.lit(0))
+            after = F.coalesce(F.get(runs, i + 1)["r"], F.lit(0))
+            own = F.substring(F.get(blocks, F.floor(p["s"] / CUT).cast("int")), p["s"] % CUT + 1, p["e"] - p["s"])
+            return F.concat(F.when(before != p["r"], F.get(open_, p["r"])).otherwise(""), own, F.when(after != p["r"], F.get(close, p["r"])).otherwise(""))
+
+        return F.array_join(F.transform(runs, one), "")
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(size / CUT).cast("int")), lambda i: F.substring(text, i * CUT + 1, F.lit(CUT)))
+    real = F.filter(spans, lambda s: s["start"] < s["end"])
+    return let(real, lambda bound: let(swept(bound), lambda events: let(pieces(events), lambda runs: let(blocks, lambda cut_: shown(runs, cut_)))))
 
 
 def count_matches(text, pattern: str, flags: str = "") -> Column:

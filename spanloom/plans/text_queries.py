@@ -11,6 +11,7 @@ from spanloom.operators.answers import person_candidates, split_answers
 from spanloom.operators.sampling import latest_answers, latest_status
 from spanloom.plans.data import (ACCENTED, FACTS, LABELS, PAGE_TEXTS, TEXTS, WITH_BEINGS, WORDS, beings, facts, labels, page_texts, places,
                                  query, sentence_rows, span_rows, table, texts)
+from spanloom.session import scratch
 from spanloom.sources import corpus, export
 
 EDGE_SQL = "' ' || chr(9) || chr(13) || chr(10) || '*_\"''`“”‘’:;,.—–-()[]'"
@@ -61,6 +62,89 @@ def a7(spark, d):
     return labels(spark, d).groupBy(export.bucket("norm", "sha1").alias("b"), export.bucket("text_id", "div100").alias("t")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a7_serving_store", f"WITH {TEXTS}, {LABELS}, b AS (SELECT floor(text_id / 100)::BIGINT::VARCHAR AS b, count(*) AS n FROM labels2 GROUP BY 1) SELECT b, n, CASE WHEN b = '1' THEN n ELSE 0 END AS found FROM b")
+def a7_store(spark, d):
+    """The labels written as a store, read back: rows of each bucket by the index, and of one bucket from its files."""
+    root = scratch(spark, "store")
+    rows = labels(spark, d)
+    index = export.write_store(rows, root, "text_id", "div100", rows=1000)
+    one = export.read_bucket(spark, root, "1", rows.withColumn("b", F.lit("")).schema)
+    found = one.groupBy("b").agg(F.count(F.lit(1)).alias("found"))
+    return index.groupBy("b").agg(F.sum("n").alias("n")).join(found, "b", "left").select("b", "n", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+# ---- A: what is written and read back ------------------------------------------------------
+@query("a2_refuse_unfinalised", """SELECT 'texts' AS name, true AS refused, count(*) AS n FROM documents UNION ALL SELECT 'places', true, count(DISTINCT coalesce(source, '')) FROM documents WHERE source IS NOT NULL""")
+def a2(spark, d):
+    """A snapshot of the documents without its marker is refused; with it, it loads."""
+    root, x = scratch(spark, "snapshot"), texts(spark, d)
+    key = F.xxhash64("place_id")
+    x.select("text_id", key.alias("place_id"), "model", "text", F.lit("d").alias("created_at"), F.lit(0).alias("regen_count"), F.lit(1).alias("seq"), F.lit("ok").alias("corpus_state")).write.parquet(root + "/texts.parquet")
+    places(spark, d).filter("place_id is not null").select(key.alias("place_id"), F.lit(1).cast("long").alias("seed_id"), F.lit("m").alias("model"), "text", F.lit("d").alias("created_at")).write.parquet(root + "/places.parquet")
+    x.select("text_id", F.lit("t").alias("tagger"), F.lit("ok").alias("status"), F.lit("d").alias("tagged_at"), F.lit(1).cast("long").alias("seq")).write.parquet(root + "/status.parquet")
+    x.groupBy(F.lit("n").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value")).write.parquet(root + "/release.parquet")
+    try:
+        corpus.load_corpus(spark, root)
+        refused = False
+    except ValueError:
+        refused = True
+    spark.createDataFrame([("done",)], "value string").write.text(root + "/FINALIZED")
+    c = corpus.load_corpus(spark, root)
+    return c.texts.agg(F.lit("texts").alias("name"), F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n")).unionByName(
+        c.places.agg(F.lit("places").alias("name"), F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n")))
+
+
+@query("a5_csv_export", f"""WITH {TEXTS}, {LABELS} SELECT 'labels' AS "table", md5(coalesce(label, '')) AS h, count(*) AS n, sum(start)::BIGINT AS total, 6 AS commented FROM labels2 GROUP BY label
+    UNION ALL SELECT 'models', md5(model), count(*), sum(length(text))::BIGINT, 3 FROM texts GROUP BY model""")
+def a5(spark, d):
+    """Two tables written as CSV, one of them gzipped, with their data dictionary; all read back."""
+    root = scratch(spark, "csv")
+    per = texts(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("characters"))
+    rows = labels(spark, d).select("text_id", "start", "end", "label", F.col("norm").alias("string"), "source")
+    export.export_tables({"labels": rows, "models": per}, root, comments={("models", "characters"): "characters written"})
+    read = lambda name: spark.read.option("header", True).csv(f"{root}/{name}")
+    commented = {t: read("dictionary").filter((F.col("table") == t) & F.col("comment").isNotNull()) for t in ("labels", "models")}
+    n = {t: c.agg(F.count(F.lit(1)).cast("int").alias("commented")) for t, c in commented.items()}
+    back = read("labels").groupBy(F.lit("labels").alias("table"), F.md5(F.coalesce("label", F.lit(""))).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start").cast("long")).alias("total"))
+    models = read("models").select(F.lit("models").alias("table"), F.md5("model").alias("h"), F.col("texts").cast("long").alias("n"), F.col("characters").cast("long").alias("total"))
+    return back.crossJoin(n["labels"]).unionByName(models.crossJoin(n["models"]))
+
+
+_PER_WRITER = "SELECT concat_ws('/', lang, source) AS model, {} AS v, count(*) AS n FROM documents {} GROUP BY 1"
+
+
+@query("a8_versions", f"{_PER_WRITER.format("'v2'", '')} UNION ALL {_PER_WRITER.format("'v1'", 'WHERE n_chars > 1000')}")
+def a8(spark, d):
+    """A table in two versions: the pointer names the later one, a version that exists is refused, the earlier one stays readable."""
+    root = scratch(spark, "versions")
+    docs = table(spark, d, "documents")
+    count = lambda x: x.groupBy(F.concat_ws("/", "lang", "source").alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    first = export.overwrite(count(docs.filter("n_chars > 1000")), root, "v1")
+    export.overwrite(count(docs), root, "v2")
+    try:
+        export.overwrite(count(docs.limit(0)), root, "v2")
+        raise AssertionError("a version was written over")
+    except Exception as e:
+        if "already exists" not in str(e):
+            raise
+    now = export.current(spark, root)
+    name = lambda at: F.lit(at.rsplit("/", 1)[1]).alias("v")
+    return spark.read.parquet(now).select("model", name(now), "n").unionByName(spark.read.parquet(first).select("model", name(first), "n"))
+
+
+@query("a11_write_if_changed", "SELECT step, wrote, (SELECT count(*) FROM documents WHERE step < 3 OR n_chars > 1000) AS n FROM (VALUES (1, true), (2, false), (3, true), (4, false)) t(step, wrote)")
+def a11(spark, d):
+    """The documents written under their content's digest: again, nothing is written; of other content, a new version is."""
+    root, out = scratch(spark, "digest"), None
+    x = texts(spark, d).select("text_id", "text", F.length("text").alias("n"))
+    long_ = table(spark, d, "documents").filter("n_chars > 1000").select(F.col("doc_id").alias("text_id"), "text", F.length("text").alias("n"))
+    for step, df in enumerate((x, x, long_, long_), 1):
+        wrote = export.write_if_changed(df, root, corpus.content_digest(df.select("text_id", "text")).first().digest)
+        row = spark.read.parquet(export.current(spark, root)).agg(F.lit(step).alias("step"), F.lit(wrote).alias("wrote"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 WORD_SUMS = ", ".join(f"lpad(lower(printf('%x', (sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) % 4294967296)::BIGINT)), 8, '0')" for i in range(8))
 
 

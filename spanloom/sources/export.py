@@ -92,6 +92,31 @@ def write_buckets(df: DataFrame, directory: str, key: str, scheme: str, rows: in
     dealt.repartition("b", "_file").drop("_h", "_file", "_files").write.option("maxRecordsPerFile", rows).mode("overwrite").partitionBy("b").json(directory)
 
 
+def write_store(df: DataFrame, root: str, key: str, scheme: str, rows: int = 100_000) -> DataFrame:
+    """A serving store that does not grow a folder for each bucket: JSON lines in files of about ``rows`` rows, in the order
+    of the buckets, and an index, bucket -> file and rows, which is returned.
+
+    Files follow the rows, not the buckets: small buckets share one, a large one has several, for rows are ranged by bucket
+    and a hash. A null key is a bucket of its own. The store is written once; a new version is a new ``root``."""
+    spark, keyed = df.sparkSession, df.withColumn("b", bucket(key, scheme))
+    files = max(1, -(-df.count() // rows))
+    whole = F.xxhash64(*[F.to_json(F.struct("*"))])
+    dealt = keyed.withColumn("_h", whole).repartitionByRange(files, F.col("b"), F.col("_h")).sortWithinPartitions("b", "_h")
+    dealt.drop("_h").write.mode("errorifexists").json(f"{root}/data")
+    back = spark.read.schema(keyed.schema).json(f"{root}/data")
+    index = back.groupBy("b", F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    index.repartitionByRange("b", "file").sortWithinPartitions("b", "file").write.mode("errorifexists").parquet(f"{root}/index")
+    return spark.read.parquet(f"{root}/index")
+
+
+def read_bucket(spark: SparkSession, root: str, value: str | None, schema) -> DataFrame:
+    """Rows of one bucket of a store: the index names the files that hold it, and no other is opened."""
+    named = spark.read.parquet(f"{root}/index").filter(F.col("b").eqNullSafe(F.lit(value))).select("file").collect()
+    if not named:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json([f"{root}/data/{r.file}" for r in named]).filter(F.col("b").eqNullSafe(F.lit(value)))
+
+
 def _pointer(spark, root):
     return root + "/CURRENT"
 

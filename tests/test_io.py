@@ -104,6 +104,21 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
     assert sorted(map(tuple, J.counts_now(spark, table).collect()))[-1] == ("b4", 1, 0)
 
 
+def test_store_opens_only_the_files_of_a_bucket(spark, tmp_path):
+    rows = spark.range(10_000).select(F.col("id").alias("text_id"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("v"))
+    hot = rows.unionByName(spark.range(4000).select(F.lit(777).cast("long").alias("text_id"), F.col("id").cast("string").alias("v"))).unionByName(rows.limit(1).withColumn("text_id", F.lit(None).cast("long")))
+    root = str(tmp_path / "store")
+    index = X.write_store(hot, root, "text_id", "div100", rows=1000)
+    schema = hot.withColumn("b", F.lit("")).schema
+    assert len(os.listdir(root)) == 2 and len([f for f in os.listdir(root + "/data") if f.endswith(".json")]) <= 16
+    assert {r.b: r.n for r in index.groupBy("b").agg(F.sum("n").alias("n")).collect()} == {str(i): 4100 if i == 7 else 100 for i in range(100)} | {None: 1}
+    for b, n, most in (("42", 100, 2), ("7", 4100, 7), (None, 1, 1), ("none", 0, 0)):
+        got = X.read_bucket(spark, root, b, schema)
+        assert got.count() == n and len(got.inputFiles()) <= most
+    with pytest.raises(Exception, match="already exists"):
+        X.write_store(rows, root, "text_id", "div100")
+
+
 def put(src, name, *rows):
     names = [f.split()[0] for f in J.ANSWER_DDL.split(", ")]
     with open(f"{src}/{name}.json", "w") as f:

@@ -156,3 +156,42 @@ def test_windows_that_cannot_reach_the_share_are_cut(spark):
 def T_fold(ch):
     table = {"“": '"', "”": '"', "—": "-", "…": "...", "\n": " ", " ": " "}
     return table.get(ch, ch).lower()
+
+
+def marked(text, spans, opens=("", "{w:", "[S:"), closes=("", "}", "]")):
+    rank = [0] * len(text)
+    for a, b, r in spans:
+        for i in range(a, min(b, len(text))):
+            rank[i] = max(rank[i], r)
+    out, now = "", 0
+    for ch, r in zip(text, rank):
+        out += (closes[now] + opens[r] if r != now else "") + ch
+        now = r
+    return out + closes[now]
+
+
+def test_marks_match_a_plain_sweep(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é😀.") for _ in range(rng.choice([0, 5, 40, 3000])))
+        spans = [(a := rng.randint(0, len(text)), a + rng.choice([0, 1, 3, 900]), rng.randint(1, 2)) for _ in range(rng.choice([0, 1, 6, 80]))]
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int,rank:int>>")
+    got = {r.i: r.m for r in df.select("i", S.mark_spans("t", F.col("s")).alias("m")).collect()}
+    assert got == {i: marked(t, s) for i, t, s in rows}
+
+
+def test_many_marks_in_one_text(spark):
+    """A hundred thousand spans of one text: ten times the spans take about ten times as long, not a hundred."""
+    def seconds(n):
+        text = "one word and " * n
+        df = spark.range(1).select(F.lit(text).alias("t"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 13 + 4).alias("start"), (i * 13 + 8).alias("end"), F.lit(1).alias("rank"))).alias("s"))
+        start = time.time()
+        got = df.select(S.mark_spans("t", F.col("s")).alias("m")).first().m
+        assert got == "one {w:word} and " * n
+        return time.time() - start
+
+    seconds(1000)
+    small = seconds(10_000)
+    assert seconds(100_000) < 40 * max(small, 0.5)
