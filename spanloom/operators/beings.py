@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanloom.functions.text import ERAS, STEMS, era, half_year, pct
 from spanloom.operators.answers import QUESTIONS
-from spanloom.operators.sampling import top_k, upper_median
+from spanloom.operators.sampling import before, top_k, upper_median
 from spanloom.operators.tables import count_if
 
 ARRANGEMENTS = ("solo", "stacked", "ensemble")
@@ -228,15 +228,41 @@ def fold_plural(tokens: DataFrame, vocabulary: DataFrame, col="noun") -> DataFra
     return distinct.join(best, col, "left").select(col, F.coalesce("base", col).alias("base"))
 
 
+#: Texts of a name in one range of 32,768 text numbers from which they travel as a bitmap of 4 KB, not as rows.
+CROWD = 512
+
+
+def distinct_texts(members: DataFrame, texts: DataFrame, group: str, via: str) -> DataFrame:
+    """Per ``group`` the distinct texts of its ``via`` values, exactly: group, texts. ``members``: group, via; ``texts``: via,
+    text_id, both without repeats.
+
+    Texts are numbered, and the numbers of a value lie in ranges of 32,768. Where a value has ``CROWD`` texts and more in a range, the
+    range is one bitmap that is united bit by bit, so a value that stands in a third of all texts does not meet its groups text by
+    text; elsewhere its few numbers travel as they are. A null text does not count.
+    """
+    held = texts.filter(F.col("text_id").isNotNull())
+    numbers = before(held.select("text_id").distinct().withColumn("_one", F.lit(1)), "text_id", "_one", "_no").select("text_id", "_no")
+    placed = held.join(numbers, "text_id").select(via, F.bitmap_bucket_number("_no").alias("_cell"), F.bitmap_bit_position("_no").alias("_bit"))
+    cells = placed.groupBy(via, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.bitmap_construct_agg("_bit").alias("_map"))
+    crowds = cells.filter(F.col("_n") >= CROWD)
+    few = placed.join(crowds.select(via, "_cell"), [via, "_cell"], "left_anti")
+    united = members.join(crowds.select(via, "_cell", "_map"), via).groupBy(group, "_cell").agg(F.bitmap_or_agg("_map").alias("_map"))
+    single = members.join(few, via).groupBy(group, "_cell").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    both = united.unionByName(single).groupBy(group, "_cell").agg(F.bitmap_or_agg("_map").alias("_map"))
+    return both.groupBy(group).agg(F.sum(F.bitmap_count("_map")).alias("texts"))
+
+
 def kept_by_name(name_texts: DataFrame, kept: DataFrame, least: int = 2) -> DataFrame:
     """Per noun: texts, words that keep it, the three most frequent names. ``name_texts``:
     norm, text_id; ``kept``: norm, nouns, words."""
     rows = kept.select("norm", "words", F.explode(F.array_distinct("nouns")).alias("noun"))
     texts = name_texts.select("norm", "text_id").distinct()
-    joined = rows.join(texts, "norm")
-    per = joined.groupBy("noun").agg(F.countDistinct("text_id").alias("texts"))
+    per = distinct_texts(rows.select("noun", "norm").distinct(), texts, "noun", "norm")
     words_ = rows.select("noun", F.explode("words").alias("w")).distinct().groupBy("noun").agg(F.count(F.lit(1)).alias("n_words"))
-    names = joined.groupBy("noun", "norm").agg(F.count(F.lit(1)).alias("n"))
+    # a name has as many rows for a noun as it has texts, so names are ranked without meeting the texts
+    sizes = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("_texts"))
+    times = rows.groupBy("noun", "norm").agg(F.count(F.lit(1)).alias("_times"))
+    names = times.join(sizes, "norm").select("noun", "norm", (F.col("_times") * F.col("_texts")).alias("n"))
     top = top_k(names, "noun", 3, [F.desc("n"), F.asc("norm")]).groupBy("noun").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "norm"))), lambda r: r["norm"]), "; ").alias("as_in"))
     return per.filter(F.col("texts") >= least).join(words_, "noun", "left").join(top, "noun").fillna(0, ["n_words"])

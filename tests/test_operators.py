@@ -209,3 +209,18 @@ def test_equal_groups_of_many_distinct_keys(spark):
     got = {r.grp: (r.n, round(r.m_pct, 1)) for r in G.equal_groups(df, "k", 8, ("m",)).collect()}
     size = 5003 // 8
     assert got == {g: (size, round(100 * sum(m for _, m in rows[g * size:(g + 1) * size]) / size, 1)) for g in range(8)}
+
+
+def test_distinct_texts_of_a_hot_name(spark):
+    """A name in very many texts, over many ranges, with many nouns: exact, and no rows of nouns times texts."""
+    texts = spark.range(40_000).select(F.lit("hot").alias("norm"), F.xxhash64("id").alias("text_id")).unionByName(
+        spark.range(300).select(F.concat(F.lit("n"), (F.col("id") % 50).cast("string")).alias("norm"), F.xxhash64(F.col("id") * 131).alias("text_id"))).unionByName(
+        spark.createDataFrame([("hot", None), ("n1", None)], "norm string, text_id long")).distinct()
+    members = spark.range(100).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("noun"), F.lit("hot").alias("norm")).unionByName(
+        spark.range(200).select(F.concat(F.lit("x"), (F.col("id") % 120).cast("string")).alias("noun"), F.concat(F.lit("n"), (F.col("id") % 50).cast("string")).alias("norm"))).distinct()
+    want = {r.noun: r.n for r in members.join(texts, "norm").groupBy("noun").agg(F.countDistinct("text_id").alias("n")).collect()}
+    got = B.distinct_texts(members, texts, "noun", "norm")
+    assert {r.noun: r.texts for r in got.collect()} == want
+    kept = members.groupBy("norm").agg(F.collect_list("noun").alias("nouns")).withColumn("words", F.array(F.lit("w")))
+    rows = {r.noun: (r.texts, r.n_words, r.as_in) for r in B.kept_by_name(texts, kept).collect()}
+    assert {k: v[0] for k, v in rows.items()} == {k: n for k, n in want.items() if n > 1} and rows["x3"][2].startswith("hot") and rows["x3"][1] == 1
