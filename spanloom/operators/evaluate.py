@@ -113,23 +113,50 @@ def confusion(both: DataFrame) -> DataFrame:
     return both.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def word_keys(col) -> Column:
+    """The words, runs of a-z, of a string: where one string stands in another with no letter on either side, the other has
+    all its words."""
+    return F.array_distinct(F.regexp_extract_all(F.col(col), F.lit("[a-z]+"), F.lit(0)))
+
+
+def gram_keys(col, n: int = 3) -> Column:
+    """The stretches of ``n`` characters of a string: one that holds another has all its stretches."""
+    at = F.when(F.length(col) >= n, F.sequence(F.lit(1), F.length(col) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(F.col(col), i, F.lit(n))))
+
+
+def held_pairs(inner: DataFrame, outer: DataFrame, i: str, o: str, keys) -> DataFrame:
+    """Pairs of strings of a text of which ``i`` may stand in ``o``: those where ``o`` has the key of ``i``, its longest one (ties:
+    the first in order). A string without keys meets every string of its text."""
+    longest = F.array_max(F.transform(keys(i), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    asked = inner.withColumn("_k", F.coalesce(longest, F.lit("")))
+    held = outer.withColumn("_k", F.explode(F.concat(keys(o), F.array(F.lit("")))))
+    return asked.join(held, ["text_id", "_k"]).drop("_k")
+
+
+def candidate_pairs(asked: DataFrame, labels: DataFrame, keys) -> DataFrame:
+    """text_id, _s, _l and the other columns of ``labels``: pairs worth an exact test, in either direction."""
+    near = labels.join(asked.select("text_id").distinct(), "text_id", "left_semi")
+    one, two = held_pairs(asked, near, "_s", "_l", keys), held_pairs(near, asked, "_l", "_s", keys)
+    return one.select("text_id", "_s", *[c for c in labels.columns if c != "text_id"]).unionByName(two.select("text_id", "_s", *[c for c in labels.columns if c != "text_id"]))
+
+
 def match_label(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
     """Judged strings with two flags: a label of the text equals it, holds it as a whole word,
     or stands in it as a whole word; by the first pass, by either pass.
 
-    Existence is asked with semi joins, so no pair of a text is ever emitted. ``verdicts``
-    is hand-made and small; ``labels`` is the large side.
+    Only ``candidate_pairs`` that share a word are tested, each once: an index of the words of either side stands before the
+    regex. ``verdicts`` is hand-made and small; ``labels`` is the large side.
     """
     v = verdicts.select("*", fold_compare("surface", "verdict").alias("_s"))
-    l = labels.select(F.col("text_id").alias("_t"), fold_compare("label", "verdict").alias("_l"),
-                      F.col("source").alias("_src")).distinct()
-    match = (F.col("text_id") == F.col("_t")) & (
-        (F.col("_s") == F.col("_l")) | holds_word("_l", "_s") | ((F.col("_l") != "") & holds_word("_s", "_l")))
+    l = labels.select("text_id", fold_compare("label", "verdict").alias("_l"), (F.col("source") == "quote").alias("_q"))
+    l = l.groupBy("text_id", "_l").agg(F.max("_q").alias("_q"))
+    whole = lambda x, y: F.contains(x, y) & holds_word(x, y)
+    match = (F.col("_s") == F.col("_l")) | whole(F.col("_l"), F.col("_s")) | ((F.col("_l") != "") & whole(F.col("_s"), F.col("_l")))
     keys = ["text_id", "_s"]
-    asked = v.select(*keys).distinct()
-    first = asked.join(l.filter(F.col("_src") == "quote"), match, "left_semi").withColumn("first", F.lit(True))
-    either = asked.join(l, match, "left_semi").withColumn("either", F.lit(True))
-    return v.join(first, keys, "left").join(either, keys, "left").fillna(False, ["first", "either"]).drop("_s")
+    hits = candidate_pairs(v.select(*keys).distinct(), l, word_keys).filter(match)
+    hits = hits.groupBy(*keys).agg(F.max("_q").alias("first"), F.lit(True).alias("either"))
+    return v.join(hits, keys, "left").fillna(False, ["first", "either"]).drop("_s")
 
 
 def verdict_recall(matched: DataFrame) -> DataFrame:
@@ -151,13 +178,14 @@ def word_recall(texts: DataFrame, labels: DataFrame, stems=STEMS) -> DataFrame:
 
 
 def match_loose(hand: DataFrame, labels: DataFrame) -> DataFrame:
-    """Hand-marked labels with ``found``: some label of the text contains it or stands in it."""
-    h = hand.select("*", fold_compare(F.ltrim(F.col("label"), F.lit("!")), "hand").alias("_h"))
-    l = labels.select(F.col("text_id").alias("_t"), fold_compare("label", "hand").alias("_l")).distinct()
-    near = (F.col("text_id") == F.col("_t")) & (F.col("_l").contains(F.col("_h")) | F.col("_h").contains(F.col("_l")))
-    keys = ["text_id", "_h"]
-    hit = h.select(*keys).distinct().join(l, near, "left_semi").withColumn("found", F.lit(True))
-    return h.join(hit, keys, "left").fillna(False, ["found"]).drop("_h")
+    """Hand-marked labels with ``found``: some label of the text contains it or stands in it. Only pairs that share the
+    stretch of three characters that the shorter must bring are tested."""
+    h = hand.select("*", fold_compare(F.ltrim(F.col("label"), F.lit("!")), "hand").alias("_s"))
+    l = labels.select("text_id", fold_compare("label", "hand").alias("_l")).distinct()
+    keys = ["text_id", "_s"]
+    near = F.col("_l").contains(F.col("_s")) | F.col("_s").contains(F.col("_l"))
+    hit = candidate_pairs(h.select(*keys).distinct(), l, gram_keys).filter(near).select(*keys).distinct().withColumn("found", F.lit(True))
+    return h.join(hit, keys, "left").fillna(False, ["found"]).drop("_s")
 
 
 def pilot_recall(matched: DataFrame) -> DataFrame:

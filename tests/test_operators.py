@@ -224,3 +224,27 @@ def test_distinct_texts_of_a_hot_name(spark):
     kept = members.groupBy("norm").agg(F.collect_list("noun").alias("nouns")).withColumn("words", F.array(F.lit("w")))
     rows = {r.noun: (r.texts, r.n_words, r.as_in) for r in B.kept_by_name(texts, kept).collect()}
     assert {k: v[0] for k, v in rows.items()} == {k: n for k, n in want.items() if n > 1} and rows["x3"][2].startswith("hot") and rows["x3"][1] == 1
+
+
+def test_label_match_equals_all_pairs(spark):
+    rng = random.Random(21)
+    words = ["ash", "ash's", "the ash", "keepers", "lower stair", "42", "é", "x", "stair keepers", "ashen", "a-b", "", "keepers of ash", "lower"]
+    pick = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    labels = spark.createDataFrame([(t, pick(), rng.choice(["quote", "line"])) for t in range(6) for _ in range(40)], "text_id int, label string, source string")
+    verdicts = spark.createDataFrame([(t, pick(), "b") for t in range(8) for _ in range(15)], "text_id int, surface string, verdict string")
+    fold = lambda c, kind: E.fold_compare(c, kind)
+    l = labels.select(F.col("text_id").alias("t"), fold("label", "verdict").alias("l"), "source")
+    v = verdicts.select("text_id", "surface", fold("surface", "verdict").alias("s"))
+    every = v.join(l, (v.text_id == l.t) & ((F.col("s") == F.col("l")) | E.holds_word("l", "s") | ((F.col("l") != "") & E.holds_word("s", "l"))), "left")
+    want = {(r.text_id, r.surface): (bool(r.a), bool(r.b)) for r in every.groupBy("text_id", "surface").agg(F.max(F.col("source") == "quote").alias("a"), F.max(F.col("l").isNotNull()).alias("b")).collect()}
+    got = {(r.text_id, r.surface): (r.first, r.either) for r in E.match_label(verdicts, labels).collect()}
+    assert got == want and any(a for a, _ in want.values()) and not all(b for _, b in want.values())
+    asked = v.select("text_id", F.col("s").alias("_s")).distinct()
+    near = E.candidate_pairs(asked, l.select(F.col("t").alias("text_id"), F.col("l").alias("_l")).distinct(), E.word_keys).select("text_id", "_s", "_l").distinct().count()
+    assert near < asked.join(l.select(F.col("t").alias("text_id"), "l").distinct(), "text_id").count()
+
+    hand = verdicts.select("text_id", F.col("surface").alias("label"))
+    h, k = hand.select("text_id", "label", fold("label", "hand").alias("s")), labels.select(F.col("text_id").alias("t"), fold("label", "hand").alias("l"))
+    loose = h.join(k, (h.text_id == k.t) & (F.col("l").contains(F.col("s")) | F.col("s").contains(F.col("l"))), "left")
+    want = {(r.text_id, r.label): bool(r.f) for r in loose.groupBy("text_id", "label").agg(F.max(F.col("l").isNotNull()).alias("f")).collect()}
+    assert {(r.text_id, r.label): r.found for r in E.match_loose(hand, labels).collect()} == want
