@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
@@ -97,17 +97,54 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, signature binary")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(h1, shingles): each row's set as sorted 64-bit hashes, and its digest."""
+#: Words of 64 bits of a row filter, 64 MB at most, and the rows that this serves well; beyond them rows are joined instead.
+FILTER_WORDS, FILTER_ROWS = 1 << 23, 1 << 25
+
+
+def row_key():
+    """A number for a row's name."""
+    return F.xxhash64("doc_id", "text_hash").alias("row_key")
+
+
+def row_filter(rows: DataFrame, n: int) -> np.ndarray:
+    """Two bits of one word for each of ``n`` ``rows`` (doc_id, text_hash), 16 bits and more a row; its size follows ``n`` up to ``FILTER_WORDS``."""
+    words = min(FILTER_WORDS, 1 << max(10, (n // 4).bit_length()))
+    h = F.col("row_key")
+    one = F.lit(1).cast("long")
+    bits = F.expr("shiftleft(1L, cast(row_key & 63 as int)) | shiftleft(1L, cast(shiftright(row_key, 6) & 63 as int))")
+    made = rows.select(row_key()).groupBy(F.pmod(F.shiftrightunsigned(h, 20), one * words).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
+    table = np.zeros(words, dtype=np.uint64)
+    table[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def passing(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which row numbers the filter lets through: all that it was made from, and few others."""
+    h = rows.view(np.uint64)
+    bits = (np.uint64(1) << (h & np.uint64(63))) | (np.uint64(1) << ((h >> np.uint64(6)) & np.uint64(63)))
+    word = (h >> np.uint64(20)) % np.uint64(len(table))
+    return (table[word.astype(np.int64)] & bits) == bits
+
+
+def shingle_sets(docs: DataFrame, k: int, chosen: DataFrame) -> DataFrame:
+    """(h1, shingles): the sets, as sorted 64-bit hashes, and digests of the rows of ``docs`` that ``chosen`` (doc_id, text_hash) names, and
+    of a few others that a filter of its rows lets through. So no text is shuffled to find them."""
     small_batches(docs.sparkSession)
+    n = chosen.count()
+    if n > FILTER_ROWS:
+        docs, table = named(docs, chosen, "left_semi"), None
+    else:
+        table = docs.sparkSession.sparkContext.broadcast(row_filter(chosen, n))
 
     def run(batches):
         for batch in batches:
+            if table is not None:
+                batch = batch.filter(pa.array(passing(table.value, batch.column("row_key").to_numpy())))
             for part in slices(batch, SLICE):
                 hashes, offsets = _sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(_digest(hashes, offsets, 1)), long_lists(hashes, offsets)], names=["h1", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "h1 long, shingles array<long>")
+    return docs.select("doc_id", "text", text_hash()).select("text", row_key()).mapInArrow(run, "h1 long, shingles array<long>")
 
 
 WORDS = [f"d{i}" for i in range(SYMBOLS // 8)]
@@ -238,13 +275,15 @@ def near_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     leaders = classes.select("id", F.col("n_shingles").alias("n"), "signature")
     # the keys are many times the rows, so tasks are cut by rows, not by the bytes of the signatures
     leaders = written(leaders.repartition(max(1, classes.count() // KEYED), "id"))
-    keys = key_rows(leaders, percent)
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"), slim=True)
-    rows = written(keys.join(shared, "key").join(packed(leaders), "id"))
+    # the keys are exchanged once: a key's least and greatest id tell, where it lies, whether it is shared
+    same_key = Window.partitionBy("key")
+    keys = key_rows(leaders, percent).withColumns({"low": F.min("id").over(same_key), "high": F.max("id").over(same_key)})
+    shared = written(keys.filter("low < high").select("key", "id"))
+    rows = written(shared.join(packed(leaders), "id"))
     near = f"x.key = y.key and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing('x', 'y')} <= {distance}"
     paired = written(rows.alias("x").join(rows.alias("y"), F.expr(near + " and x.id <> y.id"), "left_semi"))
     chosen = written(classes.join(paired.select("id").distinct(), "id", "left_semi").select("lead.*"), slim=True)
-    sets = shingle_sets(named(docs, chosen, "left_semi"), k)
+    sets = shingle_sets(docs, k, chosen)
     sets = written(sets.groupBy(F.col("h1").alias("id")).agg(F.first("shingles").alias("shingles")))
     hubs = paired.groupBy("key").agg(F.min("id").alias("hub"))
     members = written(paired.select("key", "id").join(written(hubs, slim=True), "key").select("hub", "id").distinct(), slim=True)

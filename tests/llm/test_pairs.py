@@ -142,3 +142,20 @@ def test_leaks_of_empty_tables(spark):
     assert contained_items(one, none.withColumnRenamed("doc_id", "item_id")).count() == 0
     twice = contained_items(one.unionAll(one), items).collect()
     assert [(r.doc_id, r.item_id, r.containment) for r in twice] == [(1, 1, 1.0)]
+
+
+def test_row_filter_lets_all_chosen_rows_pass(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    chosen = rows.filter("text_hash % 10 = 0")
+    table = neardup.row_filter(chosen, chosen.count())
+    keys = rows.select(neardup.row_key(), (F.col("text_hash") % 10 == 0).alias("in")).toPandas()
+    let = neardup.passing(table, keys["row_key"].to_numpy())
+    assert let[keys["in"]].all() and let[~keys["in"]].mean() < 0.05
+    assert not neardup.passing(neardup.row_filter(rows.limit(0), 0), keys["row_key"].to_numpy()).any()
+
+
+def test_groups_without_a_filter(spark, monkeypatch):
+    docs = dict(enumerate(family(np.random.default_rng(7), 40, 60, 8)))
+    monkeypatch.setattr(neardup, "FILTER_ROWS", 0)
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), SCHEMA), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(docs, 3, 85)
