@@ -287,8 +287,9 @@ def _packed(cells: DataFrame, most: int) -> DataFrame:
 def pack(parts: DataFrame, most: int = 2048, cell: int = CELL) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset: bins of at most ``most`` tokens.
 
-    Pieces that are full are sequences of their own. The others are dealt by a hash of (doc_id, piece) to cells of about
-    ``cell`` pieces, whose number follows the data, so no task grows with the corpus and no document or source is hot. A
+    Pieces that are full are sequences of their own. The others are dealt by a hash of (doc_id, piece, content, row) to cells of
+    about ``cell`` pieces, whose number follows the data, so no task grows with the corpus and no document, source or
+    repeated row is hot: the pieces are written first, and a row is its place in that table. A
     cell is packed best fit decreasing, then by ``local_search``. The bins of every cell with more than a sixteenth left
     go through a second round of cells, in which what the cells could not use meets. Sequence ids are unique but not
     gapless; offsets within a sequence are gapless from 0. Ties in length go by doc_id and piece, so a rerun gives the
@@ -296,7 +297,8 @@ def pack(parts: DataFrame, most: int = 2048, cell: int = CELL) -> DataFrame:
     """
     parts = written(parts.select("doc_id", "piece", "start", "length", "ids_crc32"), slim=True)
     short = parts.filter(F.col("length") < most)
-    number = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32")
+    # rows that repeat are equal in all that is known of them; their place in the written table tells them apart
+    number = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32", F.monotonically_increasing_id())
     first = max(1, -(-short.count() // cell))
     once = written(_packed(short.withColumn("cell", F.pmod(number, F.lit(first))), most), slim=True)
     loose = once.filter(F.col("room") > most // 16)

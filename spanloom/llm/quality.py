@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The machine learned from labelled rows outside the held-out fold, at most about ``fit_rows`` of them.
 
     Beyond that number a hash of the id picks the share to learn from. Their features are made by Spark; what comes to
-    the driver is bounded by ``fit_rows``. Labels that are null are no labels; where an id has several, the least counts.
+    the driver is bounded by ``fit_rows``, for a document whose row repeats is learned once. Labels that are null are no labels; where an id has several, the least counts.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).filter("y is not null and doc_id is not null").filter(~held_out())
@@ -135,6 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     part = int(min(1.0, fit_rows / max(total, 1)) * (1 << 20))
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).groupBy("doc_id").agg(F.min("y").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("n_chars").cast("double").alias("n_chars")).join(marks, "doc_id")
+    # one row for an id, however often it repeats: the least by hash, then text
+    one = F.min(F.struct(F.xxhash64("text", "n_chars").alias("h"), "text", "n_chars", "y"))
+    rows = rows.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.text", "x.n_chars", "x.y")
 
     def run(batches):
         for batch in batches:

@@ -193,3 +193,26 @@ def test_pipeline_of_nothing(spark, small):
     for _, stage in C.STAGES:
         docs = C.written(stage(spark, docs, small))
     assert docs.count() == 0
+
+
+def test_language_stage_that_can_learn_little_rejects_nothing(spark, small):
+    import corpus_pipeline as C
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("text rlike '[a-z]'")
+    held = docs.filter("crc32(cast(doc_id as string)) % 5 = 0")
+    assert held.count() > 20
+    for some in (held, docs.orderBy("doc_id").limit(20), docs.limit(3), docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert C.language(spark, some, small).count() == some.count()
+    extra = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "12 34 !!", "en", "s", 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert C.language(spark, held.unionByName(extra), small).count() == held.count()
+
+
+def test_packing_of_equal_rows_keeps_cells_small(spark):
+    parts = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(300).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    number = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(10))
+    sizes = [r["count"] for r in parts.groupBy(number.alias("cell")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 8000
+    got = packing.pack(parts, 2048)
+    assert got.count() == 60_000
+    per = got.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("offset").alias("d"), F.max("offset").alias("top"))
+    assert per.filter("n > 6 or n <> d or top <> 300 * (n - 1)").count() == 0
+    assert per.count() <= 60_000 / 6 + 20

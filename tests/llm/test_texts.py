@@ -72,6 +72,16 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_repeated_labelled_document_is_learned_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    one = docs.join(labels.filter("crc32(cast(doc_id as string)) % 5 <> 0").orderBy("doc_id").limit(1).select("doc_id"), "doc_id").select(*docs.columns)
+    base = {r.doc_id: r.score for r in scored(docs, labels).collect()}
+    again = docs.unionAll(one.crossJoin(spark.range(5000)).select(*docs.columns))
+    got = scored(again, labels)
+    assert got.count() == docs.count() + 5000 and {r.doc_id: r.score for r in got.distinct().collect()} == base
+
+
 def test_quality_of_odd_rows(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (7001, "", None, None, 0), (7001, "", None, None, 0), (7002, "x" * 200_000, "en", "s", 5), (7003, "\n" * 1000, None, None, -4)], docs.schema)
