@@ -14,11 +14,13 @@ from spanloom.llm.language import identify
 from spanloom.llm.neardup import named, near_rows
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.secrets import redacted, scan
-from spanloom.llm.shared import written
+from spanloom.llm.shared import held_out, written
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 #: A text of which the best language holds a smaller part of the n-grams is in none of the languages.
 KNOWN = 0.4
+#: Rows to learn from below which a text's n-grams prove nothing, and no lettered text goes.
+LEARNED = 100
 #: Longest sequence of the packed corpus, in tokens.
 SEQUENCE = 2048
 #: Words with their ids that a Python worker keeps, some 100 MB: the executors also hold what earlier stages have grown.
@@ -32,11 +34,13 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learned; ``und`` (null text, no letters) and texts that no language's n-grams
-    cover go. Where no language can be learned, nothing can be rejected but ``und`` for want of letters."""
-    found = identify(_documents(docs))
+    cover go. Where fewer than ``LEARNED`` labelled texts lie outside the held-out fold, the filter covers too little to
+    reject by it, and only texts without letters go."""
+    docs = _documents(docs)
+    found = identify(docs)
     known = (F.col("lang_pred") != "und") & (F.col("known") >= KNOWN)
     lettered = F.coalesce(F.col("text").rlike(r"\pL"), F.lit(False))
-    learned = not docs.filter("lang is not null and text is not null").isEmpty() if "lang" in docs.columns else False
+    learned = docs.filter("lang is not null and text is not null").filter(~held_out()).limit(LEARNED).count() == LEARNED
     return found.filter(known if learned else lettered).select(*COLUMNS)
 
 
