@@ -302,6 +302,22 @@ def named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return met.drop("_id", "_hash")
 
 
+def may_be_named(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: those that ``rows`` (doc_id, text_hash) may name, by a filter of its rows, and those it does not name.
+    So a join with few rows shuffles few texts. Beyond ``FILTER_ROWS`` rows all of ``docs`` may be named."""
+    n = rows.count()
+    if n > FILTER_ROWS:
+        return docs, docs.limit(0)
+    table = docs.sparkSession.sparkContext.broadcast(row_filter(rows, n))
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(passing(table.value, keys.to_numpy()))
+
+    keyed = docs.withColumn("_maybe", hit(F.xxhash64("doc_id", F.xxhash64("text"))))
+    return keyed.filter("_maybe").drop("_maybe"), keyed.filter("not _maybe").drop("_maybe")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text): groups of near-duplicate texts.
 

@@ -159,3 +159,13 @@ def test_groups_without_a_filter(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FILTER_ROWS", 0)
     got = near_duplicates(spark.createDataFrame(list(docs.items()), SCHEMA), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(docs, 3, 85)
+
+
+def test_rows_that_may_be_named(spark):
+    docs = spark.createDataFrame([(i if i % 5 else None, f"text {i}" if i % 7 else None) for i in range(500)], SCHEMA)
+    rows = docs.filter("doc_id % 3 = 0 or doc_id is null and text like '%5'").select("doc_id", neardup.text_hash())
+    maybe, others = neardup.may_be_named(docs, rows)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(maybe.unionByName(others)) == key(docs) and others.count() > 200
+    assert neardup.named(others, rows.distinct(), "left_semi").count() == 0
+    assert key(neardup.named(maybe, rows.distinct(), "left_semi")) == key(neardup.named(docs, rows.distinct(), "left_semi"))
