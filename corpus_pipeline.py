@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import decontaminated
 from spanloom.llm.language import identify
-from spanloom.llm.neardup import named, near_rows
+from spanloom.llm.neardup import may_be_named, named, near_rows
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.secrets import redacted, scan
 from spanloom.llm.shared import held_out, written
@@ -55,8 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = F.col("top").isNull() | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash")))
     mark = F.when(~F.first("stays"), 2).when(F.count(F.lit(1)) > 1, 1)
     marks = rows.withColumn("stays", stays).groupBy("doc_id", "text_hash").agg(mark.alias("mark")).filter("mark is not null")
-    marked = named(docs, written(marks, slim=True), "left")
-    once = marked.filter("mark is null").select(*COLUMNS)
+    marks = written(marks, slim=True)
+    maybe, unmarked = may_be_named(docs, marks)  # most texts are in no group; they are not shuffled to meet the marks
+    marked = written(named(maybe, marks, "left"))
+    once = unmarked.select(*COLUMNS).unionByName(marked.filter("mark is null").select(*COLUMNS))
     merged = marked.filter("mark = 1").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
     return once.unionByName(merged)
 
