@@ -61,7 +61,7 @@ def topk(spark, d):
 @query("op4_sharding")
 def sharding(spark, d):
     from spanloom.llm.sharding import sharded
-    return sharded(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharded(table(spark, d, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @query("op6_quality")

@@ -15,16 +15,20 @@ PROBES = 256
 TOLERANCE = 0.002
 #: Rows that one task numbers.
 CELL_ROWS = 20_000
+#: Ranges into which a cell is divided at most, and sampled keys for each.
+MOST_PARTS, STEP = 1024, 32
+#: The parts of a key: hash of the text, doc_id, number of the row.
+PARTS = ("h", "i", "r")
 LEAST_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Interval:
-    """Keys (hash, id) that may hold a splitter: hashes low..high, or ids low..high of the one hash ``at``."""
+    """Keys that may hold a splitter: those with the leading parts ``at`` whose next part lies in low..high."""
     low: int
     high: int
     below: int
-    at: int | None = None
+    at: tuple[int, ...] = ()
 
 
 def size_of(text: Column) -> Column:
@@ -42,39 +46,51 @@ def id_of(column: str) -> Column:
 
 def _cell(interval: Interval) -> Column:
     """The probe cell of a key in its interval; it never falls as the key rises."""
-    if interval.at is None:
+    part = F.col(PARTS[len(interval.at)])
+    if not interval.at:
         width = (interval.high - interval.low) // PROBES + 1
-        return F.floor((F.col("h") - interval.low) / width) if width < 1 << 40 else F.shiftright(F.col("h") - interval.low, max(0, width.bit_length() - 1))
+        return F.floor((part - interval.low) / width) if width < 1 << 40 else F.shiftright(part - interval.low, max(0, width.bit_length() - 1))
     width = (interval.high - interval.low) / PROBES
-    return F.floor((F.col("i").cast("decimal(20,0)") - interval.low).cast("double") / (width or 1.0)).cast("long")
+    return F.floor((part.cast("decimal(20,0)") - interval.low).cast("double") / (width or 1.0)).cast("long")
 
 
 def _inside(interval: Interval) -> Column:
-    if interval.at is None:
-        return F.col("h").between(interval.low, interval.high)
-    return (F.col("h") == interval.at) & F.col("i").between(interval.low, interval.high)
+    inside = F.col(PARTS[len(interval.at)]).between(interval.low, interval.high)
+    for part, value in zip(PARTS, interval.at):
+        inside &= F.col(part) == value
+    return inside
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """The least key (hash, id) of shards 1, 2, ... such that the bytes below each are near its share of all bytes.
+def _from(edge: tuple[int, ...]) -> Column:
+    """Whether a key stands at the edge or after it; an edge of fewer parts stands before all keys that begin with them."""
+    after = F.lit(True)
+    for part, value in reversed(list(zip(PARTS, edge))):
+        after = (F.col(part) > value) | ((F.col(part) == value) & after)
+    return after
 
-    ``keys`` has h, i and size. Each round counts the exact bytes in ``PROBES`` cells of every interval that may still
-    hold a splitter (at most shards - 1 intervals, so the driver gets a bounded table), with each cell's least and greatest
-    key; the cell around a target is its next interval. A hash that alone holds too much is divided by ids. Ends when a
-    cell's edge is within the tolerance or the cell is a single key; then the nearer edge is taken. Ties go to the lower edge.
+
+def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """The least key of shards 1, 2, ... such that the bytes below each are near its share of all bytes.
+
+    ``keys`` has size and the key's parts, h, i and r (or h and i). Each round counts the exact bytes in ``PROBES`` cells
+    of every interval that may still hold a splitter (at most shards - 1 intervals, so the driver gets a bounded table), with
+    each cell's least and greatest key; the cell around a target is its next interval. A hash that alone holds too much is
+    divided by ids, an id by rows. Ends when a cell's edge is within the tolerance or the cell is a single key; then the nearer
+    edge is taken. Ties go to the lower edge. A splitter gives as many parts of the key as it needs.
     """
+    parts = [x for x in PARTS if x in keys.columns]
     whole = keys.agg(F.sum("size").alias("bytes"), F.min("h").alias("low"), F.max("h").alias("high")).first()
     if not whole["bytes"]:
         return []
     total = whole["bytes"]
     slack = tolerance * total / shards
     open_ = {n: Interval(whole["low"], whole["high"], 0) for n in range(1, shards)}
-    done: dict[int, tuple[int, int]] = {}
+    done: dict[int, tuple[int, ...]] = {}
     while open_:
-        intervals = sorted(set(open_.values()), key=lambda x: (x.low, x.high, x.at or -1))
+        intervals = sorted(set(open_.values()), key=lambda x: (x.at, x.low, x.high))
         chosen = [F.when(_inside(x), F.struct(F.lit(n).alias("n"), _cell(x).cast("long").alias("cell"))) for n, x in enumerate(intervals)]
-        rows = keys.select(F.explode(F.array_compact(F.array(*chosen))).alias("c"), "h", "i", "size")
-        counted = rows.groupBy("c.n", "c.cell").agg(F.sum("size").alias("bytes"), *[f(x).alias(a) for x in "hi" for f, a in ((F.min, f"low_{x}"), (F.max, f"high_{x}"))]).collect()
+        rows = keys.select(F.explode(F.array_compact(F.array(*chosen))).alias("c"), *parts, "size")
+        counted = rows.groupBy("c.n", "c.cell").agg(F.sum("size").alias("bytes"), *[f(x).alias(a + x) for x in parts for f, a in ((F.min, "low_"), (F.max, "high_"))]).collect()
         cells = {n: sorted((r for r in counted if r["n"] == n), key=lambda r: r["cell"]) for n in range(len(intervals))}
         for target, interval in list(open_.items()):
             want, below = total * target / shards, interval.below
@@ -83,56 +99,73 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
                     break
                 below += r["bytes"]
             above = below + r["bytes"]
+            level = len(interval.at)
+            low, high = r["low_" + parts[level]], r["high_" + parts[level]]
             # the lower edge is the cell's least key, the upper edge the first key after its greatest
-            if interval.at is None:
-                edges, one = ((r["low_h"], LEAST_ID), (r["high_h"] + 1, LEAST_ID)), r["low_h"] == r["high_h"]
-                following = Interval(r["low_i"], r["high_i"], below, r["low_h"]) if one else Interval(r["low_h"], r["high_h"], below)
-            else:
-                edges, one = ((r["low_h"], r["low_i"]), (r["low_h"], r["high_i"] + 1)), r["low_i"] == r["high_i"]
-                following = Interval(r["low_i"], r["high_i"], below, interval.at)
-            final = (one and (interval.at is not None or r["low_i"] == r["high_i"])) or following == interval
-            if final or min(want - below, above - want) <= slack:
+            edges = (*interval.at, low), (*interval.at, high + 1)
+            if all(r["low_" + x] == r["high_" + x] for x in parts[level:]) or min(want - below, above - want) <= slack:
                 done[target] = edges[0] if want - below <= above - want else edges[1]
                 del open_[target]
+            elif low == high:
+                open_[target] = Interval(r["low_" + parts[level + 1]], r["high_" + parts[level + 1]], below, edges[0])
             else:
-                open_[target] = following
+                open_[target] = Interval(low, high, below, interval.at)
     return [done[n] for n in sorted(done)]
 
 
-def sharded(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _bounds(placed: DataFrame, cell_rows: int) -> DataFrame:
+    """(shard, cell, bounds): keys that divide each cell of more than twice ``cell_rows`` rows into ranges of about
+    ``cell_rows``, or ``MOST_PARTS`` ranges of what it holds. Every ``STEP``-th key of an even sample is a bound, so a
+    list holds some ``MOST_PARTS`` keys at most."""
+    full = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * cell_rows)
+    every = F.greatest(F.lit(max(1, cell_rows // STEP)).cast("long"), F.floor(F.col("n") / (STEP * MOST_PARTS)))
+    full = written(full.select("shard", "cell", every.alias("every")), slim=True)
+    drawn = placed.join(full, ["shard", "cell"]).filter(F.pmod(F.xxhash64("r"), F.col("every")) == 0)
+    keys = drawn.groupBy("shard", "cell").agg(F.array_sort(F.collect_list(F.struct(*PARTS))).alias("keys"))
+    return keys.select("shard", "cell", F.filter("keys", lambda _, n: n % STEP == STEP - 1).alias("bounds"))
+
+
+def _part() -> Column:
+    """How many of a row's ``bounds`` (in order, or null) are not above its key, by halving."""
+    key = F.struct(*PARTS)
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range((2 * MOST_PARTS).bit_length()))])
+    reach = lambda n, step: (n + step <= F.size("bounds")) & (F.get("bounds", n + step - 1) <= key)
+    return F.when(F.col("bounds").isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), lambda n, step: F.when(reach(n, step), n + step).otherwise(n)))
+
+
+def sharded(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, cell_rows: int = CELL_ROWS, keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with size, text_crc32, law, shard, slot and grown_shard: law ``bytes``, the shards
-    hold near equal bytes of text plus one for each row.
+    hold near equal bytes of text plus one for each row. Without ``keep_text`` the text is left out.
 
-    Rows are in order of (hash of the text, doc_id): equal texts are together, in one shard unless a splitter must divide
-    them. The slim keys are written once and counted in rounds (see ``splitters``). Then each row moves once, to the task that
-    numbers its cell: a range of hashes of about ``cell_rows`` rows, divided further by a hash of the id where one text
-    holds more. Slots run on from cell to cell, so they are gapless in a shard and need no task that sees all of it.
+    Rows are in order of (hash of the text, doc_id), and slots follow that order: equal texts are together, in one shard
+    unless a splitter must divide them. Rows are written once with their number there, by which equal keys are told
+    apart; their slim keys are counted in rounds (see ``splitters``). Then each row moves once, to the task that numbers its cell:
+    a range of hashes of about ``cell_rows`` rows, divided at keys inside (see ``_bounds``) where a text holds more.
+    Slots run on from cell to cell, so they are gapless in a shard and need no task that sees all of it.
 
     Null text: no bytes, size 1, crc32 of the empty text. Null doc_id comes first within its text. Rows that repeat are rows
-    of their own; equal keys have one text and stand together in either order. Fewer rows than shards leave shards
-    empty; an empty table gives an empty table. Columns of these names in ``docs`` are replaced.
+    of their own, which a splitter may divide; they stand together in either order. Fewer rows than shards leave shards
+    empty; an empty table gives an empty table. Columns of the six names in ``docs`` are replaced.
     """
-    named = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    docs = docs.drop(*named)
+    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"size": size_of(text), "text_crc32": F.crc32(F.coalesce(text, F.lit(""))), "h": hash_of(text), "i": id_of("doc_id")})
-    keys = written(keyed.select("h", "i", "size"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c.lower() != "text"])
+    rows = written(docs.select(own.alias("row"), size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+                               hash_of(text).alias("h"), id_of("doc_id").alias("i"), F.monotonically_increasing_id().alias("r")))
+    keys = rows.select(*PARTS, "size")
     edges = splitters(keys, shards, tolerance)
-    shard = sum(((F.col("h") > h) | ((F.col("h") == h) & (F.col("i") >= i))).cast("int") for h, i in edges) if edges else F.lit(0)
     cells = max(1, keys.count() // cell_rows)
-    shift = 63 - (cells - 1).bit_length() if cells > 1 else 63
-    cell = F.shiftright("h", shift) if shift < 63 else F.lit(0).cast("long")
-    placed = lambda df: df.withColumn("shard", shard).withColumn("cell", cell)
-    parts = placed(keys).groupBy("shard", "cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
-    parts = written(parts.filter("parts > 1"), slim=True)
-    divided = lambda df: (placed(df).join(parts, ["shard", "cell"], "left")
-                          .withColumn("part", F.coalesce(F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"), F.lit(0))).drop("parts"))
-    sizes = divided(keys).groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
+    cell = F.shiftright("h", 63 - (cells - 1).bit_length()) if cells > 1 else F.lit(0).cast("long")
+    shard = sum((_from(edge).cast("int") for edge in edges), F.lit(0))
+    placed = rows.withColumns({"shard": shard, "cell": cell})
+    bounds = written(_bounds(placed.select("shard", "cell", *PARTS), cell_rows), slim=True)
+    divided = placed.join(bounds, ["shard", "cell"], "left").withColumn("part", _part()).drop("bounds")
+    sizes = divided.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1)
     first = written(sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n"), slim=True)
-    place = F.row_number().over(W.partitionBy("shard", "cell", "part").orderBy("h", "i"))
-    numbered = divided(keyed).withColumn("place", place).join(first, ["shard", "cell", "part"])
-    return numbered.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+    place = F.row_number().over(W.partitionBy("shard", "cell", "part").orderBy(*PARTS))
+    numbered = divided.withColumn("place", place).join(first, ["shard", "cell", "part"])
+    return numbered.select("row.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                            (F.col("first") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

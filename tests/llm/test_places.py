@@ -57,6 +57,25 @@ def test_splitters_are_exact(spark):
         assert abs(below - size.sum() * n / 5) <= size.max() / 2
 
 
+def test_repeated_rows_are_divided_and_stay_in_order(spark):
+    hot = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one row " * 25).alias("text"))
+    rest = spark.range(100, 8900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 3000).cast("string")).alias("text"))
+    docs = hot.unionAll(rest).withColumns({"h": F.lit("mine"), "r": F.lit(1), "bounds": F.lit(2), "row": F.lit(3), "part": F.lit(4)})
+    out = sharded(docs, 8, cell_rows=100).withColumn("key", F.xxhash64("text").bitwiseAND((1 << 63) - 1))
+    assert out.columns[:7] == docs.columns and out.first()["h"] == "mine"
+    rows = out.collect()
+    assert len(rows) == 12_800
+    check_shards(rows, 8, 2 * max(r.size for r in rows) + 0.004 * sum(r.size for r in rows) / 8)
+    placed = [(r.key, r.doc_id) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert placed == sorted(placed)
+    assert "text" not in sharded(docs, 8, keep_text=False).columns
+
+
+def test_splitters_divide_equal_keys(spark):
+    keys = spark.range(1000).select(F.lit(5).cast("long").alias("h"), F.lit(2).cast("long").alias("i"), F.col("id").alias("r"), F.lit(3).cast("long").alias("size"))
+    assert splitters(keys, 4, 0.0) == [(5, 2, 250), (5, 2, 500), (5, 2, 750)]
+
+
 def test_pieces_and_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(None, None), (5001, ""), (5001, ""), (5002, "word " * 5000), (5003, "<|endoftext|> a|b | c\x1cd e\u0085f   I'LL É ΑΣ.")], docs.schema)
