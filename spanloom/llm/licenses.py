@@ -30,7 +30,14 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("ISC", "Licensed under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal public domain dedication"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -56,8 +63,12 @@ BSD_TEXT = next(i for i, (_, text) in enumerate(TEMPLATES) if text.startswith("R
 ANCHORS = r"(?i)licen[sc]|spdx|\bgnu\b|copyright|rights reserved|permission is hereby|redistribution and use|public domain"
 #: Least cosine of a statement to a template, and least part of a file's words in its best statement for a licence file.
 COSINE, FILE_SHARE = 0.6, 0.2
+#: An SPDX tag and the first identifier after it.
+SPDX = r"(?i)spdx-license-identifier:[\s(]*([a-z0-9][a-z0-9.+-]*)"
 #: Names of licence files, whatever their extension.
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([._-][^/]*)?$"
+#: Names that only a licence's own text has.
+OWN_NAME = r"(?i)^(licen[sc]e|copying|unlicense)(\.(txt|md|rst))?$"
 #: What stands at the beginning of a line in comments.
 LEAD = r"[ \t/*#;!%>-]*"
 SENTENCES = r"(?<=[.!?])[ \t]+(?=\p{Lu})"
@@ -99,6 +110,14 @@ def versions(statement: Column) -> Column:
     return F.transform(found, lambda v: F.regexp_replace(v, r"\.0$", ""))
 
 
+def declared(statement: Column) -> Column:
+    """The licence that an SPDX tag names, exactly; null: no tag. Of an expression the first identifier counts; whether later
+    versions are allowed is left out, as in the notices."""
+    named = F.regexp_replace(F.regexp_extract(statement, SPDX, 1), r"(?i)(-only|-or-later|\+|[.-])$", "")
+    known = F.create_map(*[F.lit(x) for name in dict.fromkeys(name for name, _ in TEMPLATES) for x in (name.lower(), name)])
+    return F.when(named != "", F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, _: k == F.lower(named))), F.lit(0)), named))
+
+
 def templates(spark) -> DataFrame:
     """(template, license, term, tf): the terms of every template."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
@@ -110,7 +129,8 @@ def matched(files: DataFrame) -> DataFrame:
 
     A GNU template is met only by statements of its family that name its version; one that names none stands for any
     version and gives way to all others. So a line out of a longer notice cannot decide on a version. The sentence that
-    BSD texts share is judged by the clauses in the file.
+    BSD texts share is judged by the clauses in the file. An SPDX tag decides by its identifier, with cosine 1, also for a
+    licence without a template. That all rights are reserved gives way to any grant in the file.
 
     A term's weight is tf * idf with idf = ln((1 + N) / (1 + df)) + 1 over the N candidate statements of all files and the
     templates' own df counted there; dot products run over the terms that stand in a template. Equal statements are one row
@@ -138,11 +158,15 @@ def matched(files: DataFrame) -> DataFrame:
     scored = scored.filter((F.col("family") == "") | ~fixed | F.array_contains("versions", named)).withColumn("fixed", fixed)
     for short, whole in ANY_VERSION.items():
         scored = scored.withColumn("license", F.when(~F.col("fixed") & (F.col("family") == short), whole).otherwise(F.col("license")))
-    best = scored.groupBy("statement").agg(F.max(F.struct("fixed", "cosine", (-F.col("template")).alias("order"), "license")).alias("b"))
-    best = written(best.join(distinct.select("statement", F.size("terms").alias("terms")), "statement").select("statement", "b.*", "terms"), slim=True)
+    scored = scored.select("statement", "fixed", "cosine", (-F.col("template")).alias("order"), "license")
+    tagged = distinct.select("statement", F.lit(True).alias("fixed"), F.lit(1.0).alias("cosine"), F.lit(1).alias("order"), declared(F.col("statement")).alias("license"))
+    scored = scored.unionByName(tagged.filter("license is not null")).withColumn("grant", F.col("license") != "Proprietary")
+    best = scored.groupBy("statement").agg(F.max(F.struct("grant", "fixed", "cosine", "order", "license")).alias("b"))
+    counts = F.when(F.col("b.order") == 1, F.size(terms(F.regexp_extract("statement", SPDX, 0)))).otherwise(F.col("terms"))  # of a tag, no words after it
+    best = written(best.join(distinct.select("statement", F.size("terms").alias("terms")), "statement").select("statement", "b.*", counts.alias("terms")), slim=True)
     hits = found.join(best, "statement")
     held = lambda whole: F.coalesce(F.sum(F.when(F.col("whole") == whole, F.col("terms"))), F.lit(0))
-    top = hits.groupBy("row").agg(F.max(F.struct("fixed", "cosine", "order", "license")).alias("b"), F.greatest(held(True), held(False)).alias("terms"), F.first("words").alias("words"), F.first("clauses").alias("clauses"))
+    top = hits.groupBy("row").agg(F.max(F.struct("grant", "fixed", "cosine", "order", "license")).alias("b"), F.greatest(held(True), held(False)).alias("terms"), F.first("words").alias("words"), F.first("clauses").alias("clauses"))
     license = F.when((F.col("b.order") == -BSD_TEXT) & (F.col("clauses") == 2), "BSD-2-Clause").otherwise(F.col("b.license"))
     return top.select("row", license.alias("license"), "b.cosine", (F.col("terms") / F.col("words")).alias("share"))
 
@@ -152,7 +176,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     origin ``file``: a licence file, by its name or because its notices make ``FILE_SHARE`` of its words; ``header``: a
     notice in the text; ``inherited``: none, but the nearest directory above has a licence file, whose path is from_path;
-    ``none`` otherwise. A directory with several licence files passes on the one with the highest cosine, then the
+    ``none`` otherwise. A file with a licence text's own name (``OWN_NAME``) inherits nothing, also if no template is like it. A directory with several licence files passes on the one with the highest cosine, then the
     first path.
 
     Every directory above a file is a row of one table of distinct directories, joined by path with the directories of
@@ -167,18 +191,19 @@ def scan(files: DataFrame) -> DataFrame:
     rows = written(said.select(*back, "said", words.alias("words"), clauses(F.col("text")).alias("clauses"), F.monotonically_increasing_id().alias("row")))  # the texts are read once and left behind
     found = rows.drop("said", "words", "clauses").join(matched(rows), "row", "left").select(*back, "row", "license", "cosine", "share")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
-    by_name = F.coalesce(F.substring_index("path", "/", -1).rlike(FILE_NAME), F.lit(False))
+    name = F.substring_index("path", "/", -1)
+    by_name = F.coalesce(name.rlike(FILE_NAME), F.lit(False))
     is_file = F.col("license").isNotNull() & (by_name | (F.col("share") >= FILE_SHARE))
-    found = written(found.withColumn("folder", folder).withColumn("is_file", is_file), slim=True)
+    found = written(found.withColumns({"folder": folder, "is_file": is_file, "heir": F.col("license").isNull() & ~F.coalesce(name.rlike(OWN_NAME), F.lit(False))}), slim=True)
     passed = found.filter("is_file and folder is not null").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "path", "license")).alias("b"))
     passed = written(passed.select(F.col("folder").alias("above"), F.col("b.license").alias("given"), F.col("b.path").alias("from_path")), slim=True)
-    folders = found.filter("license is null and folder is not null").select("folder").distinct()
+    folders = found.filter("heir and folder is not null").select("folder").distinct()
     steps = F.split("folder", "/")
     levels = F.transform(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     ways = folders.select("folder", F.posexplode(F.array_distinct(F.concat(levels, F.array(F.lit(""))))).alias("up", "above"))
     nearest = ways.join(passed, "above").groupBy("folder").agg(F.min_by(F.struct("given", "from_path"), "up").alias("x"))
     nearest = written(nearest.select("folder", "x.*"), slim=True)
-    joined = found.join(nearest, "folder", "left")
+    joined = found.join(nearest.withColumnRenamed("folder", "at"), F.col("heir") & (F.col("folder") == F.col("at")), "left")
     own = F.col("license").isNotNull()
     origin = F.when(F.col("is_file"), "file").when(own, "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return joined.select(*back, F.coalesce("license", "given").alias("license"), origin.alias("origin"), "cosine", F.when(~own, F.col("from_path")).alias("from_path"))

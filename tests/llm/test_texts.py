@@ -169,6 +169,29 @@ def test_running_totals(spark):
     assert got[0][0] == np.cumsum(values).tolist() and got[1][0] == []
 
 
+def test_licenses_told_exactly(spark):
+    words = "plain words of a file that say nothing at all " * 20
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."
+    boost = "Distributed under the Boost Software License, Version 1.0."
+    files = {
+        "r/LICENSE": ("The MIT License (MIT)\n" + words, "MIT", "file"),
+        "r/a.c": ("// SPDX-License-Identifier: MPL-2.0\n" + words, "MPL-2.0", "header"),
+        "r/b.c": ("/* SPDX-License-Identifier: (isc OR MIT) */\n" + words, "ISC", "header"),
+        "r/c.c": ("# SPDX-License-Identifier: Zlib\n" + words, "Zlib", "header"),
+        "r/d.c": ("# SPDX-License-Identifier: GPL-2.0-or-later\n" + words, "GPL-2.0", "header"),
+        "r/e.c": ("Copyright 2020 A. All rights reserved.\nLicensed under the MIT license.\n" + words, "MIT", "header"),
+        "r/f.c": (isc + "\n\n" + words, "ISC", "header"),
+        "r/g.c": ("Eclipse Public License - v 2.0\n" + words, "EPL-2.0", "header"),
+        "r/h.c": (boost + "\n" + words, "BSL-1.0", "header"),
+        "r/i.c": (words, "MIT", "inherited"),
+        "r/x/COPYING": ("Whoever finds this may do as the finder likes. " + words, None, "none"),
+        "r/x/j.c": (words, "MIT", "inherited"),
+        "q/k.c": ("All rights reserved.", "Proprietary", "file")}
+    df = spark.createDataFrame([(p, t) for p, (t, _, _) in files.items()], "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got == {p: (a, b) for p, (_, a, b) in files.items()}
+
+
 def test_licenses(spark):
     words = "lorem ipsum dolor " * 30
     files = [
