@@ -16,23 +16,23 @@ TEXTS = {
     1: "# 1. The Glass Wardens: the Slow Ones\n\nThe Glass Wardens keep watch. 😀 é They are the keepers. It is the hum.\n"
        "**The Moss: the Green Choir**\n**Ash Mothers (The Grey Sisters):** they wait.\n**Sedge Folk**: pale, and quiet.\n"
        "**Brine Kin** are seldom seen. In the hall the **Lantern Eaters** sleep, and the **salt-mouths** too; a **dim thing** stirs.\n",
-    2: "They are the *Suturers*, and the *curtain-leeches* beside the *slow light*. A worm (“Vault Whelps”) turns.\n"
+    2: "They are the *Suturers*, and the *curtain-leeches* beside the *slow light*. A heron (“Attic Barons”) lands.\n"
        "- Slate-eaters: sheets that dissolve stone\n• Rust Singers – they hum\n1. Tide-Callers\n2) Fern Wives (old): quiet\n"
-       "A Tonemind drifts. We met the Tonemind twice, or simply the Hollow Choir. They speak with Tarse often, and to Oren.\n"
+       "A Quillhost strolls. We saw the Quillhost twice, or simply the Hollow Choir. They speak with Tarse often, and to Oren.\n"
        "A fern (Mycora lucens) and *Sturna vulgaris* grow.\n",
     3: "Some call them the Lamplit. It is known to itself as “Old Nine”. They call it “the soft dark” and name *listening dreams*.\n"
-       "A word that means roughly *those on shift*. There are the stitchers, who mend. There are hinge-ferns that open. There are glass worms, too.\n"
-       "The door-makers and lamp-keepers pass. The conduit-scrapers — small — rest. The rust-farms are wide. The root-mat is old. the gas-bladders live.\n"
+       "A word that means roughly *bearers of salt*. There are the stitchers, who mend. There are hinge-ferns that open. There are glass worms, too.\n"
+       "The door-makers and lamp-keepers pass. The chimney-sweepers — sooty — nap. The rust-farms are wide. The root-mat is old. the gas-bladders live.\n"
        "The crawlers — the chitons — graze. Those who never left the lower stair watch. It has no name for itself. Nobody says the name aloud!\n",
-    4: "The \"Kelp Dwellers,\" are small. He said \"Marrow\" twice. Beside them live the rooters, and there come the pale ones who sing.\n"
+    4: "The \"Thistle Cousins,\" are shy. He said \"Marrow\" twice. Beside them live the rooters, and there come the pale ones who sing.\n"
        "The grazers eat. The grazers sleep. The grazers wake, the grazers. The fire beings walk on. The other beings wait.\n"
-       "vine-walkers climb; vine-walkers fall. The glass-fish, as they are known, drift. The lumigroves shine; the lumigroves dim.\n"
+       "vine-walkers climb; vine-walkers fall. The glass-fish, as they are known, drift. The oxbarges creak; the oxbarges leak.\n"
        "The long ones wait and the long ones wake. They are stewards. They are builders of walls. The door-maker came; the door-maker left.\n",
-    5: "# The Listeners\n\nThe listeners came. They heard the listeners.\n\n## Veilstalkers\nVeilstalkers are large. Old Veilstalkers die.\n### The Floor That Eats\nNothing more.\n"
+    5: "# The Listeners\n\nThe listeners came. They heard the listeners.\n\n## Cindermaids\nCindermaids are loud. Young Cindermaids sing.\n### The Bridge That Hums\nNo more of it.\n"
        "**The Pale Shape**\n\n**The Drifters**\nthe drifters pass.\n**Grazers**\nGrazers eat.\n"
-       "1. Blink-shrimp\nBlink-shrimp graze.\n2. Slurry-Eaters: they nest\n- Mire Singers\nthe mire singers hum.\n",
-    6: "Call them tenders, for lack of better. It is called the resident, since it stays. They call it the warden. The wire-weavers and spore-harvesters work.\n"
-       "- **Twilight Skimmers**: sleek. The worms (Furrow-Tenants) dig. They call themselves kin; called the Hollow by the townsfolk.\n"
+       "1. Copper-snails\nCopper-snails nap.\n2. Pebble-Sorters: they count\n- Mire Singers\nthe mire singers hum.\n",
+    6: "Call them tenders, for lack of better. It is called the resident, since it stays. They call it the warden. The bell-ringers and peat-carriers work.\n"
+       "- **Twilight Skimmers**: sleek. The otters (Weir-Lodgers) swim. They call themselves kin; called the Hollow by the townsfolk.\n"
        "What lives there is mostly the place itself. The canyon is a being. It is not a creature but a process. The hill\n",
     7: "", 8: "A " + "Bo " * 3000 + "end.", 9: "the " + "ab-" * 400 + "folk went.",
 }
@@ -112,11 +112,11 @@ def test_rarity_on_real_texts(spark, small):
 
 
 def test_rare_word_is_dropped(spark, frame):
-    common = spark.createDataFrame([("grazers", 9, 0.2), ("lumigroves", 9, 0.001)], "word string, n_texts long, df double")
+    common = spark.createDataFrame([("grazers", 9, 0.2), ("oxbarges", 9, 0.001)], "word string, n_texts long, df double")
     rare = spark.createDataFrame([("none", 1, 0.5)], "word string, n_texts long, df double")
     got, every = hits(run_patterns(frame, df=common)), hits(run_patterns(frame, df=rare))
     limits = {p.id: p.max_df or 1 for p in REGISTRY}
-    assert got == {h for h in every if {"grazers": 0.2, "lumigroves": 0.001}.get(h[5], 0) <= limits[h[1]]}
+    assert got == {h for h in every if {"grazers": 0.2, "oxbarges": 0.001}.get(h[5], 0) <= limits[h[1]]}
     assert any(h[1] == "the_agent_recurring" and h[5] == "grazers" for h in every - got)
 
 
