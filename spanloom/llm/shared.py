@@ -16,9 +16,14 @@ BLOCK = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only a session that names none (a test) gets one of its own."""
+    """The folder named in ``spark.checkpoint.dir``; only a local session that names none (a test) gets one of its own.
+
+    On a cluster executors do not see each other's folders, so a session there that names none raises an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

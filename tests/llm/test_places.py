@@ -1,5 +1,6 @@
 """Shards, packing, search, and the pipeline."""
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from llm import brute
 from spanloom.llm import packing
 from spanloom.llm.packing import best_fit, local_search, pack_documents, token_ids
+from spanloom.llm.shared import shared_folder
 from spanloom.llm.sharding import sharded, splitters, write_shards
 from spanloom.llm.topk import CoverTree, bound, top_k
 
@@ -15,6 +17,16 @@ P = pytest.importorskip("public_tokenizers")
 PATH = str(P.path("word_bpe_49k.json"))
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.split(".")[1], default), set=lambda key, value: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master=master))
+        assert shared_folder(session(master=master, checkpoint="hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session(master="local[8]")).startswith("file://")
+
+
 def check_shards(rows, shards, slack):
     sizes, slots = np.zeros(shards), [[] for _ in range(shards)]
     for r in rows:
