@@ -111,7 +111,7 @@ OP11 = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS rol
     n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS before,
         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
-            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM f),
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM f),
     v AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': NULL::VARCHAR}} AS q0, NULL::{_STRUCT} AS qs, NULL::{_STRUCT} AS qu, NULL::{_STRUCT} AS qa
             FROM (SELECT DISTINCT conv_id FROM n)
         UNION ALL
