@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.regex import java_flags
 from spanloom.functions.spans import (any_of, enclosing_sentence, frame_named, framed, guarded, let,
                                       mask_lines, named_span, replaced, spans_of)
-from spanloom.functions.text import clean, corpus_words, norm, occurrences, occurrences_cased
+from spanloom.functions.text import clean, corpus_words, norm
+from spanloom.operators.anchors import both_counts
 from spanloom.operators.registry import JAVA_READY, LIKE_ASCII, MASK_REGEX, REGISTRY, needed_words, needs, STOPLISTS, TITLE_REGEX
+from spanloom.session import bounded_batches
 
 
 def doc_freq(texts: DataFrame, text="text", least: int = 3) -> DataFrame:
@@ -123,15 +126,15 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     src = src.select("text_id", "straight", "low", F.flatten(F.transform(with_match, raw_hits)).alias("hits"),
                      *([title_spans(["title_" + kind for kind in TITLE_REGEX]).alias("titles")] if needs_titles else []))
     named = [n for n, (k, _) in enumerate(scans) if k[3] == "name"]
-    names = F.filter("hits", lambda h: h["scan"].isin(named))
-    src = src.withColumn("norms", F.array_distinct(F.transform(names, lambda h: h["norm"])))
-    src = src.withColumn("cleans", F.array_distinct(F.transform(names, lambda h: h["clean"])))
-    src = src.select(
-        "text_id", "hits", *(["titles"] if needs_titles else []),
-        F.map_from_arrays("norms", F.transform("norms", lambda n: occurrences("low", n))).alias("occ"),
-        F.map_from_arrays("cleans", F.transform("cleans", lambda c: occurrences_cased("straight", c))).alias("cased"))
-
-    def rows(h):
+    # both counts of every hit, beside it: the text is walked once for all its strings
+    bounded_batches(texts.sparkSession)
+    asked_text = lambda c: F.when(F.exists("hits", lambda h: h["scan"].isin(named)), F.col(c))
+    counts = F.arrow_udf(hit_counts, "struct<occ:array<int>,cased:array<int>>")
+    src = src.withColumn("counts", counts(
+        asked_text("low"), asked_text("straight"), F.transform("hits", lambda h: h["norm"]), F.transform("hits", lambda h: h["clean"]),
+        F.transform("hits", lambda h: h["scan"].isin(named))))
+
+    def rows(h, i):
         if needs_titles:
             spans = F.filter("titles", lambda t: t["norm"] == h["norm"])
             n_title, n_title_cased = F.size(spans), F.size(F.filter(spans, lambda t: t["clean"] == h["clean"]))
@@ -139,7 +142,7 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
             n_title = n_title_cased = F.lit(0)
         return F.struct(h["scan"].alias("scan"), h["start"].alias("start"), h["end"].alias("end"),
                         h["surface"].alias("surface"), h["norm"].alias("norm"), h["clean"].alias("clean"),
-                        F.element_at("occ", h["norm"]).alias("occ"), F.element_at("cased", h["clean"]).alias("occ_cased"),
+                        F.get("counts.occ", i).alias("occ"), F.get("counts.cased", i).alias("occ_cased"),
                         n_title.alias("n_title"), n_title_cased.alias("n_title_cased"))
 
     out = src.select("text_id", F.inline(F.transform("hits", rows)))
@@ -160,6 +163,21 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     return out.drop("max_df").withColumnRenamed("text_id", key)
 
 
+def hit_counts(low: pa.Array, straight: pa.Array, norms: pa.Array, cleans: pa.Array, named: pa.Array) -> pa.Array:
+    """For each hit how often its string stands in the lower-cased text and, as written, in the text; null where no name of the
+    text has the string."""
+    out = []
+    for low_, text, norm_, clean_, name in zip(*(c.to_pylist() for c in (low, straight, norms, cleans, named))):
+        if norm_ is None:
+            out.append(None)
+            continue
+        occ, cased = {}, {}
+        if any(name):
+            occ, cased = both_counts(low_, text, [n for n, yes in zip(norm_, name) if yes], [c for c, yes in zip(clean_, name) if yes])
+        out.append({"occ": [occ.get(n) for n in norm_], "cased": [cased.get(c) for c in clean_]})
+    return pa.array(out, pa.struct([("occ", pa.list_(pa.int32())), ("cased", pa.list_(pa.int32()))]))
+
+
 def ascii_words(text):
     return F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
 
