@@ -1,9 +1,11 @@
 """Scalar text functions as Column expressions."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from spanloom.functions.spans import WHITESPACE, _c, count_matches
+from spanloom.functions.spans import WHITESPACE, _c, count_matches, let
 
 # Fixed values, as the results depend on them.
 EDGE = " \t\r\n*_\"'`“”‘’:;,.—–-()[]"
@@ -82,23 +84,29 @@ def holds_word(col, word) -> Column:
     return F.rlike(_c(col), _whole(word, "a-z"))
 
 
+def any_word(words, letters: str) -> str:
+    """A regex of the words with no character of ``letters`` on either side, tried by first letter."""
+    by_first = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?<![%s])(?:%s)(?![%s])" % (letters, "|".join("%s(?:%s)" % (c, "|".join(rest)) for c, rest in by_first.items()), letters)
+
+
 def text_flag(text, status) -> Column:
     """Why a text is left out of the counts; '' where it is counted."""
     text, status = _c(text), _c(status)
-    tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z']+"), F.lit(0))
-    common = F.array(*map(F.lit, FUNCTION_WORDS))
-    hits = F.size(F.filter(tokens, lambda w: F.array_contains(common, F.lower(w))))
+    n_tokens = F.regexp_count(text, F.lit("[A-Za-z']+"))
+    hits = F.regexp_count(text, F.lit("(?i)" + any_word(FUNCTION_WORDS, "A-Za-z'")))
     short = F.length(F.btrim(text, F.lit(WHITESPACE))) < 50
-    return (F.when(status.isNotNull() & ~status.isin("ok", ""), status)
-            .when(short | (F.size(tokens) == 0), F.lit("empty"))
-            .when(hits / F.size(tokens) < 0.15, F.lit("not prose (word check)"))
-            .otherwise(""))
+    return F.when(status.isNotNull() & ~status.isin("ok", ""), status).otherwise(
+        let(n_tokens, lambda n: F.when(short | (n == 0), F.lit("empty"))
+            .when(hits / n < 0.15, F.lit("not prose (word check)")).otherwise("")))
 
 
 def n_lexicon_words(text, words=SPECIES_WORDS) -> Column:
     """Distinct words of the text that are in the list."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z]+"), F.lit(0)))
-    return F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
+    plain = [w for w in words if re.fullmatch("[a-z]+", w)]
+    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(_c(text)), F.lit(any_word(plain, "a-z")), F.lit(0))))
 
 
 def param_echo(text) -> Column:

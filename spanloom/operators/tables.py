@@ -14,15 +14,19 @@ def count_if(cond):
 
 
 def text_facts(texts: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """text_id, model, place_id, length, tagged, flag, n_species, n_param_echo: one narrow pass."""
+    """text_id, model, place_id, length, tagged, flag, n_species, n_param_echo: one narrow pass.
+
+    A text is judged where it is read; only slim rows meet the statuses."""
+    place = ["place_id"] if "place_id" in texts.columns else []
+    slim = texts.select("text_id", "model", *place, F.length("text").alias("length"), text_flag("text", F.lit(None).cast("string")).alias("flag"),
+                        n_lexicon_words("text").alias("n_species"), param_echo("text").alias("n_param_echo"))
     if status is not None:
-        texts = texts.join(status.select("text_id", F.col("status").alias("tagged")), "text_id", "left")
+        slim = slim.join(status.select("text_id", F.col("status").alias("tagged")), "text_id", "left")
     else:
-        texts = texts.withColumn("tagged", F.lit(None).cast("string"))
-    place = [F.col("place_id")] if "place_id" in texts.columns else []
-    return texts.select("text_id", "model", *place, F.length("text").alias("length"),
-                        F.coalesce("tagged", F.lit("")).alias("tagged"), text_flag("text", F.col("tagged")).alias("flag"),
-                        n_lexicon_words("text").alias("n_species"), param_echo("text").alias("n_param_echo"))
+        slim = slim.withColumn("tagged", F.lit(None).cast("string"))
+    told = F.col("tagged").isNotNull() & ~F.col("tagged").isin("ok", "")
+    return slim.select("text_id", "model", *place, "length", F.coalesce("tagged", F.lit("")).alias("tagged"),
+                       F.when(told, F.col("tagged")).otherwise(F.col("flag")).alias("flag"), "n_species", "n_param_echo")
 
 
 def text_names(mentions: DataFrame, precision: DataFrame, places: DataFrame | None = None,
@@ -69,7 +73,8 @@ def in_place(names: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame
     its text in blocks, so the text is copied once per block, and a place with very many
     strings has many blocks.
     """
-    where = names.join(texts.select("text_id", "place_id"), "text_id", "left")
+    # read twice, and what it comes from is a walk over all texts
+    where = names.join(texts.select("text_id", "place_id"), "text_id", "left").persist()
     asked = where.filter("place_id is not null").select("place_id", "norm").distinct()
     parts = asked.groupBy("place_id").agg(F.ceil(F.count(F.lit(1)) / STRINGS_AT_ONCE).cast("int").alias("_parts"))
     block = F.pmod(F.xxhash64("norm"), F.col("_parts"))
