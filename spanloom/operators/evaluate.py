@@ -148,9 +148,10 @@ def match_label(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
     Only ``candidate_pairs`` that share a word are tested, each once: an index of the words of either side stands before the
     regex. ``verdicts`` is hand-made and small; ``labels`` is the large side.
     """
-    v = verdicts.select("*", fold_compare("surface", "verdict").alias("_s"))
+    # each is read several times below, and comes from a walk over all texts
+    v = verdicts.select("*", fold_compare("surface", "verdict").alias("_s")).persist()
     l = labels.select("text_id", fold_compare("label", "verdict").alias("_l"), (F.col("source") == "quote").alias("_q"))
-    l = l.groupBy("text_id", "_l").agg(F.max("_q").alias("_q"))
+    l = l.groupBy("text_id", "_l").agg(F.max("_q").alias("_q")).persist()
     whole = lambda x, y: F.contains(x, y) & holds_word(x, y)
     match = (F.col("_s") == F.col("_l")) | whole(F.col("_l"), F.col("_s")) | ((F.col("_l") != "") & whole(F.col("_s"), F.col("_l")))
     keys = ["text_id", "_s"]
@@ -180,8 +181,9 @@ def word_recall(texts: DataFrame, labels: DataFrame, stems=STEMS) -> DataFrame:
 def match_loose(hand: DataFrame, labels: DataFrame) -> DataFrame:
     """Hand-marked labels with ``found``: some label of the text contains it or stands in it. Only pairs that share the
     stretch of three characters that the shorter must bring are tested."""
-    h = hand.select("*", fold_compare(F.ltrim(F.col("label"), F.lit("!")), "hand").alias("_s"))
-    l = labels.select("text_id", fold_compare("label", "hand").alias("_l")).distinct()
+    # each is read several times below, and comes from a walk over all texts
+    h = hand.select("*", fold_compare(F.ltrim(F.col("label"), F.lit("!")), "hand").alias("_s")).persist()
+    l = labels.select("text_id", fold_compare("label", "hand").alias("_l")).distinct().persist()
     keys = ["text_id", "_s"]
     near = F.col("_l").contains(F.col("_s")) | F.col("_s").contains(F.col("_l"))
     hit = candidate_pairs(h.select(*keys).distinct(), l, gram_keys).filter(near).select(*keys).distinct().withColumn("found", F.lit(True))
