@@ -229,8 +229,10 @@ def parse_quotes(answers: DataFrame) -> DataFrame:
     return good.unionByName(lost)
 
 
-def ingest_quotes(parsed: DataFrame, texts: DataFrame):
-    """(kept, dropped): quotes placed in their text; the rest kept with a reason."""
+def ingest_quotes(parsed: DataFrame, texts: DataFrame, hold: bool = False):
+    """(kept, dropped): quotes placed in their text; the rest kept with a reason. ``hold`` caches the slim rows that are read
+    more than once, the parsed quotes and the judged ones, for a caller that uses both tables; a stream leaves it off."""
+    parsed = parsed.persist() if hold else parsed
     # a text meets its quotes once, as one row
     per = parsed.groupBy("text_id").agg(F.collect_list(F.struct("quote_no", "kind", "given", "malformed")).alias("all"))
     rows = per.join(texts.select("text_id", "text"), "text_id")
@@ -238,6 +240,7 @@ def ingest_quotes(parsed: DataFrame, texts: DataFrame):
     at = locate_all(rows.withColumn("quotes", good), ["text_id"])
     judged = parsed.join(at, ["text_id", "quote_no"], "left").withColumn("why", F.when(F.col("unreadable"), "unreadable").when(
         F.col("malformed"), "malformed").when(F.col("match").isNull(), "not in the text"))
+    judged = judged.persist() if hold else judged
     placed = judged.filter(F.col("why").isNull()).groupBy("text_id").agg(F.collect_list(F.struct("kind", "start", "end", "match", "given")).alias("q"))
     own = placed.join(texts.select("text_id", "text"), "text_id").select("text_id", F.inline(F.transform("q", lambda q: F.struct(
         q["kind"].alias("kind"), q["start"].alias("start"), q["end"].alias("end"), cut("text", q["start"], q["end"]).alias("quote"),

@@ -319,7 +319,7 @@ QA = f"""{TEXTS}, qa AS (SELECT text_id, text, unnest(range(0, length(text) // {
 
 @query("i7_ingest_quotes_kept", f"WITH {QA} SELECT text_id, 'is' AS kind, instr(text, q) - 1 AS start, instr(text, q) - 1 + length(q) AS \"end\", q AS quote, 'exact' AS match FROM q WHERE length(q) >= 4")
 def i7(spark, d):
-    k, _ = A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d))
+    k, _ = A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d), hold=True)
     return k.select("text_id", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "quote", "match")
 
 
@@ -329,13 +329,13 @@ _BAD = [("who", "zzqx wvvk zzqx wvvk", "not in the text"), ("bad", "x", "malform
 @query("i7_ingest_quotes_dropped", "SELECT doc_id AS text_id, kind, given, why FROM documents, (VALUES " + ", ".join(f"('{k}', '{g}', '{w}')" for k, g, w in _BAD) + ") v(kind, given, why) WHERE doc_id % 7 NOT IN (3, 5) "
        "UNION ALL SELECT doc_id, '', 'I cannot say {', 'unreadable' FROM documents WHERE doc_id % 7 = 3")
 def i7b(spark, d):
-    return A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d))[1].select("text_id", "kind", "given", "why")
+    return A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d), hold=True)[1].select("text_id", "kind", "given", "why")
 
 
 @query("i7_quote_records", f"""WITH {QA}, k AS (SELECT text_id, count(*) AS n, string_agg(instr(text, q) - 1, ',' ORDER BY instr(text, q)) AS starts FROM q WHERE length(q) >= 4 GROUP BY 1)
     SELECT doc_id AS text_id, n AS quotes, starts, CASE doc_id % 7 WHEN 3 THEN 1 ELSE 6 END AS dropped FROM documents LEFT JOIN k ON k.text_id = doc_id WHERE doc_id % 7 <> 5""")
 def i7c(spark, d):
-    r = A.quote_records(*A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d)))
+    r = A.quote_records(*A.ingest_quotes(A.parse_quotes(quote_answers(spark, d)), texts(spark, d), hold=True))
     return r.select("text_id", F.size("quotes").cast("long").alias("quotes"), F.array_join(F.transform("quotes", lambda q: q["start"].cast("string")), ",").alias("starts"), F.size("dropped").alias("dropped"))
 
 
