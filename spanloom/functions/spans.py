@@ -51,11 +51,7 @@ def framed(text: Column, java: str, *fields: str) -> Column:
 
 
 def spans_of(pieces: Column, shape) -> Column:
-    """Array of ``shape(start, end, record)`` over the records of ``framed`` pieces.
-
-    Lengths are summed in blocks of 64 pairs, so a text with n matches costs about
-    n * 64 additions and not n * n.
-    """
+    """Array of ``shape(start, end, record)`` over the records of ``framed`` pieces. Offsets are running sums of lengths."""
     # bound once: a lambda would otherwise run the regex again for every match
     return let(pieces, lambda bound: _spans_of(bound, shape))
 
@@ -64,24 +60,12 @@ def _spans_of(pieces, shape):
     def lengths(p, i):
         return F.when(i.bitwiseAND(1) == 1, F.length(F.substring_index(p, FIELD, 1))).otherwise(F.length(p))
 
-    def total(lens, start, count):
-        return F.aggregate(F.slice(lens, start, count), F.lit(0), lambda a, x: a + x)
-
-    def with_lengths(lens):
-        blocks = F.sequence(F.lit(0), F.shiftright(F.size(lens) - 1, 7))
-        heads = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(
-            acc, F.array(F.element_at(acc, -1) + total(lens, F.shiftleft(b, 7) + 1, F.lit(128)))))
-        return let(heads, lambda head: F.transform(indexes(lens), lambda i: let(
-            F.get(head, F.shiftright(i, 6)) + total(lens, F.shiftleft(F.shiftright(i, 6), 7) + 1,
-                                                    F.shiftleft(i.bitwiseAND(63), 1) + 1),
-            lambda start: shape(start, start + F.get(lens, F.shiftleft(i, 1) + 1),
-                                F.get(pieces, F.shiftleft(i, 1) + 1)))))
-
-    def indexes(lens):
-        n = F.shiftright(F.size(lens), 1)
+    def indexes(ends):
+        n = F.shiftright(F.size(ends), 1)
         return F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
 
-    return let(F.transform(pieces, lengths), with_lengths)
+    return let(running(F.transform(pieces, lengths)), lambda ends: F.transform(indexes(ends), lambda i: shape(
+        F.get(ends, F.shiftleft(i, 1)), F.get(ends, F.shiftleft(i, 1) + 1), F.get(pieces, F.shiftleft(i, 1) + 1))))
 
 
 def span(start, end, surface) -> Column:
@@ -193,20 +177,22 @@ def kwic(text, start, end, width: int = 70, newline: str = " / ") -> Column:
     return F.concat(shown[0], F.lit("«"), shown[1], F.lit("»"), shown[2])
 
 
-def running(values, block: int = 64) -> Column:
-    """Sums up to each element of an array of numbers, itself included: of whole blocks first, then inside the block, so
-    the cost is about ``block`` additions for an element."""
+def running(values, block: int = 256) -> Column:
+    """Sums up to each element of an array of numbers, itself included. Each block is summed, then written out from the sum of
+    those before it, so an element costs two additions and the copy of its part of a block."""
     zero = F.lit(0)
-    total = lambda part: F.aggregate(part, zero, lambda acc, x: (acc + x).cast("int"))
-    place = lambda i: F.floor(i / block).cast("int")
 
-    def heads(bound):
-        starts = F.when(F.size(bound) > 0, F.sequence(zero, F.size(bound) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
-        sums = F.transform(starts, lambda at: total(F.slice(bound, at + 1, block)))
-        return F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def grown(acc, x):
+        return F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("int")))
 
-    return let(values, lambda bound: let(heads(bound), lambda before: F.transform(
-        bound, lambda _, i: F.get(before, place(i)) + total(F.slice(bound, place(i) * block + 1, i % block + 1)))))
+    def written(bound):
+        parts = F.transform(F.sequence(zero, F.size(bound) - 1, F.lit(block)), lambda at: F.slice(bound, at + 1, block))
+        sums = lambda held: F.transform(held, lambda p: F.aggregate(p, zero, lambda acc, x: (acc + x).cast("int")))
+        whole = let(parts, lambda held: let(F.aggregate(sums(held), F.array(zero), grown), lambda before: F.flatten(F.transform(
+            held, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(before, i)), grown), 2, block)))))
+        return F.when(F.size(bound) > 0, whole).when(bound.isNotNull(), F.array().cast("array<int>"))
+
+    return let(values, written)
 
 
 #: Characters of a block of text from which marked pieces are cut; to cut from the whole text would walk it for every piece.
@@ -220,19 +206,17 @@ def mark_spans(text, spans, opens=("", "{w:", "[S:"), closes=("", "}", "]")) ->
     stretches of equal rank are one mark. The bounds are swept once in order, with a running count of the open spans of
     each rank, so the cost is about that of the text and the spans.
     """
-    text = _c(text)
-    size = F.length(text)
     ranks = range(1, len(opens))
 
-    def event(at, rank, step):
+    def event(at, rank, step, size):
         return F.struct(F.greatest(F.least(at.cast("int"), size), F.lit(0)).alias("at"), rank.cast("int").alias("rank"), F.lit(step).alias("step"))
 
-    def swept(bound):
-        cuts = F.transform(F.sequence(F.lit(0), size, F.lit(CUT)), lambda at: event(at, F.lit(0), 0))
-        return F.array_sort(F.concat(F.transform(bound, lambda s: event(s["start"], s["rank"], 1)), F.transform(bound, lambda s: event(s["end"], s["rank"], -1)),
-                                     cuts, F.array(event(size, F.lit(0), 0))))
+    def swept(bound, size):
+        cuts = F.transform(F.sequence(F.lit(0), size, F.lit(CUT)), lambda at: event(at, F.lit(0), 0, size))
+        return F.sort_array(F.concat(F.transform(bound, lambda s: event(s["start"], s["rank"], 1, size)), F.transform(bound, lambda s: event(s["end"], s["rank"], -1, size)),
+                                     cuts, F.array(event(size, F.lit(0), 0, size))))
 
-    def pieces(events):
+    def pieces(events, size):
         open_ = F.struct(*[running(F.transform(events, lambda e: F.when(e["rank"] == r, e["step"]).otherwise(0))).alias("r%d" % r) for r in ranks])
 
         def piece(held, e, i):
@@ -252,9 +236,21 @@ def mark_spans(text, spans, opens=("", "{w:", "[S:"), closes=("", "}", "]")) ->
 
         return F.array_join(F.transform(runs, one), "")
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(size / CUT).cast("int")), lambda i: F.substring(text, i * CUT + 1, F.lit(CUT)))
-    real = F.filter(spans, lambda s: s["start"] < s["end"])
-    return let(real, lambda bound: let(swept(bound), lambda events: let(pieces(events), lambda runs: let(blocks, lambda cut_: shown(runs, cut_)))))
+    def marked(whole, size):
+        real = F.filter(spans, lambda s: s["start"] < s["end"])
+        return let(real, lambda bound: let(swept(bound, size), lambda events: let(pieces(events, size), lambda runs: let(
+            text_blocks(whole, size), lambda cut_: shown(runs, cut_)))))
+
+    # the length is bound: it is counted anew wherever it stands, and every event asks for it
+    return let(_c(text), lambda whole: let(F.length(whole), lambda size: marked(whole, size)))
+
+
+def text_blocks(text, size) -> Column:
+    """A text in blocks of ``CUT`` characters, empty ones at the end. A position is found by walking the text, so large parts
+    are cut first and blocks from them."""
+    part, each = CUT * 64, F.sequence(F.lit(0), F.lit(63))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(size / part).cast("int")), lambda n: let(
+        F.substring(text, n * part + 1, F.lit(part)), lambda held: F.transform(each, lambda i: F.substring(held, i * CUT + 1, F.lit(CUT))))))
 
 
 def count_matches(text, pattern: str, flags: str = "") -> Column:

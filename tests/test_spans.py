@@ -1,4 +1,5 @@
 """Span functions: offsets in code points, sentences, headings, marks."""
+import itertools
 import random
 import re
 import time
@@ -195,3 +196,24 @@ def test_many_marks_in_one_text(spark):
     seconds(1000)
     small = seconds(10_000)
     assert seconds(100_000) < 40 * max(small, 0.5)
+
+
+def test_marks_and_spans_of_one_long_text(spark):
+    """The text is not walked for every mark: 100,000 marked words in one text of 700,000 characters, next to Python."""
+    text = "Äb Cd, e " * 50_000 + "Fé Gh\n" * 50_000
+    df = spark.createDataFrame([(text,), ("",), (None,)], "text string")
+    found = S.find_spans("text", "[A-Z][a-z]")
+    ranked = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(2).alias("rank")))
+    began = time.time()
+    rows = df.select(S.mark_spans("text", ranked), F.transform(found, lambda s: s["end"])).collect()
+    assert rows[0][0] == re.sub("([A-Z][a-z])", r"[S:\1]", text)
+    assert rows[0][1] == [m.end() for m in re.finditer("[A-Z][a-z]", text)]
+    assert rows[1][0] == "" and rows[1][1] == [] and rows[2][0] is None and rows[2][1] is None
+    assert time.time() - began < 40
+
+
+def test_running_over_blocks(spark):
+    values = [(i * 7) % 11 - 3 for i in range(1000)]
+    df = spark.createDataFrame([(values[:n],) for n in (0, 1, 255, 256, 257, 513, 1000)] + [(None,)], "v array<int>")
+    for v, sums in df.select("v", S.running(F.col("v"))).collect():
+        assert sums == (None if v is None else list(itertools.accumulate(v)))
