@@ -253,6 +253,16 @@ def text_blocks(text, size) -> Column:
         F.substring(text, n * part + 1, F.lit(part)), lambda held: F.transform(each, lambda i: F.substring(held, i * CUT + 1, F.lit(CUT))))))
 
 
+def with_cuts(text, spans, shape) -> Column:
+    """``shape(span, stretch)`` of every span of a text, which is cut in blocks once and not walked for each span."""
+    def stretch(blocks, s):
+        first, last = F.floor(s["start"] / CUT).cast("int"), F.floor(s["end"] / CUT).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), s["start"] % CUT + 1, s["end"] - s["start"])
+
+    return let(_c(text), lambda whole: let(text_blocks(whole, F.length(whole)), lambda blocks: F.transform(
+        spans, lambda s: shape(s, stretch(blocks, s)))))
+
+
 def count_matches(text, pattern: str, flags: str = "") -> Column:
     return F.regexp_count(_c(text), F.lit(java_flags(flags) + pattern))
 

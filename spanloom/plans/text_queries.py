@@ -375,10 +375,14 @@ UNEVEN_FOLD = r"[*_`…]|\s\s"
     FROM f WHERE contains(text, tq) OR (length(fq) >= 8 AND contains(ft, fq))""")
 def c19(spark, d):
     q = returned_quotes(spark, d)
-    at = grounding.locate_all(q, ["text_id"]).join(q.select("text_id", "text"), "text_id")
-    even = (F.col("match") == "exact") | ~F.col("text").rlike(UNEVEN_FOLD)
-    return at.select("text_id", "quote_no", "match", F.md5(F.btrim(T.fold(S.cut("text", F.col("start"), F.col("end"))), F.lit(" "))).alias("h"),
-                     F.when(even, F.col("start")).cast("long").alias("start"), F.when(even, F.col("end")).cast("long").alias("end"))
+    # the places of a text meet it once; joined one by one, each would carry a copy of it and search that
+    at = grounding.locate_all(q, ["text_id"]).groupBy("text_id").agg(F.collect_list(F.struct("quote_no", "match", "start", "end")).alias("found"))
+    cuts = S.with_cuts("text", F.col("found"), lambda s, stretch: F.struct(s["quote_no"].alias("quote_no"), s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end"), stretch.alias("cut")))
+    x = at.join(q.select("text_id", "text"), "text_id").select("text_id", F.col("text").rlike(UNEVEN_FOLD).alias("uneven"), cuts.alias("found"))
+    x = x.select("text_id", "uneven", F.inline("found"))
+    even = (F.col("match") == "exact") | ~F.col("uneven")
+    return x.select("text_id", "quote_no", "match", F.md5(F.btrim(T.fold("cut"), F.lit(" "))).alias("h"),
+                    F.when(even, F.col("start")).cast("long").alias("start"), F.when(even, F.col("end")).cast("long").alias("end"))
 
 
 def sentences_at_sql(source):
