@@ -243,10 +243,11 @@ def distinct_texts(members: DataFrame, texts: DataFrame, group: str, via: str) -
     held = texts.filter(F.col("text_id").isNotNull())
     numbers = before(held.select("text_id").distinct().withColumn("_one", F.lit(1)), "text_id", "_one", "_no").select("text_id", "_no")
     placed = held.join(numbers, "text_id").select(via, F.bitmap_bucket_number("_no").alias("_cell"), F.bitmap_bit_position("_no").alias("_bit"))
-    cells = placed.groupBy(via, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.bitmap_construct_agg("_bit").alias("_map"))
-    crowds = cells.filter(F.col("_n") >= CROWD)
-    few = placed.join(crowds.select(via, "_cell"), [via, "_cell"], "left_anti")
-    united = members.join(crowds.select(via, "_cell", "_map"), via).groupBy(group, "_cell").agg(F.bitmap_or_agg("_map").alias("_map"))
+    # counted first: a bitmap has 4 KB however few texts it holds, so only crowded ranges get one
+    crowds = placed.groupBy(via, "_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= CROWD).select(via, "_cell")
+    few = placed.join(crowds, [via, "_cell"], "left_anti")
+    maps = placed.join(crowds, [via, "_cell"], "left_semi").groupBy(via, "_cell").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    united = members.join(maps, via).groupBy(group, "_cell").agg(F.bitmap_or_agg("_map").alias("_map"))
     single = members.join(few, via).groupBy(group, "_cell").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     both = united.unionByName(single).groupBy(group, "_cell").agg(F.bitmap_or_agg("_map").alias("_map"))
     return both.groupBy(group).agg(F.sum(F.bitmap_count("_map")).alias("texts"))

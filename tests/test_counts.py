@@ -37,3 +37,18 @@ def test_texts_are_walked_once_for_rows_read_twice(spark, tmp_path, name):
     plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan
     spark.catalog.clearCache()
+
+
+def test_bitmaps_only_for_crowded_ranges(spark):
+    """Values of 700 and of 3 texts; a range gets a bitmap only after it was counted as crowded."""
+    from spanloom.operators.beings import distinct_texts
+    rows = [("many", i) for i in range(700)] + [("more", i) for i in range(100, 900)] + [("few", i) for i in (5, 899, 5000)] + [("few", None)]
+    texts = spark.createDataFrame(rows, "norm string, text_id long")
+    members = spark.createDataFrame([("a", "many"), ("a", "few"), ("b", "few"), ("c", "many"), ("c", "more"), ("d", "none")], "noun string, norm string")
+    out = distinct_texts(members, texts, "noun", "norm")
+    held = {v: {t for n, t in rows if n == v and t is not None} for v, _ in rows}
+    want = {}
+    for noun, v in members.collect():
+        want.setdefault(noun, set()).update(held.get(v, ()))
+    assert {r.noun: r.texts for r in out.collect()} == {n: len(t) for n, t in want.items() if t}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
