@@ -182,3 +182,48 @@ def _possessive(pattern: str) -> str:
 
 def _one_character(token: str) -> bool:
     return token[0] == "[" or (token[0] == "\\" and token[1] not in "bBAZGzk0123456789") or (len(token) == 1 and token not in "()|?*+{}^$")
+
+
+def line_bound(pattern: str, flags: str = "") -> bool:
+    """Whether a match and what it looks at lie in one line: nothing in ``pattern`` fits a line end. Anchors of the whole text
+    are no line's, so they need the flag ``m``."""
+    tokens = [t for _, t in _scan(pattern)]
+    atoms = {t for t in tokens if _one_character(t) and t[:1] not in "()|?*+{}"}
+    return (not {"^", "$"} & set(tokens) or "m" in flags) and not any(re.match(r"\\[AZzG0-9]", t) for t in tokens) and not any(
+        re.compile(a, re.S if "s" in flags else 0).fullmatch("\n") for a in atoms)
+
+
+def first_characters(pattern: str):
+    """The letters that a match of ``pattern`` can begin with; None where they are not a few plain ones."""
+    tokens = [t for _, t in _scan(pattern)]
+
+    def letters(token):
+        if re.fullmatch(r"[A-Za-z]|\[[A-Za-z]+\]", token):
+            return set(token.strip("[]"))
+        if re.fullmatch(r"\[(?:[A-Za-z]-[A-Za-z])+\]", token):
+            return {c for low, high in re.findall("(.)-(.)", token) for c in map(chr, range(ord(low), ord(high) + 1))}
+
+    def alternatives(i):
+        """(letters or None, whether it may be empty, position of what ends it) of the alternatives from ``i`` on."""
+        found, empty, first = set(), False, True
+        while i < len(tokens) and tokens[i] != ")":
+            if tokens[i] == "|":
+                empty, first, i = empty or first, True, i + 1
+                continue
+            if tokens[i] == "(" or tokens[i].startswith(("(?:", "(?P<")):
+                inner, may, i = alternatives(i + 1)
+            elif tokens[i].startswith("("):
+                inner, may, i = None, False, alternatives(i + 1)[2]
+            else:
+                inner, may = letters(tokens[i]), False
+            i += 1
+            may = may or bool(re.match(r"[?*]|\{0", "".join(tokens[i:i + 2])))
+            if first:
+                found = None if found is None or inner is None else found | inner
+                first = may
+            while i < len(tokens) and re.fullmatch(r"[?*+{},0-9]", tokens[i]):
+                i += 1
+        return found, empty or first, i
+
+    found, empty, _ = alternatives(0)
+    return None if empty else found

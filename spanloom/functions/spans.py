@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from spanloom.functions.regex import java_flags, to_java
+from spanloom.functions.regex import java_flags, line_bound, to_java
 
 # Two Unicode non-characters; a text that holds one is read as if it held U+FFFD there.
 MARK, FIELD = "﷐", "﷑"
@@ -74,9 +74,11 @@ def span(start, end, surface) -> Column:
 
 def named_span(start, _end, record) -> Column:
     """The wanted group of a record framed as match, stretch before it, group."""
-    fields = F.split(record, FIELD, -1)
-    return let(start + F.length(F.get(fields, F.lit(1))), lambda at: span(
-        at, at + F.length(F.get(fields, F.lit(2))), F.get(fields, F.lit(2))))
+    def placed(fields):
+        at = start + F.length(F.get(fields, F.lit(1)))
+        return span(at, at + F.length(F.get(fields, F.lit(2))), F.get(fields, F.lit(2)))
+
+    return let(F.split(record, FIELD, -1), placed)
 
 
 def frame_named(text: Column, pattern: str, flags: str = "", wanted=("name", "name2")) -> Column:
@@ -85,18 +87,46 @@ def frame_named(text: Column, pattern: str, flags: str = "", wanted=("name", "na
     return framed(text, java.text, *joined)
 
 
-def find_spans(text, pattern: str, group=0, flags: str = "") -> Column:
+def find_spans(text, pattern: str, group=0, flags: str = "", lines=None, holds=None) -> Column:
     """All non-overlapping matches of a Python pattern as array<struct<start,end,surface>>.
 
     ``group`` is 0 for the whole match, a group number, a group name, or a tuple of names
-    of which one takes part in a match.
+    of which one takes part in a match. Where ``lines`` (see ``lines_of``) are given, a pattern whose matches lie in one line
+    meets only lines for which ``holds`` is true; that must be so of every line with a match.
     """
-    text = guarded(text)
-    if group == 0:
-        pieces = framed(text, to_java(pattern, flags, ()).text)
-        return spans_of(pieces, span)
-    wanted = group if isinstance(group, tuple) else (group,)
-    return spans_of(frame_named(text, pattern, flags, wanted), named_span)
+    wanted = () if group == 0 else group if isinstance(group, tuple) else (group,)
+
+    def cut(whole):
+        return framed(whole, to_java(pattern, flags, ()).text) if group == 0 else frame_named(whole, pattern, flags, wanted)
+
+    shape = span if group == 0 else named_span
+    if lines is not None and line_bound(pattern, flags):
+        return line_spans(lines, cut, shape, holds)
+    return spans_of(cut(guarded(text)), shape)
+
+
+def lines_of(text) -> Column:
+    """Lines of a text that are not empty as array<struct<at,line>>, with the place where each begins."""
+    def placed(parts):
+        return let(running(F.transform(parts, lambda p: F.length(p))), lambda ends: F.filter(F.transform(parts, lambda p, i: F.struct(
+            (F.get(ends, i) - F.length(p) + i).alias("at"), p.alias("line"))), lambda line: line["line"] != ""))
+
+    return let(F.split(guarded(text), "\n", -1), placed)
+
+
+def line_spans(lines, cut, shape, holds=None) -> Column:
+    """``shape(start, end, record)`` of every match in the lines that ``holds`` lets through, ``cut`` framing one line."""
+    kept = _c(lines) if holds is None else F.filter(_c(lines), holds)
+    cuts = F.filter(F.transform(kept, lambda line: F.struct(line["at"].alias("at"), cut(line["line"]).alias("cut"))), lambda c: F.size(c["cut"]) > 1)
+
+    def found(c):
+        at, record = c["at"] + F.length(F.get(c["cut"], F.lit(0))), F.get(c["cut"], F.lit(1))
+        single = F.array(shape(at, at + F.length(F.substring_index(record, FIELD, 1)), record))
+        several = spans_of(c["cut"], lambda s, e, record: shape(c["at"] + s, c["at"] + e, record))
+        # most lines with a match hold one: no sums are needed
+        return F.when(F.size(c["cut"]) == 3, single).otherwise(several)
+
+    return F.flatten(F.transform(cuts, found))
 
 
 def find_groups(text, pattern: str, names, flags: str = "") -> Column:
@@ -177,20 +207,26 @@ def kwic(text, start, end, width: int = 70, newline: str = " / ") -> Column:
     return F.concat(shown[0], F.lit("«"), shown[1], F.lit("»"), shown[2])
 
 
-def running(values, block: int = 256) -> Column:
+def running(values, block=None) -> Column:
     """Sums up to each element of an array of numbers, itself included. Each block is summed, then written out from the sum of
-    those before it, so an element costs two additions and the copy of its part of a block."""
+    those before it, so an element costs two additions and the copy of its part of a block. A block of n elements grows with
+    the cube root of n, where the copies within blocks and those of the blocks' sums are fewest together."""
     zero = F.lit(0)
 
     def grown(acc, x):
         return F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("int")))
 
-    def written(bound):
-        parts = F.transform(F.sequence(zero, F.size(bound) - 1, F.lit(block)), lambda at: F.slice(bound, at + 1, block))
+    def blocks(bound, each):
+        parts = F.transform(F.sequence(zero, F.size(bound) - 1, each), lambda at: F.slice(bound, at + 1, each))
         sums = lambda held: F.transform(held, lambda p: F.aggregate(p, zero, lambda acc, x: (acc + x).cast("int")))
-        whole = let(parts, lambda held: let(F.aggregate(sums(held), F.array(zero), grown), lambda before: F.flatten(F.transform(
-            held, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(before, i)), grown), 2, block)))))
-        return F.when(F.size(bound) > 0, whole).when(bound.isNotNull(), F.array().cast("array<int>"))
+        return let(parts, lambda held: let(F.aggregate(sums(held), F.array(zero), grown), lambda before: F.flatten(F.transform(
+            held, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(before, i)), grown), F.lit(2), each)))))
+
+    def written(bound):
+        # a few are one block
+        single = F.slice(F.aggregate(bound, F.array(zero), grown), F.lit(2), F.size(bound))
+        several = let(F.lit(block) if block else F.ceil(F.cbrt(F.size(bound) * 2)).cast("int"), lambda each: blocks(bound, each))
+        return F.when(F.size(bound) > 16, several).when(F.size(bound) > 0, single).when(bound.isNotNull(), F.array().cast("array<int>"))
 
     return let(values, written)
 

@@ -61,7 +61,7 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     src = src.withColumn("low", F.lower("straight"))
     # one walk over the words of a text answers for all patterns that need some; a small array stays
     asked = sorted({w for p in registry for group in needed_words(p) for w in group})
-    src = src.withColumn("held", F.array_intersect(ascii_words(F.lower(replaced("straight", *LIKE_ASCII))), _strings(asked)) if asked else F.lit(None))
+    src = src.withColumn("held", F.array_intersect(ascii_words(plain_lower("straight")), _strings(asked)) if asked else F.lit(None))
 
     # so does one test for each mark that some patterns need
     marks = sorted({(mask if not lower else None, lower, w) for (_, _, mask, *_), ps in scans for wanted, lower in [needs(ps[0])] if not needed_words(ps[0]) for w in wanted}, key=str)
@@ -160,6 +160,24 @@ def run_patterns(texts: DataFrame, registry=None, stoplists=None, df: DataFrame
     return out.drop("max_df").withColumnRenamed("text_id", key)
 
 
+def line_test(pattern):
+    """Whether a line may hold a match, by the strings and words that the registry knows for ``pattern``; None where it knows
+    none. ``low`` of a line is ``plain_lower`` of it."""
+    wanted, lower = needs(pattern)
+    groups = sorted(needed_words(pattern), key=len)
+
+    def holds(line):
+        asked = [any_of(line["low" if lower else "line"].contains(w) for w in wanted)] if wanted else []
+        return reduce(Column.__and__, asked + [any_of(line["low"].contains(w) for w in group) for group in groups])
+
+    return holds if wanted or groups else None
+
+
+def plain_lower(text):
+    """Lower case, with ASCII for what a pattern that ignores case takes for ASCII."""
+    return F.lower(replaced(text, *LIKE_ASCII))
+
+
 def ascii_words(text):
     return F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
 

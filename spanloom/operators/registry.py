@@ -4,6 +4,8 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
+from spanloom.functions.regex import first_characters
+
 # ---------------------------------------------------------------------------------------
 # Building blocks, masks, title lines, stoplists and patterns. Results depend
 # on them letter by letter. «X» in a pattern stands for block X.
@@ -348,6 +350,7 @@ NEEDS = {
     "bold_lead_titlecase": "**", "who_names": ("call", "name", "dub", "refer", "known"),
     "call_them_bare": "Call", "the_ones_recurring": ("ones", "things"), "they_are_bare": ("They", "These", "Those"),
     "the_hyphen_agent_singular": "-",
+    "the_cap": ("the", "The"), "the_agent_recurring": ("the", "The"), "rare_plural": ("the", "The"), "a_cap": ("a", "A"),
 }
 # The same for patterns that ignore case; compared with the lower-cased text.
 NEEDS_LOWER = {"anti_name": ("nam", "word"), "name_talk": ("name", "naming"), "being_is_process": "not", "place_is_inhabitant": ("is", "itself")}
@@ -401,8 +404,9 @@ def tuned(regex: str) -> str:
     one. The run of capitalised words and its hyphenated parts are followed by nothing that
     could stand inside them. A chain that must end in an agent word is read as stretches of
     parts that are none, each closed by one that is; the last such stretch is where the
-    plain pattern ends as well. A word boundary in front of a letter moves behind it, so
-    most positions fail at a plain character test.
+    plain pattern ends as well. A word boundary in front of a letter moves behind it, and one in front
+    of several words waits until the character is one that they begin with, so most positions fail at a
+    plain character test. Runs of letters before a blank give nothing back.
     """
     run, word, agent = fill("«NAME»"), fill("«CAPW»"), fill("«AGENT»")
     held = word[:-1] + "*+"
@@ -413,8 +417,12 @@ def tuned(regex: str) -> str:
     regex = regex.replace(r"[a-z]+(?:-[a-z]+)*-[a-z]+s)\b", r"[a-z]+(?:-[a-z]+)++(?<=[a-z]s))\b")
     regex = regex.replace(r"[a-z]+(?:-[a-z]+)*-(?!(?:water", r"[a-z]+(?:-[a-z]+(?=-))*+-(?!(?:water")
     regex = regex.replace(r"[a-z]+(?:-[a-z]+)+)", r"[a-z]+(?:-[a-z]+)++)").replace(r"[a-z]+(?:-[a-z]+)+|", r"[a-z]+(?:-[a-z]+)++|")
+    regex = regex.replace(r"[A-Za-z][a-z]+(?:[ \t]+[a-z]+)?[ \t]+(?:might", r"[A-Za-z][a-z]++(?:[ \t]++[a-z]++)?[ \t]++(?:might")
+    regex = regex.replace(r"[a-z][a-z'’-]*[,;]?[ ]", r"[a-z][a-z'’-]*+[,;]?+[ ]")
+    regex = regex.replace(r"(?<![A-Za-z'’-])(?!(?:the|a|an)[ ])[a-z]", r"(?=[a-z])(?<![A-Za-z'’-])(?!(?:the|a|an)[ ])[a-z]")
     if "|" in regex and not regex.startswith((r"\b[Tt]he", r"\b[Aa]n?")):
-        return regex
+        first = first_characters(regex[2:]) if regex.startswith(r"\b") else None
+        return "(?=[%s])%s" % ("".join(sorted(first)), regex) if first else regex
     return re.sub(r"^\\b(\[[A-Za-z]+\]|[A-Za-z])", r"\1(?<!\\w\1)", regex)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as S
 from spanloom.functions.text import words
 from spanloom.operators import evaluate as E, tables as T
-from spanloom.operators.patterns import run_patterns
+from spanloom.operators.patterns import line_test, plain_lower, run_patterns
 from spanloom.operators.registry import REGISTRY, registry_history, tuned
 from spanloom.plans.data import (ACCENTED, SAMPLE, WITH_COV, WITH_LABELS, WITH_MENTIONS, WITH_NAMES, FACTS, TEXTS, cov, facts, labels, mentions,
                                  names, page_texts, places, precision, query, table, texts)
@@ -456,8 +456,10 @@ def _found_sql(p):
 def d_marked(spark, d):
     """All captures of each such pattern in the marked texts."""
     def found(p):
-        spans = S.find_spans("text", tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags)
+        spans = S.find_spans("text", tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags, "lines", line_test(p))
         return F.struct(F.lit(p.id).alias("pattern_id"), F.transform(spans, lambda s: s["surface"]).alias("found"))
 
-    rows = marked_texts(spark, d).select("text_id", F.inline(F.array(*[found(p) for p in _plain_patterns()])))
+    # cut once, so that a pattern meets only the lines that hold what it needs
+    lines = F.transform(S.lines_of("text"), lambda line: F.struct(line["at"].alias("at"), line["line"].alias("line"), plain_lower(line["line"]).alias("low")))
+    rows = marked_texts(spark, d).select("text_id", "text", lines.alias("lines")).select("text_id", F.inline(F.array(*[found(p) for p in _plain_patterns()])))
     return rows.filter(F.size("found") > 0).select("text_id", "pattern_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "\n")).alias("h"))

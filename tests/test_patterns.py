@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from golden_hits import COUNT, HITS
-from spanloom.functions.regex import to_java
-from spanloom.functions.spans import find_spans
+from spanloom.functions.regex import first_characters, line_bound, to_java
+from spanloom.functions.spans import find_spans, lines_of
 from spanloom.functions.text import words
-from spanloom.operators.patterns import doc_freq, run_patterns
+from spanloom.operators.patterns import doc_freq, line_test, plain_lower, run_patterns
 from spanloom.operators.registry import LIKE_ASCII, NEEDS, NEEDS_LOWER, REGISTRY, STOPLISTS, WORDS, needed_words, needs, tuned
 
 # Invented texts, so that every pattern catches something.
@@ -150,3 +150,23 @@ def test_translation_of_groups():
     j = to_java(r"(?:a|b)(?P<name>[[x]+)c|(d)(?P<name2>e)")
     assert j.text == r"(?dU)((?:a|b))([\[x]+)c|((?:d))(e)"
     assert j.before == (1, 3) and j.wanted == (2, 4)
+
+
+def test_lines_that_hold_what_a_pattern_needs_give_all_its_matches(spark):
+    texts = [t for t in dict.fromkeys(spaced()) if t] + ["\n\r\n the  Ash\rWood\n\n", "😀 the Ash ﷐\n\nthe Ash, the Bo\n", "THE PLACE İS ıts ſea\nThe ſea iſ it.\nThe LAKE iS it\nNo NAMİNG"]
+    lines = F.transform(lines_of("text"), lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), plain_lower(x["line"]).alias("low")))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("lines", lines)
+    every = [p for p in {p.regex: p for p in REGISTRY}.values()]
+    args = lambda p: (tuned(p.regex), ("name", "name2") if "(?P<name" in p.regex else 0, p.flags)
+    whole = df.select("i", *[find_spans("text", *args(p)).alias(p.id) for p in every]).collect()
+    cut = df.select("i", *[find_spans("text", *args(p), "lines", line_test(p)).alias(p.id) for p in every]).collect()
+    assert sorted(whole) == sorted(cut) and sum(len(x) for r in cut for x in r[1:]) > 100
+    assert [p.id for p in every if not line_bound(p.regex, p.flags)] == ["the_mod_being", "call_them_bare"]
+
+
+def test_what_stays_in_a_line_and_what_a_match_begins_with():
+    held = {("a.b", ""): True, ("a.b", "s"): False, ("^a", ""): False, ("^a", "m"): True, (r"a\s", ""): False, ("[^a]b", ""): False, (r"[^\n]\S", ""): True, (r"a(?!\n)", ""): False, (r"a\Z", ""): False}
+    assert {k: line_bound(*k) for k in held} == held
+    first = {"(?:a|)b": {"a", "b"}, "(?:a[0-9]|b){0,2}c": {"a", "b", "c"}, "(?:(?:x|[yz])a)?w(?:1|2)": set("xyzw"), "(?:ab|[^c])": None, "(?!y)x": None, "a?": None, "": None}
+    assert {k: first_characters(k) for k in first} == first
+    assert tuned(r"\b(?:live|dwell)s") == r"(?=[dl])\b(?:live|dwell)s"

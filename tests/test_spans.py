@@ -217,3 +217,19 @@ def test_running_over_blocks(spark):
     df = spark.createDataFrame([(values[:n],) for n in (0, 1, 255, 256, 257, 513, 1000)] + [(None,)], "v array<int>")
     for v, sums in df.select("v", S.running(F.col("v"))).collect():
         assert sums == (None if v is None else list(itertools.accumulate(v)))
+
+
+def test_running_sums_at_all_sizes_of_a_block(spark):
+    values = [[], [3], [1] * 16, list(range(17)), [i % 7 - 2 for i in range(1000)]]
+    for v, one, own in spark.createDataFrame([(v,) for v in values], "v array<int>").select("v", S.running(F.col("v")), S.running(F.col("v"), 64)).collect():
+        assert one == own == [sum(v[:i + 1]) for i in range(len(v))]
+
+
+def test_spans_of_lines(spark):
+    text = "ab ab\n\nx\nab😀ab ab\r\nb\n"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(
+        S.find_spans("t", "(?P<name>a)b", "name", lines=S.lines_of("t"), holds=lambda x: x["line"].contains("ab")).alias("s"),
+        S.find_spans("t", "ab", lines=S.lines_of("t")).alias("w"), S.find_spans("t", "ab").alias("all"), S.find_spans("t", r"b\s", lines=S.lines_of("t")).alias("over")).collect()
+    assert [(s.start, s.end) for s in got[0].s] == [(m.start(), m.start() + 1) for m in re.finditer("ab", text)]
+    assert got[0].w == got[0].all and [(s.start, s.end) for s in got[0].over] == [m.span() for m in re.finditer(r"b\s", text)]
+    assert got[1].s is None and got[1].w is None and got[2].w == []
